@@ -1,0 +1 @@
+"""Column expressions shared by the terrain operators."""

@@ -1,0 +1 @@
+"""Readers and writers: point text, LAS, rasters, lines, reports, JSON documents."""

@@ -1,0 +1 @@
+"""Incremental forms of operators whose state adds up."""
