@@ -309,7 +309,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = members.join(size.select("root", blocks.alias("blocks")), "root")
     members = members.select(F.col("smallest").alias("id"), "node", "n", F.col("root").alias("part"), "blocks")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = members.join(texts, "id").mapInArrow(_sets(width), "node long, n long, part long, blocks int, set binary")
+    # members grow with the corpus, so they are never broadcast, however few they are
+    sets = members.hint("merge").join(texts, "id").mapInArrow(_sets(width), "node long, n long, part long, blocks int, set binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("node", "n", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other")).alias("pair"))
