@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    SHINGLE_WORDS, Words, column, components, distinct_by_text, join_hot, local_components, materialize, mix, partitions, seeds, text_slices, whole_groups,
+    SHINGLE_WORDS, Words, column, components, distinct_by_text, fresh, join_hot, local_components, materialize, mix, partitions, seeds, text_slices, whole_groups,
 )
 
 TOKENS = 128  #: min-hash tokens of a set
@@ -331,5 +331,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each class does: of a class, the row with the smallest id."""
     links = jaccard_links(docs, id_col, text_col, **options)
-    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")

@@ -50,6 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,14 +88,10 @@ def join_hot(big: DataFrame, table: DataFrame, keys: list[str], count_col: str,
 # ---------------------------------------------------------------- Arrow helpers
 
 
-def column(batch: pa.RecordBatch, name: str):
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def schema_of(ddl: str) -> str:
-    return ddl
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; wraps on purpose."""
     x = x ^ (x >> _SHIFT)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, Words, column, seeds, text_slices
+from .common import SHINGLE_WORDS, Words, column, fresh, seeds, text_slices
 
 TOKENS = 64
 LEAST = 8  #: shingles of the smallest block
@@ -208,5 +208,6 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    hit = search(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+    name = fresh(docs, "hit")
+    hit = search(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs[id_col] == F.col(name), "left_anti")

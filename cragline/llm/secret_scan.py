@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 KINDS = ("assign", "access", "hex", "opaque")
 COPIED = 3  #: owners from which on a value is a widely copied example
@@ -121,8 +121,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     found = scan(docs, id_col, text_col, **options)
     wanted = F.filter("spans", lambda s: s["verdict"] != "example")
     marks = found.select("doc_id", wanted.alias("spans")).where(F.size("spans") > 0)
-    marks = marks.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"))))))).alias("_marks"))
-    out = docs.join(marks.withColumnRenamed("doc_id", "_id"), docs[id_col] == F.col("_id"), "left")
+    marks = marks.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"))))))).alias("marks"))
+    ident, place = fresh(docs, "id"), fresh(docs, "marks")
+    out = docs.join(marks.select(F.col("doc_id").alias(ident), F.col("marks").alias(place)), docs[id_col] == F.col(ident), "left")
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
@@ -131,5 +132,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.greatest(state["pos"], s["to"]).alias("pos"), more.alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate("_marks", start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
-    return out.withColumn(text_col, F.when(F.col("_marks").isNotNull() & text.isNotNull(), clean).otherwise(text)).drop("_marks", "_id")
+    clean = F.aggregate(place, start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
+    return out.withColumn(text_col, F.when(F.col(place).isNotNull() & text.isNotNull(), clean).otherwise(text)).drop(place, ident)
