@@ -1,23 +1,29 @@
 """Language-model scoring by the likelihood of subword lattices.
 
-A text's tokens (runs without white space, A-Z lower-cased) are streams of vocabulary pieces; every
-segmentation of every token counts, weighted by the pieces' probabilities, and a log-space forward
-recursion over the lattice gives the marginal probability. The stream ends with an end piece, so
-the model is a probability over texts: sum over tokens of log P(token) plus log P(end).
+A token (a run without white space, A-Z lower-cased) is a lattice: its edges are vocabulary pieces,
+single bytes, and, learned from the corpus, the token as a whole. Every path counts, weighted by its
+edges' probabilities, and a log-space forward recursion gives the token's marginal probability; a
+text's is the product over its tokens and the end mark.
 
 The vocabulary file is an existing one and is never trained. Its scores give the first weights (a
 file whose scores are merge ranks by Zipf's law, one with log-probabilities as they are). Under
-these, forward-backward over all training tokens gives the expected count of each piece, and the
-counts, smoothed by the vocabulary's own weights, are the model's probabilities. Bytes are pieces
-too, so any text has a probability.
+these, forward-backward over all distinct training tokens gives the expected count of each piece, and the
+counts, smoothed by the vocabulary's own weights, are the pieces' probabilities p: they say what new
+tokens are made of. Whole-token edges have the training count less a discount d (Ney's estimate from tokens seen
+once and twice), and what the discounts free is the weight of all paths over pieces:
+
+    P(token) = (c - d) / N, if c > 0, + (d V / N) sum over segmentations of the product of p
+
+The pieces sum to 1 and those that begin with the word mark stand first only, so the sum over all tokens of the
+second factor is 1, and P with the end mark's share is a probability over token streams.
 
 A token's marginal does not depend on its document, so lattices are run once for each distinct
 token of the corpus. Tokens that make up at least 1/HOT_TOKENS of the corpus (at most HOT_TOKENS
 of them) are broadcast; the rest meets its documents in a shuffle join.
 
 Defined results: a null or empty text is just the end mark; repeated rows are scored each; with no
-training rows every count is 0 and the pieces keep the vocabulary's weights; a null id is never held
-out; an empty table gives an empty result.
+training rows every count is 0, the pieces keep the vocabulary's weights and the end mark has one half; a null id is
+never held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,13 +131,15 @@ class Lattice:
                 some = at[g : g + step]
                 yield some, np.frombuffer(b"".join(b" " + words[i] for i in some), dtype=np.uint8).reshape(len(some), size)
 
-    def marginals(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
+    def marginals(self, words: list[bytes], whole: np.ndarray | None = None, freed: float = 1.0) -> np.ndarray:
+        """Natural log of each word's marginal probability. ``whole``: log weight of the edge that is the whole word;
+        ``freed``: weight of the paths over pieces."""
         out = np.zeros(len(words))
         with np.errstate(invalid="ignore"):
             for at, b in self._batches(words):
                 out[at] = self._forward(b, self._edges(b))[-1]
-        return out
+        out += math.log(freed) if freed > 0 else -np.inf
+        return out if whole is None else np.logaddexp(out, whole)
 
     def expected(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words, each taken ``count`` times."""
@@ -152,6 +160,12 @@ class Lattice:
         return out[:-1]
 
 
+def whole_edges(count: np.ndarray, discount: float, n: int) -> np.ndarray:
+    """Log weight of whole-token edges: (count - discount) / n, none for tokens that training has not seen."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.maximum(count - discount, 0.0) / max(n, 1))
+
+
 def _counts(train_col: str, flush: int = 400_000):
     """Token counts of documents, combined per task up to ``flush`` distinct tokens."""
 
@@ -184,8 +198,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     words = rows.mapInArrow(_counts("learn"), "word binary, c_train long, c_all long").groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
     words = materialize(words, "words")
     ends = rows.where("learn").count()
-    n, v, every = words.agg(F.coalesce(F.sum("c_train"), F.lit(0)), F.count_if(F.col("c_train") > 0), F.coalesce(F.sum("c_all"), F.lit(0))).first()
-    n, v = n + ends, v + (ends > 0)
+    seen = [F.count_if(F.col("c_train") == k) for k in (1, 2)]
+    n, distinct, every, once, twice = words.agg(F.coalesce(F.sum("c_train"), F.lit(0)), F.count_if(F.col("c_train") > 0), F.coalesce(F.sum("c_all"), F.lit(0)), *seen).first()
+    n, v = n + ends, distinct + (ends > 0)
+    discount = once / (once + 2 * twice) if once else 0.5
+    freed = discount * distinct / n if n else 0.5  # weight of the paths over pieces
 
     pieces, prior = read_vocabulary(vocabulary)
     first = spark.sparkContext.broadcast((pieces, prior))
@@ -193,21 +210,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def expect(batches):
         lattice, total = Lattice(*first.value), np.zeros(len(first.value[0]))
         for batch in batches:
-            total += lattice.expected(column(batch, "word").to_pylist(), column(batch, "c_train").to_numpy().astype(float))
+            total += lattice.expected(column(batch, "word").to_pylist(), np.ones(batch.num_rows))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["piece", "n"])
 
-    gathered = words.where("c_train > 0").select("word", "c_train").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    gathered = words.where("c_train > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     count = np.exp(prior) * smoothing  # one number for each piece of the vocabulary, whatever the corpus
     count[gathered["piece"].to_numpy(np.int64)] += gathered["n"].to_numpy()
-    whole = count.sum() + ends + 1
-    log_end = math.log10((ends + 1) / whole)
-    model = spark.sparkContext.broadcast((pieces, np.log(count / whole)))
+    log_end = math.log10(ends / n) if ends else math.log10(0.5)
+    model = spark.sparkContext.broadcast((pieces, np.log(count / count.sum())))
 
     def lattices(batches):
         lattice = Lattice(*model.value)
         for batch in batches:
-            value = lattice.marginals(column(batch, "word").to_pylist()) / math.log(10)
+            value = lattice.marginals(column(batch, "word").to_pylist(), whole_edges(column(batch, "c_train").to_numpy(), discount, n), freed) / math.log(10)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("word", "c_train", "c_all")), pa.array(value)], names=["word", "c_train", "c_all", "lattice"])
 
     scored = materialize(words.mapInArrow(lattices, "word binary, c_train long, c_all long, lattice double"), "scored")

@@ -245,16 +245,21 @@ def test_scores_match_brute_force(spark, monkeypatch):
     count = Counter(w for i, t, *_ in rows if not held(i) for w in [*tokens(t), None])
     n, v = sum(count.values()), len(count)
     pieces, prior = lattice_lm.read_vocabulary()
-    lattice = lattice_lm.Lattice(pieces, prior)
-    train = [(w, c) for w, c in count.items() if w is not None]
-    expected = lattice.expected([w for w, _ in train], np.array([c for _, c in train], float)) + np.exp(prior) * 1000
-    whole = expected.sum() + count[None] + 1
-    model = lattice_lm.Lattice(pieces, np.log(expected / whole))
+    train = {w: c for w, c in count.items() if w is not None}
+    expected = lattice_lm.Lattice(pieces, prior).expected(list(train), np.ones(len(train))) + np.exp(prior) * 1000
+    model = lattice_lm.Lattice(pieces, np.log(expected / expected.sum()))
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+
+    def log_p(w):
+        free = d * len(train) / n * math.exp(model.marginals([w])[0])
+        return math.log10(max(train.get(w, 0) - d, 0) / n + free)
+
     want = Counter()
     for i, t, *_ in rows:
         own = [*tokens(t), None]
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own)
-        score = model.marginals([w for w in own if w is not None]).sum() / math.log(10) + math.log10((count[None] + 1) / whole)
+        score = sum(log_p(w) for w in own if w is not None) + math.log10(count[None] / n)
         want[(i, held(i), len(own), sum(count[w] > 0 for w in own), n, round(base, 6), round(float(score), 6))] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
     assert lattice_lm.score(docs(spark, [])).count() == 0
