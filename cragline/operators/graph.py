@@ -18,7 +18,12 @@ TILE = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): smallest node in reach, from undirected edges (a, b); large-star and small-star rounds."""
+    """(node, root): smallest node in reach, from undirected edges (a, b).
+
+    Large-star and small-star rounds (Kiveris et al. 2014) until no edge changes. Every half round is cut in the shared
+    folder, and only a count and a hash come to the driver. A node's edges are combined before the shuffle, and the
+    join back is one that Spark splits where a hub is hot.
+    """
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
     seen = None
