@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder tables, text kernels, hot-key joins, connected components.
+"""Shared pieces: text kernels, hot-key joins, connected components.
 
 The text kernels work on the UTF-8 bytes of whole Arrow batches with NumPy, in slices of
 about ``SLICE_BYTES`` so that memory does not depend on the batch; one longer text is one slice.
@@ -6,8 +6,6 @@ about ``SLICE_BYTES`` so that memory does not depend on the batch; one longer te
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..shared import materialize
+
+__all__ = ["Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "partitions", "seeds", "text_slices", "whole_groups"]
+
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 HOT_SHARE = 1000  #: a key is hot from 1/HOT_SHARE of all rows on, so that at most HOT_SHARE keys are
@@ -26,28 +29,7 @@ _BASE = 0x9E3779B97F4A7C15
 _SHIFT = np.uint64(33)
 
 
-# ---------------------------------------------------------------- shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; one of our own where it is unset."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None:
-        given = sc.getCheckpointDir()
-        if given is None:
-            given = f"file://{tempfile.mkdtemp(prefix='cragline-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# ---------------------------------------------------------------- tables
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -248,41 +230,6 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-# ---------------------------------------------------------------- connected components
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): smallest node reachable, for each node of ``edges`` (long, undirected).
-
-    Large-star and small-star rounds (Kiveris et al. 2014) until nothing changes. Every round's
-    edges go to the shared folder; only three sums come to the driver. A hub's edges are combined
-    before the shuffle and its join is one that Spark splits.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            near = e
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = near.join(low, "u")
-        if large:
-            out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-
-    now = state(e)
-    while now[0]:
-        e = materialize(star(materialize(star(e, True), "large"), False), "small")
-        then, now = now, state(e)
-        if tuple(then) == tuple(now):
-            break
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    """(node, root): smallest node reachable, for each node of ``edges`` (long, undirected)."""
+    return graph.components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
