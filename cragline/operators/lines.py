@@ -114,11 +114,12 @@ def despike(p: np.ndarray, sharp: float = 65.0, straight: float = 28.0, sweeps:
     return p
 
 
-def simplify(p: np.ndarray, eps: float) -> np.ndarray:
-    """Douglas-Peucker: points further than ``eps`` from the chord stay."""
+def simplify(p: np.ndarray, eps: float, plan_only: bool = False) -> np.ndarray:
+    """Douglas-Peucker: points further than ``eps`` from their chord stay; ``plan_only`` measures in x and y."""
     p = np.asarray(p, dtype=float)
     if len(p) < 3:
         return p
+    q = p[:, :2] if plan_only else p
     keep = np.zeros(len(p), dtype=bool)
     keep[[0, -1]] = True
     todo = [(0, len(p) - 1)]
@@ -126,7 +127,7 @@ def simplify(p: np.ndarray, eps: float) -> np.ndarray:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        chord, mid = p[b] - p[a], p[a + 1 : b] - p[a]
+        chord, mid = q[b] - q[a], q[a + 1 : b] - q[a]
         size = chord @ chord
         t = np.clip(mid @ chord / size, 0, 1) if size > 0 else np.zeros(len(mid))
         far = np.linalg.norm(mid - t[:, None] * chord, axis=1)
@@ -137,14 +138,26 @@ def simplify(p: np.ndarray, eps: float) -> np.ndarray:
     return p[keep]
 
 
-def limit_segments(p: np.ndarray, longest: float = 12.0) -> np.ndarray:
-    """Segments over ``longest`` are cut into equal parts."""
-    p = np.asarray(p, dtype=float)
+def limit_segments(p: np.ndarray, source: np.ndarray, longest: float = 12.0) -> np.ndarray:
+    """Longer segments get points of the line they came from, evenly by index between the points nearest to their ends."""
+    p, source = np.asarray(p, dtype=float), np.asarray(source, dtype=float)
     if len(p) < 2 or longest <= 0:
         return p
-    parts = np.maximum(1, np.ceil(np.linalg.norm(np.diff(p, axis=0), axis=1) / longest).astype(int))
-    out = [a + (b - a) * (np.arange(n) / n)[:, None] for a, b, n in zip(p[:-1], p[1:], parts, strict=True)]
-    return np.vstack([*out, p[-1:]])
+    nearest = lambda v: int(np.hypot(*(source[:, :2] - v[:2]).T).argmin())
+    parts = [p[:1]]
+    for a, b in zip(p[:-1], p[1:], strict=True):
+        pieces = int(np.ceil(np.hypot(*(b - a)[:2]) / longest))
+        i, j = (nearest(a), nearest(b)) if pieces > 1 else (0, 0)
+        if j > i + 1:
+            at = np.rint(i + (j - i) * np.arange(1, pieces) / pieces).astype(int)
+            parts.append(source[np.clip(at, i + 1, j - 1)])
+        parts.append(b[None])
+    return np.vstack(parts)
+
+
+def simplify_in_plan(p: np.ndarray, eps: float = 0.32, longest: float = 12.0) -> np.ndarray:
+    """Simplified in x and y, without segments over ``longest`` where the source has points between."""
+    return limit_segments(simplify(p, eps, plan_only=True), p, longest) if len(p) > 2 else np.asarray(p, dtype=float)
 
 
 # ---------------------------------------------------------------- a face and its surroundings
@@ -426,6 +439,18 @@ def resample_table(vertices: DataFrame, key: list[str], spacing: float, order: s
     return out.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("at")).alias("i"), "x", "y")
 
 
+def smooth_weighted(vertices: DataFrame, key: list[str], order: str = "vertex", columns: tuple[str, ...] = ("x", "y"), passes: int = 1) -> DataFrame:
+    """Means with weights 1, 2, 3, 2, 1 along each line; the two points at either end stay."""
+    w = Window.partitionBy(*key).orderBy(order)
+    for _ in range(passes):
+        new = {}
+        for c in columns:
+            total = (F.lag(c, 2).over(w) + F.lag(c, 1).over(w) * 2 + F.col(c) * 3 + F.lead(c, 1).over(w) * 2 + F.lead(c, 2).over(w)) / 9
+            new[c] = F.coalesce(total, F.col(c))
+        vertices = vertices.select(*key, order, *(new[c].alias(c) for c in columns))
+    return vertices
+
+
 def long_enough(lines: DataFrame, least: float) -> DataFrame:
     """Lines of at least ``least`` metres, numbered anew by face, crest before toe; a line-scale table."""
     kept = lines.where(F.col("length_m") >= least)

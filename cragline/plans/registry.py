@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import finite, floor_at, gaussian_kernel, nearest_index
-from ..operators import faces, graph, grid, lines, refine, select, spatial, terrain
+from ..operators import faces, graph, grid, lines, refine, select, single_edge, spatial, terrain
 from ..session import shipped
 from ..sources import catalog, sinks
 from ..sources.points import text_points
@@ -26,6 +26,7 @@ LOW, HIGH = 25.0, 35.0
 CFG = ExtractConfig(cell_size=CELL, slope_low_deg=LOW, slope_high_deg=HIGH, min_face_area_m2=8.0, min_line_length_m=8.0)
 #: Cells of the lattice that serve as a scattered mask with many components.
 SCATTER = "(7919 * r + 104729 * c) % 1000 < 230"
+DENSER = "(7919 * r + 104729 * c) % 1000 < 300"
 FRAME_A = grid.Frame(0.0, 0.0, 50.0, 41, 80)
 
 
@@ -422,8 +423,8 @@ def _labels(source: str, where: str) -> str:
     return f"mk AS (SELECT r, c, r * {COLS} + c AS id FROM {source} WHERE {where}), reach AS (SELECT r, c, id FROM mk UNION SELECT b.r, b.c, a.id FROM reach a JOIN mk b ON {_AROUND}), lab AS (SELECT r, c, min(id)::BIGINT AS label FROM reach GROUP BY r, c)"
 
 
-def _scatter(spark: SparkSession) -> DataFrame:
-    return ramp_cells(spark).where(SCATTER).select("r", "c")
+def _scatter(spark: SparkSession, mask: str = SCATTER) -> DataFrame:
+    return ramp_cells(spark).where(mask).select("r", "c")
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_labels('g', SCATTER)} SELECT label, count(*) AS cells FROM lab GROUP BY label")
@@ -511,6 +512,33 @@ def seq_resample(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("cls").alias("label"), "i", col3("x").alias("x"), col3("y").alias("y"))
 
 
+@query(f"""WITH {EMBEDDING_SQL}, q AS (SELECT cls, pid, (lag(x, 2) OVER w + lag(x) OVER w * 2 + x * 3 + lead(x) OVER w * 2 + lead(x, 2) OVER w) / 9 AS mx, (lag(y, 2) OVER w + lag(y) OVER w * 2 + y * 3 + lead(y) OVER w * 2 + lead(y, 2) OVER w) / 9 AS my, x, y
+FROM p WINDOW w AS (PARTITION BY cls ORDER BY pid)) SELECT cls AS label, pid, {r3('coalesce(mx, x)')} AS x, {r3('coalesce(my, y)')} AS y FROM q""")
+def seq_smooth_weighted(spark: SparkSession, d: str) -> DataFrame:
+    out = lines.smooth_weighted(embedding_points(spark, d), ["cls"], "pid")
+    return out.select(F.col("cls").alias("label"), "pid", col3("x").alias("x"), col3("y").alias("y"))
+
+
+_SIDE = f"greatest(0, least({ROWS - 1}, b.r + {{s}} * sign(gy)::INT)) AS {{t}}r, greatest(0, least({COLS - 1}, b.c + {{s}} * sign(gx)::INT)) AS {{t}}c"
+
+
+@query(f"""WITH {RAMP_SQL}, {_grad('g', 's')}, mk AS (SELECT r, c FROM s WHERE slope >= 30), n AS (SELECT a.r, a.c, count(*) AS n FROM mk a JOIN mk b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c),
+b AS (SELECT b.r, b.c, {_SIDE.format(s=2, t='u')}, {_SIDE.format(s=-2, t='d')} FROM n b JOIN s USING (r, c) WHERE n < 9 AND sqrt(gx * gx + gy * gy) >= 1e-8)
+SELECT b.r, b.c FROM b LEFT JOIN mk u ON u.r = ur AND u.c = uc LEFT JOIN mk d ON d.r = dr AND d.c = dc WHERE u.r IS NULL AND d.r IS NOT NULL""")
+def win_edge_cells(spark: SparkSession, d: str) -> DataFrame:
+    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy"})
+    return single_edge.edge_cells(g.where("slope_0 >= 30").select("r", "c"), g, RAMP_FRAME, True)
+
+
+_SCORE = f"""{_labels('g', DENSER)}, cs AS (SELECT label, count(*) AS cells, min(sqrt((r - 37.2::DOUBLE) * (r - 37.2::DOUBLE) + (c - 28.4::DOUBLE) * (c - 28.4::DOUBLE))) AS dd FROM lab GROUP BY label HAVING count(*) >= 18)"""
+
+
+@query(f"WITH RECURSIVE {RAMP_SQL}, {_SCORE} SELECT label, cells, {r3(f'dd * {CELL}::DOUBLE + 0.6::DOUBLE / sqrt(greatest(cells * {CELL * CELL}::DOUBLE, 0.25::DOUBLE))')} AS score FROM cs")
+def jn_component_score(spark: SparkSession, d: str) -> DataFrame:
+    s = single_edge.component_scores(graph.label_cells(_scatter(spark, DENSER), RAMP_FRAME, tile=32), RAMP_FRAME, (28.4 * CELL, 37.2 * CELL))
+    return s.select("label", "cells", col3("score").alias("score"))
+
+
 @query(f"WITH {EMBEDDING_SQL} SELECT count(*) AS n FROM (SELECT DISTINCT floor(x * 1000 + 0.5), floor(y * 1000 + 0.5), floor(z * 1000 + 0.5) FROM p)")
 def set_dedup_mm(spark: SparkSession, d: str) -> DataFrame:
     p = embedding_points(spark, d)
@@ -578,6 +606,13 @@ def flow_extract_face(spark: SparkSession, d: str) -> DataFrame:
     return found.select("type", F.size("vertices").alias("vertices"), "length_m", "confidence")
 
 
+@query()
+def flow_single_edge(spark: SparkSession, d: str) -> DataFrame:
+    """The alternative extractor's crest, as vertices."""
+    got = single_edge.extract_edge(ramp_points(spark), (10.0, 10.0, 10.0), True, CELL)
+    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(got["vertices"], 1)], "vertex int, x double, y double, z double")
+
+
 @query()
 def snk_geojson(spark: SparkSession, d: str) -> DataFrame:
     return sinks.geojson_features(_extracted(spark)[0])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cragline.config import ExtractConfig, classes_for_auto, classes_for_click, classes_for_terrain
-from cragline.operators import faces, graph, grid, lines, refine, select, spatial, terrain
+from cragline.operators import faces, graph, grid, lines, refine, select, single_edge, spatial, terrain
 from cragline.plans import extract as E
 
 
@@ -162,8 +162,10 @@ def test_chain_follows_a_bent_line():
 def test_simplify_and_limit_segments():
     p = np.array([[0, 0, 0], [1, 0.01, 0], [2, 0, 0], [2, 30, 0]], float)
     assert len(lines.simplify(p, 0.1)) == 3
-    cut = lines.limit_segments(p[[0, 3]], 12.0)
-    assert len(cut) == 4 and np.linalg.norm(np.diff(cut, axis=0), axis=1).max() <= 12
+    source = np.column_stack([np.zeros(31), np.arange(31.0), np.zeros(31)])
+    cut = lines.limit_segments(source[[0, 30]], source, 12.0)
+    assert cut[:, 1].tolist() == [0, 10, 20, 30]
+    assert len(lines.limit_segments(p[[0, 3]], p[[0, 3]], 12.0)) == 2 and lines.simplify_in_plan(source).shape == (4, 3)
 
 
 @pytest.mark.parametrize("tile", [3, 512])
@@ -283,3 +285,41 @@ def test_snap_moves_towards_the_break():
     out, mean, top = lines.snap(line, True, np.array([1.0, 0.0]), patch, 1.25)
     assert abs(np.median(out[:, 0]) - 6.1) < 0.3 and 0 < mean <= top <= 1.25
     assert replace(f, nx=1).nx == 1 and len(x) == 60
+
+
+@pytest.mark.parametrize(("crest", "at"), [(True, 10), (False, 15)])
+def test_single_edge(spark, crest, at):
+    x, y, z = ramp(120, 80, 0.25, 0.01, 11)
+    pts = spark.createDataFrame(pd.DataFrame({"pid": np.arange(len(x)), "x": x, "y": y, "z": z}))
+    got = single_edge.extract_edge(pts, (float(at), 10.0, 7.0), crest, 0.25)
+    assert abs(np.median(got["vertices"][:, 0]) - at) <= 0.8 and len(got["vertices"]) >= 2 and 0 < got["confidence"] <= 1
+    with pytest.raises(ValueError):
+        single_edge.extract_edge(pts.limit(100), (0.0, 0.0, 0.0))
+
+
+def test_longest_path_and_bilinear():
+    r, c = np.array([0, 0, 0, 2, 1]), np.array([0, 1, 3, 4, 6])
+    path = single_edge.longest_path(r, c)
+    assert {int(path[0]), int(path[-1])} == {0, 4} and len(path) == 5
+    a = np.array([[0.0, 1.0], [2.0, 3.0]])
+    v = single_edge.bilinear(a, np.array([0.5, 0.0, 1.5]), np.array([0.5, 1.0, 0.0]))
+    assert v[0] == 1.5 and v[1] == 2.0 and np.isnan(v[2])
+
+
+def test_planes_meet_at_the_break():
+    rng = np.random.default_rng(2)
+    p = rng.uniform(-2.2, 2.2, (400, 2)) * [0.5, 1]
+    z = np.where(p[:, 1] > 0.1, 10.0, 10 + (p[:, 1] - 0.1))
+    shift, height = single_edge.two_planes(np.column_stack([p, z]), True)
+    assert abs(shift - 0.1) < 0.02 and abs(height - 10) < 0.02
+    assert single_edge.two_planes(np.column_stack([p, z])[:10], True) is None
+
+
+def test_lines_are_stitched():
+    line = np.column_stack([np.arange(6.0), np.zeros(6), np.zeros(6)])
+    more = np.column_stack([np.arange(4.5, 12), np.full(8, 0.2), np.zeros(8)])
+    for segment in (more, more[::-1]):
+        got = single_edge.extend(line, segment, left=False)
+        assert got["alignment"] > 0.9 and np.allclose(got["extension"][0], line[-1]) and got["extension"][-1, 0] == 11.5
+    assert single_edge.extend(line, more + [0, 5, 0], left=False) is None and single_edge.extend(line, more, left=True) is None
+    assert np.allclose(single_edge.end_direction(line, True), [-1, 0]) and single_edge.end_direction(line[:1], True) is None
