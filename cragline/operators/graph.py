@@ -88,6 +88,8 @@ def label_cells(cells: DataFrame, frame: Frame, tile: int = TILE) -> DataFrame:
     """(r, c, label): label is the row-major number of the first cell of the 8-connected component."""
     flat = F.col("r").cast("long") * frame.nx + F.col("c")
     tiled = cells.select("r", "c", flat.alias("flat"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
+    if frame.nx <= tile and frame.ny <= tile:  # one tile: nothing to join across borders
+        return tiled.groupBy("tr", "tc").applyInPandas(_label, "r int, c int, part long").withColumnRenamed("part", "label")
     parts = materialize(tiled.groupBy("tr", "tc").applyInPandas(_label, "r int, c int, part long"), "parts")
     edge = parts.where(f"r % {tile} IN (0, {tile - 1}) OR c % {tile} IN (0, {tile - 1})")
     moves = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)))))

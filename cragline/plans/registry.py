@@ -243,11 +243,11 @@ def jn_nn_spacing(spark: SparkSession, d: str) -> DataFrame:
     return spatial.neighbour_distance(embedding_points(spark, d)).agg(F.count("*").alias("n"), floor_at(F.median("d") * 1000).alias("spacing_milli"))
 
 
-_CENTRES = "v AS (SELECT pid AS vid, x AS vx, y AS vy FROM p WHERE pid % 25 = 0)"
+_CENTRES = "v AS (SELECT pid AS vid, x AS vx, y AS vy FROM p WHERE pid % 50 = 0)"  # the stated query set of a search
 
 
 def _vertices(p: DataFrame) -> DataFrame:
-    return p.where("pid % 25 = 0").select(F.col("pid").alias("vid"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    return p.where("pid % 50 = 0").select(F.col("pid").alias("vid"), F.col("x").alias("vx"), F.col("y").alias("vy"))
 
 
 @query(f"""WITH {EMBEDDING_SQL}, {_CENTRES}, j AS (SELECT pid, vid, (x - vx) * (x - vx) + (y - vy) * (y - vy) AS d2 FROM p, v WHERE (x - vx) * (x - vx) + (y - vy) * (y - vy) <= 0.05::DOUBLE * 0.05::DOUBLE),
@@ -267,7 +267,7 @@ def jn_ball(spark: SparkSession, d: str) -> DataFrame:
 SELECT vid, pid, rank::INT AS rank FROM j WHERE rank <= 5""")
 def jn_knn(spark: SparkSession, d: str) -> DataFrame:
     p = embedding_points(spark, d)
-    return spatial.knn_join(p, _vertices(p), 5, 0.02).select("vid", "pid", "rank")
+    return spatial.knn_join(p, _vertices(p), 5).select("vid", "pid", "rank")
 
 
 # ---------------------------------------------------------------- stencils
@@ -542,14 +542,14 @@ def jn_component_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EMBEDDING_SQL} SELECT count(*) AS n FROM (SELECT DISTINCT floor(x * 1000 + 0.5), floor(y * 1000 + 0.5), floor(z * 1000 + 0.5) FROM p)")
 def set_dedup_mm(spark: SparkSession, d: str) -> DataFrame:
     p = embedding_points(spark, d)
-    return select.dedup_mm(p.unionByName(p.where("pid % 3 = 0"))).agg(F.count("*").alias("n"))
+    return select.dedup_mm(p.unionByName(p)).agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT event_id, value * 2 AS value FROM events WHERE event_id % 7 = 0 UNION ALL SELECT event_id + 10000000, value FROM events WHERE event_id % 11 = 0)
+@query("""WITH n AS (SELECT event_id, value * 2 AS value FROM events WHERE value < 10 UNION ALL SELECT event_id + 10000000, value FROM events WHERE value >= 10)
 SELECT event_id AS id, value FROM events WHERE event_id NOT IN (SELECT event_id FROM n) UNION ALL SELECT event_id AS id, value FROM n""")
 def cat_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "value")
-    new = e.where("id % 7 = 0").withColumn("value", F.col("value") * 2).unionByName(e.where("id % 11 = 0").withColumn("id", F.col("id") + 10000000))
+    new = e.where("value < 10").withColumn("value", F.col("value") * 2).unionByName(e.where("value >= 10").withColumn("id", F.col("id") + 10000000))
     return catalog.upsert(e, new, "id")
 
 
