@@ -17,10 +17,7 @@ REJECT_BELOW = 0.5  #: quality score under which a document goes
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rule ensemble scores under REJECT_BELOW."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = quality_rules.score_quality(docs, labels)
-    bad = scores.where(F.col("score") < REJECT_BELOW).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), REJECT_BELOW)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,4 +333,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = jaccard_links(docs, id_col, text_col, **options)
     name = fresh(docs, "gone")
     gone = links.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == F.col(name), "left_anti")  # grows with the corpus: never broadcast

@@ -23,12 +23,15 @@ rows; empty tables give an empty result; ids may be null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, Words, column, fresh, seeds, text_slices
+from .common import SHINGLE_WORDS, Words, column, seeds, text_slices
 
 TOKENS = 64
 LEAST = 8  #: shingles of the smallest block
@@ -175,17 +178,21 @@ class Items:
         return np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment): every document and item that it holds."""
-    spark = docs.sparkSession
+def chunks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> Iterator[Broadcast]:
+    """The benchmark in broadcast parts of about ``chunk_words`` words."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // (chunk_words * 6)))
+    n = max(1, -(-size // (chunk_words * 6)))
+    for c in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], width))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment): every document and item that it holds."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for c in range(chunks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], width))
+    for sent in chunks(benchmark, item_col, item_text_col, chunk_words, width):
 
         def run(batches, sent=sent):
             chunk = sent.value
@@ -206,8 +213,17 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item."""
-    name = fresh(docs, "hit")
-    hit = search(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, docs[id_col] == F.col(name), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item; decided row by row, without a join."""
+    for sent in chunks(benchmark, **options):
+
+        def run(batches, sent=sent):
+            chunk = sent.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for a, _, data, offsets in text_slices(column(batch, text_col).cast(pa.string())):
+                    keep[[a + t for t, _, _ in chunk.search(data, offsets, threshold)] if chunk.ids else []] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, column, materialize, text_slices
+from .common import Words, column, fresh, materialize, text_slices
 
 FIT_ROWS = 20_000  #: most labelled rows that the rules are fitted on, chosen by hash of the id
 STATISTICS = [
@@ -103,6 +104,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
+def with_statistics(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """``docs`` with one more column for each statistic, named with ``prefix``; no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in text_slices(column(batch, text_col).cast(pa.string()), lower=False):
+                x = _statistics(data, offsets)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in x.T)], names=[*part.schema.names, *(prefix + s for s in STATISTICS)])
+
+    schema = StructType([*docs.schema.fields, *(StructField(prefix + s, DoubleType()) for s in STATISTICS)])
+    return docs.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- rules
 
 
@@ -114,16 +129,16 @@ class Ensemble:
     rules: list[tuple[tuple[tuple[str, bool, float], ...], float]] = field(default_factory=list)
     linear: list[tuple[str, float, float, float]] = field(default_factory=list)  # statistic, low, high, weight
 
-    def column(self) -> Column:
-        """The score as one column expression over the statistics."""
+    def column(self, prefix: str = "") -> Column:
+        """The score as one column expression over the statistics; ``prefix``: what stands before their names."""
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
             test = F.lit(True)
             for name, above, at in rule:
-                test = test & ((F.col(name) > float(at)) if above else (F.col(name) <= float(at)))
+                test = test & ((F.col(prefix + name) > float(at)) if above else (F.col(prefix + name) <= float(at)))
             total = total + F.when(test, float(weight)).otherwise(0.0)
         for name, low, high, weight in self.linear:
-            total = total + F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(name))) * float(weight)
+            total = total + F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(prefix + name))) * float(weight)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -231,3 +246,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     sample = labelled_sample(stats, labels, label_col, out, fit_rows).select("y", *STATISTICS).toPandas()
     model = fit_rules(sample[STATISTICS].to_numpy(float), sample["y"].to_numpy(float))
     return stats.select("doc_id", out.alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``; decided row by row, so nothing but the bounded sample moves."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    sample = labelled_sample(ids, labels, label_col, held_out("doc_id", modulus, remainder), fit_rows).dropDuplicates(["doc_id"])
+    sample = materialize(sample, "sample")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``fit_rows`` ids
+    known = statistics(texts).join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).toPandas().sort_values(["doc_id", *STATISTICS])
+    model = fit_rules(known[STATISTICS].to_numpy(float), known["y"].to_numpy(float))
+    prefix = fresh(docs, "statistic")
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return with_statistics(docs, text_col, prefix).where(model.column(prefix) >= least).select(*docs.columns)

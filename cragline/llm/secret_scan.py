@@ -39,6 +39,7 @@ def either_case(words: tuple[str, ...] = KEYWORDS) -> str:
 
 
 ASSIGN_RE = ASSIGN % either_case()
+ANY_RE = f"{ASSIGN_RE}|{ACCESS}|[0-9a-zA-Z+/_-]{{20,}}"  #: every text with a candidate matches this
 
 
 def _spans(text: Column, pattern: str, kind: str, value_group: int) -> Column:
@@ -72,9 +73,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = F.col("source") if owner is None else owner
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), text.alias("text"))
-    # one cheap look decides whether a text is worth the patterns
-    any_re = f"{ASSIGN_RE}|{ACCESS}|[0-9a-zA-Z+/_-]{{20,}}"
-    hit = F.col("text").rlike(any_re)
+    hit = F.col("text").rlike(ANY_RE)  # one cheap look decides whether a text is worth the patterns
     rows = rows.withColumn("text", F.when(hit, F.col("text")).otherwise(""))
     assign = F.filter(_spans(F.col("text"), ASSIGN_RE, "assign", 1), lambda s: F.char_length(s["value"]) >= 6)
     rows = rows.select("doc_id", "repository", "owner", "text", assign.alias("a"), _spans(F.col("text"), ACCESS, "access", 0).alias("k"), _spans(F.col("text"), HEX, "hex", 0).alias("h"), _spans(F.col("text"), OPAQUE, "opaque", 0).alias("o"))
@@ -118,12 +117,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     Rows that share an id are redacted by their union of spans, cut to each text.
     """
+    worth = F.coalesce(F.col(text_col).rlike(ANY_RE), F.lit(False))
     found = scan(docs, id_col, text_col, **options)
     wanted = F.filter("spans", lambda s: s["verdict"] != "example")
     marks = found.select("doc_id", wanted.alias("spans")).where(F.size("spans") > 0)
     marks = marks.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"))))))).alias("marks"))
     ident, place = fresh(docs, "id"), fresh(docs, "marks")
-    out = docs.join(marks.select(F.col("doc_id").alias(ident), F.col("marks").alias(place)), docs[id_col] == F.col(ident), "left")
+    marks = marks.select(F.col("doc_id").alias(ident), F.col("marks").alias(place))
+    some = docs.where(worth)  # texts without any candidate meet nothing and do not move
+    out = some.join(marks.hint("merge"), some[id_col] == F.col(ident), "left")
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
@@ -133,4 +135,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     clean = F.aggregate(place, start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
-    return out.withColumn(text_col, F.when(F.col(place).isNotNull() & text.isNotNull(), clean).otherwise(text)).drop(place, ident)
+    return out.withColumn(text_col, F.when(F.col(place).isNotNull() & text.isNotNull(), clean).otherwise(text)).select(*docs.columns).unionByName(docs.where(~worth))

@@ -19,9 +19,10 @@ def tables(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("sf")
     rows, labels = labelled(n=160)
     rows = [(5000 + i, *r) for i, *r in rows]
+    rows[1] = (5001, rows[1][1] + " token = 'A1b2C3d4E5f6' end", *rows[1][2:])
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     plain = corpus(3, 30)[:90]
-    rows += plain + [(9001, f"some words before {item} and some words after it all", "en", "s", 0), (9002, "a quiet line token = 'A1b2C3d4E5f6' in the middle of a calm text", "en", "s", 0)]
+    rows += plain + [(9001, f"some words before {item} and some words after it all", "en", "s", 0)]
     docs(spark, rows, clash=False).write.parquet(str(root / "documents.parquet"))
     spark.createDataFrame([(5000 + i, q, t) for i, q, t in labels], LABELS).write.parquet(str(root / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(root / "benchmark.parquet"))
@@ -46,8 +47,8 @@ def test_stages_take_effect(spark, tables):
     assert one == {i for i, r in reach(order, links).items() if i == r}
     assert clean == one - {9001} and safe == clean == packed
     redacted = {r["doc_id"]: r for r in kept[4].collect()}
-    assert redacted[9002]["text"] == "a quiet line [SECRET]' in the middle of a calm text" and redacted[9002]["n_chars"] == len(redacted[9002]["text"])
-    assert all(redacted[i]["text"] == text[i] for i in safe - {9002})
+    assert redacted[5001]["text"] == text[5001].replace("token = 'A1b2C3d4E5f6", "[SECRET]") and redacted[5001]["n_chars"] == len(redacted[5001]["text"])
+    assert all(redacted[i]["text"] == text[i] for i in safe - {5001})
 
 
 def test_run_equals_the_stages(spark, tables):
