@@ -13,9 +13,9 @@ from ..operators.grid import Frame
 
 ASCII_CELLS = 1_500_000
 #: Names that readers of these files expect.
-LAYERS = {"CREST": "CRISTA", "TOE": "PE_TALUDE"}
+LAYERS = {"CREST": "CRISTA", "TOE": "PE"}
 CSV_HEADER = "line_id,face_id,type,vertex,x,y,z,confidence,rmse"
-CRS_MEMBER = "talude_v1_crs_wkt"
+CRS_MEMBER = "crs_wkt"
 
 
 def feature(line: dict) -> dict:
