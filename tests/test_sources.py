@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from cragline import shared
 from cragline.config import ExtractConfig
 from cragline.operators.grid import Frame
 from cragline.plans import extract as E
@@ -137,3 +138,14 @@ def test_streaming_raster_equals_batch(spark, tmp_path):
     key = ["r", "c"]
     a, b = (d.toPandas().sort_values(key).reset_index(drop=True) for d in (spark.table("raster"), raster_sums(pts, frame)))
     assert a.equals(b)
+
+
+def test_shared_tables_are_released(spark):
+    before = shared.materialize(spark.range(5).toDF("a"), "five")
+    assert before.count() == 5 and before.schema == spark.range(5).toDF("a").schema
+    (path,) = {f.rsplit("/", 1)[0] for f in before.inputFiles()}
+    assert shared.release(spark) >= 1
+    local = path.removeprefix("file://")
+    import os
+
+    assert not os.path.exists(local)
