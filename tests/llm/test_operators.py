@@ -483,6 +483,22 @@ def test_decoding():
     assert toxicity.decode("", model) == "" and toxicity.decode("x" * 300, model)
 
 
+def scorer():
+    bad = "idiot stupid moron loser clown shit".split()
+    model = toxicity.Characters({w: 40.0 for w in bad + "the there house stone walks over light".split()})
+    return toxicity.Scorer({w: 5.0 for w in [*bad, "idio*"]}, model)
+
+
+def test_every_lattice_is_decoded():
+    marked = scorer()
+    odd = ["5h17", "1d1075", "s/t/u/p/i/d", "s,t,u,p,i,d", "s\\t\\u\\p\\i\\d", "sttuuppiidd", "stuupiid", "stu pid", "s  t   u  p  i  d", "s\nt\nu\np\ni\nd", "$ t u p ! d", "s / t / u / p / i / d", "(s t u p i d)", "$ tu p1d", "stu-\npid", "the." * 100 + "stupid"]
+    for text in odd:
+        assert marked.features(f"the house {text} walks over")[4] >= 1, text
+    for text in ("the house walks over light", "shut it", "the stu and the pid", "2021 10 000", "", "- - - * * *"):
+        assert marked.features(text)[:3] == (0, 0.0, 0.0), text
+    assert marked.features("stupid shit")[2] == 2 and marked.features("stupid shit")[4] == 0
+
+
 def toxic_rows(seed=3, n=400):
     rng = random.Random(seed)
     bad, rows, labels = ["idiot", "moron", "stupid", "clown", "loser"], [], []
