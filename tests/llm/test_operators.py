@@ -499,6 +499,16 @@ def test_every_lattice_is_decoded():
     assert marked.features("stupid shit")[2] == 2 and marked.features("stupid shit")[4] == 0
 
 
+def test_long_lattices_are_decoded_whole():
+    marked = scorer()
+    for k in range(12):  # the word lies over each place where a window might end
+        spaced = " ".join("the" * (8 + k) + "stupid" + "the" * 20)
+        assert "stupid" in toxicity.decode(spaced, marked.model).split(), k
+        assert marked.features(spaced)[1] == 1, k
+    assert toxicity.decode(" ".join("stupid" * 50), marked.model).split() == ["stupid"] * 50
+    assert toxicity.decode(".".join("stupid" * 5000), marked.model).count("stupid") == 5000
+
+
 def toxic_rows(seed=3, n=400):
     rng = random.Random(seed)
     bad, rows, labels = ["idiot", "moron", "stupid", "clown", "loser"], [], []
