@@ -2,8 +2,9 @@
 
 Every line of a whole text (a header may stand anywhere) and every run of up to RUN neighbouring
 lines that holds template terms is a sparse TF-IDF vector compared with the templates. Document
-frequencies of template terms are counted over all lines of the corpus; a term outside the templates
-weighs as one that no line holds, so foreign words lower the cosine. Lines that cannot reach the threshold
+frequencies of all terms are counted over all lines of the corpus. A term weighs by the share of lines that
+hold it; shares under LEAST_SHARE weigh like LEAST_SHARE, so that the weight of rare words does not grow with
+the corpus, and only the terms above it, a bounded number, are sent. Lines that cannot reach the threshold
 are skipped exactly: by Cauchy-Schwarz a line must hold an anchor term, one of those without which a
 template's remaining mass is below the threshold.
 
@@ -32,6 +33,8 @@ from .common import column, join_hot, materialize
 
 RUN = 3  #: neighbouring lines that may make one header
 LEAST_COSINE = 0.7
+LEAST_SHARE = 1e-4  #: share of lines under which all terms weigh alike
+FLUSH_TERMS = 500_000
 #: Short public notices of common licences, as they stand in file headers.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
@@ -60,12 +63,13 @@ def _vocabulary(templates: dict[str, list[str]]) -> list[str]:
 
 
 class Templates:
-    """TF-IDF vectors of the templates over their own vocabulary, and the anchors of a threshold."""
+    """TF-IDF vectors of the templates, weights of other terms, and the anchors of a threshold."""
 
     def __init__(self, templates: dict[str, list[str]], df: dict[str, int], lines: int, least: float):
         self.least, self.names = least, []
-        self.idf = {t: math.log((lines + 1) / (df.get(t, 0) + 1)) + 1 for t in _vocabulary(templates)}
-        self.foreign = math.log(lines + 1) + 1
+        weight = lambda n: 1 - math.log(max((n + 1) / (lines + 1), LEAST_SHARE))
+        self.idf = {t: weight(df.get(t, 0)) for t in df.keys() | set(_vocabulary(templates))}
+        self.foreign = weight(0)
         self.vectors: list[dict[str, float]] = []
         anchors: set[str] = set()
         for name in sorted(templates):
@@ -115,31 +119,33 @@ class Templates:
         return top
 
 
-def _term_lines(templates: dict[str, list[str]]):
-    """Lines in all, under the empty term, and lines that hold each template term."""
-    vocabulary = set(_vocabulary(templates))
-    pattern = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(vocabulary, key=lambda a: (-len(a), a)))) + r")(?![a-z0-9])") if vocabulary else None
+def _term_lines(batches):
+    """Lines in all, under the empty term, and lines that hold each term."""
+    count: Counter = Counter()
+    for batch in batches:
+        for text in column(batch, "text"):
+            lines = (text.as_py() or "").lower().split("\n")
+            count[""] += len(lines)
+            for x in lines:
+                count.update(set(_TERM.findall(x)))
+            if len(count) > FLUSH_TERMS:
+                yield _counted(count)
+                count.clear()
+    yield _counted(count)
 
-    def run(batches):
-        count: Counter = Counter()
-        for batch in batches:
-            for text in column(batch, "text"):
-                lines = (text.as_py() or "").lower().split("\n")
-                count[""] += len(lines)
-                if pattern is not None:
-                    for x in lines:
-                        count.update(set(pattern.findall(x)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
 
-    return run
+def _counted(count: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
 
 
 def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """files(doc_id, path, text) -> (doc_id, path, words, own_license, cosine, line)."""
     templates = TEMPLATES if templates is None else templates
-    # as many rows as the templates have terms, whatever the corpus
-    df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(_term_lines(templates), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    model = files.sparkSession.sparkContext.broadcast(Templates(templates, df, df.get("", 0), least))
+    counts = materialize(files.select("text").mapInArrow(_term_lines, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    lines = (counts.where("term = ''").first() or {"n": 0})["n"]
+    # at most the terms of a mean line over LEAST_SHARE rows, whatever the corpus
+    df = {r["term"]: r["n"] for r in counts.where((F.col("term") != "") & (F.col("n") + 1 >= LEAST_SHARE * (lines + 1))).collect()}
+    model = files.sparkSession.sparkContext.broadcast(Templates(templates, df, lines, least))
 
     def run(batches):
         for batch in batches:

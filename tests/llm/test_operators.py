@@ -299,6 +299,24 @@ def test_anchors_lose_no_line():
             assert model.find("x\n" + " ".join(line))
 
 
+def test_license_weights_do_not_grow_with_the_corpus():
+    share = {"the": 0.3, "under": 0.02, "license": 0.002, "released": 0.001, "mit": 0.0003, "by": 0.1, "see": 0.01, "file": 0.02}
+    header = license_scan.terms("Released under the MIT License, see file")
+    got = []
+    for lines in (100_000, 1_000_000, 100_000_000):
+        model = license_scan.Templates(license_scan.TEMPLATES, {t: int(lines * x) for t, x in share.items()}, lines, 0.5)
+        got.append(model.best(header))
+        assert model.foreign == license_scan.Templates({}, {}, 10**12, 0.5).foreign and model.idf["by"] < model.idf["see"] < model.foreign
+    assert {name for _, name in got} == {"MIT"} and max(c for c, _ in got) - min(c for c, _ in got) < 0.01 and min(c for c, _ in got) > 0.7
+
+
+def test_license_frequencies_are_of_all_terms(spark):
+    rows = [(i, f"d/{i}", "\n".join(["see the file by hand"] * 20 + (["Released under the MIT License, see file"] if i == 0 else []))) for i in range(40)]
+    small = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows[:4], "doc_id long, path string, text string"), F.col("path")).collect()}
+    large = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert small[0]["own_license"] == large[0]["own_license"] == "MIT" and large[0]["cosine"] > 0.9
+
+
 # ---------------------------------------------------------------- 5 quality
 
 
