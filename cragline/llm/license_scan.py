@@ -1,7 +1,8 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a whole text (a header may stand anywhere) and every run of up to RUN neighbouring
-lines that holds template terms is a sparse TF-IDF vector compared with the templates. Document
+Every line of a whole text (a header may stand anywhere), every run of up to RUN neighbouring
+lines and every window of a template's own number of words, across and within lines, is a sparse TF-IDF
+vector compared with the templates, so wrapping and the rest of a long line do not decide. Document
 frequencies of all terms are counted over all lines of the corpus. A term weighs by the share of lines that
 hold it; shares under LEAST_SHARE weigh like LEAST_SHARE, so that the weight of rare words does not grow with
 the corpus, and only the terms above it, a bounded number, are sent. Lines that cannot reach the threshold
@@ -71,7 +72,8 @@ class Templates:
         self.idf = {t: weight(df.get(t, 0)) for t in df.keys() | set(_vocabulary(templates))}
         self.foreign = weight(0)
         self.vectors: list[dict[str, float]] = []
-        anchors: set[str] = set()
+        self.sizes: list[int] = []  # words of each template
+        self.anchors: list[set[str]] = []  # without one of these a template's cosine is below the threshold
         for name in sorted(templates):
             for text in templates[name]:
                 v = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
@@ -81,12 +83,16 @@ class Templates:
                 v = {t: x / norm for t, x in v.items()}
                 self.names.append(name)
                 self.vectors.append(v)
+                self.sizes.append(len(terms(text)))
+                own: set[str] = set()
                 mass = 1.0
                 for t in sorted(v, key=lambda t: (-v[t], t)):
                     if mass < least * least * 0.999:
                         break
-                    anchors.add(t)
+                    own.add(t)
                     mass -= v[t] ** 2
+                self.anchors.append(own)
+        anchors = set().union(*self.anchors)
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors, key=lambda a: (-len(a), a)))) + r")(?![a-z0-9])") if anchors else None
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
@@ -116,8 +122,58 @@ class Templates:
                 words = words + terms(lines[j])
                 if words and (got := self.best(words)) and (top is None or got[0] > top[0]):
                     top = (*got, i)
+        return self._windows(low, top)
+
+    def _windows(self, low: str, top: tuple[float, str, int] | None) -> tuple[float, str, int] | None:
+        """The better of ``top`` and the best window of a template's own length that holds one of its anchors."""
+        found = list(_TERM.finditer(low))
+        words = [m[0] for m in found]
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.idf:
+                places.setdefault(w, []).append(i)
+        enough = self.least * self.least * 0.999
+        for name, v, size, own in zip(self.names, self.vectors, self.sizes, self.anchors, strict=True):
+            if sum(x * x for t, x in v.items() if t in places) < enough:  # Cauchy-Schwarz
+                continue
+            spans: list[list[int]] = []
+            for p in sorted(p for t in own for p in places.get(t, ())):
+                if spans and p - size + 1 <= spans[-1][1]:
+                    spans[-1][1] = p + size
+                else:
+                    spans.append([max(0, p - size + 1), p + size])
+            for start, end in spans:
+                part = words[start:end]
+                held = set(part)
+                if sum(x * x for t, x in v.items() if t in held) < enough:
+                    continue
+                got = self._slide(part, v, size)
+                if got[0] >= self.least and (top is None or got[0] > top[0] + 1e-12):
+                    top = (got[0], name, low.count("\n", 0, found[start + got[1]].start()))
         return top
 
+    def _slide(self, words: list[str], v: dict[str, float], size: int) -> tuple[float, int]:
+        """(cosine, first word) of the best window of ``size`` words; sums are carried from window to window."""
+        count: Counter = Counter()
+        dot = square = 0.0
+        best = (0.0, 0)
+        for j, w in enumerate(words):
+            x = self.idf.get(w, self.foreign)
+            square += x * x * (2 * count[w] + 1)
+            count[w] += 1
+            dot += x * v.get(w, 0.0)
+            if j >= size:
+                out = words[j - size]
+                x = self.idf.get(out, self.foreign)
+                count[out] -= 1
+                square -= x * x * (2 * count[out] + 1)
+                dot -= x * v.get(out, 0.0)
+            if j >= size - 1 or j == len(words) - 1:
+                cosine = dot / math.sqrt(square)
+                if cosine > best[0] + 1e-12:
+                    best = (cosine, max(0, j - size + 1))
+        return best
+
 
 def _term_lines(batches):
     """Lines in all, under the empty term, and lines that hold each term."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -317,6 +318,28 @@ def test_license_frequencies_are_of_all_terms(spark):
     assert small[0]["own_license"] == large[0]["own_license"] == "MIT" and large[0]["cosine"] > 0.9
 
 
+def test_license_wrapping_does_not_decide():
+    model = license_scan.Templates(license_scan.TEMPLATES, {"the": 30_000, "of": 20_000, "license": 100, "software": 300}, 100_000, 0.7)
+    rest = " ".join(f"word{i}" for i in range(200))
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            for width in (20, 40, 80, 10_000):
+                wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(text, width, break_on_hyphens=False))
+                got = model.find(f"{rest}\n\n{wrapped}\n{rest}")
+                assert got and got[1] == name and got[0] > 0.999 and got[2] in (1, 2), (name, width, got)
+            got = model.find(f"{rest} {text} {rest}")
+            assert got and got[1] == name and got[2] == 0, (name, got)
+    rng = random.Random(8)
+    words = license_scan.terms(license_scan.TEMPLATES["MIT"][1]) + ["foreign"]
+    for _ in range(50):
+        part = [rng.choice(words) for _ in range(40)]
+        for v, size in zip(model.vectors, model.sizes, strict=True):
+            def cosine(window):
+                w = {t: n * model.idf.get(t, model.foreign) for t, n in Counter(window).items()}
+                return sum(x * w.get(t, 0) for t, x in v.items()) / sum(x * x for x in w.values()) ** 0.5
+            assert abs(model._slide(part, v, size)[0] - max(cosine(part[i : i + size]) for i in range(40 - size + 1))) < 1e-9
+
+
 # ---------------------------------------------------------------- 5 quality
 
 
