@@ -7,7 +7,8 @@ m = 8, 16, 32, ... blocks of m shingles, two neighbouring blocks making a span;
 the smallest class that holds it, and wherever it stands it lies within one span at most 4 times
 its size (2m <= 4q). Tokens are computed once for blocks of 8 and merged upwards by minima. A
 span and an item that agree on one of TOKENS min-hash tokens are a candidate. Items under 8
-shingles are the class of single shingles, which is exact. A candidate counts if the document's
+distinct shingles, and those that repeat any of theirs, which a span as long as they are would drown, are
+the class of single shingles, which is exact. A candidate counts if the document's
 distinct shingles hold at least ``threshold`` of the item's.
 
 At containment 0.8 the Jaccard share is over 0.19, so a copy is missed with chance under
@@ -68,7 +69,7 @@ class Items:
                 self.sets.append(own)
                 length = int(first[i + 1] - first[i])
                 m = 1
-                if len(own) >= LEAST:
+                if len(own) >= LEAST and len(own) == length:
                     m = LEAST
                     while m < length:
                         m *= 2

@@ -465,6 +465,20 @@ def test_contamination_edges(spark):
     assert contamination.search(docs(spark), bench.where("false")).count() == 0 and contamination.search(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_finds_repeated_items():
+    rng = random.Random(5)
+    with_noise, items = [], []
+    for k in range(40):
+        sentence = " ".join(f"s{k}x{j}" for j in range(12))
+        items.append((k, " ".join([sentence] * 50)))
+        with_noise.append(" ".join(f"n{rng.randrange(10**9)}" for _ in range(700)) + " " + sentence + " " + sentence + " " + " ".join(f"n{rng.randrange(10**9)}" for _ in range(700)))
+    chunk = contamination.Items(items)
+    found = set()
+    for a, _, data, offsets in common.text_slices(pa.array(with_noise)):
+        found |= {(t + a, i) for t, i, _ in chunk.search(data, offsets, 0.8)}
+    assert found == {(k, k) for k in range(40)}
+
+
 # ---------------------------------------------------------------- 8 shards
 
 
