@@ -5,7 +5,7 @@ method adds opaque tokens (20 or more characters of a token alphabet with a lett
 digits, outside base spans). Every candidate's value is hashed; over the corpus each hash is counted by
 distinct repositories and owners. A value that COPIED or more owners hold is a widely copied
 example; one that a single owner holds is live-looking; others are shared. Opaque tokens count as secrets
-only when live-looking; base spans always stay.
+unless they are examples; base spans always stay.
 
 Positions are code points, end exclusive. They are running sums of the lengths of what lies
 between matches, so no Python runs anywhere.
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(counts, ["hash", "salt"])
     verdict = F.when(F.col("owners") >= copied, "example").when(F.col("owners") == 1, "live").otherwise("shared")
-    each = each.withColumn("verdict", verdict).where((F.col("kind") != "opaque") | (F.col("verdict") == "live"))
+    each = each.withColumn("verdict", verdict).where((F.col("kind") != "opaque") | (F.col("verdict") != "example"))
     span = F.struct("at", "rank", "to", "kind", "repositories", "owners", "uses", "verdict")
     some = each.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     kept = found.select("row", "doc_id", F.size("spans").alias("n"))

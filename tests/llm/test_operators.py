@@ -165,6 +165,15 @@ def test_secrets_match_python(spark):
     assert {s["verdict"] for s in got[10]["spans"]} == {"example"} and {s["verdict"] for s in got[1]["spans"]} == {"live"}
 
 
+def test_shared_opaque_secrets_stay(spark):
+    text = "key Zx9Qw8Er7Ty6Ui5Op4As3 here"
+    for owners, verdicts in ((1, ["live"]), (2, ["shared"]), (3, [])):
+        rows = [(i, text, "en", f"s{i}", 0) for i in range(owners)]
+        for r in secret_scan.scan(docs(spark, rows)).collect():
+            assert [s["verdict"] for s in r["spans"]] == verdicts, owners
+        assert {r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()} == {"key [SECRET] here" if verdicts else text}
+
+
 def test_secret_query_digest(spark, tmp_path):
     from cragline.llm import queries
 
