@@ -11,18 +11,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import join_hot, materialize
 from .grid import Frame
 
 TILE = 512
 
 
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """edges(u, v) with ``m``, the least v of each u. ``rows``: about how many edges there are.
+
+    The least are combined before their shuffle and written; then hubs, which are few, are broadcast, and only edges of
+    other nodes shuffle, so no task gets a hub's edges.
+    """
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    return join_hot(edges, least, ["u"], "n", rows).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node in reach, from undirected edges (a, b).
 
     Large-star and small-star rounds (Kiveris et al. 2014) until no edge changes. Every half round is cut in the shared
-    folder, and only a count and a hash come to the driver. A node's edges are combined before the shuffle, and the
-    join back is one that Spark splits where a hub is hot.
+    folder, and only a count and a hash come to the driver.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
@@ -33,12 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = tuple(state)
         near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+        near = _with_least(near, 2 * state[0]).where("v > u")
+        large = materialize(near.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct(), "large")
+        small = _with_least(large, state[0])
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
+        e = materialize(small.where("u <> v").distinct(), "small")
     nodes = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

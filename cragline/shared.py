@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share: how lineage is cut so that lost executors do not matter."""
+"""Tables in the folder that all executors share, which is how lineage is cut, and joins that hot keys do not slow."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000  #: a key is hot from 1/HOT_SHARE of all rows on, so that at most HOT_SHARE keys are
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``. Where it is unset, a folder of our own in local mode, as in tests, and an error on a cluster,
+    whose executors would not see each other's files."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if given is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='cragline-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(given)
@@ -38,3 +44,18 @@ def release(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
     return n
+
+
+def join_hot(big: DataFrame, table: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
+    """Left join of ``big`` to ``table`` (unique on ``keys``; ``count_col``: rows of ``big`` a key has).
+
+    Keys with at least ``total / HOT_SHARE`` rows number at most HOT_SHARE, so that part is
+    broadcast and never shuffles; the other keys have few rows each and meet in a shuffle join.
+    """
+    least = max(2, -(-total // HOT_SHARE))
+    values = [c for c in table.columns if c not in keys]
+    hot = table.where(F.col(count_col) >= least)
+    cold = table.where(F.col(count_col) < least)
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    rest = marked.where(F.col("_hot").isNull()).drop("_hot", *values)
+    return marked.where(F.col("_hot")).drop("_hot").unionByName(rest.join(cold, keys, "left"))
