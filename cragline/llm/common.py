@@ -1,4 +1,4 @@
-"""Shared pieces: text kernels, hot-key joins, connected components.
+"""Shared pieces: text kernels, fingerprints, connected components.
 
 The text kernels work on the UTF-8 bytes of whole Arrow batches with NumPy, in slices of
 about ``SLICE_BYTES`` so that memory does not depend on the batch; one longer text is one slice.
@@ -11,17 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators import graph
-from ..shared import materialize
+from ..shared import HOT_SHARE, join_hot, materialize
 
-__all__ = ["Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "partitions", "seeds", "text_slices", "whole_groups"]
+__all__ = ["HOT_SHARE", "Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "partitions", "running", "running_total", "seeds", "text_slices", "whole_groups"]
 
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
-HOT_SHARE = 1000  #: a key is hot from 1/HOT_SHARE of all rows on, so that at most HOT_SHARE keys are
 
 _MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 _MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
@@ -52,19 +53,38 @@ def fingerprint(*cols, prefix: str = "k") -> list:
     ]
 
 
-def join_hot(big: DataFrame, table: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
-    """Left join of ``big`` to ``table`` (unique on ``keys``; ``count_col``: rows of ``big`` a key has).
+def running(rows: DataFrame, by: list[str], add: str, reset: str | None = None) -> DataFrame:
+    """Range-partitions by ``by`` and adds ``part``, and ``run``: the sum of ``add`` in the partition so far, per ``reset``."""
+    ordered = rows.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
 
-    Keys with at least ``total / HOT_SHARE`` rows number at most HOT_SHARE, so that part is
-    broadcast and never shuffles; the other keys have few rows each and meet in a shuffle join.
+    def run(batches):
+        part, so_far = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            x = column(batch, add).to_numpy()
+            out = np.empty(len(x), dtype=np.int64)
+            keys = column(batch, reset).to_numpy() if reset else np.zeros(len(x), dtype=np.int64)
+            for k in np.unique(keys):
+                m = keys == k
+                out[m] = np.cumsum(x[m]) + so_far.get(k, 0)
+                so_far[k] = int(out[m][-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), part, np.int32)), pa.array(out)], names=[*batch.schema.names, "part_no", "run"])
+
+    schema = StructType([*rows.schema.fields, StructField("part_no", IntegerType()), StructField("run", LongType())])
+    return materialize(ordered.mapInArrow(run, schema), "running")
+
+
+def running_total(rows: DataFrame, by: list[str], add: str) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``add`` over all rows up to this one in the order ``by``.
+
+    Counted per range partition and shifted by the totals before it, of which there are as many as partitions.
     """
-    least = max(2, -(-total // HOT_SHARE))
-    values = [c for c in table.columns if c not in keys]
-    hot = table.where(F.col(count_col) >= least)
-    cold = table.where(F.col(count_col) < least)
-    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot", *values)
-    return marked.where(F.col("_hot")).drop("_hot").unionByName(rest.join(cold, keys, "left"))
+    out = running(rows, by, add)
+    shift, at = [], 0
+    for r in out.groupBy("part_no").agg(F.max("run").alias("sum")).orderBy("part_no").collect():
+        shift.append((r["part_no"], at))
+        at += r["sum"]
+    offsets = rows.sparkSession.createDataFrame(shift, "part_no int, shift long")
+    return out.join(F.broadcast(offsets), "part_no").withColumn("upto", F.col("run") + F.col("shift")).drop("part_no", "run", "shift")
 
 
 # ---------------------------------------------------------------- Arrow helpers

@@ -6,36 +6,41 @@ checked greedily (fill a shard until the next group does not fit), and the order
 group larger than an even share would force its size on all shards, so such groups (fewer than the
 shards) get a shard of their own first, largest first, and the search runs over the rest.
 
-Only bounded things reach the driver: an index of prefix sums in BINS bins, and the exact prefix
-sums within the few bins in which cuts may fall, fetched once the search has narrowed to a bin.
-Prefix sums and slots are counted per range partition and shifted by the totals before it, so no
-group has to fit one task.
+Only bounded things reach the driver: an index of the prefix sums in BINS bins, and then, in rounds, finer
+bins of the few places in which cuts may still fall, until the capacity and its cuts are exact; a round's bins
+number at most 2 BINS however many groups there are. Prefix sums and slots are counted per range partition and
+shifted by the totals before it, so no group has to fit one task.
 
 Defined results: a null text has size 1 and counts as an empty text of its own group; ties are broken by
-id; repeated rows each get a slot; an empty table gives an empty result; null ids come first.
+id; repeated rows each get a slot; an empty table gives an empty result; null ids come first; texts of any
+length are whole groups; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, join_hot, materialize, partitions
+from .common import join_hot, materialize, running, running_total
 
-BINS = 1 << 16
+BINS = 1 << 16  #: bins of prefix sums at the driver
 
 
 class Prefix:
-    """Prefix sums of ordered groups, known exactly in some windows and by bin elsewhere."""
+    """Prefix sums of ordered groups, by bins: the least and greatest sum of each bin that has any."""
+
+    def __init__(self, bins: list[tuple[int, int]]):
+        self.lows, self.highs = (np.array(x, dtype=np.int64) for x in (zip(*bins, strict=True) if bins else ((), ())))
+        self.total = int(self.highs[-1]) if len(bins) else 0
 
-    def __init__(self, lows: np.ndarray, highs: np.ndarray):
-        self.lows, self.highs = lows, highs  # least and greatest prefix sum of each bin that has any
-        self.total = int(highs[-1]) if len(highs) else 0
+    def refined(self, windows: list[tuple[int, int]], bins: list[tuple[int, int]]) -> Prefix:
+        """With finer ``bins`` of the sums in ``windows``; bins that only reach into a window end before it or begin after it."""
+        out = list(bins)
+        for low, high in zip(self.lows.tolist(), self.highs.tolist(), strict=True):
+            if not any(a <= low and high <= b for a, b in windows):
+                out.append((low, high))
+        return Prefix(sorted(out))
 
     def cut(self, limit: int, sure: bool) -> int:
         """Greatest prefix sum <= limit: a lower bound of it if ``sure``, else an upper bound; equal where known."""
@@ -55,60 +60,44 @@ class Prefix:
             cuts.append(at)
         return cuts
 
-    def fits(self, capacity: int, shards: int, sure: bool) -> bool:
-        return self.greedy(capacity, shards, sure)[-1] >= self.total
-
-
-def smallest_capacity(prefix: Prefix, shards: int, largest: int, fetch) -> tuple[int, list[int]]:
-    """(capacity, cuts): least capacity that greedy filling finds feasible. ``fetch(windows)``: exact sums in them."""
-    total = prefix.total
+    def least(self, low: int, high: int, shards: int, sure: bool) -> int:
+        """Smallest capacity in low..high that fits, surely or possibly."""
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.greedy(mid, shards, sure)[-1] >= self.total else (mid + 1, high)
+        return low
+
+    def around(self, windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """``windows`` widened to whole bins and merged."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(windows):
+            i, j = max(0, int(np.searchsorted(self.lows, a, "right")) - 1), int(np.searchsorted(self.lows, b, "right"))
+            for low, high in zip(self.lows[i:j].tolist(), self.highs[i:j].tolist(), strict=True):
+                if low < high and high >= a:  # a bin of one sum is exact
+                    if out and low <= out[-1][1]:
+                        out[-1] = (out[-1][0], max(out[-1][1], high))
+                    else:
+                        out.append((low, high))
+        return out
+
+
+def smallest_capacity(index, total: int, shards: int, largest: int, bins: int = BINS) -> tuple[int, list[int]]:
+    """(capacity, cuts): least capacity that greedy filling finds feasible.
+
+    ``index(windows, width)``: (least, greatest) prefix sum of each bin of ``width`` within the windows, all if None.
+    """
+    width = max(1, -(-total // bins))
+    prefix = Prefix(index(None, width))
     low, high = max(largest, -(-total // shards)), -(-total // shards) + largest
-    a, b = low, high  # least that surely fits
-    while a < b:
-        mid = (a + b) // 2
-        a, b = (a, mid) if prefix.fits(mid, shards, True) else (mid + 1, b)
-    upper = a
-    a, b = low, upper  # least that may fit
-    while a < b:
-        mid = (a + b) // 2
-        a, b = (a, mid) if prefix.fits(mid, shards, False) else (mid + 1, b)
-    lower = a
-    windows = list(zip(prefix.greedy(lower, shards, True), [x + 1 for x in prefix.greedy(upper, shards, False)], strict=True))
-    sums = fetch(windows)
-
-    def greedy(capacity: int) -> list[int]:
-        cuts, at = [], 0
-        for _ in range(shards):
-            i = bisect_right(sums, at + capacity) - 1
-            at = max(at, sums[i]) if i >= 0 else at
-            cuts.append(at)
-        return cuts
-
-    a, b = lower, upper
-    while a < b:
-        mid = (a + b) // 2
-        a, b = (a, mid) if greedy(mid)[-1] >= total else (mid + 1, b)
-    return a, greedy(a)
-
-
-def _running(rows: DataFrame, by: list[str], add: str, reset: str | None = None) -> DataFrame:
-    """Range-partitions by ``by`` and adds ``part``, and ``run``: the sum of ``add`` in the partition so far, per ``reset``."""
-    ordered = rows.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
-
-    def run(batches):
-        part, so_far = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            x = column(batch, add).to_numpy()
-            out = np.empty(len(x), dtype=np.int64)
-            keys = column(batch, reset).to_numpy() if reset else np.zeros(len(x), dtype=np.int64)
-            for k in np.unique(keys):
-                m = keys == k
-                out[m] = np.cumsum(x[m]) + so_far.get(k, 0)
-                so_far[k] = int(out[m][-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), part, np.int32)), pa.array(out)], names=[*batch.schema.names, "part", "run"])
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return materialize(ordered.mapInArrow(run, f"{ddl}, part int, run long"), "running")
+    while True:
+        high = prefix.least(low, high, shards, True)
+        low = prefix.least(low, high, shards, False)
+        cuts, most = prefix.greedy(low, shards, True), prefix.greedy(high, shards, False)
+        windows = prefix.around([(a, b + 1) for a, b in zip(cuts, most, strict=True)])
+        if low == high and cuts == prefix.greedy(low, shards, False) or not windows:
+            return high, prefix.greedy(high, shards, True)
+        width = max(1, min(width - 1, -(-sum(b - a + 1 for a, b in windows) // bins)))
+        prefix = prefix.refined(windows, index(windows, width))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, bins: int = BINS) -> DataFrame:
@@ -134,37 +123,30 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             break
     own = spark.createDataFrame([(r["k1"], r["k2"], i) for i, r in enumerate(alone)], "k1 long, k2 long, own int")
     groups = groups.join(F.broadcast(own), ["k1", "k2"], "left")
-    rest = _running(groups.where("own is null").select("k1", "k2", "first", "n", "bytes"), ["first", "k1", "k2"], "bytes")
-    before = rest.groupBy("part").agg(F.max("run").alias("sum")).orderBy("part").collect()
-    shift, at = [], 0
-    for r in before:
-        shift.append((r["part"], at))
-        at += r["sum"]
-    offsets = spark.createDataFrame(shift, "part int, shift long")
-    sums = rest.join(F.broadcast(offsets), "part").withColumn("upto", F.col("run") + F.col("shift"))
+    rest = groups.where("own is null").select("k1", "k2", "first", "n", "bytes")
+    sums = materialize(running_total(rest, ["first", "k1", "k2"], "bytes"), "sums")
     free = shards - len(alone)
-    width = max(1, -(-left // bins))
-    index = sums.groupBy(F.floor(F.col("upto") / width).alias("bin")).agg(F.min("upto").alias("low"), F.max("upto").alias("high")).orderBy("bin").select("low", "high").toPandas()
     largest = rest.agg(F.max("bytes")).first()[0] or 0
 
-    def fetch(windows):
-        test = F.lit(False)
-        for a, b in windows:
-            test = test | F.col("upto").between(a, b)
-        return sorted(r[0] for r in sums.where(test).select("upto").collect())
+    def index(windows, width):
+        inside = F.lit(windows is None)
+        for a, b in windows or ():
+            inside = inside | F.col("upto").between(a, b)
+        found = sums.where(inside).groupBy(F.floor(F.col("upto") / F.lit(width)).alias("bin")).agg(F.min("upto").alias("low"), F.max("upto").alias("high"))
+        return sorted((r["low"], r["high"]) for r in found.collect())
 
-    cuts = smallest_capacity(Prefix(index["low"].to_numpy(np.int64), index["high"].to_numpy(np.int64)), free, largest, fetch)[1] if left else []
+    cuts = smallest_capacity(index, left, free, largest, bins)[1] if left else []
     number = F.lit(len(alone))
     for c in cuts[:-1]:
         number = number + (F.col("upto") > c).cast("int")
     placed = sums.select("k1", "k2", "first", "n", number.alias("shard")).unionByName(groups.where("own is not null").select("k1", "k2", "first", "n", F.col("own").alias("shard")))
     out = join_hot(slim, materialize(placed, "placed"), ["k1", "k2"], "n", rows).withColumn("one", F.lit(1))
-    out = _running(out.select("doc_id", "size", "text_crc32", "shard", "first", "k1", "one"), ["shard", "first", "k1", "doc_id"], "one", "shard")
-    counts = out.groupBy("part", "shard").agg(F.max("run").alias("n")).orderBy("shard", "part").collect()
+    out = running(out.select("doc_id", "size", "text_crc32", "shard", "first", "k1", "one"), ["shard", "first", "k1", "doc_id"], "one", "shard")
+    counts = out.groupBy("part_no", "shard").agg(F.max("run").alias("n")).orderBy("shard", "part_no").collect()
     shift, at = [], {}
     for r in counts:
-        shift.append((r["part"], r["shard"], at.get(r["shard"], 0)))
+        shift.append((r["part_no"], r["shard"], at.get(r["shard"], 0)))
         at[r["shard"]] = at.get(r["shard"], 0) + r["n"]
-    offsets = spark.createDataFrame(shift, "part int, shard int, shift long")
+    offsets = spark.createDataFrame(shift, "part_no int, shard int, shift long")
     slot = (F.col("run") - 1 + F.col("shift")).alias("slot")
-    return out.join(F.broadcast(offsets), ["part", "shard"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
+    return out.join(F.broadcast(offsets), ["part_no", "shard"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
