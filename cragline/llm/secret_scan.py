@@ -7,24 +7,28 @@ distinct repositories and owners. A value that COPIED or more owners hold is a w
 example; one that a single owner holds is live-looking; others are shared. Opaque tokens count as secrets
 unless they are examples; base spans always stay.
 
-Positions are code points, end exclusive. They are running sums of the lengths of what lies
-between matches, so no Python runs anywhere.
+One pass of each pattern cuts a text into what lies between matches and the matches; positions (code
+points, end exclusive) are running sums of their lengths and overlaps are running extremes, both windows
+over a row's pieces, so work is linear in a text and its matches and no Python runs anywhere.
 
 Defined results: a null text is empty; no match gives zeros, the digest of the empty string and an
 empty span list; repeated rows count each in their row but once per owner; a null repository or
-owner is one like any other; an empty table gives an empty result; extra columns are ignored.
+owner is one like any other; an empty table gives an empty result; extra columns are ignored, and stay in
+what ``redact`` returns. ``redact`` goes by a row's text alone, so null ids, shared ids and repeated rows
+change nothing; a null text stays null. Whole texts of any length are searched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import HOT_SHARE, fingerprint, fresh, join_hot, materialize
 
 KINDS = ("assign", "access", "hex", "opaque")
 COPIED = 3  #: owners from which on a value is a widely copied example
-SALTS = 8
+CUT = "\x00"  #: stands around matches; one in a text is read as \\x01, which no pattern holds either
+MANY = 1000  #: marks from which on a text is taken apart once instead of being cut mark by mark
 #: The keywords and alphabets of the three base patterns.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN = "(?:%s)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -42,45 +46,50 @@ ASSIGN_RE = ASSIGN % either_case()
 ANY_RE = f"{ASSIGN_RE}|{ACCESS}|[0-9a-zA-Z+/_-]{{20,}}"  #: every text with a candidate matches this
 
 
-def _spans(text: Column, pattern: str, kind: str, value_group: int) -> Column:
-    """array<struct<at, rank, to, kind, value>> of the leftmost non-overlapping matches."""
-    pieces, matches, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    rank = KINDS.index(kind)
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"), values.alias("v"))
+def _value(match: Column, kind: str) -> Column:
+    return F.regexp_extract(match, f"^{ASSIGN_RE}$", 1) if kind == "assign" else match
 
-    def step(state: Column, x: Column) -> Column:
-        at = state["pos"] + F.char_length(x["p"])
-        to = at + F.char_length(x["m"])
-        span = F.struct(at.alias("at"), F.lit(rank).alias("rank"), to.alias("to"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        return F.struct(to.alias("pos"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    empty = F.lit(None).cast(SPANS)
-    start = F.struct(F.lit(0).alias("pos"), F.coalesce(empty, F.array().cast(SPANS)).alias("out"))
-    found = F.aggregate(steps, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+def _pieces(text: Column, pattern: str, kind: str) -> Column:
+    """array<struct<rank, i, length, hash>>: what lies between matches at even i, matches at odd i; null hash: no candidate."""
+    cut = F.split(F.regexp_replace(text, f"(?:{pattern})", f"{CUT}$0{CUT}"), CUT, -1)
 
+    def piece(x: Column, i: Column) -> Column:
+        value = _value(x, kind)
+        keep = (i % 2 == 1) & ((F.char_length(value) >= 6) if kind == "assign" else F.lit(True))
+        return F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("i"), F.char_length(x).alias("length"), F.when(keep, F.xxhash64(value)).alias("hash"))
 
-SPANS = "array<struct<at:int,rank:int,to:int,kind:string,value:string>>"
-
-
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["at"] < b["to"]) & (b["at"] < a["to"])
+    return F.transform(cut, piece)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """(row, doc_id, repository, owner, spans) of every row; spans hold value hashes, not values."""
+    """(row, doc_id, repository, owner, k1, k2, pieces) of every row; pieces hold value hashes, not values.
+
+    k1, k2: the text's fingerprint where it may hold a candidate, else null.
+    """
     repository = F.col("source") if repository is None else repository
     owner = F.col("source") if owner is None else owner
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), text.alias("text"))
-    hit = F.col("text").rlike(ANY_RE)  # one cheap look decides whether a text is worth the patterns
-    rows = rows.withColumn("text", F.when(hit, F.col("text")).otherwise(""))
-    assign = F.filter(_spans(F.col("text"), ASSIGN_RE, "assign", 1), lambda s: F.char_length(s["value"]) >= 6)
-    rows = rows.select("doc_id", "repository", "owner", "text", assign.alias("a"), _spans(F.col("text"), ACCESS, "access", 0).alias("k"), _spans(F.col("text"), HEX, "hex", 0).alias("h"), _spans(F.col("text"), OPAQUE, "opaque", 0).alias("o"))
-    rows = rows.withColumn("base", F.concat("a", "k", "h"))
-    added = F.filter("o", lambda s: ~F.exists("base", lambda b: _overlaps(s, b)))
-    spans = F.transform(F.concat("base", added), lambda s: F.struct(s["at"].alias("at"), s["rank"].alias("rank"), s["to"].alias("to"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("hash")))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", spans.alias("spans"))
+    hit = F.col("text").rlike(ANY_RE)  # one look decides whether a text is worth the patterns
+    rows = rows.withColumn("text", F.when(hit, F.col("text")))
+    clean = F.translate("text", CUT, "\x01")
+    arrays = [_pieces(clean, p, k) for k, p in zip(KINDS, (ASSIGN_RE, ACCESS, HEX, OPAQUE), strict=True)]
+    key = [F.when(F.col("text").isNotNull(), k).alias(n) for k, n in zip(fingerprint("text"), ("k1", "k2"), strict=True)]
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", *key, F.concat(*arrays).alias("pieces"))
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(row, repository, owner, k1, k2, rank, at, to, hash) of every candidate; opaque ones only outside base spans."""
+    some = found.where(F.size("pieces") > len(KINDS)).select("row", "repository", "owner", "k1", "k2", F.explode("pieces").alias("p")).select("row", "repository", "owner", "k1", "k2", "p.*")
+    some = some.repartition("row")  # all windows below are of one row
+    to = F.sum("length").over(Window.partitionBy("row", "rank").orderBy("i")).cast("int")
+    some = some.withColumn("to", to).withColumn("at", F.col("to") - F.col("length")).where("hash is not null")
+    base = F.col("rank") < KINDS.index("opaque")
+    before, after = Window.partitionBy("row").orderBy("at", "rank", "to"), Window.partitionBy("row").orderBy(F.desc("at"), F.desc("rank"), F.desc("to"))
+    some = some.withColumn("reach", F.max(F.when(base, F.col("to"))).over(before)).withColumn("next", F.min(F.when(base, F.col("at"))).over(after))
+    free = (F.coalesce("reach", F.lit(0)) <= F.col("at")) & (F.coalesce(F.col("next"), F.col("to")) >= F.col("to"))
+    return some.where(base | free).select("row", "repository", "owner", "k1", "k2", "rank", "at", "to", "hash")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -90,21 +99,26 @@ def ownership(spans: DataFrame) -> DataFrame:
     return once.groupBy("hash").agg(F.count_distinct(name(F.col("repository"))).alias("repositories"), F.count_distinct(name(F.col("owner"))).alias("owners"), F.sum("uses").alias("uses"))
 
 
+def judged(found: DataFrame, copied: int = COPIED) -> DataFrame:
+    """The candidates of ``found`` with repositories, owners, uses and verdict; opaque ones that are examples go."""
+    each = materialize(_spans(found), "spans")
+    counts = materialize(ownership(each), "ownership")
+    each = join_hot(each, counts, ["hash"], "uses", each.count())  # a copied value may be in a third of all rows
+    verdict = F.when(F.col("owners") >= copied, "example").when(F.col("owners") == 1, "live").otherwise("shared")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    each = each.withColumn("verdict", verdict).withColumn("kind", kind)
+    return each.where((F.col("kind") != "opaque") | (F.col("verdict") != "example"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None, copied: int = COPIED) -> DataFrame:
     """(row, doc_id, spans) of every row; a span: at, rank, to, kind, repositories, owners, uses, verdict."""
     found = materialize(candidates(docs, id_col, text_col, repository, owner), "candidates")
-    each = found.where(F.size("spans") > 0).select("row", "doc_id", "repository", "owner", F.explode("spans").alias("s")).select("row", "doc_id", "repository", "owner", "s.*")
-    # a widely copied value may be in a third of all rows: its row of counts is repeated by salt
-    counts = ownership(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(counts, ["hash", "salt"])
-    verdict = F.when(F.col("owners") >= copied, "example").when(F.col("owners") == 1, "live").otherwise("shared")
-    each = each.withColumn("verdict", verdict).where((F.col("kind") != "opaque") | (F.col("verdict") != "example"))
     span = F.struct("at", "rank", "to", "kind", "repositories", "owners", "uses", "verdict")
-    some = each.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    kept = found.select("row", "doc_id", F.size("spans").alias("n"))
+    some = judged(found, copied).groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    kept = found.select("row", "doc_id", (F.size("pieces") > len(KINDS)).alias("any"))
     none = F.array().cast(some.schema["spans"].dataType)
-    with_spans = kept.where("n > 0").join(some, "row", "left").select("row", "doc_id", F.coalesce("spans", none).alias("spans"))
-    return with_spans.unionByName(kept.where("n = 0").select("row", "doc_id", none.alias("spans")))
+    with_spans = kept.where("any").join(some, "row", "left").select("row", "doc_id", F.coalesce("spans", none).alias("spans"))
+    return with_spans.unionByName(kept.where(~F.coalesce("any", F.lit(False))).select("row", "doc_id", none.alias("spans")))
 
 
 def joined(spans: Column | str) -> Column:
@@ -112,27 +126,41 @@ def joined(spans: Column | str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["to"].cast("string"))))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def _marks(found: DataFrame, copied: int) -> DataFrame:
+    """(k1, k2, n, cuts, tail): of each text with secrets, how many rows have it, what is kept before each mark, and after the last."""
+    wanted = judged(found, copied).where("verdict <> 'example'").select("k1", "k2", "at", "to").distinct()
+    past = F.coalesce(F.max("to").over(Window.partitionBy("k1", "k2").orderBy("at", "to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    merged = wanted.withColumn("past", past).withColumn("fresh", F.col("at") >= F.col("past"))
+    cuts = F.sort_array(F.collect_list(F.when(F.col("fresh"), F.struct(F.col("past").alias("from"), "at"))))
+    rows = found.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    return merged.groupBy("k1", "k2").agg(cuts.alias("cuts"), F.max("to").alias("tail")).join(rows, ["k1", "k2"])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", repository: Column | None = None, owner: Column | None = None, copied: int = COPIED) -> DataFrame:
     """``docs`` with every secret that is not a widely copied example replaced by ``mark``; other texts are untouched.
 
-    Rows that share an id are redacted by their union of spans, cut to each text.
+    Where secrets lie follows from the text and what the corpus says of its values, so marks meet rows by the
+    text's fingerprint, never by id. Overlapping secrets share a mark.
     """
-    worth = F.coalesce(F.col(text_col).rlike(ANY_RE), F.lit(False))
-    found = scan(docs, id_col, text_col, **options)
-    wanted = F.filter("spans", lambda s: s["verdict"] != "example")
-    marks = found.select("doc_id", wanted.alias("spans")).where(F.size("spans") > 0)
-    marks = marks.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["to"].alias("to"))))))).alias("marks"))
-    ident, place = fresh(docs, "id"), fresh(docs, "marks")
-    marks = marks.select(F.col("doc_id").alias(ident), F.col("marks").alias(place))
+    found = materialize(candidates(docs, id_col, text_col, repository, owner), "candidates")
+    marks = materialize(_marks(found, copied), "marks")
+    least = max(2, -(-found.where("k1 is not null").count() // HOT_SHARE))
+    k1, k2, hot, cuts, tail = (fresh(docs, n) for n in ("k1", "k2", "hot", "cuts", "tail"))
+    text = F.col(text_col).cast("string")
+    worth = F.coalesce(text.rlike(ANY_RE), F.lit(False))
     some = docs.where(worth)  # texts without any candidate meet nothing and do not move
-    out = some.join(marks.hint("merge"), some[id_col] == F.col(ident), "left")
-    text = F.col(text_col)
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["at"] >= state["pos"]
-        more = F.concat(state["out"], F.when(fresh, F.concat(F.substring(text, state["pos"] + 1, s["at"] - state["pos"]), F.lit(mark))).otherwise(""))
-        return F.struct(F.greatest(state["pos"], s["to"]).alias("pos"), more.alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate(place, start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
-    return out.withColumn(text_col, F.when(F.col(place).isNotNull() & text.isNotNull(), clean).otherwise(text)).select(*docs.columns).unionByName(docs.where(~worth))
+    some = some.withColumns(dict(zip((k1, k2), fingerprint(text), strict=True)))
+    # texts that many rows share number at most HOT_SHARE and are broadcast; their rows' keys are then spread
+    often = marks.where(F.col("n") >= least).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.struct("cuts", "tail").alias(hot))
+    rare = marks.where(F.col("n") < least).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("cuts").alias(cuts), F.col("tail").alias(tail))
+    some = some.join(F.broadcast(often), [k1, k2], "left")
+    met = F.col(hot).isNotNull()
+    some = some.withColumns({k1: F.when(met, F.monotonically_increasing_id()).otherwise(F.col(k1)), k2: F.when(~met, F.col(k2))})
+    some = some.join(rare.hint("merge"), [k1, k2], "left")
+    some = some.withColumns({cuts: F.coalesce(F.col(cuts), F.col(hot)["cuts"]), tail: F.coalesce(F.col(tail), F.col(hot)["tail"])})
+    kept = F.transform(cuts, lambda c: F.substring(text, c["from"] + 1, c["at"] - c["from"]))
+    # cutting at each of very many marks would walk the text as often; its characters are then taken apart once
+    apart = F.transform(F.array(F.split(text, "")), lambda t: F.transform(cuts, lambda c: F.array_join(F.slice(t, c["from"] + 1, c["at"] - c["from"]), "")))
+    kept = F.when(F.size(cuts) > MANY, F.get(apart, F.lit(0))).otherwise(kept)
+    clean = F.concat(F.array_join(kept, mark), F.lit(mark), F.substring(text, F.col(tail) + 1, F.char_length(text)))
+    return some.withColumn(text_col, F.when(F.col(cuts).isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns).unionByName(docs.where(~worth))
