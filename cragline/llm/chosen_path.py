@@ -7,21 +7,24 @@ all sets; a node of the recursion samples SPLITS token positions and splits its
 there, so sets that share the token stay together. Buckets with no partner end; small buckets are
 compared by brute force on token sketches; a bucket that hardly shrinks when split holds sets that
 are much alike and is joined as one candidate group (the paper's test for points to brute-force).
-Runs repeat until the target recall. Candidate groups are then compared exactly, all against all,
-in blocks of bounded size, so no bucket has a cap on partners.
-
-Recall: a pair at Jaccard 0.8 survives a node with SPLITS=2 if one of two sampled tokens agrees
-and the pair survives below; the fixed point of f = 1 - (1 - 0.8 f)^2 is 0.9375, so that
-``runs_for(0.999999)`` is 5.
-
-Defined results: an empty or null text has no shingles and links with nothing; repeated rows and
-equal sets link with each other; an empty table gives an empty result; extra columns are ignored.
-A null id is kept, with its class taken from its set's smallest id; a set without any id links with
-no other set. Rows that share an id but not a text are separate rows of different sets.
+Runs repeat until the target recall. Candidate groups are then compared exactly: one that fits a block
+all against all, a larger one in blocks of neighbours by token, and of these only the pairs of blocks that
+a bucket has sets in. No bucket has a cap on partners.
+
+Recall: a pair survives a node with SPLITS=2 if one of two sampled tokens agrees and the pair survives
+below; where a share p of the tokens agrees, the fixed point of f = 1 - (1 - p f)^2. Runs sample the same
+tokens, so ``recall`` averages 1 - (1 - f)^runs over how many of the tokens agree, at the threshold.
+
+Defined results: an empty or null text has no shingles, links with nothing and stays; repeated rows and
+equal sets link with each other; an empty table gives an empty result; extra columns are ignored and stay in
+what ``keep_one_of_each`` returns; whole texts of any length count. Ids only name classes: rows without an id
+or that share one are rows like any other. A class is named by its smallest id, null if it has none; of a
+class one row is kept, the one with the smallest id (null last), of several such the one of the smallest row hash.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import (
-    SHINGLE_WORDS, Words, column, components, distinct_by_text, fresh, join_hot, local_components, materialize, mix, partitions, seeds, text_slices, whole_groups,
+    SHINGLE_WORDS, Words, column, components, distinct_by_text, fingerprint, fresh, join_hot, local_components, materialize, mix, partitions, running_total, seeds, text_slices, whole_groups,
 )
 
 TOKENS = 128  #: min-hash tokens of a set
@@ -40,6 +44,7 @@ SMALL = 96  #: a bucket of at most so many sets is compared by brute force
 DENSE = 0.7  #: a bucket that keeps this share of its parent does not shrink; sets at Jaccard 0.8 keep 0.8
 DEPTH = 8  #: deepest level; what is left then is joined as one candidate group
 MARGIN = 5.0  #: standard errors of the sketch below the threshold that are still candidates
+RECALL = 0.99999  #: share of pairs at the threshold that the runs find
 BLOCK_SETS = 1024  #: most sets of a block of the exact comparison
 BLOCK_SHINGLES = 1_000_000  #: shingles that a block aims at; one longer text may exceed it
 
@@ -52,9 +57,18 @@ def survival(similarity: float, splits: int = SPLITS) -> float:
     return f
 
 
-def runs_for(recall: float, similarity: float = 0.8, splits: int = SPLITS) -> int:
+def recall_of(runs: int, similarity: float = 0.8, splits: int = SPLITS, tokens: int = TOKENS) -> float:
+    """Chance that a pair of this similarity stays together in one of the runs, over how many of its tokens agree."""
+    total = 0.0
+    for k in range(tokens + 1):
+        chance = math.comb(tokens, k) * similarity**k * (1 - similarity) ** (tokens - k)
+        total += chance * (1 - (1 - survival(k / tokens, splits)) ** runs)
+    return total
+
+
+def runs_for(recall: float, similarity: float = 0.8, splits: int = SPLITS, tokens: int = TOKENS) -> int:
     """Runs until a pair at the threshold is found with at least ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, splits)) - 1e-9))
+    return next(n for n in range(1, 200) if n == 199 or recall_of(n, similarity, splits, tokens) >= recall)
 
 
 def minhash(hashes: np.ndarray, first: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -73,27 +87,38 @@ def minhash(hashes: np.ndarray, first: np.ndarray, factors: np.ndarray) -> np.nd
     return out
 
 
-SIGNED = "id long, k1 long, k2 long, shingles int, tokens binary"
+SIGNED = "id long, r1 long, r2 long, k1 long, k2 long, shingles int, tokens binary"
+WHO = ("id", "r1", "r2")  #: a row's id and the fingerprint of all its columns
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, tokens: int = TOKENS, width: int = SHINGLE_WORDS) -> DataFrame:
-    """Of every row: the set's fingerprint (k1, k2: sums over distinct shingles), its size and tokens."""
+    """Of every row: WHO, the set's fingerprint (k1, k2: sums over distinct shingles), its size and tokens."""
     factors = seeds(tokens, 11)
 
     def run(batches):
         for batch in batches:
-            ids, texts = column(batch, "id"), column(batch, "text")
-            for a, b, data, offsets in text_slices(texts):
+            for a, b, data, offsets in text_slices(column(batch, "text")):
                 h, first = distinct_by_text(*Words(data, offsets).shingles(width))
                 tok = minhash(h, first, factors)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (mix(h + np.uint64(3)), mix(h ^ np.uint64(0xABCDEF12345)))]
                     k1, k2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
                 count = np.diff(first)
-                arrays = [ids.slice(a, b - a), pa.array(k1, mask=count == 0), pa.array(k2, mask=count == 0), pa.array(count.astype(np.int32)), pa.array([r.tobytes() for r in tok], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "k1", "k2", "shingles", "tokens"])
+                arrays = [*(column(batch, c).slice(a, b - a) for c in WHO), pa.array(k1, mask=count == 0), pa.array(k2, mask=count == 0), pa.array(count.astype(np.int32)), pa.array([r.tobytes() for r in tok], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*WHO, "k1", "k2", "shingles", "tokens"])
+
+    return _named(docs, id_col, text_col).mapInArrow(run, SIGNED)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, r1, r2, text) of every row."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), *row_hash(docs), F.col(text_col).cast("string").alias("text"))
+
+
+def row_hash(docs: DataFrame) -> list:
+    """Two hashes of all columns of a row, nulls told from other values."""
+    plain = [F.col(f"`{f.name}`") if not isinstance(f.dataType, (MapType, VariantType)) else F.col(f"`{f.name}`").cast("string") for f in docs.schema.fields]
+    return fingerprint(*plain, F.concat(*(F.when(c.isNull(), "0").otherwise("1") for c in plain)), prefix="r")
 
 
 def _children(rows: DataFrame, tokens: int, splits: int) -> DataFrame:
@@ -165,14 +190,14 @@ def _sketch(tokens: int):
     return run
 
 
-def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = 0.999999, tokens: int = TOKENS, small: int = SMALL) -> DataFrame:
-    """(a, b): trees over candidate groups of ``reps`` (node long, tokens binary)."""
-    runs = runs_for(recall, threshold)
+def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = RECALL, tokens: int = TOKENS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """((a, b): trees over candidate groups of ``reps`` (node long, tokens binary); (path, node): the buckets compared)."""
+    runs = runs_for(recall, threshold, SPLITS, tokens)
     slack = MARGIN * math.sqrt(tokens * threshold * (1 - threshold))
     least = max(1.0, tokens * threshold - slack)
     roots = F.explode(F.array(*(F.lit(int(x)) for x in seeds(runs, 31).view(np.int64))))
     rows = _children(reps.select("node", "tokens", roots.alias("path")), tokens, SPLITS)
-    above, brute, found = None, [], []
+    above, brute, found, buckets = None, [], [], []
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n > 1")
         sizes = materialize(sizes, f"buckets{depth}")
@@ -187,6 +212,7 @@ def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = 0.999999
         sizes = sizes.select("path", "n", kind.alias("kind"))
         rows = materialize(rows.select("node", "path").join(sizes, "path"), f"level{depth}")
         brute.append(rows.where("kind = 'small'").select("path", "node"))
+        buckets.append(rows.where("kind <> 'large'").select("path", "node"))
         same = rows.where("kind = 'alike'")
         found.append(same.select("node", "path").join(same.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
         large = rows.where("kind = 'large'")
@@ -202,7 +228,7 @@ def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = 0.999999
     edges = _brute(by_path, least, tokens)
     for x in found:
         edges = edges.unionByName(x)
-    return edges.where("a <> b")
+    return edges.where("a <> b"), functools.reduce(DataFrame.unionByName, buckets)
 
 
 def _common(h: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -275,62 +301,118 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sets(width: int):
+    """Rows come in the order of the join on their hashes, so rows repeated in every column are neighbours: one is enough."""
+
     def run(batches):
+        last = None
         for batch in batches:
+            node = column(batch, "node").to_numpy()
+            new = np.ones(len(node), dtype=bool)
+            new[1:] = node[1:] != node[:-1]
+            if len(node):
+                new[0] = node[0] != last
+                last = node[-1]
+            if not new.all():
+                batch = batch.filter(pa.array(new))
             for a, b, data, offsets in text_slices(column(batch, "text")):
                 h, first = distinct_by_text(*Words(data, offsets).shingles(width))
-                node = column(batch, "node").to_numpy()[a:b]
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(3)), dtype=np.uint64)])
-                own = (sums[first[1:]] - sums[first[:-1]]).view(np.int64) == node  # rows that share an id may hold another text
-                rest = [column(batch, c).slice(a, b - a) for c in ("node", "n", "part", "blocks")]
+                rest = [column(batch, c).slice(a, b - a) for c in ("node", "n", "part", "block")]
                 sets = pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest, sets], names=["node", "n", "part", "blocks", "set"]).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*rest, sets], names=["node", "n", "part", "block", "set"])
 
     return run
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.999999, width: int = SHINGLE_WORDS, tokens: int = TOKENS) -> DataFrame:
-    """(doc_id, set_id, n_links, class_id, kept) of every row.
+def blocked(members: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(``members`` with their ``block``, (part, block, other) of larger groups' blocks to compare, from both sides, if any).
 
-    set_id: smallest id with an equal set; n_links: other rows whose set has Jaccard >= threshold;
-    class_id: smallest id reachable by links; kept: this row is the one that stays of its class.
+    members(node, part, shingles, tokens): sets of candidate groups (``part``). A group that fits a block is block 0.
+    Larger ones are laid out by their tokens, so that sets that are alike are neighbours, and cut by running totals into
+    blocks of at most BLOCK_SETS sets or about BLOCK_SHINGLES shingles. Two blocks meet only if a bucket has sets in both.
     """
+    load = F.sum(F.greatest(F.lit(1 / BLOCK_SETS), F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))).alias("load")
+    size = materialize(members.groupBy("part").agg(load, F.count("*").alias("m")), "parts")
+    if size.where("load > 1").isEmpty():
+        return members.drop("tokens").withColumn("block", F.lit(0).cast("long")), None
+    sized = join_hot(members, size, ["part"], "m", size.agg(F.sum("m")).first()[0])
+    small = sized.where("load <= 1").drop("tokens", "load", "m").withColumn("block", F.lit(0).cast("long"))
+    unit = F.ceil(F.greatest(F.lit(1e6 / BLOCK_SETS), F.col("shingles") * F.lit(1e6 / BLOCK_SHINGLES))).cast("long")
+    laid = running_total(sized.where("load > 1").withColumn("unit", unit), ["part", "tokens", "node"], "unit")
+    laid = materialize(laid.withColumn("block", F.floor((F.col("upto") - 1) / F.lit(1_000_000))).drop("tokens", "unit", "upto", "load", "m"), "laid")
+    held = materialize(buckets.join(laid.select("node", "part", "block"), "node").select("path", "part", "block").distinct(), "held")
+    pairs = held.join(held.withColumnRenamed("block", "other"), ["path", "part"]).select("part", "block", "other")
+    pairs = pairs.unionByName(laid.select("part", "block", F.col("block").alias("other"))).distinct()
+    return small.unionByName(laid.select(small.columns)), materialize(pairs, "block-pairs")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, width: int, tokens: int) -> DataFrame:
+    """(id, r1, r2, set_id, n_links, class_id, w_id, w_r1, w_r2) of every row; w: the row of its class that is kept."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, id_col, text_col, tokens, width), "signed")
     total = signed.count()
-    reps = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("smallest"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
+    who = F.struct(F.col("id").isNull().alias("no_id"), *WHO)
+    reps = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(who).alias("who"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
     reps = materialize(reps.withColumn("node", F.col("k1")), "sets")
-    groups = components(candidates(reps, threshold, recall, tokens))
-
-    members = materialize(groups.join(reps.select("node", "smallest", "n", "shingles"), "node"), "members")
-    size = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("shingles").alias("s")).where("m > 1")
-    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK_SETS * 0.9), F.col("s") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
-    members = members.join(size.select("root", blocks.alias("blocks")), "root")
-    members = members.select(F.col("smallest").alias("id"), "node", "n", F.col("root").alias("part"), "blocks")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # members grow with the corpus, so they are never broadcast, however few they are
-    sets = members.hint("merge").join(texts, "id").mapInArrow(_sets(width), "node long, n long, part long, blocks int, set binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("node", "n", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other")).alias("pair"))
+    edges, buckets = candidates(reps, threshold, recall, tokens)
+    groups = components(edges)
+
+    members = groups.withColumnRenamed("root", "part").join(reps.select("node", "who", "n", "shingles", "tokens"), "node")
+    members = materialize(members.select("node", "part", "n", "shingles", "tokens", "who.r1", "who.r2"), "members")
+    members, pairs = blocked(members, buckets)
+    # a set's text is that of one of its rows; members grow with the corpus, so they are never broadcast, however few they are
+    texts = _named(docs, id_col, text_col).select("r1", "r2", "text")
+    sets = members.hint("merge").join(texts, ["r1", "r2"]).mapInArrow(_sets(width), "node long, n long, part long, block long, set binary")
+    sets = sets.join(pairs, ["part", "block"], "left") if pairs is not None else sets.withColumn("other", F.col("block"))
+    sets = sets.withColumn("other", F.coalesce("other", "block"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sets = sets.select("node", "n", "set", "block", low.alias("i"), high.alias("j"), F.xxhash64("part", low, high).alias("pair"))
     sets = sets.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "node")
     found = materialize(_exact(sets, threshold), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found, "node", "root")
-    smallest = roots.join(reps.select("node", "smallest"), "node").groupBy("root").agg(F.min("smallest").alias("class_id"))
-    facts = reps.select("k1", "k2", "node", "n", "smallest").join(links, "node", "left").join(roots, "node", "left").join(smallest, "root", "left")
-    facts = facts.select("k1", "k2", "n", F.col("smallest").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "smallest").alias("class_id"))
-    ids = signed.select("id", "k1", "k2")
-    out = join_hot(ids.where("k1 is not null"), materialize(facts, "facts"), ["k1", "k2"], "n", total).select("id", "set_id", "n_links", "class_id")
-    out = out.unionByName(ids.where("k1 is null").select("id", F.col("id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id")))
-    return out.withColumnRenamed("id", "doc_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each class does: of a class, the row with the smallest id."""
-    links = jaccard_links(docs, id_col, text_col, **options)
-    name = fresh(docs, "gone")
-    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col(name), "left_anti")  # grows with the corpus: never broadcast
+    best = roots.join(reps.select("node", "who"), "node").groupBy("root").agg(F.min("who").alias("best"))
+    facts = reps.select("k1", "k2", "node", "n", "who").join(links, "node", "left").join(roots, "node", "left").join(best, "root", "left")
+    facts = facts.select("k1", "k2", "n", F.col("who.id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("best", "who").alias("w"))
+    facts = facts.select("k1", "k2", "n", "set_id", "n_links", F.col("w.id").alias("class_id"), F.col("w.r1").alias("w_r1"), F.col("w.r2").alias("w_r2"))
+    rows = signed.select(*WHO, "k1", "k2")
+    out = join_hot(rows.where("k1 is not null"), materialize(facts, "facts"), ["k1", "k2"], "n", total)
+    alone = rows.where("k1 is null").select(*WHO, F.col("id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"), F.lit(None).cast("long").alias("w_r1"), F.lit(None).cast("long").alias("w_r2"))
+    return out.select(alone.columns).unionByName(alone)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = RECALL, width: int = SHINGLE_WORDS, tokens: int = TOKENS) -> DataFrame:
+    """(doc_id, set_id, n_links, class_id, kept) of every row.
+
+    set_id: smallest id with an equal set; n_links: other rows whose set has Jaccard >= threshold;
+    class_id: smallest id reachable by links; kept: this row is the one that stays of its class.
+    """
+    rows = classes(docs, id_col, text_col, threshold, recall, width, tokens)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "classes")
+    stays = F.col("w_r1").isNull() | ((F.col("r1") == F.col("w_r1")) & (F.col("r2") == F.col("w_r2")))
+    rows = rows.withColumn("kept", stays)
+    # rows alike in every column that stay: one of them does
+    again = rows.where("kept AND w_r1 is not null").groupBy("r1", "r2").agg(F.min("row").alias("one"), F.count("*").alias("times")).where("times > 1")
+    again = materialize(again.drop("times"), "again")
+    if not again.isEmpty():
+        rows = rows.join(again.hint("merge"), ["r1", "r2"], "left").withColumn("kept", F.col("kept") & (F.col("one").isNull() | (F.col("row") == F.col("one"))))
+    return rows.select(F.col("id").alias("doc_id"), "set_id", "n_links", "class_id", "kept")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = RECALL, width: int = SHINGLE_WORDS, tokens: int = TOKENS) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each class does: the one with the smallest id; see the module's text."""
+    rows = classes(docs, id_col, text_col, threshold, recall, width, tokens).where("w_r1 is not null")
+    stays = (F.col("r1") == F.col("w_r1")) & (F.col("r2") == F.col("w_r2"))
+    # rows that leave, by the hash of all their columns, and rows that stay but are repeated
+    marks = rows.groupBy("r1", "r2").agg(F.max(stays).alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1")
+    marks = materialize(marks, "marks")
+    r1, r2 = fresh(docs, "r1"), fresh(docs, "r2")
+    told = docs.withColumns(dict(zip((r1, r2), row_hash(docs), strict=True)))
+    marks = marks.select(F.col("r1").alias(r1), F.col("r2").alias(r2), "stays")
+    kept = told.join(marks.hint("merge"), [r1, r2], "left_anti").select(*docs.columns)  # grows with the corpus: never broadcast
+    again = marks.where("stays")
+    if again.isEmpty():
+        return kept
+    # dealt anew before they are combined, so that one row's many repeats do not meet in a task
+    once = told.join(again.select(r1, r2).hint("merge"), [r1, r2], "left_semi").repartition(partitions(docs.sparkSession)).groupBy(r1, r2).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return kept.unionByName(once.select("row.*"))
