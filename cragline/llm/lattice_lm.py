@@ -1,29 +1,30 @@
 """Language-model scoring by the likelihood of subword lattices.
 
-A token (a run without white space, A-Z lower-cased) is a lattice: its edges are vocabulary pieces,
-single bytes, and, learned from the corpus, the token as a whole. Every path counts, weighted by its
-edges' probabilities, and a log-space forward recursion gives the token's marginal probability; a
-text's is the product over its tokens and the end mark.
+A token (a run without white space, A-Z lower-cased) is a lattice: its edges are the pieces of an existing
+unigram vocabulary and single bytes, each weighted by the vocabulary's own score. Every segmentation counts;
+a log-space forward recursion gives the token's marginal probability M, and a text's is the product over its
+tokens and the end mark:
 
-The vocabulary file is an existing one and is never trained. Its scores give the first weights (a
-file whose scores are merge ranks by Zipf's law, one with log-probabilities as they are). Under
-these, forward-backward over all distinct training tokens gives the expected count of each piece, and the
-counts, smoothed by the vocabulary's own weights, are the pieces' probabilities p: they say what new
-tokens are made of. Whole-token edges have the training count less a discount d (Ney's estimate from tokens seen
-once and twice), and what the discounts free is the weight of all paths over pieces:
+    score = sum over tokens of log10(M(token) (N - E) / N) + log10(E / N)
 
-    P(token) = (c - d) / N, if c > 0, + (d V / N) sum over segmentations of the product of p
+N are the training tokens, E of them end marks; a step is an end mark with chance E / N, learned from the corpus.
+The vocabulary file is an existing one and is never trained. A file whose scores are merge ranks gets weights from
+them by Zipf's law, one with log-probabilities keeps these. The weights sum to 1 and pieces that begin with the
+word mark stand first only, so the M of all tokens sum to at most 1.
 
-The pieces sum to 1 and those that begin with the word mark stand first only, so the sum over all tokens of the
-second factor is 1, and P with the end mark's share is a probability over token streams.
+Beside it ``learned_score`` gives each token an edge of its own, weighted by its training count less a discount d (Ney's
+estimate from tokens seen once and twice); what the discounts of the V distinct tokens free weighs the lattice:
+
+    P(token) = (c - d) / N, if c > 0, + (d V / N) M(token)
 
 A token's marginal does not depend on its document, so lattices are run once for each distinct
 token of the corpus. Tokens that make up at least 1/HOT_TOKENS of the corpus (at most HOT_TOKENS
-of them) are broadcast; the rest meets its documents in a shuffle join.
+of them) are broadcast; the rest meets its documents in a shuffle join. The recursion looks back over the longest
+piece only; tokens of over LONG bytes are walked in blocks, so a token of any length takes bounded memory beside itself.
 
 Defined results: a null or empty text is just the end mark; repeated rows are scored each; with no
-training rows every count is 0, the pieces keep the vocabulary's weights and the end mark has one half; a null id is
-never held out; an empty table gives an empty result.
+training rows every count is 0 and the end mark has one half; a null id is
+never held out; an empty table gives an empty result; extra columns are ignored; whole texts of any length are scored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ from .quality_rules import held_out
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT_TOKENS = 250_000
 SLOTS = 1 << 18
-CELLS = 2_000_000  #: lattice edges in memory at once
+CELLS = 1_000_000  #: lattice edges in memory at once
+LONG = 256  #: bytes from which on a token is walked by itself, in blocks
 
 
 def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
@@ -68,7 +70,7 @@ def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """Pieces in a hash table of fixed slots, with lattice recursions over many tokens of one length at once."""
+    """Pieces in a hash table of fixed slots, and the forward recursion over many tokens of one length at once."""
 
     def __init__(self, pieces: list[bytes], log_weight: np.ndarray):
         self.log = np.append(log_weight, -np.inf)  # the last stands for no piece
@@ -101,69 +103,87 @@ class Lattice:
             out[hit] = values[slot[hit]]
         return out
 
-    def _edges(self, b: np.ndarray):
-        """ids[j][l - 1]: piece that covers bytes j - l to j of each token."""
-        n, length = b.shape
-        with np.errstate(over="ignore"):
-            h = np.zeros((length + 1, n), dtype=np.uint64)
-            for j in range(length):
-                h[j + 1] = h[j] * self.base + b[:, j].astype(np.uint64) + np.uint64(1)
-            return [[self._find(h[j] - h[j - k] * self.power[k]) for k in range(1, min(j, self.longest) + 1)] for j in range(1, length + 1)]
-
-    def _forward(self, b: np.ndarray, edges) -> np.ndarray:
+    def _forward(self, b: np.ndarray) -> np.ndarray:
+        """Log marginal of each of the tokens, bytes[n, length]."""
         n, length = b.shape
+        h = np.zeros((length + 1, n), dtype=np.uint64)
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
-        for j in range(1, length + 1):
-            total = alpha[j - 1] + self.log[self.byte[b[:, j - 1]]]
-            for k, ids in enumerate(edges[j - 1], 1):
-                total = np.logaddexp(total, alpha[j - k] + self.log[ids])
-            alpha[j] = total
-        return alpha
+        with np.errstate(over="ignore"):
+            for j in range(1, length + 1):
+                h[j] = h[j - 1] * self.base + b[:, j - 1].astype(np.uint64) + np.uint64(1)
+                k = min(j, self.longest)
+                ids = self._find((h[j] - h[j - k : j] * self.power[k:0:-1, None]).ravel()).reshape(k, n)
+                alpha[j] = self._sum(alpha[j - k : j] + self.log[ids], alpha[j - 1] + self.log[self.byte[b[:, j - 1]]])
+        return alpha[-1]
+
+    @staticmethod
+    def _sum(paths: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """log of the summed exp of ``paths`` over their first axis and ``byte``, which is finite."""
+        top = np.maximum(paths.max(axis=0), byte)
+        return top + np.log(np.exp(paths - top).sum(axis=0) + np.exp(byte - top))
+
+    def _forward_long(self, raw: bytes, block: int = 4096) -> float:
+        """Log marginal of one token: edges of a block of ends at once, then its sums one by one over the last ``longest``."""
+        k = self.longest
+        data = np.frombuffer(raw, dtype=np.uint8)
+        alpha = [-math.inf] * (k - 1) + [0.0]  # of the ends before the block, the last one last
+        h = np.zeros(k, dtype=np.uint64)  # hashes of the beginnings there; those before the token match nothing
+        real = 1
+        with np.errstate(over="ignore"):
+            for s in range(0, len(data), block):
+                b = data[s : s + block]
+                hashes = np.empty(k + len(b), dtype=np.uint64)
+                hashes[:k] = h
+                x = int(h[-1])
+                for i, v in enumerate(b.tolist()):
+                    x = (x * int(self.base) + v + 1) & 0xFFFFFFFFFFFFFFFF
+                    hashes[k + i] = x
+                windows = np.lib.stride_tricks.sliding_window_view(hashes, k)[: len(b)]  # beginnings of pieces that end at each byte
+                ids = self._find((hashes[k:, None] - windows * self.power[k:0:-1]).ravel()).reshape(len(b), k)
+                if real < k:  # beginnings before the token's own
+                    at = np.arange(len(b))[:, None] + np.arange(k) < k - real
+                    ids[at] = self.none
+                end, start = np.nonzero(ids != self.none)  # few pieces end at a byte
+                weight = self.log[ids[end, start]].tolist()
+                first = np.searchsorted(end, np.arange(len(b) + 1)).tolist()
+                start = (end + start).tolist()
+                byte = self.log[self.byte[b]].tolist()
+                line = alpha + byte  # the block's own values are put in place one by one
+                for i in range(len(b)):
+                    paths = [line[start[e]] + weight[e] for e in range(first[i], first[i + 1])]
+                    paths.append(line[i + k - 1] + byte[i])
+                    top = max(paths)
+                    line[i + k] = top + math.log(sum([math.exp(p - top) for p in paths]))
+                alpha, h, real = line[-k:], hashes[-k:], min(k, real + len(b))
+        return alpha[-1]
 
     def _batches(self, words: list[bytes]):
         """(index, bytes[n, length]) of words of one length, the word mark included."""
-        length = np.array([len(w) for w in words]) + 1
-        for size in np.unique(length):
+        length = np.array([len(w) for w in words], dtype=np.int64) + 1
+        for size in np.unique(length[length <= LONG]):
             at = np.flatnonzero(length == size)
             step = max(1, CELLS // (int(size) * min(int(size), self.longest)))
             for g in range(0, len(at), step):
                 some = at[g : g + step]
                 yield some, np.frombuffer(b"".join(b" " + words[i] for i in some), dtype=np.uint8).reshape(len(some), size)
 
-    def marginals(self, words: list[bytes], whole: np.ndarray | None = None, freed: float = 1.0) -> np.ndarray:
-        """Natural log of each word's marginal probability. ``whole``: log weight of the edge that is the whole word;
-        ``freed``: weight of the paths over pieces."""
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of each word's marginal probability over all its segmentations."""
         out = np.zeros(len(words))
         with np.errstate(invalid="ignore"):
             for at, b in self._batches(words):
-                out[at] = self._forward(b, self._edges(b))[-1]
-        out += math.log(freed) if freed > 0 else -np.inf
-        return out if whole is None else np.logaddexp(out, whole)
+                out[at] = self._forward(b)
+            for i, w in enumerate(words):
+                if len(w) >= LONG:
+                    out[i] = self._forward_long(b" " + w)
+        return out
 
-    def expected(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in the words, each taken ``count`` times."""
-        out = np.zeros(self.none + 1)
-        with np.errstate(invalid="ignore"):
-            for at, b in self._batches(words):
-                n, length = b.shape
-                edges = self._edges(b)
-                alpha = self._forward(b, edges)
-                beta = np.full((length + 1, n), -np.inf)
-                beta[length] = 0
-                weight = count[at]
-                for j in range(length, 0, -1):
-                    for k, ids in [*enumerate(edges[j - 1], 1), (1, self.byte[b[:, j - 1]])]:
-                        step = self.log[ids] + beta[j]
-                        beta[j - k] = np.logaddexp(beta[j - k], step)
-                        out += np.bincount(ids, np.exp(np.minimum(alpha[j - k] + step - alpha[length], 0.0)) * weight, self.none + 1)
-        return out[:-1]
-
-
-def whole_edges(count: np.ndarray, discount: float, n: int) -> np.ndarray:
-    """Log weight of whole-token edges: (count - discount) / n, none for tokens that training has not seen."""
+
+def with_whole_edges(marginal: np.ndarray, count: np.ndarray, discount: float, n: int, freed: float) -> np.ndarray:
+    """Natural log of (count - discount) / n, if seen, + freed * marginal."""
     with np.errstate(divide="ignore"):
-        return np.log(np.maximum(count - discount, 0.0) / max(n, 1))
+        return np.logaddexp(np.log(np.maximum(count - discount, 0.0) / max(n, 1)), marginal + np.log(freed))
 
 
 def _counts(train_col: str, flush: int = 400_000):
@@ -190,8 +210,8 @@ def _counts(train_col: str, flush: int = 400_000):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, modulus: int = 7, remainder: int = 2, smoothing: float = 1000.0) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, modulus: int = 7, remainder: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned_score) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out("doc_id", modulus, remainder)).withColumn("learn", ~F.col("held_out"))
@@ -202,43 +222,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     n, distinct, every, once, twice = words.agg(F.coalesce(F.sum("c_train"), F.lit(0)), F.count_if(F.col("c_train") > 0), F.coalesce(F.sum("c_all"), F.lit(0)), *seen).first()
     n, v = n + ends, distinct + (ends > 0)
     discount = once / (once + 2 * twice) if once else 0.5
-    freed = discount * distinct / n if n else 0.5  # weight of the paths over pieces
-
-    pieces, prior = read_vocabulary(vocabulary)
-    first = spark.sparkContext.broadcast((pieces, prior))
-
-    def expect(batches):
-        lattice, total = Lattice(*first.value), np.zeros(len(first.value[0]))
-        for batch in batches:
-            total += lattice.expected(column(batch, "word").to_pylist(), np.ones(batch.num_rows))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["piece", "n"])
+    freed = discount * distinct / n if distinct else 0.5
 
-    gathered = words.where("c_train > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    count = np.exp(prior) * smoothing  # one number for each piece of the vocabulary, whatever the corpus
-    count[gathered["piece"].to_numpy(np.int64)] += gathered["n"].to_numpy()
-    log_end = math.log10(ends / n) if ends else math.log10(0.5)
-    model = spark.sparkContext.broadcast((pieces, np.log(count / count.sum())))
+    p_end = ends / n if n > ends else 0.5
+    log_end, log_more = math.log10(p_end), math.log10(1 - p_end)
+    model = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def lattices(batches):
         lattice = Lattice(*model.value)
         for batch in batches:
-            value = lattice.marginals(column(batch, "word").to_pylist(), whole_edges(column(batch, "c_train").to_numpy(), discount, n), freed) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("word", "c_train", "c_all")), pa.array(value)], names=["word", "c_train", "c_all", "lattice"])
+            count = column(batch, "c_train").to_numpy()
+            value = lattice.marginals(column(batch, "word").to_pylist())
+            learned = with_whole_edges(value, count, discount, n, freed) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("word", "c_train", "c_all")), pa.array(value / math.log(10) + log_more), pa.array(learned)], names=["word", "c_train", "c_all", "lattice", "learned"])
 
-    scored = materialize(words.mapInArrow(lattices, "word binary, c_train long, c_all long, lattice double"), "scored")
+    scored = materialize(words.mapInArrow(lattices, "word binary, c_train long, c_all long, lattice double, learned double"), "scored")
     least = max(1, -(-every // HOT_TOKENS))
-    hot = scored.where(F.col("c_all") >= least).select("word", "c_train", "lattice").toPandas()
-    table = spark.sparkContext.broadcast({w: (math.log10(c + 1), int(c > 0), x) for w, c, x in zip(hot["word"].map(bytes), hot["c_train"], hot["lattice"], strict=True)})
-    names = ["row", "doc_id", "held_out", "word", "tf", "tokens", "known", "base", "marginal"]
+    hot = scored.where(F.col("c_all") >= least).select("word", "c_train", "lattice", "learned").toPandas()
+    table = spark.sparkContext.broadcast({w: (math.log10(c + 1), int(c > 0), x, y) for w, c, x, y in zip(hot["word"].map(bytes), hot["c_train"], hot["lattice"], hot["learned"], strict=True)})
 
     def look_up(batches):
         hot, part, k = table.value, TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in PARTS]
             for ident, text, held in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), column(batch, "held_out").to_pylist(), strict=True):
                 count = Counter((text.as_py() or "").encode().lower().split())
-                base = marginal = 0.0
+                base = marginal = learned = 0.0
                 known = tokens = 0
                 cold = []
                 for w, tf in count.items():
@@ -247,36 +256,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                         base += tf * got[0]
                         known += tf * got[1]
                         marginal += tf * got[2]
+                        learned += tf * got[3]
                     else:
                         cold.append((w, tf))
                 row = part + k
                 k += 1
-                m = len(cold) + 1
+                m = len(cold)
                 own = b" %d" % row  # no token holds a space: this row meets none, and such rows spread evenly
-                for o, x in zip(out, ([row] * m, [ident] + [None] * (m - 1), [held] + [None] * (m - 1), [own, *(w for w, _ in cold)], [0, *(t for _, t in cold)], [tokens] + [0] * (m - 1), [known] + [0] * (m - 1), [base] + [0.0] * (m - 1), [marginal] + [0.0] * (m - 1)), strict=True):
-                    o.extend(x)
+                first = (row, ident, held, own, 0, tokens, known, base, marginal, learned)
+                rest = ([row] * m, [None] * m, [None] * m, [w for w, _ in cold], [t for _, t in cold], [0] * m, [0] * m, [0.0] * m, [0.0] * m, [0.0] * m)
+                for o, x, more in zip(out, first, rest, strict=True):
+                    o.append(x)
+                    o.extend(more)
                 if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, TYPES, strict=True)], names=names)
-                    out = [[] for _ in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, PARTS.values(), strict=True)], names=list(PARTS))
+                    out = [[] for _ in PARTS]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, TYPES, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, PARTS.values(), strict=True)], names=list(PARTS))
 
-    parts = rows.select("doc_id", "text", "held_out").mapInArrow(look_up, "row long, doc_id long, held_out boolean, word binary, tf long, tokens long, known long, base double, marginal double")
-    cold = scored.where(F.col("c_all") < least).select(F.col("word").alias("w"), F.log10(F.col("c_train") + F.lit(1.0)).alias("lb"), (F.col("c_train") > 0).cast("long").alias("lk"), "lattice")
+    parts = rows.select("doc_id", "text", "held_out").mapInArrow(look_up, "row long, doc_id long, held_out boolean, word binary, tf long, tokens long, known long, base double, marginal double, learned double")
+    cold = scored.where(F.col("c_all") < least).select(F.col("word").alias("w"), F.log10(F.col("c_train") + F.lit(1.0)).alias("lb"), (F.col("c_train") > 0).cast("long").alias("lk"), "lattice", F.col("learned").alias("ll"))
     # a document's own sums ride on one row more, so documents are read once
     joined = parts.join(cold, parts["word"] == cold["w"], "left")
+    with_cold = lambda own, each: F.sum(F.col(own) + F.col("tf") * F.coalesce(F.col(each), F.lit(0))).alias(own)
     both = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("tokens"),
-        F.sum(F.col("known") + F.col("tf") * F.coalesce("lk", F.lit(0))).alias("n_known"),
-        F.sum(F.col("base") + F.col("tf") * F.coalesce("lb", F.lit(0.0))).alias("base"),
-        F.sum(F.col("marginal") + F.col("tf") * F.coalesce("lattice", F.lit(0.0))).alias("marginal"),
+        with_cold("known", "lk"), with_cold("base", "lb"), with_cold("marginal", "lattice"), with_cold("learned", "ll"),
     )
     per_token = math.log10(n + 1 * (v + 1))
-    end = ends  # the end mark's count
     return both.select(
-        "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(end > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + math.log10(end + 1) - (F.col("tokens") + 1) * per_token).alias("base_score"), (F.col("marginal") + log_end).alias("score"),
+        "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + math.log10(ends + 1) - (F.col("tokens") + 1) * per_token).alias("base_score"), (F.col("marginal") + log_end).alias("score"), (F.col("learned") + log_end).alias("learned_score"),
     )
 
 
-TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+PARTS = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "word": pa.binary(), "tf": pa.int64(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "marginal": pa.float64(), "learned": pa.float64()}
