@@ -1,22 +1,27 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a whole text (a header may stand anywhere), every run of up to RUN neighbouring
-lines and every window of a template's own number of words, across and within lines, is a sparse TF-IDF
-vector compared with the templates, so wrapping and the rest of a long line do not decide. Document
+Templates are short notices, whole licence texts (the files in ``licences/``) and the openings of these. A whole text is
+compared as a file with the whole licences; and every line (a header may stand anywhere), every run of up to RUN
+neighbouring lines and every window of a template's own number of words, across and within lines, with the
+notices, the licences of at most LONG words and the openings, so wrapping and the rest of a long line do not decide.
+All are sparse TF-IDF vectors. Document
 frequencies of all terms are counted over all lines of the corpus. A term weighs by the share of lines that
 hold it; shares under LEAST_SHARE weigh like LEAST_SHARE, so that the weight of rare words does not grow with
-the corpus, and only the terms above it, a bounded number, are sent. Lines that cannot reach the threshold
-are skipped exactly: by Cauchy-Schwarz a line must hold an anchor term, one of those without which a
+the corpus, and only the terms above it, a bounded number, are sent. Texts that cannot reach a template's threshold
+are skipped exactly: by Cauchy-Schwarz they must hold an anchor term, one of those without which the
 template's remaining mass is below the threshold.
 
+A match with a licence's own text or notice counts before one with an opening or a sentence that several licences share, and
+"All rights reserved" only where nothing else matches.
+
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory,
 found by joining directories' ancestor paths to directories with licence files. Directories, not files,
-are walked, and files join their directory with hot directories broadcast (a bounded number).
+are walked, and both joins broadcast their hot keys (a bounded number), such as a root with a licence.
 
 Defined results: null or empty texts have no licence of their own; a null path is a file without
 directory, which inherits nothing; ties go to the higher cosine, then the template's name, and among
 licence files of a directory to the smallest path; repeated rows are files each; no templates or an
-empty table give no licences.
+empty table give no licences; whole texts of any length are searched; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,9 @@ from .common import column, join_hot, materialize
 
 RUN = 3  #: neighbouring lines that may make one header
 LEAST_COSINE = 0.7
+LEAST_LONG = 0.9  #: for whole files, and for templates of over SHORT words
+SHORT, LONG = 60, 300  #: words of an opening; most words of a whole licence that is searched for within texts
+OWN, SHARED, LAST = 0, 1, 2  #: what a template says: its licence, one of several, or that rights are reserved
 LEAST_SHARE = 1e-4  #: share of lines under which all terms weigh alike
 FLUSH_TERMS = 500_000
 #: Short public notices of common licences, as they stand in file headers.
@@ -44,7 +54,7 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
@@ -52,6 +62,10 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved."],
 }
 
+#: Notices that do not name one licence.
+RANK = {"BSD": SHARED, "Proprietary": LAST}
+FOLDER = Path(__file__).with_name("licences")
+
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -59,52 +73,72 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _vocabulary(templates: dict[str, list[str]]) -> list[str]:
-    return sorted({t for texts in templates.values() for x in texts for t in terms(x)})
+def whole_licences(folder: Path = FOLDER) -> dict[str, str]:
+    """Name and text of each licence file."""
+    return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(folder.glob("*.txt"))}
+
+
+def _vocabulary(templates: dict[str, list[str]], whole: dict[str, str] | None = None) -> list[str]:
+    texts = [x for xs in templates.values() for x in xs] + list((whole or {}).values())
+    return sorted({t for x in texts for t in terms(x)})
+
+
+@dataclass
+class Template:
+    name: str
+    rank: int
+    vector: dict[str, float]
+    size: int  #: words
+    least: float
+    anchors: set[str]  #: without one of these the cosine is below ``least``
 
 
 class Templates:
     """TF-IDF vectors of the templates, weights of other terms, and the anchors of a threshold."""
 
-    def __init__(self, templates: dict[str, list[str]], df: dict[str, int], lines: int, least: float):
-        self.least, self.names = least, []
+    def __init__(self, templates: dict[str, list[str]], df: dict[str, int], lines: int, least: float, whole: dict[str, str] | None = None):
+        whole = whole or {}
         weight = lambda n: 1 - math.log(max((n + 1) / (lines + 1), LEAST_SHARE))
-        self.idf = {t: weight(df.get(t, 0)) for t in df.keys() | set(_vocabulary(templates))}
+        self.idf = {t: weight(df.get(t, 0)) for t in df.keys() | set(_vocabulary(templates, whole))}
         self.foreign = weight(0)
-        self.vectors: list[dict[str, float]] = []
-        self.sizes: list[int] = []  # words of each template
-        self.anchors: list[set[str]] = []  # without one of these a template's cosine is below the threshold
-        for name in sorted(templates):
-            for text in templates[name]:
-                v = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
-                norm = math.sqrt(sum(x * x for x in v.values()))
-                if not norm:
-                    continue
-                v = {t: x / norm for t, x in v.items()}
-                self.names.append(name)
-                self.vectors.append(v)
-                self.sizes.append(len(terms(text)))
-                own: set[str] = set()
-                mass = 1.0
-                for t in sorted(v, key=lambda t: (-v[t], t)):
-                    if mass < least * least * 0.999:
-                        break
-                    own.add(t)
-                    mass -= v[t] ** 2
-                self.anchors.append(own)
-        anchors = set().union(*self.anchors)
+        self.notices = self._made((name, RANK.get(name, OWN), terms(x), least) for name in sorted(templates) for x in templates[name])
+        self.files = self._made((name, OWN, terms(x), max(least, LEAST_LONG)) for name, x in sorted(whole.items()))
+        inside = [(name, OWN, w, max(least, LEAST_LONG)) for name, x in sorted(whole.items()) if len(w := terms(x)) <= LONG]
+        inside += [(name, SHARED, terms(x)[:SHORT], least) for name, x in sorted(whole.items())]
+        self.inside = self.notices + self._made(inside)
+        anchors = set().union(*(t.anchors for t in self.inside + self.files)) if self.inside + self.files else set()
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors, key=lambda a: (-len(a), a)))) + r")(?![a-z0-9])") if anchors else None
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        count = Counter(words)
-        weight = {t: n * self.idf.get(t, self.foreign) for t, n in count.items()}
-        norm = math.sqrt(sum(x * x for x in weight.values()))
-        top = None
-        for name, v in zip(self.names, self.vectors, strict=True):
-            cosine = sum(x * weight[t] for t, x in v.items() if t in weight) / norm
-            if cosine >= self.least and (top is None or cosine > top[0]):
-                top = (cosine, name)
-        return top
+    def _made(self, rows) -> list[Template]:
+        out = []
+        for name, rank, words, least in rows:
+            v, norm = self._vector(words)
+            if not norm:
+                continue
+            v = {t: x / norm for t, x in v.items()}
+            own: set[str] = set()
+            mass = 1.0
+            for t in sorted(v, key=lambda t: (-v[t], t)):
+                if mass < least * least * 0.999:
+                    break
+                own.add(t)
+                mass -= v[t] ** 2
+            out.append(Template(name, rank, v, len(words), least, own))
+        return out
+
+    def _vector(self, words: list[str]) -> tuple[dict[str, float], float]:
+        v = {t: n * self.idf.get(t, self.foreign) for t, n in Counter(words).items()}
+        return v, math.sqrt(sum(x * x for x in v.values()))
+
+    def best(self, words: list[str], among: list[Template] | None = None) -> tuple[int, float, str] | None:
+        """(rank, cosine, name) of the best of ``among``, the notices by default, for all of the words."""
+        weight, norm = self._vector(words)
+        found = []
+        for t in self.notices if among is None else among:
+            cosine = sum(x * weight[w] for w, x in t.vector.items() if w in weight) / norm
+            if cosine >= t.least:
+                found.append((t.rank, cosine, t.name))
+        return min(found, key=lambda f: (f[0], -f[1], f[2]), default=None)
 
     def find(self, text: str) -> tuple[float, str, int] | None:
         """(cosine, template, line) of the best match in a whole text."""
@@ -113,6 +147,8 @@ class Templates:
         low = text.lower()
         if not self.anchor.search(low):
             return None
+        if self.files and (got := self.best(terms(low), self.files)):
+            return got[1], got[2], 0
         lines = low.split("\n")
         hit = [i for i, x in enumerate(lines) if self.anchor.search(x)]
         top = None
@@ -120,11 +156,16 @@ class Templates:
             words: list[str] = []
             for j in range(i, min(len(lines), i + RUN)):
                 words = words + terms(lines[j])
-                if words and (got := self.best(words)) and (top is None or got[0] > top[0]):
+                if words and (got := self.best(words)) and self._better(got, top):
                     top = (*got, i)
-        return self._windows(low, top)
+        top = self._windows(low, top)
+        return top and top[1:]
+
+    @staticmethod
+    def _better(got: tuple, top: tuple | None) -> bool:
+        return top is None or got[0] < top[0] or (got[0] == top[0] and got[1] > top[1] + 1e-12)
 
-    def _windows(self, low: str, top: tuple[float, str, int] | None) -> tuple[float, str, int] | None:
+    def _windows(self, low: str, top: tuple[int, float, str, int] | None) -> tuple[int, float, str, int] | None:
         """The better of ``top`` and the best window of a template's own length that holds one of its anchors."""
         found = list(_TERM.finditer(low))
         words = [m[0] for m in found]
@@ -132,12 +173,14 @@ class Templates:
         for i, w in enumerate(words):
             if w in self.idf:
                 places.setdefault(w, []).append(i)
-        enough = self.least * self.least * 0.999
-        for name, v, size, own in zip(self.names, self.vectors, self.sizes, self.anchors, strict=True):
-            if sum(x * x for t, x in v.items() if t in places) < enough:  # Cauchy-Schwarz
+        for t in self.inside:
+            if top is not None and t.rank > top[0]:
+                continue
+            v, size, enough = t.vector, t.size, t.least * t.least * 0.999
+            if sum(x * x for w, x in v.items() if w in places) < enough:  # Cauchy-Schwarz
                 continue
             spans: list[list[int]] = []
-            for p in sorted(p for t in own for p in places.get(t, ())):
+            for p in sorted(p for w in t.anchors for p in places.get(w, ())):
                 if spans and p - size + 1 <= spans[-1][1]:
                     spans[-1][1] = p + size
                 else:
@@ -145,11 +188,11 @@ class Templates:
             for start, end in spans:
                 part = words[start:end]
                 held = set(part)
-                if sum(x * x for t, x in v.items() if t in held) < enough:
+                if sum(x * x for w, x in v.items() if w in held) < enough:
                     continue
-                got = self._slide(part, v, size)
-                if got[0] >= self.least and (top is None or got[0] > top[0] + 1e-12):
-                    top = (got[0], name, low.count("\n", 0, found[start + got[1]].start()))
+                cosine, first = self._slide(part, v, size)
+                if cosine >= t.least and self._better((t.rank, cosine), top):
+                    top = (t.rank, cosine, t.name, low.count("\n", 0, found[start + first].start()))
         return top
 
     def _slide(self, words: list[str], v: dict[str, float], size: int) -> tuple[float, int]:
@@ -194,14 +237,15 @@ def _counted(count: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
 
 
-def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
+def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE, whole: dict[str, str] | None = None) -> DataFrame:
     """files(doc_id, path, text) -> (doc_id, path, words, own_license, cosine, line)."""
-    templates = TEMPLATES if templates is None else templates
+    if templates is None:
+        templates, whole = TEMPLATES, whole_licences() if whole is None else whole
     counts = materialize(files.select("text").mapInArrow(_term_lines, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     lines = (counts.where("term = ''").first() or {"n": 0})["n"]
     # at most the terms of a mean line over LEAST_SHARE rows, whatever the corpus
     df = {r["term"]: r["n"] for r in counts.where((F.col("term") != "") & (F.col("n") + 1 >= LEAST_SHARE * (lines + 1))).collect()}
-    model = files.sparkSession.sparkContext.broadcast(Templates(templates, df, lines, least))
+    model = files.sparkSession.sparkContext.broadcast(Templates(templates, df, lines, least, whole))
 
     def run(batches):
         for batch in batches:
@@ -214,23 +258,28 @@ def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, lea
     return files.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, words long, own_license string, cosine double, line long")
 
 
-def scan(docs: DataFrame, path: Column, licence_file: Column | None = None, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
+def scan(docs: DataFrame, path: Column, licence_file: Column | None = None, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE, whole: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, path, own_license, cosine, license, inherited_from) of every row.
 
+    ``templates``: notices by name, by default TEMPLATES with the texts of ``whole_licences``; ``whole``: texts by name.
     ``licence_file``: which files speak for their directory, over doc_id, path, words and own_license;
     by default those named LICENSE, LICENCE, COPYING or NOTICE.
     """
     if licence_file is None:
         licence_file = F.lower(F.regexp_extract("path", "[^/]*$", 0)).rlike("^(licen[cs]e|copying|notice)(\\.[a-z]+)?$")
     files = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    found = matches(files, templates, least).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), "")))
+    found = matches(files, templates, least, whole).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), "")))
     found = materialize(found, "licences")
     given = found.where(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & licence_file).groupBy("dir").agg(F.min(F.struct("path", "own_license")).alias("f"))
     given = given.select(F.col("dir").alias("up"), F.col("f.own_license").alias("license"), F.col("f.path").alias("inherited_from"))
     dirs = found.where("dir is not null").groupBy("dir").agg(F.count("*").alias("files"))
     parts = F.split("dir", "/")
     ups = dirs.select("dir", "files", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.concat_ws("/", F.slice(parts, 1, k)).alias("up")))).alias("u")).select("dir", "files", "u.*").dropDuplicates(["dir", "up"])
-    nearest = ups.join(given, "up").groupBy("dir", "files").agg(F.max_by(F.struct("license", "inherited_from"), "depth").alias("g"))
+    ups = materialize(ups, "ancestors")
+    below = ups.groupBy("up").agg(F.count("*").alias("n"))
+    given = materialize(given.join(below, "up"), "given")  # a root with a licence has every directory below it
+    nearest = join_hot(ups, given, ["up"], "n", ups.count()).where("license is not null")
+    nearest = nearest.groupBy("dir", "files").agg(F.max_by(F.struct("license", "inherited_from"), "depth").alias("g"))
     nearest = materialize(dirs.join(nearest.select("dir", "g.license", "g.inherited_from"), "dir", "left"), "nearest")
     out = join_hot(found, nearest, ["dir"], "files", found.count())
     return out.select("doc_id", "path", "own_license", "cosine", F.coalesce("own_license", "license").alias("license"), F.when(F.col("own_license").isNull(), F.col("inherited_from")).alias("inherited_from"))

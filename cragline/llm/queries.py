@@ -32,9 +32,12 @@ def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # documents have no paths: they lie in source/language/hundred; a short text with a licence speaks for its directory
+    # documents have no paths: most lie in source/language/hundred, every tenth one or two directories higher;
+    # a short text with a licence speaks for its directory and what is below it
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    source, lang, hundred = F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string")
+    name, tenth = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.pmod("doc_id", F.lit(10))
+    path = F.when(tenth == 0, F.concat_ws("/", source, lang, name)).when(tenth == 1, F.concat_ws("/", source, name)).otherwise(F.concat_ws("/", source, lang, hundred, name))
     return license_scan.scan(docs, path, F.col("words") <= 100)
 
 
