@@ -8,7 +8,8 @@ Spark column expression, so scoring runs inside the JVM over statistics of whole
 Defined results: a null or empty text has zero for every statistic and gets a score like any other;
 without usable labels of both kinds every score is the share of good labels (0.5 without labels);
 labels that are null or neither 0 nor 1 are not learned from, and of repeated labels of a document
-the largest counts; repeated rows are scored alike; a null id is never held out.
+the largest counts; repeated rows are scored alike; a null id is never held out; an empty table gives an empty result;
+whole texts of any length are scored; extra columns are ignored, and stay in what ``keep_good`` returns.
 """
 
 from __future__ import annotations
@@ -239,23 +240,26 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, cut: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
-    stats = materialize(statistics(docs, id_col, text_col), "statistics")
-    out = held_out("doc_id", modulus, remainder)
-    sample = labelled_sample(stats, labels, label_col, out, fit_rows).select("y", *STATISTICS).toPandas()
-    model = fit_rules(sample[STATISTICS].to_numpy(float), sample["y"].to_numpy(float))
-    return stats.select("doc_id", out.alias("held_out"), model.column().alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``; decided row by row, so nothing but the bounded sample moves."""
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, remainder: int, fit_rows: int) -> Ensemble:
+    """The ensemble fitted on the statistics of at most ``fit_rows`` labelled rows."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     sample = labelled_sample(ids, labels, label_col, held_out("doc_id", modulus, remainder), fit_rows).dropDuplicates(["doc_id"])
     sample = materialize(sample, "sample")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``fit_rows`` ids
     known = statistics(texts).join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).toPandas().sort_values(["doc_id", *STATISTICS])
-    model = fit_rules(known[STATISTICS].to_numpy(float), known["y"].to_numpy(float))
+    return fit_rules(known[STATISTICS].to_numpy(float), known["y"].to_numpy(float))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, cut: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; once the rules are fitted, one pass without a shuffle."""
+    model = learned(docs, labels, id_col, text_col, label_col, modulus, remainder, fit_rows)
+    scored = statistics(docs, id_col, text_col).select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``; decided row by row, so nothing but the bounded sample moves."""
+    model = learned(docs, labels, id_col, text_col, label_col, modulus, remainder, fit_rows)
     prefix = fresh(docs, "statistic")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
