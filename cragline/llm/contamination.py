@@ -15,11 +15,13 @@ At containment 0.8 the Jaccard share is over 0.19, so a copy is missed with chan
 0.81 ** 64 = 1.4e-6; a whole copy with chance under 0.75 ** 64 = 1e-8.
 
 The benchmark is the stated query set: it is sent to the documents in chunks of about CHUNK_WORDS
-words, as many passes as that takes; a chunk is the only thing ever broadcast.
+words, one at a time and as many passes as that takes; what a pass finds is written and its chunk dropped before the next
+is read, so neither the driver nor an executor ever holds more than one chunk.
 
 Defined results: null or empty texts and items match nothing; an item of one to four words is one
 shingle, matched against runs of as many words; repeated items and rows each give their own result
-rows; empty tables give an empty result; ids may be null.
+rows; empty tables give an empty result; ids may be null; whole texts of any length are searched; extra columns are
+ignored, and stay in what ``decontaminate`` returns.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, Words, column, seeds, text_slices
+from .common import SHINGLE_WORDS, Words, column, materialize, seeds, text_slices
 
 TOKENS = 64
 LEAST = 8  #: shingles of the smallest block
@@ -179,21 +181,21 @@ class Items:
         return np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
 
 
-def chunks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> Iterator[Broadcast]:
-    """The benchmark in broadcast parts of about ``chunk_words`` words."""
+def chunks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark in broadcast parts of about ``chunk_words`` words, each with whether it is the only one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (chunk_words * 6)))
     for c in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], width))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], width)), n == 1
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, chunk_words: int = CHUNK_WORDS, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment): every document and item that it holds."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for sent in chunks(benchmark, item_col, item_text_col, chunk_words, width):
+    for sent, only in chunks(benchmark, item_col, item_text_col, chunk_words, width):
 
         def run(batches, sent=sent):
             chunk = sent.value
@@ -210,13 +212,16 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                         )
 
         part = slim.mapInArrow(run, FOUND)
+        if not only:
+            part = materialize(part, "found")
+            sent.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; decided row by row, without a join."""
-    for sent in chunks(benchmark, **options):
+    for sent, only in chunks(benchmark, **options):
 
         def run(batches, sent=sent):
             chunk = sent.value
@@ -227,4 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = materialize(docs, "clean")
+            sent.unpersist()
     return docs
