@@ -1,6 +1,7 @@
 """Best-fit packing of documents into fixed-length bins under conflicts.
 
-Documents are dealt to groups of bounded size by hash of the id, so a hot source spreads evenly. In a
+Documents are dealt to groups of bounded size by hash of the id, so a hot source spreads evenly; rows repeated in id,
+length and text are told apart by their place in the input, so that they spread too. In a
 group, pieces are placed in order of falling length. Open bins are ordered by residual room; each
 carries a bitmap of the sources and one of the duplicate clusters that it holds. The search starts
 at the successor of the piece's length and goes on to the next larger residual until the tightest
@@ -11,15 +12,17 @@ Length: words (runs without white space) plus one end mark. A longer document is
 bins and a rest, none of it is dropped. Defined results: a null or empty text has length 1; a null
 source conflicts with nothing, equal texts after lower-casing and squeezing white space are a
 duplicate cluster (empty texts are none); repeated rows are placed each; an empty table packs into
-no bins; extra columns are ignored.
+no bins; whole texts of any length are placed; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ GROUP_ROWS = 8_000  #: documents that a group aims at
 
 
 def _measure(batches):
+    seen: Counter = Counter()  # how often the partition has held an id, length and cluster
+    part = TaskContext.get().partitionId() + 1
     for batch in batches:
         for a, b, data, offsets in text_slices(column(batch, "text")):
             w = Words(data, offsets)
@@ -39,8 +44,12 @@ def _measure(batches):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
                 cluster = (sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64)
             count = np.diff(w.first)
+            again = []
+            for key in zip(column(batch, "doc_id").slice(a, b - a).to_pylist(), count.tolist(), cluster.tolist(), strict=True):
+                seen[key] += 1
+                again.append(0 if seen[key] == 1 else (part << 32) + seen[key])
             arrays = [column(batch, c).slice(a, b - a) for c in ("doc_id", "source")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(count.astype(np.int64) + 1), pa.array(cluster, mask=count == 0)], names=["doc_id", "source", "length", "cluster"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(count.astype(np.int64) + 1), pa.array(cluster, mask=count == 0), pa.array(again, pa.int64())], names=["doc_id", "source", "length", "cluster", "again"])
 
 
 class Bins:
@@ -103,9 +112,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(doc_id, piece, length, bin_group, bin, offset): where every piece of every row lies."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
     groups = max(1, -(-slim.count() // group_rows))
-    measured = slim.mapInArrow(_measure, "doc_id long, source string, length long, cluster long")
-    dealt = measured.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "length", "cluster"), F.lit(groups)))
-    dealt = dealt.repartition(max(partitions(docs.sparkSession), 1), "bin_group").sortWithinPartitions("bin_group", "doc_id", "length", "cluster")
+    measured = slim.mapInArrow(_measure, "doc_id long, source string, length long, cluster long, again long")
+    dealt = measured.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "length", "cluster", "again"), F.lit(groups)))
+    dealt = dealt.repartition(max(partitions(docs.sparkSession), 1), "bin_group").sortWithinPartitions("bin_group", "doc_id", "length", "cluster", "again")
 
     def run(batches):
         for table in whole_groups(batches, "bin_group", rows=1):
