@@ -352,7 +352,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
     total = signed.count()
     who = F.struct(F.col("id").isNull().alias("no_id"), *WHO)
     reps = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(who).alias("who"), F.count("*").alias("n"), F.first("shingles").alias("shingles"), F.first("tokens").alias("tokens"))
-    reps = materialize(reps.withColumn("node", F.col("k1")), "sets")
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "sets")
     edges, buckets = candidates(reps, threshold, recall, tokens)
     groups = components(edges)
 
