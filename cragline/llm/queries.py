@@ -117,5 +117,59 @@ WHERE c >= 0.8::DOUBLE * n - 1e-9
 """
 
 
+
+
+def _found(kind: str, pattern: str, value: str = "{found}") -> str:
+    """Matches of ``pattern`` with their places: running lengths of what lies between matches and of these."""
+    rank = secret_scan.KINDS.index(kind)
+    return f"""SELECT row, {rank} AS rank, '{kind}' AS kind, unnest(range(len(m))) AS i, unnest(m) AS found, unnest(list_transform(gaps[1:len(m)], lambda x: length(x))) AS gap, {value.format(found="unnest(m)")} AS value
+    FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS gaps FROM t)"""
+
+
+_ASSIGN = secret_scan.ASSIGN_RE.replace("'", "''")
+_ASSIGN_ALL = _ASSIGN.replace("([A-Za-z", "(?:[A-Za-z")
+OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+f AS ({_found('assign', _ASSIGN_ALL, "regexp_extract({found}, '" + _ASSIGN + "', 1)")}
+  UNION ALL {_found('access', 'AKIA[A-Z0-9]+')} UNION ALL {_found('hex', '[0-9a-f]+')} UNION ALL {_found('opaque', '[A-Za-z0-9+/_-]+')}),
+s AS (SELECT row, rank, kind, value, sum(gap + length(found)) OVER (PARTITION BY row, rank ORDER BY i)::BIGINT AS e, length(found) AS n FROM f),
+c AS (SELECT row, rank, kind, value, e - n AS b, e FROM s WHERE CASE kind WHEN 'assign' THEN length(value) >= 6 WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
+  ELSE n >= 20 AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z]') END),
+k AS (SELECT c.*, source, concat_ws('/', source, lang) AS repository FROM c JOIN t USING (row)
+  WHERE kind <> 'opaque' OR NOT EXISTS (SELECT 1 FROM c x WHERE x.row = c.row AND x.kind <> 'opaque' AND x.b < c.e AND c.b < x.e)),
+o AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS owners FROM k GROUP BY value),
+v AS (SELECT k.*, kind || ':' || b || ':' || e AS span, CASE WHEN owners >= {secret_scan.COPIED} THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS verdict FROM k JOIN o USING (value)
+  WHERE kind <> 'opaque' OR owners < {secret_scan.COPIED}),
+a AS (SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY b, rank) FILTER (WHERE kind <> 'opaque') AS base, string_agg(span, ',' ORDER BY b, rank) AS spans,
+  count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'shared') AS n_shared, count(*) FILTER (WHERE verdict = 'example') AS n_example FROM v GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM t LEFT JOIN a USING (row)
+"""
+
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+OP8 = f"""
+WITH RECURSIVE bits AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text IS NULL AS no_text, coalesce(text, '') AS text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size FROM documents),
+h AS MATERIALIZED (SELECT row, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (instr('123456789ABCDEF', left(h, 1)) * 16 + instr('123456789ABCDEF', right(h, 1)))::BIGINT)),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM t, bits),
+g0 AS MATERIALIZED (SELECT text, no_text, min(doc_id) AS first, count(*) AS n, sum(size)::BIGINT AS bytes FROM t GROUP BY text, no_text),
+total AS (SELECT sum(bytes)::BIGINT AS total FROM g0),
+r AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, first NULLS FIRST) - 1 AS place, total - (sum(bytes) OVER (ORDER BY bytes DESC, first NULLS FIRST) - bytes) AS left_over FROM g0, total),
+few AS (SELECT coalesce(min(place), 0) AS alone FROM r WHERE place >= 15 OR bytes * (16 - place) <= left_over),
+o AS MATERIALIZED (SELECT r.*, alone, sum(bytes) FILTER (WHERE place >= alone) OVER (ORDER BY first NULLS FIRST)::BIGINT AS upto FROM r, few),
+s AS MATERIALIZED (SELECT upto, bytes, 16 - alone AS shards FROM o WHERE place >= alone),
+lim AS (SELECT max(bytes) AS largest, max(upto) AS all_bytes, max(shards) AS shards FROM s),
+greedy(capacity, shards, all_bytes, k, pos) AS (
+  SELECT unnest(range(greatest(largest, ceil(all_bytes / shards::DOUBLE)::BIGINT), ceil(all_bytes / shards::DOUBLE)::BIGINT + largest + 1)), shards, all_bytes, 0::BIGINT, 0::BIGINT FROM lim
+  UNION ALL SELECT g.capacity, g.shards, g.all_bytes, g.k + 1, x.upto FROM greedy g ASOF JOIN (SELECT upto FROM s UNION SELECT 0) x ON g.pos + g.capacity >= x.upto WHERE g.k < g.shards),
+best AS (SELECT min(capacity) AS capacity FROM greedy WHERE k = shards AND pos >= all_bytes),
+cuts AS (SELECT pos FROM greedy JOIN best USING (capacity) WHERE k BETWEEN 1 AND shards - 1),
+p AS (SELECT text, no_text, first, CASE WHEN place < alone THEN place ELSE alone + (SELECT count(*) FROM cuts WHERE upto > pos) END::INT AS shard FROM o)
+SELECT t.doc_id, t.size, h.text_crc32, 'bytes' AS law, p.shard, row_number() OVER (PARTITION BY p.shard ORDER BY p.first NULLS FIRST, t.doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM t JOIN h USING (row) JOIN p ON p.text = t.text AND p.no_text = t.no_text
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_embedding_dedup": OP1, "op6_jaccard_join": OP6, "op7_contamination": OP7}
+    return {"op1_embedding_dedup": OP1, "op2_secret_scan": OP2, "op6_jaccard_join": OP6, "op7_contamination": OP7, "op8_shards": OP8}
