@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import fields
 
 from . import __version__
 from .config import ExtractConfig
@@ -11,23 +12,32 @@ from .plans.extract import extract
 from .session import local_session, ship
 
 
+#: Options that have had names of their own before; every other parameter is named after its field.
+SHORT = {"min_face_area_m2": "min-area", "min_line_length_m": "min-length", "slope_low_deg": "slope-low", "slope_high_deg": "slope-high"}
+
+
+def _several(text: str) -> tuple[float, ...]:
+    return tuple(float(x) for x in text.split(",") if x.strip())
+
+
 def parser() -> argparse.ArgumentParser:
+    """The input, the folder for results, and one option for each parameter of a run."""
     p = argparse.ArgumentParser(prog="cragline", description="Crest and toe lines of steep faces in a point cloud")
     p.add_argument("input", help="LAS, XYZ, TXT, CSV or Parquet file")
     p.add_argument("-o", "--output", required=True, help="folder for the results")
-    p.add_argument("--cell-size", type=float, default=0.0, help="grid cell in metres; 0 chooses it from the data")
-    p.add_argument("--slope-low", type=float, default=0.0, help="degrees; 0 chooses it from the data")
-    p.add_argument("--slope-high", type=float, default=0.0, help="degrees; 0 chooses it from the data")
-    p.add_argument("--min-area", type=float, default=4.0, help="smallest face in square metres")
-    p.add_argument("--min-length", type=float, default=2.0, help="shortest line in metres")
     p.add_argument("--all-classes", action="store_true", help="use every class, not ground only")
     p.add_argument("--version", action="version", version=__version__)
+    for f in fields(ExtractConfig):
+        if f.name != "use_ground_class":
+            kind = {int: int, float: float}.get(type(f.default), _several)
+            p.add_argument("--" + SHORT.get(f.name, f.name.replace("_", "-")), dest=f.name, type=kind, default=f.default, help=f"default {f.default}")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    cfg = ExtractConfig(cell_size=a.cell_size, slope_low_deg=a.slope_low, slope_high_deg=a.slope_high, min_face_area_m2=a.min_area, min_line_length_m=a.min_length, use_ground_class=not a.all_classes)
+    chosen = {f.name: getattr(a, f.name) for f in fields(ExtractConfig) if f.name != "use_ground_class"}
+    cfg = ExtractConfig(**chosen, use_ground_class=not a.all_classes).checked()
     spark = local_session()
     ship(spark)
     result = extract(spark, a.input, a.output, cfg, lambda pct, what: print(f"{pct:5.1f} % {what}", flush=True))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, fields
+
+
+#: The least and greatest that a request may ask for; the first two must be over their least.
+LIMITS = {
+    "min_face_area_m2": (0.0, None), "min_line_length_m": (0.0, None), "line_smooth_window": (3, 51), "vertex_spacing_m": (0.20, 5.0), "max_ground_gap_m": (0.0, 10.0),
+}
 
 
 @dataclass(frozen=True)
 class ExtractConfig:
+    #: fixed values: the defaults that a run without parameters has
     cell_size: float = 0.0
     slope_low_deg: float = 0.0
     slope_high_deg: float = 0.0
@@ -25,7 +32,7 @@ class ExtractConfig:
     refine_min_points: int = 8
     use_ground_class: bool = True
     ground_class: int = 2
-    classification_filter: tuple[int, ...] | None = field(default=None)
+    classification_filter: tuple[int, ...] | None = None
     max_points_for_spacing: int = 80_000
     random_seed: int = 1337
 
@@ -46,6 +53,15 @@ class ExtractConfig:
             raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
         return cls(**values)
 
+    def checked(self) -> ExtractConfig:
+        """Itself, if every parameter is within LIMITS; what a service does with a request before it runs."""
+        for name, (least, most) in LIMITS.items():
+            value = getattr(self, name)
+            low = value <= least if most is None else value < least
+            if low or (most is not None and value > most) or value != value:
+                raise ValueError(f"{name} is out of range: {value}")
+        return self
+
     def selected_classes(self) -> tuple[int, ...] | None:
         """Classes a strict filter keeps, sorted and distinct; None keeps every point."""
         if self.classification_filter is not None:

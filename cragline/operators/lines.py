@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..shared import materialize
-from .faces import Detection
+from .faces import Detection, ranked
 from .graph import label_tile
 from .grid import Frame
+from .select import numbered
 
 PATCH = 32  #: side of the coarse tiles by which a face finds its surroundings
 LINES = "label long, type string, slope_mean double, coherence double, persistence double, geometry_source string, raw_vertex_count int, final_vertex_count int, tin_mean_snap_m double, tin_max_snap_m double, xs array<double>, ys array<double>"
@@ -392,14 +393,15 @@ def patches(det: Detection, labels: DataFrame | None = None) -> DataFrame:
 
 
 def approximate_lines(det: Detection, cfg: ExtractConfig, labels: DataFrame | None = None) -> DataFrame:
-    """Lines of every accepted face with face_id, numbered in order of the faces' first cells; a line-scale table."""
+    """Lines of every accepted face with face_id, numbered in order of the faces' first cells."""
     frame = det.frame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return face_lines(pdf, frame, cfg)
 
     found = materialize(patches(det, labels).groupBy("label").applyInPandas(run, LINES), "lines")
-    return found.withColumn("face_id", F.dense_rank().over(Window.orderBy("label")).cast("int")).withColumn("vertex_spacing_m", F.lit(float(cfg.vertex_spacing_m)))
+    faces = ranked(found).select("label", F.col("face").cast("int").alias("face_id"))
+    return found.join(faces, "label").withColumn("vertex_spacing_m", F.lit(float(cfg.vertex_spacing_m)))
 
 
 def vertices_of(lines: DataFrame) -> DataFrame:
@@ -452,6 +454,7 @@ def smooth_weighted(vertices: DataFrame, key: list[str], order: str = "vertex",
 
 
 def long_enough(lines: DataFrame, least: float) -> DataFrame:
-    """Lines of at least ``least`` metres, numbered anew by face, crest before toe; a line-scale table."""
-    kept = lines.where(F.col("length_m") >= least)
-    return kept.withColumn("line_id", F.row_number().over(Window.orderBy("face_id", "type")).cast("int"))
+    """Lines of at least ``least`` metres, numbered anew by face, crest before toe."""
+    kept = materialize(lines.where(F.col("length_m") >= least), "kept")
+    ids = numbered(kept.select("face_id", "type"), ["face_id", "type"]).select("face_id", "type", F.col("rn").cast("int").alias("line_id"))
+    return kept.join(ids, ["face_id", "type"])

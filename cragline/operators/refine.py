@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import cell_index, clip
+from ..shared import materialize
 from .grid import Frame
 from .spatial import ball_join, knn_join, nearest_vertex
 
@@ -90,6 +91,28 @@ def robust_plane(u: np.ndarray, v: np.ndarray, z: np.ndarray, least: int, spread
     return float(coef[2]), float(np.sqrt(np.mean((z[keep] - a[keep] @ coef) ** 2))), int(keep.sum())
 
 
+def robust_planes(points: DataFrame, key: str, spread: float = 3.5, floor: float = 0.0, least_mad: float = 1e-9, least: int = 8, whole: int = 10) -> DataFrame:
+    """points(key, u, v, w) -> (key, a, b, c, rmse, kept): a plane for each key, once refitted without outliers.
+
+    The table form, for groups of any size: residuals of a first fit, their median and the median of the distances from it are
+    aggregates; points within max(floor, spread robust deviations) make the second fit, which counts if ``least`` stay, the
+    deviation is over ``least_mad`` and the key has ``whole`` points.
+    """
+    fit = lambda rows: plane_fit(plane_sums(rows, key, F.col("u"), F.col("v"), F.col("w")))
+    points = points.select(key, "u", "v", "w")
+    first = materialize(fit(points).select(key, "n", "a", "b", "c", "rmse"), "planes")
+    off = F.col("w") - (F.col("a") * F.col("u") + F.col("b") * F.col("v") + F.col("c"))
+    off = materialize(points.join(first.select(key, "a", "b", "c"), key).select(key, "u", "v", "w", off.alias("off")), "residuals")
+    middle = off.groupBy(key).agg(F.median("off").alias("middle"))
+    apart = off.join(middle, key).withColumn("apart", F.abs(F.col("off") - F.col("middle")))
+    mad = materialize(apart.groupBy(key).agg(F.median("apart").alias("mad")), "deviations")
+    inner = apart.join(mad, key).where(F.col("apart") <= F.greatest(F.lit(float(floor)), F.col("mad") * (spread * 1.4826)))
+    again = fit(inner.select(key, "u", "v", "w")).select(key, *(F.col(c).alias(f"{c}2") for c in ("n", "a", "b", "c", "rmse")))
+    both = first.join(mad, key).join(again, key, "left")
+    use = (F.col("mad") > least_mad) & (F.col("n") >= whole) & (F.col("n2") >= least) & F.col("c2").isNotNull()
+    return both.select(key, *(F.when(use, F.col(f"{c}2")).otherwise(F.col(c)).alias(n) for c, n in (("a", "a"), ("b", "b"), ("c", "c"), ("rmse", "rmse"), ("n", "kept"))))
+
+
 def refine_balls(points: DataFrame, vertices: DataFrame, frame: Frame, grid: DataFrame, cfg: ExtractConfig) -> DataFrame:
     """(face_id, type, vertex, x, y, z, rmse, n): the in-memory form. A ball's points are a bounded neighbourhood."""
     v = _vertex_table(vertices, frame, grid)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASS_NAMES, ExtractConfig
 from ..functions.exprs import finite
+from ..shared import materialize
 
 LEAST_POINTS = 50
 
@@ -85,8 +86,7 @@ def numbered(points: DataFrame, order: list[str]) -> DataFrame:
     before it, of which there are as many as partitions.
     """
     spark = points.sparkSession
-    part = points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    part = part.persist()
+    part = materialize(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "parts")
     counts = sorted((r["_part"], r["count"]) for r in part.groupBy("_part").count().collect())
     shift, at = [], 0
     for p, n in counts:
@@ -131,6 +131,29 @@ def corridor(points: DataFrame, start: tuple[float, float], end: tuple[float, fl
     return out if limit is None else out.limit(limit)
 
 
+def square_tile(points: DataFrame, seed: tuple[float, float], half: float, classes: Iterable[int] | None = None, seen: Iterable[int] = (), limit: int | None = None, least: int = 500) -> tuple[DataFrame, bool]:
+    """(points of a square around the seed, whether classes were dropped).
+
+    A request for ground alone that yields fewer than ``least`` points, before ground has been seen, is asked again
+    for every class.
+    """
+    x, y = seed
+    ask = lambda wanted: corridor(points, (x - half, y), (x + half, y), 2 * half, wanted, limit)
+    wanted = None if classes is None else [int(c) for c in classes]
+    found = ask(wanted)
+    if wanted == [2] and 2 not in set(seen) and found.limit(least).count() < least:
+        return ask(None), True
+    return found, False
+
+
+def preset_classes(mode: str, chosen: Iterable[int] = ()) -> list[int] | None:
+    """Classes of a preset: ``all`` filters nothing (None), ``ground``, ``none``, or ``custom`` for the chosen ones."""
+    presets = {"all": None, "ground": [2], "none": [], "custom": sorted({int(c) for c in chosen})}
+    if mode not in presets:
+        raise ValueError(f"unknown class preset: {mode}")
+    return presets[mode]
+
+
 def cylinder(points: DataFrame, seed: tuple[float, float, float], radius: float) -> DataFrame:
     """Points within ``radius`` of the seed in plan and max(1.5 radius, 8) in height."""
     x, y, z = seed

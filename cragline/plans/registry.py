@@ -224,14 +224,8 @@ SELECT cls AS label, n AS kept, {r3('c')} AS z, {r3('rmse')} AS rmse FROM e2"""
 
 @query(_ROBUST)
 def agg_plane_robust(spark: SparkSession, d: str) -> DataFrame:
-    p = embedding_points(spark, d).withColumn("z", F.col("z") * F.when(F.col("pid") % 19 == 0, 9).otherwise(1))
-
-    def run(pdf):
-        z, rmse, n = refine.robust_plane(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["z"].to_numpy(), 8)
-        return pdf.iloc[:1][["cls"]].assign(kept=n, z=z, rmse=rmse).rename(columns={"cls": "label"})
-
-    out = p.groupBy("cls").applyInPandas(run, "label int, kept long, z double, rmse double")
-    return out.select("label", "kept", col3("z").alias("z"), col3("rmse").alias("rmse"))
+    p = embedding_points(spark, d).select(F.col("cls").alias("label"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("z") * F.when(F.col("pid") % 19 == 0, 9).otherwise(1)).alias("w"))
+    return refine.robust_planes(p, "label").select("label", "kept", col3("c").alias("z"), col3("rmse").alias("rmse"))
 
 
 # ---------------------------------------------------------------- joins
@@ -404,16 +398,27 @@ def win_boundary(spark: SparkSession, d: str) -> DataFrame:
 _AROUND = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)"
 
 
-@query(f"""WITH {RAMP_SQL}, {_GAP}, n AS (SELECT a.r, a.c, avg(b.z) AS z, count(*) AS n FROM w a JOIN w b ON b.valid AND {_AROUND} WHERE NOT a.valid GROUP BY a.r, a.c)
-SELECT w.r, w.c, {r3('CASE WHEN w.valid THEN w.z ELSE n.z END')} AS z FROM w LEFT JOIN n USING (r, c) WHERE w.valid OR n.n >= 2""")
+def _rounds(n: int) -> str:
+    """``n`` rounds of filling cells that have two valid neighbours or more by their mean."""
+    out = [_GAP.replace("w AS", "w0 AS", 1)]
+    for k in range(n):
+        out.append(f"n{k} AS (SELECT a.r, a.c, avg(b.z) AS z, count(*) AS n FROM w{k} a JOIN w{k} b ON b.valid AND {_AROUND} WHERE NOT a.valid GROUP BY a.r, a.c)")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT w.r, w.c, CASE WHEN valid THEN w.z WHEN n.n >= 2 THEN n.z END AS z, valid OR coalesce(n.n >= 2, false) AS valid FROM w{k} w LEFT JOIN n{k} n USING (r, c))")
+    return ", ".join(out)
+
+
+@query(f"WITH {RAMP_SQL}, {_rounds(8)} SELECT r, c, {r3('z')} AS z FROM w8 WHERE valid")
 def win_fill_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.fill_sparse(ramp_with_gaps(spark), rounds=1).where("valid").select("r", "c", col3("z").alias("z"))
+    return terrain.fill_sparse(ramp_with_gaps(spark)).where("valid").select("r", "c", col3("z").alias("z"))
+
+
+_MEANS = f"""(SELECT a.r, a.c, a.valid, CASE WHEN a.valid THEN sum(k * b.z) / sum(k) END AS z FROM {{source}} a LEFT JOIN (SELECT * FROM {{source}}, (VALUES (0, 6), (1, 4), (2, 1)) t(ds, k)) b
+ON b.valid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) + abs(a.c - b.c) = ds GROUP BY a.r, a.c, a.valid)"""
 
 
-@query(f"""WITH {RAMP_SQL}, {_GAP}, n AS (SELECT a.r, a.c, sum(k * b.z) / sum(k) AS z FROM w a JOIN (SELECT * FROM w, (VALUES (0, 6), (1, 4), (2, 1)) t(ds, k)) b
-ON b.valid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) + abs(a.c - b.c) = ds WHERE a.valid GROUP BY a.r, a.c) SELECT r, c, {r3('z - 0.000237')} AS z FROM n""")
+@query(f"WITH {RAMP_SQL}, {_GAP}, m1 AS {_MEANS.format(source='w')}, m2 AS {_MEANS.format(source='m1')} SELECT r, c, floor(z * 1e7 + 0.5) / 1e7 AS z FROM m2 WHERE valid")
 def win_smooth_masked(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.smooth_masked(ramp_with_gaps(spark), 1).where("valid").select("r", "c", col3(F.col("z") - 0.000237).alias("z"))  # off the ties of the lattice's noise
+    return terrain.smooth_masked(ramp_with_gaps(spark)).where("valid").select("r", "c", floor_at(F.col("z"), 7).alias("z"))
 
 
 # ---------------------------------------------------------------- graphs and faces
@@ -587,55 +592,6 @@ def _extracted(spark: SparkSession):
     return E.extract_points(p, CFG, ((0.0, 0.0), ((COLS - 1) * CELL, (ROWS - 1) * CELL)))
 
 
-@query()
-def flow_extract(spark: SparkSession, d: str) -> DataFrame:
-    found, _, _ = _extracted(spark)
-    v = found.select("type", "line_id", F.explode("vertices").alias("v"))
-    return v.groupBy("line_id", "type").agg(F.count("*").alias("vertices"), F.median("v.x").alias("median_x"), F.avg("v.z").alias("mean_z"))
-
-
-@query()
-def flow_extract_memory(spark: SparkSession, d: str) -> DataFrame:
-    found, _, _ = E.extract_points(ramp_points(spark), CFG)
-    return found.select("line_id", "type", "length_m", "confidence", "median_rmse")
-
-
-@query()
-def flow_extract_face(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = E.face_at(ramp_points(spark), (12.5, 10.0, 7.5), ExtractConfig(cell_size=CELL))
-    return found.select("type", F.size("vertices").alias("vertices"), "length_m", "confidence")
-
-
-@query()
-def flow_single_edge(spark: SparkSession, d: str) -> DataFrame:
-    """The alternative extractor's crest, as vertices."""
-    got = single_edge.extract_edge(ramp_points(spark), (10.0, 10.0, 10.0), True, CELL)
-    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(got["vertices"], 1)], "vertex int, x double, y double, z double")
-
-
-@query()
-def snk_geojson(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.geojson_features(_extracted(spark)[0])
-
-
-@query()
-def snk_vertex_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.vertex_text(_extracted(spark)[0])
-
-
-@query()
-def snk_report(spark: SparkSession, d: str) -> DataFrame:
-    found, det, _ = _extracted(spark)
-    return E.line_counts(found).crossJoin(E.grid_counts(det.grid))  # one row each
-
-
-@query()
-def win_boundary_pair(spark: SparkSession, d: str) -> DataFrame:
-    """Crest and toe of the lattice's face before refinement, as vertices."""
-    det = faces.detect(ramp_grid(spark), RAMP_FRAME, CFG)
-    return lines.vertices_of(lines.approximate_lines(det, CFG))
-
-
 @query(f"WITH {RAMP_SQL} SELECT r, string_agg(printf('%.6f', z), ' ' ORDER BY c) AS row FROM g GROUP BY r")
 def snk_ascii_grid(spark: SparkSession, d: str) -> DataFrame:
     return sinks.ascii_rows(ramp_cells(spark), "z")
@@ -647,3 +603,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from . import registry_tables  # noqa: E402, F401  registers the queries that build on these

@@ -1,7 +1,8 @@
 """Reading and writing uncompressed LAS point files, as a Spark data source named ``las``.
 
-Each partition reads a range of records; only x, y, z and class leave it. Compressed LAZ needs a decoder
-that is not here, so it is refused with a clear error.
+Each partition reads a range of records; only x, y, z and class leave it. A path with a scheme (hdfs, s3, gs, file) is opened
+through Arrow's file systems, so executors read the same store as the driver; any other is a local path. Compressed LAZ
+needs a decoder that is not here, so it is refused with a clear error.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -40,11 +42,19 @@ class LasHeader:
         return self.point_format in CLASS_AT
 
 
+def opened(path: str, write: bool = False):
+    """The file at a path or URI, as an Arrow stream that can be read from any place."""
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if write:
+        files.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
+    return files.open_output_stream(inner) if write else files.open_input_file(inner)
+
+
 def read_header(path: str) -> LasHeader:
     """The header of a LAS file, and its coordinate system if a record holds it as text."""
     if not path.lower().endswith((".las", ".laz")):
         raise ValueError(f"not a LAS or LAZ file: {path}")
-    with open(path, "rb") as f:
+    with opened(path) as f:
         head = f.read(375)
         if len(head) < 227 or head[:4] != b"LASF":
             raise ValueError(f"not a LAS file: {path}")
@@ -90,7 +100,7 @@ class LasReader(DataSourceReader):
     def read(self, partition):
         header = read_header(self.path)
         step = 65_536
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             f.seek(header.data_at + partition.start * header.record_bytes)
             for at in range(0, partition.count, step):
                 raw = f.read(min(step, partition.count - at) * header.record_bytes)
@@ -140,5 +150,5 @@ def write_las(path: str, x, y, z, cls, scale: float = 0.001, point_format: int =
     struct.pack_into("<HIIBHI", head, 94, 227, 227, 0, point_format, size, n)
     box = [f for v in (x, y, z) for f in ((float(v.max()), float(v.min())) if n else (0.0, 0.0))]
     struct.pack_into("<12d", head, 131, *[scale] * 3, *offsets, *box)
-    with open(path, "wb") as f:
+    with opened(path, write=True) as f:
         f.write(bytes(head) + body.tobytes())

@@ -1,4 +1,4 @@
-"""Writers of lines, grids and the report. Lines are few and are written by the driver; grids go to Parquet, small ones to ASCII too."""
+"""Writers of lines, grids and the report. Lines stream through the driver, a partition at a time; grids go to Parquet, small ones to ASCII too."""
 
 from __future__ import annotations
 
@@ -53,25 +53,46 @@ def vertex_text(lines: DataFrame) -> DataFrame:
     return v.select("line_id", F.col("v.vertex").alias("vertex"), F.concat_ws(",", *cells).alias("row"))
 
 
-def write_vertices_csv(path: Path, lines: DataFrame) -> None:
-    rows = [r["row"] for r in vertex_text(lines).orderBy("line_id", "vertex").collect()]
-    path.write_text("\n".join([CSV_HEADER, *rows]) + "\n", encoding="utf-8")
+def _drawing_head() -> list:
+    out: list = [0, "SECTION", 2, "HEADER", 9, "$ACADVER", 1, "AC1009", 0, "ENDSEC", 0, "SECTION", 2, "TABLES", 0, "TABLE", 2, "LAYER", 70, len(LAYERS)]
+    for i, name in enumerate(LAYERS.values(), 1):
+        out += [0, "LAYER", 2, name, 70, 0, 62, i, 6, "CONTINUOUS"]
+    return [*out, 0, "ENDTAB", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES"]
+
+
+def _drawn(line: dict) -> list:
+    layer = LAYERS["CREST" if line["type"] == "CREST" else "TOE"]
+    out: list = [0, "POLYLINE", 8, layer, 66, 1, 70, 8, 10, 0.0, 20, 0.0, 30, 0.0]
+    for v in line["vertices"]:
+        out += [0, "VERTEX", 8, layer, 70, 32, 10, v["x"], 20, v["y"], 30, v["z"]]
+    return [*out, 0, "SEQEND", 8, layer]
 
 
 def dxf(lines: list[dict]) -> str:
     """ASCII drawing of 3D polylines on the crest and toe layers."""
-    out: list = [0, "SECTION", 2, "HEADER", 9, "$ACADVER", 1, "AC1009", 0, "ENDSEC", 0, "SECTION", 2, "TABLES", 0, "TABLE", 2, "LAYER", 70, len(LAYERS)]
-    for i, name in enumerate(LAYERS.values(), 1):
-        out += [0, "LAYER", 2, name, 70, 0, 62, i, 6, "CONTINUOUS"]
-    out += [0, "ENDTAB", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES"]
-    for line in lines:
-        layer = LAYERS["CREST" if line["type"] == "CREST" else "TOE"]
-        out += [0, "POLYLINE", 8, layer, 66, 1, 70, 8, 10, 0.0, 20, 0.0, 30, 0.0]
-        for v in line["vertices"]:
-            out += [0, "VERTEX", 8, layer, 70, 32, 10, v["x"], 20, v["y"], 30, v["z"]]
-        out += [0, "SEQEND", 8, layer]
-    out += [0, "ENDSEC", 0, "EOF"]
-    return "\n".join(map(str, out)) + "\n"
+    body = [x for line in lines for x in _drawn(line)]
+    return "\n".join(map(str, [*_drawing_head(), *body, 0, "ENDSEC", 0, "EOF"])) + "\n"
+
+
+def write_lines(output: Path, lines: DataFrame, crs_wkt: str | None = None) -> None:
+    """GeoJSON, vertex table and drawing, written line by line as lines come in from the executors, a partition at a time."""
+    ordered = lines.orderBy("line_id")
+    with open(output / "breaklines.geojson", "w", encoding="utf-8") as geo, open(output / "vertices.csv", "w", encoding="utf-8") as csv, open(output / "breaklines.dxf", "w", encoding="utf-8") as cad:
+        geo.write('{"type": "FeatureCollection", "features": [')
+        csv.write(CSV_HEADER + "\n")
+        cad.write("\n".join(map(str, _drawing_head())) + "\n")
+        for k, row in enumerate(ordered.toLocalIterator()):
+            line = row.asDict(recursive=True)
+            geo.write(("," if k else "") + "\n" + json.dumps(plain(feature(line)), ensure_ascii=False))
+            cad.write("\n".join(map(str, _drawn(line))) + "\n")
+            csv.writelines(_vertex_row(line, v) + "\n" for v in line["vertices"])
+        geo.write("\n]" + (f', "{CRS_MEMBER}": {json.dumps(crs_wkt, ensure_ascii=False)}' if crs_wkt else "") + "}\n")
+        cad.write("0\nENDSEC\n0\nEOF\n")
+
+
+def _vertex_row(line: dict, v: dict) -> str:
+    rmse = "nan" if v["rmse"] is None else f"{v['rmse']:.4f}"
+    return f"{line['line_id']},{line['face_id']},{line['type']},{v['vertex']},{v['x']:.4f},{v['y']:.4f},{v['z']:.4f},{line['confidence']:.4f},{rmse}"
 
 
 def ascii_rows(grid: DataFrame, value: str, nodata: float = -9999.0) -> DataFrame:
