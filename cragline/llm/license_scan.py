@@ -7,9 +7,9 @@ notices, the licences of at most LONG words and the openings, so wrapping and th
 All are sparse TF-IDF vectors. Document
 frequencies of all terms are counted over all lines of the corpus. A term weighs by the share of lines that
 hold it; shares under LEAST_SHARE weigh like LEAST_SHARE, so that the weight of rare words does not grow with
-the corpus, and only the terms above it, a bounded number, are sent. Texts that cannot reach a template's threshold
-are skipped exactly: by Cauchy-Schwarz they must hold an anchor term, one of those without which the
-template's remaining mass is below the threshold.
+the corpus, and only the terms above it, a bounded number, are sent. Templates that a text cannot reach are
+skipped exactly: by Cauchy-Schwarz its distinct terms must hold enough of the template's mass, and a line or window
+an anchor term, one of those without which the remaining mass is below the threshold.
 
 A match with a licence's own text or notice counts before one with an opening or a sentence that several licences share, and
 "All rights reserved" only where nothing else matches.
@@ -106,7 +106,15 @@ class Templates:
         inside = [(name, OWN, w, max(least, LEAST_LONG)) for name, x in sorted(whole.items()) if len(w := terms(x)) <= LONG]
         inside += [(name, SHARED, terms(x)[:SHORT], least) for name, x in sorted(whole.items())]
         self.inside = self.notices + self._made(inside)
-        anchors = set().union(*(t.anchors for t in self.inside + self.files)) if self.inside + self.files else set()
+        # squared weights by term and template: what of a template a text can hold at most, by its distinct terms
+        self.every = self.files + self.inside
+        self.row = {t: i for i, t in enumerate(sorted(set().union(*(t.vector for t in self.every))))} if self.every else {}
+        self.mass = np.zeros((len(self.row), len(self.every)))
+        for k, t in enumerate(self.every):
+            for w, x in t.vector.items():
+                self.mass[self.row[w], k] = x * x
+        self.enough = np.array([t.least * t.least * 0.999 for t in self.every])
+        anchors = set().union(*(t.anchors for t in self.notices)) if self.notices else set()
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors, key=lambda a: (-len(a), a)))) + r")(?![a-z0-9])") if anchors else None
 
     def _made(self, rows) -> list[Template]:
@@ -142,30 +150,34 @@ class Templates:
 
     def find(self, text: str) -> tuple[float, str, int] | None:
         """(cosine, template, line) of the best match in a whole text."""
-        if self.anchor is None:
-            return None
         low = text.lower()
-        if not self.anchor.search(low):
+        rows = [self.row[w] for w in set(_TERM.findall(low)) if w in self.row]
+        open_ = np.flatnonzero(self.mass[rows].sum(axis=0) >= self.enough) if rows else ()  # Cauchy-Schwarz
+        if not len(open_):
             return None
-        if self.files and (got := self.best(terms(low), self.files)):
+        n = len(self.files)
+        if open_[0] < n and (got := self.best(terms(low), [self.files[k] for k in open_ if k < n])):
             return got[1], got[2], 0
-        lines = low.split("\n")
-        hit = [i for i, x in enumerate(lines) if self.anchor.search(x)]
+        inside = [self.inside[k - n] for k in open_ if k >= n]
+        notices = [self.inside[k - n] for k in open_ if n <= k < n + len(self.notices)]
         top = None
-        for i in sorted({max(0, i - k) for i in hit for k in range(RUN)}):
-            words: list[str] = []
-            for j in range(i, min(len(lines), i + RUN)):
-                words = words + terms(lines[j])
-                if words and (got := self.best(words)) and self._better(got, top):
-                    top = (*got, i)
-        top = self._windows(low, top)
+        if notices:
+            lines = low.split("\n")
+            hit = [i for i, x in enumerate(lines) if self.anchor.search(x)]
+            for i in sorted({max(0, i - k) for i in hit for k in range(RUN)}):
+                words: list[str] = []
+                for j in range(i, min(len(lines), i + RUN)):
+                    words = words + terms(lines[j])
+                    if words and (got := self.best(words, notices)) and self._better(got, top):
+                        top = (*got, i)
+        top = self._windows(low, inside, top)
         return top and top[1:]
 
     @staticmethod
     def _better(got: tuple, top: tuple | None) -> bool:
         return top is None or got[0] < top[0] or (got[0] == top[0] and got[1] > top[1] + 1e-12)
 
-    def _windows(self, low: str, top: tuple[int, float, str, int] | None) -> tuple[int, float, str, int] | None:
+    def _windows(self, low: str, among: list[Template], top: tuple[int, float, str, int] | None) -> tuple[int, float, str, int] | None:
         """The better of ``top`` and the best window of a template's own length that holds one of its anchors."""
         found = list(_TERM.finditer(low))
         words = [m[0] for m in found]
@@ -173,12 +185,10 @@ class Templates:
         for i, w in enumerate(words):
             if w in self.idf:
                 places.setdefault(w, []).append(i)
-        for t in self.inside:
+        for t in among:
             if top is not None and t.rank > top[0]:
                 continue
             v, size, enough = t.vector, t.size, t.least * t.least * 0.999
-            if sum(x * x for w, x in v.items() if w in places) < enough:  # Cauchy-Schwarz
-                continue
             spans: list[list[int]] = []
             for p in sorted(p for w in t.anchors for p in places.get(w, ())):
                 if spans and p - size + 1 <= spans[-1][1]:
