@@ -39,6 +39,53 @@ def _copy(a, b):
     return b
 
 
+def test_las_by_uri(spark, tmp_path):
+    uri = f"file://{tmp_path}/deeper/a.las"
+    las.write_las(uri, [1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [2, 7])
+    assert las.read_header(uri).point_count == 2
+    assert sorted((r["x"], r["cls"]) for r in las.read_las(spark, uri).collect()) == [(1.0, 2), (2.0, 7)]
+
+
+def test_line_files_stream_one_line_at_a_time(spark, tmp_path):
+    rows = [(k, k, "CREST" if k % 2 else "TOE", 0.5, [(i, float(i), float(k), 1.0, None if i == 1 else 0.25, 3) for i in range(1, 4)]) for k in (2, 1)]
+    found = spark.createDataFrame(rows, "line_id int, face_id int, type string, confidence double, vertices array<struct<vertex:int,x:double,y:double,z:double,rmse:double,n:long>>")
+    sinks.write_lines(tmp_path, found, "WKT")
+    whole = json.loads((tmp_path / "breaklines.geojson").read_text())
+    assert [f["properties"]["line_id"] for f in whole["features"]] == [1, 2] and whole["crs_wkt"] == "WKT"
+    assert whole == sinks.geojson([sinks.plain(r) for r in found.orderBy("line_id").collect()], "WKT")
+    table = (tmp_path / "vertices.csv").read_text().splitlines()
+    assert table[0] == sinks.CSV_HEADER and table[1:] == [r["row"] for r in sinks.vertex_text(found).orderBy("line_id", "vertex").collect()]
+    assert (tmp_path / "breaklines.dxf").read_text() == sinks.dxf([r.asDict(recursive=True) for r in found.orderBy("line_id").collect()])
+    sinks.write_lines(tmp_path, found.where("false"))
+    assert json.loads((tmp_path / "breaklines.geojson").read_text())["features"] == []
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
+def test_command_line_has_every_parameter():
+    from dataclasses import fields
+
+    from cragline import cli
+
+    a = cli.parser().parse_args(["in.las", "-o", "out", "--min-area", "9", "--smooth-sigmas-cells", "1,2", "--classification-filter", "2,6"])
+    assert a.min_face_area_m2 == 9.0 and a.smooth_sigmas_cells == (1.0, 2.0) and ExtractConfig(classification_filter=a.classification_filter).classification_filter == (2, 6)
+    assert {f.name for f in fields(ExtractConfig)} - {"use_ground_class"} <= set(vars(a))
+
+
 def test_las_of_no_points(spark, tmp_path):
     path = str(tmp_path / "none.las")
     las.write_las(path, [], [], [], [])

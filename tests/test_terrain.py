@@ -323,3 +323,76 @@ def test_lines_are_stitched():
         assert got["alignment"] > 0.9 and np.allclose(got["extension"][0], line[-1]) and got["extension"][-1, 0] == 11.5
     assert single_edge.extend(line, more + [0, 5, 0], left=False) is None and single_edge.extend(line, more, left=True) is None
     assert np.allclose(single_edge.end_direction(line, True), [-1, 0]) and single_edge.end_direction(line[:1], True) is None
+
+
+# ---------------------------------------------------------------- requests, tiles, runs
+
+
+@pytest.mark.parametrize("bad", [{"min_face_area_m2": 0.0}, {"line_smooth_window": 2}, {"line_smooth_window": 53}, {"vertex_spacing_m": 0.1}, {"max_ground_gap_m": 11.0}, {"min_line_length_m": float("nan")}])
+def test_requests_out_of_range_are_refused(bad):
+    assert ExtractConfig().checked() == ExtractConfig()
+    with pytest.raises(ValueError, match=next(iter(bad))):
+        ExtractConfig(**bad).checked()
+
+
+def test_square_tile_asks_again_without_classes(spark):
+    p = spark.createDataFrame([(float(i % 40), float(i // 40), 0.0, 2 if i % 4 == 0 else 1) for i in range(1600)], "x double, y double, z double, cls int")
+    tile = lambda **k: select.square_tile(p, (10.0, 10.0), 5.0, **k)
+    found, dropped = tile(classes=[2])
+    assert dropped and found.count() == 121
+    found, dropped = tile(classes=[2], seen={2})
+    assert not dropped and found.where("cls <> 2").isEmpty()
+    assert tile(classes=[2], least=10)[1] is False and tile(classes=[1])[1] is False and tile()[0].count() == 121
+    assert select.preset_classes("custom", (5, 1, 5)) == [1, 5]
+    with pytest.raises(ValueError):
+        select.preset_classes("some")
+
+
+def test_runs_can_be_cancelled(spark):
+    import threading
+    import time
+
+    failed: list[Exception] = []
+
+    def work():
+        try:
+            with E.cancellable(spark, "one"):
+                spark.range(8, numPartitions=8).select(F.expr("sum(id)")).count()
+                spark.range(10**12).selectExpr("sum(id * id % 7)").collect()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(60):
+        time.sleep(0.5)
+        E.cancel(spark, "one")
+        if not t.is_alive():
+            break
+    t.join(30)
+    assert failed and not t.is_alive() and spark.range(3).count() == 3
+
+
+def test_robust_planes_of_tables_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    u, v = rng.uniform(-1, 1, (2, 300))
+    key = rng.integers(0, 4, 300)
+    w = key + 0.3 * u - 0.2 * v + rng.normal(0, 0.02, 300)
+    w[::17] += 3
+    rows = [(int(k), float(a), float(b), float(c)) for k, a, b, c in zip(key, u, v, w, strict=True)] + [(9, 0.0, 0.0, 1.0)]
+    got = {r["key"]: r for r in refine.robust_planes(spark.createDataFrame(rows, "key int, u double, v double, w double"), "key").collect()}
+    for k in range(4):
+        z, rmse, n = refine.robust_plane(u[key == k], v[key == k], w[key == k], 8)
+        assert abs(got[k]["c"] - z) < 1e-9 and abs(got[k]["rmse"] - rmse) < 1e-6 and got[k]["kept"] == n
+    assert got[9]["c"] is None
+
+
+def test_neighbours_in_clusters(spark):
+    """Points in two dense clusters and a few far ones, against all distances."""
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.normal(0, 0.01, (400, 2)), rng.normal(50, 0.001, (400, 2)), rng.uniform(-1000, 1000, (40, 2)), [[0.0, 0.0], [0.0, 0.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "pid long, x double, y double")
+    got = {r["pid"]: r["d"] for r in spatial.neighbour_distance(df).collect()}
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    d[d == 0] = np.inf
+    assert len(got) == len(xy) and all(abs(got[i] - d[i].min()) < 1e-9 for i in got)
