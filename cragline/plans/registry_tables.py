@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import clip, floor_at
-from ..operators import faces, grid, lines, refine, select, single_edge, terrain
+from ..operators import faces, graph, grid, lines, refine, select, single_edge, terrain
 from ..shared import materialize, shared_dir
 from ..sources import catalog, las, sinks
 from ..sources.points import inspect, read_points
 from . import extract as E
 from .fixtures import CELL, COLS, EMBEDDING_SQL, LINEITEM_SQL, RAMP_FRAME, RAMP_SQL, ROWS, embedding_points, lineitem_points, ramp_cells, ramp_grid, ramp_points, ramp_with_gaps
-from .registry import CFG, DENSER, _GAP, _NEAR, _FIT, _extracted, _fill, _grad, _COL, _labels, _ROW, col3, query, r3  # isort: skip
+from .registry import _AROUND, _COL, _FIT, _GAP, _HB, _NEAR, _ROW, _VB, CFG, DENSER, _extracted, _fill, _gauss, _grad, _labels, col3, query, r3
 
 RESIDUALS = "o AS (SELECT p.*, p.z - (a * x + b * y + c) AS off FROM p JOIN e USING (cls)), c1 AS (SELECT cls, median(off) AS mid FROM o GROUP BY cls), c2 AS (SELECT cls, median(abs(off - mid)) AS mad FROM o JOIN c1 USING (cls) GROUP BY cls)"
 
@@ -405,3 +405,51 @@ def win_boundary_pair(spark: SparkSession, d: str) -> DataFrame:
     """Crest and toe of the lattice's face before refinement."""
     det = faces.detect(ramp_grid(spark), RAMP_FRAME, CFG)
     return positions(spark, lines.vertices_of(lines.approximate_lines(det, CFG)), ["face_id", "type"], False)
+
+
+# ---------------------------------------------------------------- stencils and labels on the cloud of the lineitem table
+
+#: The dense grid of mean heights, as wide and high as the cloud; cells without points are 0.
+CLOUD_SQL = f"""{LINEITEM_SQL}, bx AS (SELECT floor(max(x) / 50)::INT AS mc, floor(max(y) / 50)::INT AS mr FROM p),
+own AS (SELECT greatest(0, floor(y / 50::DOUBLE + 1e-9))::INT AS r, greatest(0, floor(x / 50::DOUBLE + 1e-9))::INT AS c, count(*) AS n, avg(cents::DOUBLE) / 100000 AS z FROM p GROUP BY ALL),
+g AS (SELECT t.r::INT AS r, u.c::INT AS c, coalesce(n, 0) AS n, coalesce(z, 0) AS z FROM (SELECT unnest(range(mr + 1)) AS r FROM bx) t, (SELECT unnest(range(mc + 1)) AS c FROM bx) u LEFT JOIN own ON own.r = t.r AND own.c = u.c)"""
+_BUSY = "n % 3 = 1"
+
+
+def cloud_grid(spark: SparkSession, d: str) -> tuple[DataFrame, grid.Frame]:
+    """(r, c, n, z) of every cell of the cloud's grid, and its frame."""
+    p = lineitem_points(spark, d)
+    b = grid.bounds(p).first()
+    frame = grid.Frame(0.0, 0.0, 50.0, int(b["xmax"] // 50) + 1, int(b["ymax"] // 50) + 1)
+    cells = materialize(grid.raster_mean(p, frame), "cloud")
+    every = grid.dense(cells, frame).select("r", "c").join(cells, ["r", "c"], "left")
+    return every.select("r", "c", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("z", F.lit(0.0)) / 100_000).alias("z")), frame
+
+
+@query(f"WITH {CLOUD_SQL}, {_grad('g', 's', 50.0)} SELECT r, c, {r3('slope')} AS slope FROM s")
+def win_slope_cloud(spark: SparkSession, d: str) -> DataFrame:
+    g, frame = cloud_grid(spark, d)
+    return terrain.gradients(g, frame.cell, {"0": "z"}).select("r", "c", col3("slope_0").alias("slope"))
+
+
+@query(f"WITH {CLOUD_SQL}, {_gauss(1.5, 'h')} SELECT r, c, {r3('z')} AS z FROM h")
+def win_gaussian_cloud(spark: SparkSession, d: str) -> DataFrame:
+    return terrain.gaussian(cloud_grid(spark, d)[0], {"s": 1.5}).select("r", "c", col3("s").alias("z"))
+
+
+@query(f"""WITH {CLOUD_SQL}, mk AS (SELECT r, c, {_BUSY} AS m FROM g), d1 AS (SELECT r, c, max(m::INT) {_HB} AS m FROM mk), d2 AS (SELECT r, c, max(m) {_VB} AS m FROM d1),
+e1 AS (SELECT r, c, CASE WHEN count(*) {_HB} < 3 THEN 0 ELSE min(m) {_HB} END AS m FROM d2), e2 AS (SELECT r, c, CASE WHEN count(*) {_VB} < 3 THEN 0 ELSE min(m) {_VB} END AS m FROM e1) SELECT r, c FROM e2 WHERE m = 1""")
+def win_closing_cloud(spark: SparkSession, d: str) -> DataFrame:
+    return terrain.closing(cloud_grid(spark, d)[0].withColumn("m", F.expr(_BUSY)), "m", "closed").where("closed").select("r", "c")
+
+
+@query(f"""WITH RECURSIVE {CLOUD_SQL}, mk AS (SELECT r, c, r * (mc + 1) + c AS id FROM g, bx WHERE {_BUSY}), reach AS (SELECT r, c, id FROM mk UNION SELECT b.r, b.c, a.id FROM reach a JOIN mk b ON {_AROUND}),
+lab AS (SELECT r, c, min(id)::BIGINT AS label FROM reach GROUP BY r, c) SELECT label, count(*) AS cells FROM lab GROUP BY label""")
+def grf_labels_cloud(spark: SparkSession, d: str) -> DataFrame:
+    g, frame = cloud_grid(spark, d)
+    return graph.label_cells(g.where(_BUSY).select("r", "c"), frame, tile=16).groupBy("label").agg(F.count("*").alias("cells"))
+
+
+@query(f"""WITH {CLOUD_SQL}, mk AS (SELECT r, c FROM g WHERE n > 0), k AS (SELECT a.r, a.c, count(*) AS near FROM mk a JOIN mk b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c) SELECT r, c FROM k WHERE near < 9""")
+def win_boundary_cloud(spark: SparkSession, d: str) -> DataFrame:
+    return faces.boundary(cloud_grid(spark, d)[0].where("n > 0").select("r", "c", F.lit(1).alias("label"))).select("r", "c")
