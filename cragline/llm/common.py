@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators import graph
+from ..operators.graph import local_components
 from ..shared import HOT_SHARE, join_hot, materialize
 
 __all__ = ["HOT_SHARE", "Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "partitions", "running", "running_total", "seeds", "text_slices", "whole_groups"]
@@ -235,21 +236,6 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
         yield pa.Table.from_batches(held)
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index in the component of each of ``n`` nodes, over undirected edges a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    return label
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): smallest node reachable, for each node of ``edges`` (long, undirected)."""
     return graph.components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
