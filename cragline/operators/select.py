@@ -116,6 +116,12 @@ def class_histogram(points: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(names), "cls", "left").select("cls", F.coalesce("name", F.lit("Reserved")).alias("name"), "n")
 
 
+def density(points: DataFrame, *key: str) -> DataFrame:
+    """(key, n, density): points and points per square of their bounding box, which is 1e-9 at least."""
+    box = F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-9))
+    return points.groupBy(*key).agg(F.count("*").alias("n"), (F.count("*") / box).alias("density"))
+
+
 def corridor(points: DataFrame, start: tuple[float, float], end: tuple[float, float], width: float, classes: Iterable[int] | None = None, limit: int | None = None) -> DataFrame:
     """Points of an oriented rectangle around a segment, with their position along and across it."""
     dx, dy = end[0] - start[0], end[1] - start[1]

@@ -189,8 +189,7 @@ def agg_class_hist(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LINEITEM_SQL} SELECT cls, {r3('count(*) / ((max(x) - min(x)) * (max(y) - min(y)))')} AS density FROM p GROUP BY cls")
 def agg_density(spark: SparkSession, d: str) -> DataFrame:
-    p = lineitem_points(spark, d).groupBy("cls").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    return p.select("cls", floor_at(F.col("n") / (F.col("w") * F.col("h"))).alias("density"))
+    return select.density(lineitem_points(spark, d), "cls").select("cls", col3("density").alias("density"))
 
 
 _SUMS = "count(*) AS n, sum(x) AS su, sum(y) AS sv, sum(z) AS sz, sum(x*x) AS suu, sum(x*y) AS suv, sum(y*y) AS svv, sum(x*z) AS suz, sum(y*z) AS svz, sum(z*z) AS szz"

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ExtractConfig
+from ..config import ExtractConfig, classes_for_auto, classes_for_click, classes_for_terrain
 from ..functions.exprs import clip, floor_at
 from ..operators import faces, graph, grid, lines, refine, select, single_edge, terrain
 from ..shared import materialize, shared_dir
@@ -22,7 +22,7 @@ from ..sources import catalog, las, sinks
 from ..sources.points import inspect, read_points
 from . import extract as E
 from .fixtures import CELL, COLS, EMBEDDING_SQL, LINEITEM_SQL, RAMP_FRAME, RAMP_SQL, ROWS, embedding_points, lineitem_points, ramp_cells, ramp_grid, ramp_points, ramp_with_gaps
-from .registry import _AROUND, _COL, _FIT, _GAP, _HB, _NEAR, _ROW, _VB, CFG, DENSER, _extracted, _fill, _gauss, _grad, _labels, col3, query, r3
+from .registry import _AROUND, _COL, _FIT, _GAP, _HB, _NEAR, _ROW, _VB, CFG, DENSER, ORACLE, SCATTER, _extracted, _fill, _gauss, _grad, _labels, col3, query, r3
 
 RESIDUALS = "o AS (SELECT p.*, p.z - (a * x + b * y + c) AS off FROM p JOIN e USING (cls)), c1 AS (SELECT cls, median(off) AS mid FROM o GROUP BY cls), c2 AS (SELECT cls, median(abs(off - mid)) AS mad FROM o JOIN c1 USING (cls) GROUP BY cls)"
 
@@ -453,3 +453,110 @@ def grf_labels_cloud(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CLOUD_SQL}, mk AS (SELECT r, c FROM g WHERE n > 0), k AS (SELECT a.r, a.c, count(*) AS near FROM mk a JOIN mk b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c) SELECT r, c FROM k WHERE near < 9""")
 def win_boundary_cloud(spark: SparkSession, d: str) -> DataFrame:
     return faces.boundary(cloud_grid(spark, d)[0].where("n > 0").select("r", "c", F.lit(1).alias("label"))).select("r", "c")
+
+
+# ---------------------------------------------------------------- sequences along lines, one call for a line
+
+_LINE = f"{EMBEDDING_SQL}, v AS (SELECT cls, row_number() OVER (PARTITION BY cls ORDER BY pid) AS i, x, y, z FROM p)"
+
+
+def by_line(spark: SparkSession, d: str, work) -> DataFrame:
+    """(label, i, x, y, z) of each label's points, in order of their ids, after ``work`` on them as an array."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("pid")
+        out = work(pdf[["x", "y", "z"]].to_numpy(float))
+        return pd.DataFrame({"label": int(pdf["cls"].iloc[0]), "i": np.arange(1, len(out) + 1), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+
+    out = embedding_points(spark, d).groupBy("cls").applyInPandas(run, "label int, i int, x double, y double, z double")
+    return out.select("label", "i", *(col3(c).alias(c) for c in "xyz"))
+
+
+def _simplified(eps: float, dims: str) -> str:
+    dot = lambda a, b: " + ".join(f"({a.format(k=k)}) * ({b.format(k=k)})" for k in dims)
+    chord, mid = "pb.{k} - pa.{k}", "m.{k} - pa.{k}"
+    t = f"least(1, greatest(0, ({dot(mid, chord)}) / nullif({dot(chord, chord)}, 0)))"
+    far = " + ".join(f"(m.{k} - pa.{k} - coalesce(t, 0) * (pb.{k} - pa.{k})) * (m.{k} - pa.{k} - coalesce(t, 0) * (pb.{k} - pa.{k}))" for k in dims)
+    return f"""WITH RECURSIVE {_LINE}, n AS (SELECT cls, max(i) AS n FROM v GROUP BY cls), seg(cls, a, b) AS (SELECT cls, 1::BIGINT, n FROM n UNION ALL
+SELECT cls, unnest([a, k]), unnest([k, b]) FROM (SELECT cls, a, b, arg_max(i, far) AS k FROM (SELECT s.cls, s.a, s.b, m.i, sqrt({far}) AS far FROM (SELECT s.cls, s.a, s.b, m.i, {t} AS t
+  FROM seg s JOIN v pa ON pa.cls = s.cls AND pa.i = s.a JOIN v pb ON pb.cls = s.cls AND pb.i = s.b JOIN v m ON m.cls = s.cls AND m.i > s.a AND m.i < s.b) s
+  JOIN v pa ON pa.cls = s.cls AND pa.i = s.a JOIN v pb ON pb.cls = s.cls AND pb.i = s.b JOIN v m ON m.cls = s.cls AND m.i = s.i) q GROUP BY cls, a, b HAVING max(far) > {eps}::DOUBLE)),
+e AS (SELECT cls, a AS i FROM seg UNION SELECT cls, b FROM seg)
+SELECT cls::INT AS label, row_number() OVER (PARTITION BY cls ORDER BY i)::INT AS i, {r3('x')} AS x, {r3('y')} AS y, {r3('z')} AS z FROM e JOIN v USING (cls, i)"""
+
+
+@query(_simplified(0.35, "xyz"))
+def seq_simplify(spark: SparkSession, d: str) -> DataFrame:
+    """Lines simplified in space."""
+    return by_line(spark, d, lambda p: lines.simplify(p, 0.35))
+
+
+@query(_simplified(0.3, "xy"))
+def seq_simplify_in_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines simplified in plan; no segment is long enough to be cut again."""
+    return by_line(spark, d, lambda p: lines.simplify_in_plan(p, 0.3))
+
+
+_WINDOW = 11
+_WEIGHTS = ", ".join(f"({i}, {j}, {float(w)!r}::DOUBLE)" for i, row in enumerate(lines.quadratic_smoother(_WINDOW)) for j, w in enumerate(row))
+_HALF = _WINDOW // 2
+
+
+@query(f"""WITH {_LINE}, a AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM v WINDOW w AS (PARTITION BY cls ORDER BY i)),
+s AS (SELECT *, sum(step) OVER (PARTITION BY cls ORDER BY i) AS s, count(*) OVER (PARTITION BY cls) AS n FROM a),
+g AS (SELECT *, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, max(s) OVER (PARTITION BY cls) AS total FROM s WINDOW w AS (PARTITION BY cls ORDER BY i)),
+t AS (SELECT cls, i - 1 AS k, n, CASE WHEN i = n THEN total ELSE (i - 1) * (total / (n - 1)) END AS pos FROM g),
+e AS (SELECT t.cls, k, t.n, x + (x2 - x) * ((pos - s) / (s2 - s)) AS x, y + (y2 - y) * ((pos - s) / (s2 - s)) AS y, z + (z2 - z) * ((pos - s) / (s2 - s)) AS z FROM t JOIN g ON g.cls = t.cls AND s2 IS NOT NULL AND pos >= s AND (pos < s2 OR (pos = total AND s2 = total))),
+h(i, j, w) AS (VALUES {_WEIGHTS}),
+o AS (SELECT a.cls, a.k, a.n, sum(w * b.x) AS x, sum(w * b.y) AS y, sum(w * b.z) AS z FROM e a JOIN h ON h.i = CASE WHEN a.k < {_HALF} THEN a.k WHEN a.k >= a.n - {_HALF} THEN {_WINDOW} - (a.n - a.k) ELSE {_HALF} END
+  JOIN e b ON b.cls = a.cls AND b.k = h.j + least(greatest(a.k - {_HALF}, 0), a.n - {_WINDOW}) GROUP BY a.cls, a.k, a.n)
+SELECT o.cls::INT AS label, (k + 1)::INT AS i, {r3('CASE WHEN k IN (0, n - 1) THEN v.x ELSE o.x END')} AS x, {r3('CASE WHEN k IN (0, n - 1) THEN v.y ELSE o.y END')} AS y, {r3('CASE WHEN k IN (0, n - 1) THEN v.z ELSE o.z END')} AS z FROM o JOIN v ON v.cls = o.cls AND v.i = k + 1""")
+def seq_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """Lines spaced evenly and smoothed by a moving parabola, ends kept."""
+    return by_line(spark, d, lambda p: lines.smooth(p, _WINDOW))
+
+
+@query(ORACLE["seq_resample"])
+def seq_resample_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The run's own resampling, line by line, against the same SQL as the table form."""
+    return by_line(spark, d, lambda p: lines.resample(p, 0.5)).select("label", "i", "x", "y")
+
+
+@query(f"""WITH RECURSIVE {RAMP_SQL}, {_labels('g', SCATTER)}, best AS (SELECT label FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), m AS (SELECT r, c, r * {COLS} + c AS id FROM lab JOIN best USING (label)),
+nb AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_AROUND}), loose AS (SELECT coalesce((SELECT min(id) FROM (SELECT m.id, count(nb.b) AS n FROM m LEFT JOIN nb ON nb.a = m.id GROUP BY m.id) WHERE n <= 1), (SELECT min(id) FROM m)) AS id),
+one(id, depth) AS (SELECT id, 0 FROM loose UNION SELECT nb.b, depth + 1 FROM one JOIN nb ON nb.a = one.id WHERE depth < (SELECT count(*) FROM m)), d1 AS (SELECT id, min(depth) AS depth FROM one GROUP BY id), f1 AS (SELECT id FROM d1 ORDER BY depth DESC, id LIMIT 1),
+two(id, depth) AS (SELECT id, 0 FROM f1 UNION SELECT nb.b, depth + 1 FROM two JOIN nb ON nb.a = two.id WHERE depth < (SELECT count(*) FROM m)), d2 AS (SELECT id, min(depth) AS depth FROM two GROUP BY id), f2 AS (SELECT id, depth FROM d2 ORDER BY depth DESC, id LIMIT 1)
+SELECT f2.depth::INT + 1 AS cells, f1.id::INT AS first_cell, f2.id::INT AS last_cell FROM f1, f2""")
+def grf_longest_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Length and ends of the longest shortest path through the largest part of a mask, which is one face's."""
+    cells = ramp_cells(spark).where(SCATTER).select("r", "c").toPandas()
+    mask = np.zeros((ROWS, COLS), dtype=bool)
+    mask[cells["r"], cells["c"]] = True
+    chain = lines.longest_chain(mask)
+    first, last = (int(r * COLS + c) for r, c in (chain[0], chain[-1]))
+    return spark.createDataFrame([(len(chain), first, last)], "cells int, first_cell int, last_cell int")
+
+
+@query(f"""WITH {RAMP_SQL}, {_grad('g', 's')}, q AS (SELECT a.r, a.c, median(b.gx) AS gx, median(b.gy) AS gy FROM s a JOIN s b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 WHERE (a.r * 7 + a.c * 3) % 97 = 0 GROUP BY a.r, a.c)
+SELECT r, c, {r3('gx / sqrt(gx * gx + gy * gy)')} AS ux, {r3('gy / sqrt(gx * gx + gy * gy)')} AS uy FROM q WHERE sqrt(gx * gx + gy * gy) >= 1e-8""")
+def win_uphill(spark: SparkSession, d: str) -> DataFrame:
+    """Directions of the median gradient around cells of a surface window."""
+    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).toPandas()
+    field = {f: np.zeros((ROWS, COLS)) for f in ("gx_0", "gy_0")}
+    for f, a in field.items():
+        a[g["r"], g["c"]] = g[f]
+    r, c = np.nonzero((np.arange(ROWS)[:, None] * 7 + np.arange(COLS) * 3) % 97 == 0)
+    u = single_edge.uphill(field["gx_0"], field["gy_0"], r, c)
+    rows = [(int(i), int(j), float(a), float(b)) for i, j, (a, b) in zip(r, c, u, strict=True) if np.isfinite(a)]
+    return spark.createDataFrame(rows, "r int, c int, ux double, uy double").select("r", "c", col3("ux").alias("ux"), col3("uy").alias("uy"))
+
+
+@query(f"""WITH {LINEITEM_SQL}, s AS (SELECT list_sort(list(DISTINCT cls::INT)) AS seen FROM p), k(variant, enabled, chosen) AS (VALUES ('off', false, [1]), ('some', true, [5, 2, 2]), ('every', true, range(0, 40)::INT[]), ('nothing', true, []::INT[])),
+q AS (SELECT variant, CASE WHEN NOT enabled THEN NULL WHEN len(seen) > 0 AND list_has_all(chosen, seen) THEN [] ELSE list_sort(list_distinct(chosen)) END AS auto, list_contains(seen, 2) AS ground FROM k, s)
+SELECT variant, coalesce(auto::VARCHAR, 'None') AS auto, CASE WHEN auto IS NULL OR len(auto) = 0 THEN 'None' ELSE auto::VARCHAR END AS click, CASE WHEN ground THEN '[2]' ELSE 'None' END AS terrain FROM q""")
+def fil_class_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Which classes each kind of request asks for, given those that a cloud has."""
+    seen = sorted(r["cls"] for r in select.class_histogram(lineitem_points(spark, d)).collect())
+    cases = [("off", False, [1]), ("some", True, [5, 2, 2]), ("every", True, list(range(40))), ("nothing", True, [])]
+    rows = [(v, str(classes_for_auto(on, chosen, seen)), str(classes_for_click(on, chosen, seen)), str(classes_for_terrain(seen))) for v, on, chosen in cases]
+    return spark.createDataFrame(rows, "variant string, auto string, click string, terrain string")
