@@ -560,3 +560,49 @@ def fil_class_requests(spark: SparkSession, d: str) -> DataFrame:
     cases = [("off", False, [1]), ("some", True, [5, 2, 2]), ("every", True, list(range(40))), ("nothing", True, [])]
     rows = [(v, str(classes_for_auto(on, chosen, seen)), str(classes_for_click(on, chosen, seen)), str(classes_for_terrain(seen))) for v, on, chosen in cases]
     return spark.createDataFrame(rows, "variant string, auto string, click string, terrain string")
+
+
+@query("SELECT n_nationkey::INT AS i, n_nationkey::DOUBLE AS x, 0::DOUBLE AS y FROM nation")
+def seq_despike(spark: SparkSession, d: str) -> DataFrame:
+    """A straight line with three spikes, which become the middle of their neighbours."""
+    k = np.sort(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").toPandas()["n_nationkey"].to_numpy(float))
+    out = lines.despike(np.column_stack([k, np.where(k % 8 == 4, 3.0, 0.0)]))
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(out)], "i int, x double, y double")
+
+
+@query(f"WITH {RAMP_SQL}, {_EDGES} SELECT t.vid::BIGINT AS vid, edge_x, true AS on_edge, true AS level FROM range(15) t(vid), k WHERE type = 'CREST'")
+def seq_plane_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices 0.2 m off the crest, moved to where the planes of bench and face meet."""
+    v = spark.range(15).select(F.col("id").alias("vid"), F.lit(10.2).alias("vx"), (F.col("id") + 3.0).alias("vy"), F.lit(0.0).alias("tx"), F.lit(1.0).alias("ty"), F.lit(-1.0).alias("ux"), F.lit(0.0).alias("uy"))
+    edge = ramp_cells(spark).where("z > 9.95").agg((F.max("c") * CELL).alias("edge_x"))
+    moved = single_edge.plane_breaks(ramp_points(spark), v, True).join(v, "vid").crossJoin(edge)  # one row
+    return moved.select("vid", "edge_x", (F.abs(F.col("vx") + F.col("shift") * F.col("ux") - F.col("edge_x")) <= 0.1).alias("on_edge"), (F.abs(F.col("z") - 10) <= 0.1).alias("level"))
+
+
+@query(f"WITH {RAMP_SQL}, {_EDGES} SELECT type, edge_x, 12 AS points, true AS moved, true AS on_edge FROM k")
+def seq_transition(spark: SparkSession, d: str) -> DataFrame:
+    """Lines 0.6 m off crest and toe, moved across themselves to where a steep side meets a flat one."""
+    cells, frame = single_edge.surface(ramp_points(spark), CELL)
+    g = cells.toPandas()  # a window around a place, of bounded size
+    field = {f: np.zeros((frame.ny, frame.nx)) for f in ("z", "gx", "gy", "slope")}
+    for f, a in field.items():
+        a[g["r"], g["c"]] = g[f]
+    rows = []
+    for kind, at, off in (("CREST", 10.0, 0.6), ("TOE", 15.0, -0.6)):
+        line = np.column_stack([np.full(12, at + off), np.arange(12) + 4.0, np.full(12, 7.0)])
+        out, n, _ = single_edge.snap_to_transition(line, field, frame, kind == "CREST", 20.0, 35.0)
+        rows.append((kind, at, len(out), n >= 8, bool(np.abs(np.median(out[:, 0]) - at) <= 0.4)))
+    return spark.createDataFrame(rows, "type string, edge_x double, points int, moved boolean, on_edge boolean")
+
+
+@query(f"SELECT 'right' AS side, way, 24::DOUBLE AS last_x, {r3('sqrt(1 + 0.2::DOUBLE * 0.2::DOUBLE) + 13')} AS growth FROM (VALUES ('forward'), ('backward')) t(way)")
+def seq_stitch(spark: SparkSession, d: str) -> DataFrame:
+    """A line carried on by a segment that overlaps its end, either way round."""
+    k = np.arange(25.0)
+    line, more = (np.column_stack([x, np.full(len(x), y), np.zeros(len(x))]) for x, y in ((k[:11], 0.0), (k[8:], 0.2)))
+    rows = []
+    for way, segment in (("forward", more), ("backward", more[::-1])):
+        got = single_edge.extend(line, segment, left=False)
+        steps = np.diff(got["extension"][:, :2], axis=0)
+        rows.append((got["side"], way, float(got["extension"][-1, 0]), float(np.hypot(*steps.T).sum())))
+    return spark.createDataFrame(rows, "side string, way string, last_x double, growth double").withColumn("growth", floor_at(F.col("growth")))
