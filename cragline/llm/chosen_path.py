@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from .common import (
-    SHINGLE_WORDS, Words, column, components, distinct_by_text, fingerprint, fresh, join_hot, local_components, materialize, mix, partitions, running_total, seeds, text_slices, whole_groups,
+    SHINGLE_WORDS, Words, column, components, distinct_by_text, fingerprint, fresh, join_hot, local_components, materialize, mix, of_roots, partitions, running_total, seeds, text_slices, whole_groups,
 )
 
 TOKENS = 128  #: min-hash tokens of a set
@@ -371,8 +371,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found, "node", "root")
-    best = roots.join(reps.select("node", "who"), "node").groupBy("root").agg(F.min("who").alias("best"))
-    facts = reps.select("k1", "k2", "node", "n", "who").join(links, "node", "left").join(roots, "node", "left").join(best, "root", "left")
+    named = of_roots(roots, reps.select("node", "who"), F.min("who").alias("best"))
+    facts = reps.select("k1", "k2", "node", "n", "who").join(links, "node", "left").join(named, "node", "left")
     facts = facts.select("k1", "k2", "n", F.col("who.id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("best", "who").alias("w"))
     facts = facts.select("k1", "k2", "n", "set_id", "n_links", F.col("w.id").alias("class_id"), F.col("w.r1").alias("w_r1"), F.col("w.r2").alias("w_r2"))
     rows = signed.select(*WHO, "k1", "k2")

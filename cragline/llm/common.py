@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -20,7 +20,7 @@ from ..operators import graph
 from ..operators.graph import local_components
 from ..shared import HOT_SHARE, join_hot, materialize
 
-__all__ = ["HOT_SHARE", "Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "partitions", "running", "running_total", "seeds", "text_slices", "whole_groups"]
+__all__ = ["HOT_SHARE", "Words", "column", "components", "distinct_by_text", "fingerprint", "fresh", "join_hot", "local_components", "materialize", "mix", "of_roots", "partitions", "running", "running_total", "seeds", "text_slices", "whole_groups"]
 
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -239,3 +239,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): smallest node reachable, for each node of ``edges`` (long, undirected)."""
     return graph.components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+
+
+def of_roots(roots: DataFrame, nodes: DataFrame, value: Column) -> DataFrame:
+    """roots(node, root) with an aggregate over the ``nodes`` of each root, which a large component does not put in one task."""
+    roots = materialize(roots, "roots")
+    values = materialize(roots.join(nodes, "node").groupBy("root").agg(value, F.count("*").alias("size_of_root")), "of-roots")
+    return join_hot(roots, values, ["root"], "size_of_root", roots.count()).drop("size_of_root")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import column, components, fingerprint, join_hot, local_components, materialize, partitions
+from .common import column, components, fingerprint, join_hot, local_components, materialize, of_roots, partitions
 
 LEAF = 256  #: most vectors of an interval at the lowest level
 LEAF_BYTES = 1 << 16  #: bytes that its vectors aim at, so that long vectors make small leaves
@@ -271,8 +271,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = materialize(_compare(sent, eps, least_cosine, np.float32 if single else np.float64), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found, "node", "root")
-    smallest = roots.join(reps.select("node", "smallest"), "node").groupBy("root").agg(F.min("smallest").alias("component_id"))
-    facts = reps.select("k1", "k2", "node", "n", "smallest").join(links, "node", "left").join(roots, "node", "left").join(smallest, "root", "left")
+    named = of_roots(roots, reps.select("node", "smallest"), F.min("smallest").alias("component_id"))
+    facts = reps.select("k1", "k2", "node", "n", "smallest").join(links, "node", "left").join(named, "node", "left")
     own = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("smallest"))
     facts = facts.select("k1", "k2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), own.alias("component_id"))
     out = join_hot(ids.where("k1 is not null"), materialize(facts, "facts"), ["k1", "k2"], "n", total).select("vec_id", "n_links", "component_id")
