@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shipped
-from . import chosen_path, contamination, embedding_dedup, lattice_lm, license_scan, packing, quality_rules, secret_scan, shard_partition, toxicity
+from . import chosen_path, contamination, embedding_dedup, filter_audit, lattice_lm, license_scan, packing, quality_rules, secret_scan, shard_partition, spelling, toxicity, window_packing
+
+
+TOKENIZER = "byte_bpe_50k.json"  #: vocabulary file of op13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        packed = window_packing.pack_windows(_table(spark, sf_dir, "documents"), f.read())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_embedding_dedup, op2_secret_scan, op3_lattice_likelihood, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_contamination, op8_shards, op9_toxicity, op10_packing, pipeline)
+    found = (op1_embedding_dedup, op2_secret_scan, op3_lattice_likelihood, op4_license_scan, op5_quality_rules, op6_jaccard_join, op7_contamination, op8_shards, op9_toxicity, op10_packing, op11_filter_audit, op12_spelling_variants, op13_window_packing, pipeline)
     return {f.__name__: shipped(f) for f in found}
 
 
@@ -171,5 +190,44 @@ FROM t JOIN h USING (row) JOIN p ON p.text = t.text AND p.no_text = t.no_text
 """
 
 
+OP11 = """
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM t),
+c AS (SELECT row, count(*) AS total, count(DISTINCT word) AS uniq FROM w GROUP BY row),
+s AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(total, 0) < 100 AS a, 100 * coalesce(uniq, 0) < 80 * coalesce(total, 0) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(first < doc_id, false) AS e,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t LEFT JOIN c USING (row) JOIN s USING (text) LEFT JOIN l USING (doc_id)),
+p AS (SELECT part, (a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT) AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+k AS (SELECT filter_order, step::INT AS step, (1 << (ascii(filter_order[step]) - 65))::INT AS mine, list_sum(list_transform(range(1, step), lambda i: (1 << (ascii(filter_order[i]) - 65))::INT)) AS earlier
+  FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+x AS (SELECT part, filter_order, step, mine, n, good, toxic, fails & mine <> 0 AS mine_fails, fails & coalesce(earlier, 0)::INT <> 0 AS gone, fails = mine AS only_mine FROM p, k),
+r AS (SELECT part, filter_order, step, mine, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT mine_fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND mine_fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE gone AND mine_fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE only_mine), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE NOT gone AND mine_fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND mine_fails), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (mine), (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM r
+"""
+
+OP12 = f"""
+WITH RECURSIVE bits AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+r AS MATERIALIZED (SELECT concat(doc_id::VARCHAR, ':', run) AS keyed, run, count(*) AS times FROM
+  (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(keyed)), '..'), lambda h: (instr('123456789ABCDEF', left(h, 1)) * 16 + instr('123456789ABCDEF', right(h, 1)))::BIGINT)),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, bits),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM h),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+d AS MATERIALIZED (SELECT word, i, left(word, i::INT) || substring(word, i::INT + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+g AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest),
+b AS (SELECT g.a AS word, count(*) AS n_near, first(v.word ORDER BY v.n DESC, encode(v.word)) AS best, first(v.n ORDER BY v.n DESC, encode(v.word)) AS best_n FROM g JOIN v ON v.word = g.b GROUP BY g.a),
+f AS MATERIALIZED (SELECT v.word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+e(word, root) AS (SELECT word, word FROM f UNION ALL SELECT e.word, f.form FROM e JOIN f ON f.word = e.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e USING (word) JOIN f z ON z.word = e.root WHERE z.form IS NULL
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op1_embedding_dedup": OP1, "op2_secret_scan": OP2, "op6_jaccard_join": OP6, "op7_contamination": OP7, "op8_shards": OP8}
+    return {"op1_embedding_dedup": OP1, "op2_secret_scan": OP2, "op6_jaccard_join": OP6, "op7_contamination": OP7, "op8_shards": OP8, "op11_filter_audit": OP11, "op12_spelling_variants": OP12}
