@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.grid import Frame
 
 ROWS, COLS, CELL = 80, 120, 0.25
-RAMP_FRAME = Frame(0.0, 0.0, CELL, COLS, ROWS)
+ROWS_OF = 60_000  #: rows of lineitem that each ROWS rows of the lattice stand for
 #: Cells of the lattice without points: three columns, a window, and scattered single cells.
 GAPS = "c BETWEEN 12 AND 14 OR (r BETWEEN 40 AND 60 AND c BETWEEN 80 AND 100) OR (r % 9 = 4 AND c % 17 = 5)"
 POINT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "z"]
@@ -16,9 +16,12 @@ POINT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quanti
 LINEITEM_SQL = """p AS (SELECT *, l_partkey::DOUBLE AS x, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE AS y,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_linenumber AS cls FROM lineitem)"""
 EMBEDDING_SQL = "p AS (SELECT vec_id AS pid, label AS cls, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
-RAMP_SQL = f"""g0 AS (SELECT (i // {COLS})::INT AS r, (i % {COLS})::INT AS c FROM range({ROWS * COLS}) t(i)),
-g AS (SELECT r, c, CASE WHEN {CELL}::DOUBLE * c <= 10 THEN 10::DOUBLE WHEN {CELL}::DOUBLE * c >= 15 THEN 5::DOUBLE ELSE 20::DOUBLE - {CELL}::DOUBLE * c END
-  + ((7919 * r + 104729 * c) % 1000 / 1000::DOUBLE - 0.5::DOUBLE) * 0.02::DOUBLE AS z FROM g0)"""
+#: The surveyed ramp: a design surface, and in each cell the mean deviation of the lineitem rows that fall in it. A cell without rows is as designed.
+RAMP_SQL = f"""surveyed AS (SELECT (greatest(1, ceil(count(*) / {ROWS_OF}.0)) * {ROWS})::BIGINT AS nrows FROM lineitem),
+hits AS (SELECT (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % (nrows * {COLS}) AS i, sum(CAST(round(l_extendedprice * 100) AS BIGINT) % 1000)::BIGINT AS dev, count(*) AS hits FROM lineitem, surveyed GROUP BY 1),
+g0 AS MATERIALIZED (SELECT (i // {COLS})::INT AS r, (i % {COLS})::INT AS c, coalesce(floor((dev / hits::DOUBLE / 1000::DOUBLE - 0.5::DOUBLE) * 20000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE, 0) AS off FROM (SELECT unnest(range(nrows * {COLS})) AS i FROM surveyed) LEFT JOIN hits USING (i)),
+g AS MATERIALIZED (SELECT r, c, CASE WHEN {CELL}::DOUBLE * c <= 10 THEN 10::DOUBLE WHEN {CELL}::DOUBLE * c >= 15 THEN 5::DOUBLE ELSE 20::DOUBLE - {CELL}::DOUBLE * c END + off AS z FROM g0)"""
+LAST_ROW = "(SELECT max(r) FROM g0)"
 
 
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,25 +38,38 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("pid"), F.col("label").alias("cls"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
 
 
-def ramp_cells(spark: SparkSession) -> DataFrame:
-    """(r, c, z): a bench, a 45-degree face between x = 10 and 15, a lower bench, with integer noise."""
+def ramp_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the lattice, which grow with lineitem."""
+    return max(1, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // ROWS_OF)) * ROWS
+
+
+def ramp_frame(spark: SparkSession, sf_dir: str) -> Frame:
+    return Frame(0.0, 0.0, CELL, COLS, ramp_rows(spark, sf_dir))
+
+
+def ramp_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(r, c, z): a bench, a 45-degree face between x = 10 and 15, a lower bench, as surveyed by the rows of lineitem."""
+    cells = ramp_rows(spark, sf_dir) * COLS
+    key = F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    seen = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((key % cells).alias("id")).agg(F.sum(cents % 1000).alias("dev"), F.count("*").alias("hits"))
+    off = F.coalesce(F.floor((F.col("dev") / F.col("hits") / F.lit(1000.0) - 0.5) * 20000.0 + 0.5) / 1000000.0, F.lit(0.0))
     x = F.col("c") * CELL
-    noise = ((F.lit(7919) * F.col("r") + F.lit(104729) * F.col("c")) % 1000 / F.lit(1000.0) - 0.5) * 0.02
-    z = F.when(x <= 10, 10.0).when(x >= 15, 5.0).otherwise(F.lit(20.0) - x) + noise
-    cells = spark.range(ROWS * COLS).select(F.expr(f"int(id div {COLS})").alias("r"), F.expr(f"int(id % {COLS})").alias("c"))
-    return cells.withColumn("z", z)
+    z = F.when(x <= 10, 10.0).when(x >= 15, 5.0).otherwise(F.lit(20.0) - x) + F.col("off")
+    lattice = spark.range(cells).join(seen, "id", "left").select(F.expr(f"int(id div {COLS})").alias("r"), F.expr(f"int(id % {COLS})").alias("c"), off.alias("off"))
+    return lattice.select("r", "c", z.alias("z"))
 
 
-def ramp_grid(spark: SparkSession) -> DataFrame:
+def ramp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice as a grid without gaps."""
-    return ramp_cells(spark).withColumns({"valid": F.lit(True), "analysis_valid": F.lit(True), "support_m": F.lit(0.0)})
+    return ramp_cells(spark, sf_dir).withColumns({"valid": F.lit(True), "analysis_valid": F.lit(True), "support_m": F.lit(0.0)})
 
 
-def ramp_with_gaps(spark: SparkSession) -> DataFrame:
+def ramp_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.expr(GAPS)
-    return ramp_cells(spark).select("r", "c", F.when(~gap, F.col("z")).alias("z"), (~gap).alias("valid"))
+    return ramp_cells(spark, sf_dir).select("r", "c", F.when(~gap, F.col("z")).alias("z"), (~gap).alias("valid"))
 
 
-def ramp_points(spark: SparkSession) -> DataFrame:
+def ramp_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice as points of class 2."""
-    return ramp_cells(spark).select((F.col("r") * COLS + F.col("c")).cast("long").alias("pid"), (F.col("c") * CELL).alias("x"), (F.col("r") * CELL).alias("y"), "z", F.lit(2).alias("cls"))
+    return ramp_cells(spark, sf_dir).select((F.col("r") * COLS + F.col("c")).cast("long").alias("pid"), (F.col("c") * CELL).alias("x"), (F.col("r") * CELL).alias("y"), "z", F.lit(2).alias("cls"))

@@ -17,7 +17,7 @@ from ..sources.points import text_points
 from ..streaming.raster import raster_sums
 from . import extract as E
 from .fixtures import (
-    CELL, COLS, EMBEDDING_SQL, GAPS, LINEITEM_SQL, POINT_ORDER, RAMP_FRAME, RAMP_SQL, ROWS, embedding_points, lineitem_points, ramp_cells, ramp_grid, ramp_points, ramp_with_gaps,
+    CELL, COLS, EMBEDDING_SQL, GAPS, LAST_ROW, LINEITEM_SQL, POINT_ORDER, RAMP_SQL, embedding_points, lineitem_points, ramp_cells, ramp_frame, ramp_grid, ramp_points, ramp_rows, ramp_with_gaps,
 )
 
 QUERIES: dict = {}
@@ -149,12 +149,12 @@ def prj_cell_budget(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f.cell, f.nx, f.ny, f.adjusted)], "cell double, nx int, ny int, adjusted boolean").withColumn("cell", floor_at(F.col("cell")))
 
 
-@query(f"""WITH {EMBEDDING_SQL}, {RAMP_SQL}, q AS (SELECT pid, greatest(0, least({ROWS - 1}, round_even((y + 1) * 10 / {CELL}::DOUBLE - 0.5::DOUBLE, 0)))::INT AS r,
+@query(f"""WITH {EMBEDDING_SQL}, {RAMP_SQL}, q AS (SELECT pid, greatest(0, least({LAST_ROW}, round_even((y + 1) * 10 / {CELL}::DOUBLE - 0.5::DOUBLE, 0)))::INT AS r,
   greatest(0, least({COLS - 1}, round_even((x + 1) * 15 / {CELL}::DOUBLE - 0.5::DOUBLE, 0)))::INT AS c FROM p) SELECT pid, {r3('z')} AS z FROM q JOIN g USING (r, c)""")
 def prj_lookup(spark: SparkSession, d: str) -> DataFrame:
     p = embedding_points(spark, d)
-    at = p.select("pid", nearest_index((F.col("y") + 1) * 10, 0.0, CELL, ROWS).alias("r"), nearest_index((F.col("x") + 1) * 15, 0.0, CELL, COLS).alias("c"))
-    return at.join(ramp_cells(spark), ["r", "c"]).select("pid", col3("z").alias("z"))
+    at = p.select("pid", nearest_index((F.col("y") + 1) * 10, 0.0, CELL, ramp_rows(spark, d)).alias("r"), nearest_index((F.col("x") + 1) * 15, 0.0, CELL, COLS).alias("c"))
+    return at.join(ramp_cells(spark, d), ["r", "c"]).select("pid", col3("z").alias("z"))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -292,17 +292,17 @@ def _grad(source: str, out: str, cell: float = CELL) -> str:
 
 @query(f"WITH {RAMP_SQL}, {_grad('g', 's')} SELECT r, c, {r3('gx')} AS gx, {r3('gy')} AS gy FROM s")
 def win_gradient(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).select("r", "c", col3("gx_0").alias("gx"), col3("gy_0").alias("gy"))
+    return terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).select("r", "c", col3("gx_0").alias("gx"), col3("gy_0").alias("gy"))
 
 
 @query(f"WITH {RAMP_SQL}, {_grad('g', 's')} SELECT r, c, {r3('slope')} AS slope FROM s")
 def win_slope(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).select("r", "c", col3("slope_0").alias("slope"))
+    return terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).select("r", "c", col3("slope_0").alias("slope"))
 
 
 @query(f"WITH {RAMP_SQL}, {_gauss(1.5, 's')} SELECT r, c, {r3('z')} AS z FROM s")
 def win_gaussian(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.gaussian(ramp_cells(spark), {"s": 1.5}).select("r", "c", col3("s").alias("z"))
+    return terrain.gaussian(ramp_cells(spark, d), {"s": 1.5}).select("r", "c", col3("s").alias("z"))
 
 
 _SCALES = ", ".join(f"{_gauss(s, f'h{i}')}, {_grad(f'h{i}', f's{i}')}" for i, s in enumerate(CFG.smooth_sigmas_cells))
@@ -311,25 +311,25 @@ _FIELDS = f"""{_SCALES}, f AS (SELECT a.r, a.c, (a.slope >= {LOW})::INT + (b.slo
   FROM s0 a JOIN s1 b USING (r, c) JOIN s2 d USING (r, c)), fw AS (SELECT *, persistence >= 2 AS weak FROM f)"""
 
 
-def _fields(spark: SparkSession) -> DataFrame:
-    return terrain.detection_fields(terrain.slopes(ramp_grid(spark), RAMP_FRAME, CFG), CFG, LOW, HIGH)
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return terrain.detection_fields(terrain.slopes(ramp_grid(spark, d), ramp_frame(spark, d), CFG), CFG, LOW, HIGH)
 
 
 @query(f"WITH {RAMP_SQL}, {_FIELDS} SELECT persistence, strong, weak, count(*) AS n, {r3('avg(slope)')} AS slope FROM fw GROUP BY persistence, strong, weak")
 def win_persistence(spark: SparkSession, d: str) -> DataFrame:
-    return _fields(spark).groupBy("persistence", "strong", "weak").agg(F.count("*").alias("n"), floor_at(F.avg("slope")).alias("slope"))
+    return _fields(spark, d).groupBy("persistence", "strong", "weak").agg(F.count("*").alias("n"), floor_at(F.avg("slope")).alias("slope"))
 
 
 @query(f"WITH {RAMP_SQL}, {_gauss(0.8, 'h')}, {_grad('h', 's')}, q AS (SELECT quantile_cont(slope, 0.7) AS a, quantile_cont(slope, 0.85) AS b FROM s), t AS (SELECT a, least(55, greatest(18, b, a + 5)) AS high FROM q) SELECT {r3('least(greatest(least(a, 0.72::DOUBLE * high), 8), high - 2)')} AS low, {r3('high')} AS high FROM t")
 def agg_slope_thresholds(spark: SparkSession, d: str) -> DataFrame:
     cfg = ExtractConfig()
-    low, high = terrain.slope_thresholds(terrain.slopes(ramp_grid(spark), RAMP_FRAME, cfg), cfg)
+    low, high = terrain.slope_thresholds(terrain.slopes(ramp_grid(spark, d), ramp_frame(spark, d), cfg), cfg)
     return spark.createDataFrame([(low, high)], "low double, high double").select(col3("low").alias("low"), col3("high").alias("high"))
 
 
 @query(f"WITH {RAMP_SQL}, {_grad('g', 's')}, q AS (SELECT quantile_cont(slope, 0.7) AS a, quantile_cont(slope, 0.85) AS b FROM s), t AS (SELECT least(38, greatest(17, 0.55::DOUBLE * a + 0.45::DOUBLE * b)) AS high FROM q) SELECT {r3('least(greatest(0.52::DOUBLE * high, 8), high - 4)')} AS low, {r3('high')} AS high FROM t")
 def agg_blended_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    low, high = terrain.blended_thresholds(terrain.gradients(ramp_grid(spark), CELL, {"0": "z"}).withColumnRenamed("slope_0", "slope"))
+    low, high = terrain.blended_thresholds(terrain.gradients(ramp_grid(spark, d), CELL, {"0": "z"}).withColumnRenamed("slope_0", "slope"))
     return spark.createDataFrame([(low, high)], "low double, high double").select(col3("low").alias("low"), col3("high").alias("high"))
 
 
@@ -339,7 +339,7 @@ def _turn(axis: str, fn: str) -> str:
 
 
 _TIN = f"""{_gauss(0.55, 't0')}, t1 AS (SELECT r, c, z AS p00, lead(z) OVER ({_ROW}) AS p10, lead(z) OVER ({_COL}) AS p01 FROM t0),
-t2 AS (SELECT *, lead(p10) OVER ({_COL}) AS p11 FROM t1), t3 AS (SELECT * FROM t2 WHERE r < {ROWS - 1} AND c < {COLS - 1}),
+t2 AS (SELECT *, lead(p10) OVER ({_COL}) AS p11 FROM t1), t3 AS (SELECT * FROM t2 WHERE r < {LAST_ROW} AND c < {COLS - 1}),
 t4 AS (SELECT r, c, -{CELL}::DOUBLE * (p10 - p00) - {CELL}::DOUBLE * (p11 - p01) AS a, {CELL}::DOUBLE * (p10 - p11) + {CELL}::DOUBLE * (p00 - p01) AS b, 2 * {CELL}::DOUBLE * {CELL}::DOUBLE AS e FROM t3),
 t5 AS (SELECT r, c, a / sqrt(a * a + b * b + e * e) AS nx, b / sqrt(a * a + b * b + e * e) AS ny, e / sqrt(a * a + b * b + e * e) AS nz FROM t4),
 t6 AS (SELECT r, c, greatest({_turn(_ROW, 'lag')}, {_turn(_ROW, 'lead')}, {_turn(_COL, 'lag')}, {_turn(_COL, 'lead')}) AS score FROM t5)"""
@@ -347,7 +347,7 @@ t6 AS (SELECT r, c, greatest({_turn(_ROW, 'lag')}, {_turn(_ROW, 'lead')}, {_turn
 
 @query(f"WITH {RAMP_SQL}, {_TIN} SELECT r, c, {r3('score')} AS score FROM t6")
 def win_tin_break(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.break_scores(ramp_grid(spark), RAMP_FRAME).select("r", "c", col3("score").alias("score"))
+    return terrain.break_scores(ramp_grid(spark, d), ramp_frame(spark, d)).select("r", "c", col3("score").alias("score"))
 
 
 _GAP = f"w AS (SELECT r, c, CASE WHEN NOT ({GAPS}) THEN z END AS z, NOT ({GAPS}) AS valid FROM g)"
@@ -356,7 +356,7 @@ _NEAR = """n AS (SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) *
 
 @query(f"WITH {RAMP_SQL}, {_GAP}, {_NEAR} SELECT r, c, {r3('sqrt(d2)')} AS d FROM n")
 def win_distance(spark: SparkSession, d: str) -> DataFrame:
-    g = ramp_with_gaps(spark)
+    g = ramp_with_gaps(spark, d)
     return grid.distance_to_valid(g).join(g.where("NOT valid").select("r", "c"), ["r", "c"]).select("r", "c", col3("d").alias("d"))
 
 
@@ -371,7 +371,7 @@ e AS (SELECT b.r, b.c, b.z, b.valid, sqrt(d2) * {CELL}::DOUBLE AS far, haz + (hb
 o AS (SELECT r, c, valid OR (far <= 1.5 AND coalesce(h, v) IS NOT NULL) AS analysis_valid, CASE WHEN valid THEN z WHEN far <= 1.5 THEN coalesce((h + v) / 2, h, v) END AS z FROM e)
 SELECT r, c, {r3('z')} AS z FROM o WHERE analysis_valid""")
 def win_gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    out = grid.reconstruct(ramp_with_gaps(spark), RAMP_FRAME, 1.5)
+    out = grid.reconstruct(ramp_with_gaps(spark, d), ramp_frame(spark, d), 1.5)
     return out.where("analysis_valid").select("r", "c", col3("z").alias("z"))
 
 
@@ -384,13 +384,13 @@ _MASK = f"mk AS (SELECT r, c, {SCATTER} AS m FROM g)"
 e1 AS (SELECT r, c, CASE WHEN count(*) {_HB} < 3 THEN 0 ELSE min(m) {_HB} END AS m FROM d2), e2 AS (SELECT r, c, CASE WHEN count(*) {_VB} < 3 THEN 0 ELSE min(m) {_VB} END AS m FROM e1)
 SELECT r, c FROM e2 WHERE m = 1""")
 def win_closing(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.closing(ramp_cells(spark).withColumn("m", F.expr(SCATTER)), "m", "closed").where("closed").select("r", "c")
+    return terrain.closing(ramp_cells(spark, d).withColumn("m", F.expr(SCATTER)), "m", "closed").where("closed").select("r", "c")
 
 
 @query(f"""WITH {RAMP_SQL}, {_grad('g', 's')}, mk AS (SELECT r, c FROM s WHERE slope >= 30), n AS (SELECT a.r, a.c, count(*) AS n FROM mk a JOIN mk b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c)
 SELECT r, c FROM n WHERE n < 9""")
 def win_boundary(spark: SparkSession, d: str) -> DataFrame:
-    steep = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).where("slope_0 >= 30").select("r", "c", F.lit(1).alias("label"))
+    steep = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).where("slope_0 >= 30").select("r", "c", F.lit(1).alias("label"))
     return faces.boundary(steep).select("r", "c")
 
 
@@ -408,7 +408,7 @@ def _rounds(n: int) -> str:
 
 @query(f"WITH {RAMP_SQL}, {_rounds(8)} SELECT r, c, {r3('z')} AS z FROM w8 WHERE valid")
 def win_fill_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.fill_sparse(ramp_with_gaps(spark)).where("valid").select("r", "c", col3("z").alias("z"))
+    return terrain.fill_sparse(ramp_with_gaps(spark, d)).where("valid").select("r", "c", col3("z").alias("z"))
 
 
 _MEANS = f"""(SELECT a.r, a.c, a.valid, CASE WHEN a.valid THEN sum(k * b.z) / sum(k) END AS z FROM {{source}} a LEFT JOIN (SELECT * FROM {{source}}, (VALUES (0, 6), (1, 4), (2, 1)) t(ds, k)) b
@@ -417,7 +417,7 @@ ON b.valid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) +
 
 @query(f"WITH {RAMP_SQL}, {_GAP}, m1 AS {_MEANS.format(source='w')}, m2 AS {_MEANS.format(source='m1')} SELECT r, c, floor(z * 1e7 + 0.5) / 1e7 AS z FROM m2 WHERE valid")
 def win_smooth_masked(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.smooth_masked(ramp_with_gaps(spark)).where("valid").select("r", "c", floor_at(F.col("z"), 7).alias("z"))
+    return terrain.smooth_masked(ramp_with_gaps(spark, d)).where("valid").select("r", "c", floor_at(F.col("z"), 7).alias("z"))
 
 
 # ---------------------------------------------------------------- graphs and faces
@@ -427,18 +427,18 @@ def _labels(source: str, where: str) -> str:
     return f"mk AS (SELECT r, c, r * {COLS} + c AS id FROM {source} WHERE {where}), reach AS (SELECT r, c, id FROM mk UNION SELECT b.r, b.c, a.id FROM reach a JOIN mk b ON {_AROUND}), lab AS (SELECT r, c, min(id)::BIGINT AS label FROM reach GROUP BY r, c)"
 
 
-def _scatter(spark: SparkSession, mask: str = SCATTER) -> DataFrame:
-    return ramp_cells(spark).where(mask).select("r", "c")
+def _scatter(spark: SparkSession, d: str, mask: str = SCATTER) -> DataFrame:
+    return ramp_cells(spark, d).where(mask).select("r", "c")
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_labels('g', SCATTER)} SELECT label, count(*) AS cells FROM lab GROUP BY label")
 def grf_labels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_cells(_scatter(spark), RAMP_FRAME, tile=32).groupBy("label").agg(F.count("*").alias("cells"))
+    return graph.label_cells(_scatter(spark, d), ramp_frame(spark, d), tile=32).groupBy("label").agg(F.count("*").alias("cells"))
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_labels('g', SCATTER)} SELECT label, count(*) AS cells FROM lab GROUP BY label HAVING count(*) >= 5")
 def agg_component_filter(spark: SparkSession, d: str) -> DataFrame:
-    return faces.keep_large(_scatter(spark), RAMP_FRAME, 5).groupBy("label").agg(F.count("*").alias("cells"))
+    return faces.keep_large(_scatter(spark, d), ramp_frame(spark, d), 5).groupBy("label").agg(F.count("*").alias("cells"))
 
 
 _SEEDED = f"{_FIELDS}, reach(r, c) AS (SELECT r, c FROM fw WHERE strong UNION SELECT b.r, b.c FROM reach a JOIN fw b ON b.weak AND {_AROUND})"
@@ -446,7 +446,7 @@ _SEEDED = f"{_FIELDS}, reach(r, c) AS (SELECT r, c FROM fw WHERE strong UNION SE
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_SEEDED} SELECT r, c FROM reach")
 def grf_hysteresis(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hysteresis(_fields(spark), RAMP_FRAME, tile=32)
+    return graph.hysteresis(_fields(spark, d), ramp_frame(spark, d), tile=32)
 
 
 _STATS = f"""{_labels('g', SCATTER)}, {_grad('g', 's')}, u AS (SELECT label, slope, CASE WHEN sqrt(gx * gx + gy * gy) > 1e-9 THEN -gx / sqrt(gx * gx + gy * gy) END AS ux,
@@ -454,20 +454,20 @@ _STATS = f"""{_labels('g', SCATTER)}, {_grad('g', 's')}, u AS (SELECT label, slo
 st AS (SELECT label, count(*) AS cells, count(ux) AS sloped, sqrt(avg(ux) * avg(ux) + avg(uy) * avg(uy)) AS coherence, avg(slope) AS slope_mean, avg(ux) AS mx, avg(uy) AS my FROM u GROUP BY label)"""
 
 
-def _face_cells(spark: SparkSession) -> DataFrame:
-    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy", "slope_0": "slope"}).withColumn("persistence", F.lit(3))
-    return graph.label_cells(_scatter(spark), RAMP_FRAME, tile=32).join(g, ["r", "c"])
+def _face_cells(spark: SparkSession, d: str) -> DataFrame:
+    g = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy", "slope_0": "slope"}).withColumn("persistence", F.lit(3))
+    return graph.label_cells(_scatter(spark, d), ramp_frame(spark, d), tile=32).join(g, ["r", "c"])
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_STATS} SELECT label, cells, sloped, {r3('coherence')} AS coherence, {r3('slope_mean')} AS slope FROM st")
 def agg_face_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = faces.face_statistics(_face_cells(spark), 3)
+    s = faces.face_statistics(_face_cells(spark, d), 3)
     return s.select("label", "cells", "sloped", col3("coherence").alias("coherence"), col3("slope_mean").alias("slope"))
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_STATS} SELECT label, {r3('coherence')} AS coherence FROM st WHERE cells >= 4 AND sloped >= 4 AND coherence >= 0.5")
 def fil_faces(spark: SparkSession, d: str) -> DataFrame:
-    return faces.accepted(faces.face_statistics(_face_cells(spark), 3), CFG).select("label", col3("coherence").alias("coherence"))
+    return faces.accepted(faces.face_statistics(_face_cells(spark, d), 3), CFG).select("label", col3("coherence").alias("coherence"))
 
 
 _SECTION = f"""{_grad('g', 's')}, mk AS (SELECT r, c, ({CELL}::DOUBLE * (c + 0.5::DOUBLE)) AS x, ({CELL}::DOUBLE * (r + 0.5::DOUBLE)) AS y FROM s WHERE slope >= 30),
@@ -476,16 +476,16 @@ b AS (SELECT *, floor((y - min(y) OVER ()) / {CELL}::DOUBLE) AS bin FROM mk)"""
 
 @query(f"WITH {RAMP_SQL}, {_SECTION} SELECT bin::BIGINT AS bin, {r3('min(x)')} AS crest_x, {r3('max(x)')} AS toe_x FROM b GROUP BY bin")
 def agg_cross_section(spark: SparkSession, d: str) -> DataFrame:
-    steep = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).where("slope_0 >= 30").select("r", "c", F.lit(1).cast("long").alias("label"), F.lit(3).alias("persistence"))
+    steep = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).where("slope_0 >= 30").select("r", "c", F.lit(1).cast("long").alias("label"), F.lit(3).alias("persistence"))
     stats = spark.createDataFrame([(1, 1.0, 0.0)], "label long, down_x double, down_y double")
-    s = faces.cross_section(steep, RAMP_FRAME, stats)
+    s = faces.cross_section(steep, ramp_frame(spark, d), stats)
     return s.select("bin", col3("crest_x").alias("crest_x"), col3("toe_x").alias("toe_x"))
 
 
 @query(f"""WITH RECURSIVE {RAMP_SQL}, {_labels('g', SCATTER)}, q AS (SELECT *, ({CELL}::DOUBLE * (c + 0.5::DOUBLE) - 7.1::DOUBLE) * ({CELL}::DOUBLE * (c + 0.5::DOUBLE) - 7.1::DOUBLE) + ({CELL}::DOUBLE * (r + 0.5::DOUBLE) - 9.3::DOUBLE) * ({CELL}::DOUBLE * (r + 0.5::DOUBLE) - 9.3::DOUBLE) AS d2 FROM lab),
 e AS (SELECT *, CASE WHEN r = 37 AND c = 28 THEN -1 ELSE d2 END AS k FROM q) SELECT label, {r3('sqrt(greatest(k, 0))')} AS dist FROM e ORDER BY k, r, c LIMIT 1""")
 def jn_seed_face(spark: SparkSession, d: str) -> DataFrame:
-    label, dist = spatial.seed_label(graph.label_cells(_scatter(spark), RAMP_FRAME, tile=32), RAMP_FRAME, (7.1, 9.3))
+    label, dist = spatial.seed_label(graph.label_cells(_scatter(spark, d), ramp_frame(spark, d), tile=32), ramp_frame(spark, d), (7.1, 9.3))
     return spark.createDataFrame([(label, dist)], "label long, dist double").withColumn("dist", floor_at(F.col("dist")))
 
 
@@ -523,15 +523,15 @@ def seq_smooth_weighted(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("cls").alias("label"), "pid", col3("x").alias("x"), col3("y").alias("y"))
 
 
-_SIDE = f"greatest(0, least({ROWS - 1}, b.r + {{s}} * sign(gy)::INT)) AS {{t}}r, greatest(0, least({COLS - 1}, b.c + {{s}} * sign(gx)::INT)) AS {{t}}c"
+_SIDE = f"greatest(0, least({LAST_ROW}, b.r + {{s}} * sign(gy)::INT)) AS {{t}}r, greatest(0, least({COLS - 1}, b.c + {{s}} * sign(gx)::INT)) AS {{t}}c"
 
 
 @query(f"""WITH {RAMP_SQL}, {_grad('g', 's')}, mk AS (SELECT r, c FROM s WHERE slope >= 30), n AS (SELECT a.r, a.c, count(*) AS n FROM mk a JOIN mk b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c),
 b AS (SELECT b.r, b.c, {_SIDE.format(s=2, t='u')}, {_SIDE.format(s=-2, t='d')} FROM n b JOIN s USING (r, c) WHERE n < 9 AND sqrt(gx * gx + gy * gy) >= 1e-8)
 SELECT b.r, b.c FROM b LEFT JOIN mk u ON u.r = ur AND u.c = uc LEFT JOIN mk d ON d.r = dr AND d.c = dc WHERE u.r IS NULL AND d.r IS NOT NULL""")
 def win_edge_cells(spark: SparkSession, d: str) -> DataFrame:
-    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy"})
-    return single_edge.edge_cells(g.where("slope_0 >= 30").select("r", "c"), g, RAMP_FRAME, True)
+    g = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy"})
+    return single_edge.edge_cells(g.where("slope_0 >= 30").select("r", "c"), g, ramp_frame(spark, d), True)
 
 
 _SCORE = f"""{_labels('g', DENSER)}, cs AS (SELECT label, count(*) AS cells, min(sqrt((r - 37.2::DOUBLE) * (r - 37.2::DOUBLE) + (c - 28.4::DOUBLE) * (c - 28.4::DOUBLE))) AS dd FROM lab GROUP BY label HAVING count(*) >= 18)"""
@@ -539,7 +539,7 @@ _SCORE = f"""{_labels('g', DENSER)}, cs AS (SELECT label, count(*) AS cells, min
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_SCORE} SELECT label, cells, {r3(f'dd * {CELL}::DOUBLE + 0.6::DOUBLE / sqrt(greatest(cells * {CELL * CELL}::DOUBLE, 0.25::DOUBLE))')} AS score FROM cs")
 def jn_component_score(spark: SparkSession, d: str) -> DataFrame:
-    s = single_edge.component_scores(graph.label_cells(_scatter(spark, DENSER), RAMP_FRAME, tile=32), RAMP_FRAME, (28.4 * CELL, 37.2 * CELL))
+    s = single_edge.component_scores(graph.label_cells(_scatter(spark, d, DENSER), ramp_frame(spark, d), tile=32), ramp_frame(spark, d), (28.4 * CELL, 37.2 * CELL))
     return s.select("label", "cells", col3("score").alias("score"))
 
 
@@ -582,18 +582,18 @@ def cat_recent_first(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {RAMP_SQL}, {_FIELDS}, {_labels('fw', 'weak OR strong')}, h AS (SELECT DISTINCT label FROM lab JOIN fw USING (r, c) WHERE strong)
 SELECT label, count(*) AS cells FROM lab JOIN h USING (label) GROUP BY label""")
 def flow_face_count(spark: SparkSession, d: str) -> DataFrame:
-    g = _fields(spark)
-    return graph.label_cells(graph.hysteresis(g, RAMP_FRAME), RAMP_FRAME).groupBy("label").agg(F.count("*").alias("cells"))
+    g = _fields(spark, d)
+    return graph.label_cells(graph.hysteresis(g, ramp_frame(spark, d)), ramp_frame(spark, d)).groupBy("label").agg(F.count("*").alias("cells"))
 
 
-def _extracted(spark: SparkSession):
-    p = ramp_points(spark)
-    return E.extract_points(p, CFG, ((0.0, 0.0), ((COLS - 1) * CELL, (ROWS - 1) * CELL)))
+def _extracted(spark: SparkSession, d: str):
+    p = ramp_points(spark, d)
+    return E.extract_points(p, CFG, ((0.0, 0.0), ((COLS - 1) * CELL, (ramp_rows(spark, d) - 1) * CELL)))
 
 
 @query(f"WITH {RAMP_SQL} SELECT r, string_agg(printf('%.6f', z), ' ' ORDER BY c) AS row FROM g GROUP BY r")
 def snk_ascii_grid(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.ascii_rows(ramp_cells(spark), "z")
+    return sinks.ascii_rows(ramp_cells(spark, d), "z")
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ from ..shared import materialize, shared_dir
 from ..sources import catalog, las, sinks
 from ..sources.points import inspect, read_points
 from . import extract as E
-from .fixtures import CELL, COLS, EMBEDDING_SQL, LINEITEM_SQL, RAMP_FRAME, RAMP_SQL, ROWS, embedding_points, lineitem_points, ramp_cells, ramp_grid, ramp_points, ramp_with_gaps
+from .fixtures import CELL, COLS, EMBEDDING_SQL, LAST_ROW, LINEITEM_SQL, RAMP_SQL, embedding_points, lineitem_points, ramp_cells, ramp_frame, ramp_grid, ramp_points, ramp_rows, ramp_with_gaps
 from .registry import _AROUND, _COL, _FIT, _GAP, _HB, _NEAR, _ROW, _VB, CFG, DENSER, ORACLE, SCATTER, _extracted, _fill, _gauss, _grad, _labels, col3, query, r3
 
 RESIDUALS = "o AS (SELECT p.*, p.z - (a * x + b * y + c) AS off FROM p JOIN e USING (cls)), c1 AS (SELECT cls, median(off) AS mid FROM o GROUP BY cls), c2 AS (SELECT cls, median(abs(off - mid)) AS mad FROM o JOIN c1 USING (cls) GROUP BY cls)"
@@ -40,13 +40,13 @@ def src_inspect(spark: SparkSession, d: str) -> DataFrame:
     path = path_for(spark, "cloud.parquet")
     lineitem_points(spark, d).select("x", "y", "z", "cls").write.parquet(path)
     i = inspect(spark, path)
-    return spark.createDataFrame([(i.point_count, i.mins[0], i.maxs[1], i.mins[2], i.width, i.has_classification)], "n long, xmin double, ymax double, zmin double, width double, has_classes boolean")
+    return spark.createDataFrame([(i.n, i.xmin, i.ymax, i.zmin, i.xmax - i.xmin, i.has_classes)], "n long, xmin double, ymax double, zmin double, width double, has_classes boolean")
 
 
-def _las(spark: SparkSession) -> str:
+def _las(spark: SparkSession, d: str) -> str:
     """The lattice as a LAS file, with the column's remainder as class."""
     path = path_for(spark, "lattice.las")
-    p = ramp_points(spark).orderBy("pid").toPandas()  # a fixture of fixed size
+    p = ramp_points(spark, d).orderBy("pid").toPandas()  # a fixture of fixed size
     las.write_las(path, p["x"], p["y"], p["z"], p["pid"] % 5)
     return path
 
@@ -54,20 +54,20 @@ def _las(spark: SparkSession) -> str:
 @query(f"WITH {RAMP_SQL} SELECT ((r * {COLS} + c) % 5)::INT AS cls, count(*) AS n, sum(floor({CELL}::DOUBLE * c * 1000 + 0.5))::BIGINT AS milli, sum(r * {COLS} + c)::BIGINT AS pids FROM g GROUP BY ALL")
 def src_las_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Points of a LAS file read in ranges of 1,000 records."""
-    p = las.read_las(spark, _las(spark), 1000)
+    p = las.read_las(spark, _las(spark, d), 1000)
     return p.groupBy("cls").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("x") * 1000 + 0.5)).alias("milli"), F.sum("pid").alias("pids"))
 
 
 @query(f"WITH {RAMP_SQL} SELECT (r * {COLS} + c)::BIGINT AS pid, {r3(f'{CELL}::DOUBLE * c')} AS x, {r3(f'{CELL}::DOUBLE * r')} AS y, ((r * {COLS} + c) % 5)::INT AS cls FROM g WHERE (r * {COLS} + c) % 5 = 2")
 def src_las_memory(spark: SparkSession, d: str) -> DataFrame:
     """One class of a LAS file read whole, by its suffix."""
-    p = select.in_classes(read_points(spark, _las(spark)), (2,))
+    p = select.in_classes(read_points(spark, _las(spark, d)), (2,))
     return p.select("pid", col3("x").alias("x"), col3("y").alias("y"), "cls")
 
 
 @query(f"WITH {RAMP_SQL} SELECT '1.2' AS version, 3 AS point_format, count(*) AS point_count, 0.001::DOUBLE AS scale, {r3(f'max({CELL}::DOUBLE * c)')} AS xmax, {r3('min(z)')} AS zmin, {r3('max(z)')} AS zmax FROM g")
 def src_las_header(spark: SparkSession, d: str) -> DataFrame:
-    m = las.metadata(spark, _las(spark))
+    m = las.metadata(spark, _las(spark, d))
     at = lambda c, i: F.get(c, F.lit(i))
     return m.select("version", "point_format", "point_count", at("scales", 0).alias("scale"), floor_at(at("maxs", 0)).alias("xmax"), floor_at(at("mins", 2)).alias("zmin"), floor_at(at("maxs", 2)).alias("zmax"))
 
@@ -129,7 +129,7 @@ def snk_vertex_rows(spark: SparkSession, d: str) -> DataFrame:
 SELECT line_id, CASE WHEN line_id % 2 = 0 THEN 'TOE' ELSE 'CREST' END AS type, vertices, x_sum, z_sum FROM k""")
 def src_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Four lines across the lattice, written as GeoJSON with the other line files and read back."""
-    g = ramp_cells(spark).where("r % 20 = 0 AND c % 10 = 0").select((F.floor(F.col("r") / 20) + 1).cast("int").alias("line_id"), F.struct((F.col("c") / 10 + 1).cast("int").alias("vertex"), (F.col("c") * CELL).alias("x"), (F.col("r") * CELL).alias("y"), "z", F.lit(None).cast("double").alias("rmse")).alias("v"))
+    g = ramp_cells(spark, d).where("r % 20 = 0 AND c % 10 = 0").select((F.floor(F.col("r") / 20) + 1).cast("int").alias("line_id"), F.struct((F.col("c") / 10 + 1).cast("int").alias("vertex"), (F.col("c") * CELL).alias("x"), (F.col("r") * CELL).alias("y"), "z", F.lit(None).cast("double").alias("rmse")).alias("v"))
     found = g.groupBy("line_id").agg(F.sort_array(F.collect_list("v")).alias("vertices")).withColumns({"face_id": F.col("line_id"), "type": F.when(F.col("line_id") % 2 == 0, "TOE").otherwise("CREST"), "confidence": F.lit(0.5)})
     root = Path(tempfile.mkdtemp(prefix="cragline-out-"))  # output files of the driver, as a run writes them
     sinks.write_lines(root, found)
@@ -144,7 +144,7 @@ gc AS (SELECT count(*) FILTER (WHERE b.valid) AS real, count(*) FILTER (WHERE b.
 @query(f"WITH {RAMP_SQL}, {_FILLED}, {EMBEDDING_SQL} SELECT (SELECT count(DISTINCT cls) FROM p) AS faces, (SELECT count(DISTINCT cls) FROM p WHERE pid % 2 = 0) AS crests, (SELECT count(DISTINCT cls) FROM p WHERE pid % 2 = 1) AS toes, real, analysis, analysis - real AS reconstructed FROM gc")
 def snk_report(spark: SparkSession, d: str) -> DataFrame:
     """The counts of a report: of lines, and of the cells of a grid with bridged gaps."""
-    counts = E.grid_counts(grid.reconstruct(ramp_with_gaps(spark), RAMP_FRAME, 1.5))
+    counts = E.grid_counts(grid.reconstruct(ramp_with_gaps(spark, d), ramp_frame(spark, d), 1.5))
     return E.line_counts(table_lines(spark, d)).crossJoin(counts)  # one row each
 
 
@@ -238,7 +238,7 @@ def prj_payload(spark: SparkSession, d: str) -> DataFrame:
 def str_progress(spark: SparkSession, d: str) -> DataFrame:
     """What a run tells of its progress."""
     told: list[float] = []
-    E.extract_points(ramp_points(spark), CFG, ((0.0, 0.0), ((COLS - 1) * CELL, (ROWS - 1) * CELL)), lambda pct, _: told.append(pct))
+    E.extract_points(ramp_points(spark, d), CFG, ((0.0, 0.0), ((COLS - 1) * CELL, (ramp_rows(spark, d) - 1) * CELL)), lambda pct, _: told.append(pct))
     return spark.createDataFrame([(i, float(p)) for i, p in enumerate(told, 1)], "i int, pct double")
 
 
@@ -283,71 +283,23 @@ lab AS (SELECT r, c, min(id) AS part FROM reach GROUP BY r, c),
 best AS (SELECT part FROM lab GROUP BY part HAVING count(*) >= 5 ORDER BY min(sqrt((r - 37.2::DOUBLE) * (r - 37.2::DOUBLE) + (c - 28.4::DOUBLE) * (c - 28.4::DOUBLE))), part LIMIT 1) SELECT r, c FROM lab JOIN best USING (part)""")
 def jn_seed_chain(spark: SparkSession, d: str) -> DataFrame:
     """The chain of edge cells, joined over up to two cells, that comes nearest to a place."""
-    return single_edge.nearest_chain(ramp_cells(spark).where(_SPARSE).select("r", "c"), RAMP_FRAME, (28.4 * CELL, 37.2 * CELL))
+    return single_edge.nearest_chain(ramp_cells(spark, d).where(_SPARSE).select("r", "c"), ramp_frame(spark, d), (28.4 * CELL, 37.2 * CELL))
 
 
 @query(f"WITH RECURSIVE {RAMP_SQL}, {_grad('g', 'sl')}, {_labels('sl', f'{DENSER} AND slope >= 1')} SELECT label, count(*) AS cells FROM lab JOIN sl USING (r, c) GROUP BY label HAVING count(*) >= 6 AND max(slope) >= 2")
 def grf_steep_components(spark: SparkSession, d: str) -> DataFrame:
     """Components over a low slope, large enough and with a cell over the high one."""
-    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).withColumnRenamed("slope_0", "slope").withColumn("valid", F.expr(DENSER))
-    return single_edge.steep_components(g, RAMP_FRAME, 1.0, 2.0, 6).groupBy("label").agg(F.count("*").alias("cells"))
+    g = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).withColumnRenamed("slope_0", "slope").withColumn("valid", F.expr(DENSER))
+    return single_edge.steep_components(g, ramp_frame(spark, d), 1.0, 2.0, 6).groupBy("label").agg(F.count("*").alias("cells"))
 
 
-@query(f"""WITH {EMBEDDING_SQL}, {RAMP_SQL}, q AS (SELECT pid, (x + 1) * 50 AS fx, (y + 1) * 30 AS fy FROM p), k AS (SELECT *, floor(fx)::INT AS j, floor(fy)::INT AS i FROM q WHERE fx >= 0 AND fy >= 0 AND fx <= {COLS - 1} AND fy <= {ROWS - 1})
+@query(f"""WITH {EMBEDDING_SQL}, {RAMP_SQL}, q AS (SELECT pid, (x + 1) * 50 AS fx, (y + 1) * 30 AS fy FROM p), k AS (SELECT *, floor(fx)::INT AS j, floor(fy)::INT AS i FROM q WHERE fx >= 0 AND fy >= 0 AND fx <= {COLS - 1} AND fy <= {LAST_ROW})
 SELECT k.pid, {r3('(a.z * (1 - (fx - j)) + b.z * (fx - j)) * (1 - (fy - i)) + (e.z * (1 - (fx - j)) + h.z * (fx - j)) * (fy - i)')} AS z
-FROM k JOIN g a ON a.r = i AND a.c = j JOIN g b ON b.r = i AND b.c = least(j + 1, {COLS - 1}) JOIN g e ON e.r = least(i + 1, {ROWS - 1}) AND e.c = j JOIN g h ON h.r = least(i + 1, {ROWS - 1}) AND h.c = least(j + 1, {COLS - 1})""")
+FROM k JOIN g a ON a.r = i AND a.c = j JOIN g b ON b.r = i AND b.c = least(j + 1, {COLS - 1}) JOIN g e ON e.r = least(i + 1, {LAST_ROW}) AND e.c = j JOIN g h ON h.r = least(i + 1, {LAST_ROW}) AND h.c = least(j + 1, {COLS - 1})""")
 def win_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    """Heights of a surface between cell centres; the surface is a window around a place, of bounded size."""
-    cells = ramp_cells(spark).toPandas()
-    a = np.zeros((ROWS, COLS))
-    a[cells["r"], cells["c"]] = cells["z"]
-    surface = spark.sparkContext.broadcast(a)
-
-    def run(parts):
-        for pdf in parts:
-            z = single_edge.bilinear(surface.value, (pdf["x"].to_numpy() + 1) * 50, (pdf["y"].to_numpy() + 1) * 30)
-            yield pd.DataFrame({"pid": pdf["pid"], "z": z})
-
-    return embedding_points(spark, d).select("pid", "x", "y").mapInPandas(run, "pid long, z double").where("NOT isnan(z)").select("pid", col3("z").alias("z"))
-
-
-# ---------------------------------------------------------------- documents and events
-
-
-@query("""SELECT n_nationkey::INT AS k, n_name AS name, (24 - n_nationkey)::INT AS place, (1 + n_nationkey % 3)::INT AS clouds, (n_nationkey % 2)::INT AS runs, (n_nationkey % 4)::INT AS feature_lines, CASE WHEN n_nationkey % 3 = 0 THEN 'none' ELSE 'second' END AS crs, n_nationkey % 5 = 0 AS slope FROM nation""")
-def cat_projects(spark: SparkSession, d: str) -> DataFrame:
-    """Projects made, filled and found again through the index, latest first."""
-    root = Path(tempfile.mkdtemp(prefix="cragline-projects-"))  # documents of the driver
-    store = catalog.ProjectStore(root / "index.json")
-    nations = sorted((r["n_nationkey"], r["n_name"]) for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").collect())
-    ids = {}
-    for k, name in nations:
-        made = store.create(root, name)
-        ids[made["id"]] = k
-        for c in range(1 + k % 3):
-            for _ in range(2):  # the second replaces the first
-                store.put_cloud(made["id"], {"id": f"cloud{c}", "crs_wkt": "second" if c == 1 else None})
-        for j in range(k % 2):
-            store.append_run(made["id"], {"run": j})
-        store.append_lines(made["id"], [{"line": j} for j in range(k % 4)])
-        if k % 5 == 0:
-            store.put_terrain(made["id"], "slope", "slope.tif")
-    rows = []
-    for place, p in enumerate(store.projects()):
-        m, s = store.open(p["path"]) and store.manifest(p["id"]), store.state(p["id"])
-        rows.append((ids[p["id"]], p["name"], place, len(m["clouds"]), len(s["runs"]), len(s["feature_lines"]), m["crs"] or "none", "slope" in m["terrain"]))
-    return spark.createDataFrame(rows, "k int, name string, place int, clouds int, runs int, feature_lines int, crs string, slope boolean")
-
-
-@query("SELECT n_name AS event, CASE WHEN n_nationkey % 2 = 0 THEN 'WARN' ELSE 'INFO' END AS level, n_regionkey::INT AS region FROM nation")
-def cat_event_log(spark: SparkSession, d: str) -> DataFrame:
-    """Events appended to a log in two goes, and read with a field of their details."""
-    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect()
-    path = path_for(spark, "events")
-    events = [{"event": r["n_name"], **({"level": "WARN"} if r["n_nationkey"] % 2 == 0 else {}), "details": {"region": r["n_regionkey"]}} for r in rows]
-    catalog.append_events(spark, path, events[:10])
-    catalog.append_events(spark, path, events[10:])
-    return catalog.event_details(catalog.read_events(spark, path), "region").select("event", "level", F.col("region").cast("int").alias("region"))
+    """Heights of a surface between cell centres."""
+    p = embedding_points(spark, d).select("pid", ((F.col("x") + 1) * 50).alias("fx"), ((F.col("y") + 1) * 30).alias("fy"))
+    return single_edge.heights_between(p, ramp_cells(spark, d), ramp_frame(spark, d)).select("pid", col3("z").alias("z"))
 
 
 # ---------------------------------------------------------------- whole runs
@@ -355,14 +307,14 @@ def cat_event_log(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = f"""k AS (SELECT 'CREST' AS type, max({CELL}::DOUBLE * c) AS edge_x, 10::DOUBLE AS edge_z FROM g WHERE z > 9.95::DOUBLE UNION ALL SELECT 'TOE', min({CELL}::DOUBLE * c), 5::DOUBLE FROM g WHERE z < 5.05::DOUBLE)"""
 
 
-def positions(spark: SparkSession, vertices: DataFrame, key: list[str], heights: bool = True) -> DataFrame:
+def positions(spark: SparkSession, d: str, vertices: DataFrame, key: list[str], heights: bool = True) -> DataFrame:
     """(key, edge_x, on_edge, at_height, covers) of lines: whether all vertices lie within 0.8 m of the lattice's edge, their
     heights within 0.5 m of the bench, and whether they run along two thirds of it."""
-    g = ramp_cells(spark).withColumn("x", F.col("c") * CELL)
+    g = ramp_cells(spark, d).withColumn("x", F.col("c") * CELL)
     edges = g.agg(F.max(F.when(F.col("z") > 9.95, F.col("x"))).alias("CREST"), F.min(F.when(F.col("z") < 5.05, F.col("x"))).alias("TOE")).first()
     crest = F.col("type") == "CREST"
     x, z = F.when(crest, edges["CREST"]).otherwise(edges["TOE"]), F.when(crest, 10.0).otherwise(5.0)
-    facts = [F.first(x).alias("edge_x"), (F.max(F.abs(F.col("x") - x)) <= 0.8).alias("on_edge"), (F.max("y") - F.min("y") >= ROWS * CELL * 2 / 3).alias("covers")]
+    facts = [F.first(x).alias("edge_x"), (F.max(F.abs(F.col("x") - x)) <= 0.8).alias("on_edge"), (F.max("y") - F.min("y") >= ramp_rows(spark, d) * CELL * 2 / 3).alias("covers")]
     if heights:
         facts.append((F.max(F.abs(F.col("z") - z)) <= 0.5).alias("at_height"))
     return vertices.groupBy(*key).agg(*facts)
@@ -375,36 +327,36 @@ def _vertices(found: DataFrame, *more: str) -> DataFrame:
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT row_number() OVER (ORDER BY type)::INT AS line_id, type, edge_x, true AS on_edge, true AS at_height, true AS covers FROM k")
 def flow_extract(spark: SparkSession, d: str) -> DataFrame:
     """The out-of-core run on the lattice: one crest and one toe, on their edges."""
-    return positions(spark, _vertices(_extracted(spark)[0], "line_id"), ["line_id", "type"])
+    return positions(spark, d, _vertices(_extracted(spark, d)[0], "line_id"), ["line_id", "type"])
 
 
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT row_number() OVER (ORDER BY type)::INT AS line_id, type, edge_x, true AS on_edge, true AS at_height, true AS covers, true AS confident FROM k")
 def flow_extract_memory(spark: SparkSession, d: str) -> DataFrame:
     """The in-memory run on the lattice, with its confidence."""
-    found, _, _ = E.extract_points(ramp_points(spark), CFG)
+    found, _, _ = E.extract_points(ramp_points(spark, d), CFG)
     sure = found.select("line_id", ((clip(F.col("confidence"), 0.0, 1.0) == F.col("confidence")) & (F.col("confidence") > 0.5)).alias("confident"))
-    return positions(spark, _vertices(found, "line_id"), ["line_id", "type"]).join(sure, "line_id")
+    return positions(spark, d, _vertices(found, "line_id"), ["line_id", "type"]).join(sure, "line_id")
 
 
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT type, edge_x, true AS on_edge, true AS at_height, true AS covers FROM k")
 def flow_extract_face(spark: SparkSession, d: str) -> DataFrame:
     """The face at a clicked place."""
-    found, _ = E.face_at(ramp_points(spark), (12.5, 10.0, 7.5), ExtractConfig(cell_size=CELL))
-    return positions(spark, _vertices(found), ["type"])
+    found, _ = E.face_at(ramp_points(spark, d), (12.5, 10.0, 7.5), ExtractConfig(cell_size=CELL))
+    return positions(spark, d, _vertices(found), ["type"])
 
 
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT type, edge_x, true AS on_edge, true AS at_height, true AS covers FROM k WHERE type = 'CREST'")
 def flow_single_edge(spark: SparkSession, d: str) -> DataFrame:
     """The alternative extractor's crest."""
-    got = single_edge.extract_edge(ramp_points(spark), (10.0, 10.0, 10.0), True, CELL)
-    return positions(spark, spark.createDataFrame([("CREST", *map(float, v)) for v in got["vertices"]], "type string, x double, y double, z double"), ["type"])
+    got = single_edge.extract_edge(ramp_points(spark, d), (10.0, 10.0, 10.0), True, CELL)
+    return positions(spark, d, spark.createDataFrame([("CREST", *map(float, v)) for v in got["vertices"]], "type string, x double, y double, z double"), ["type"])
 
 
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT 1::INT AS face_id, type, edge_x, true AS on_edge, true AS covers FROM k")
 def win_boundary_pair(spark: SparkSession, d: str) -> DataFrame:
     """Crest and toe of the lattice's face before refinement."""
-    det = faces.detect(ramp_grid(spark), RAMP_FRAME, CFG)
-    return positions(spark, lines.vertices_of(lines.approximate_lines(det, CFG)), ["face_id", "type"], False)
+    det = faces.detect(ramp_grid(spark, d), ramp_frame(spark, d), CFG)
+    return positions(spark, d, lines.vertices_of(lines.approximate_lines(det, CFG)), ["face_id", "type"], False)
 
 
 # ---------------------------------------------------------------- stencils and labels on the cloud of the lineitem table
@@ -529,8 +481,8 @@ two(id, depth) AS (SELECT id, 0 FROM f1 UNION SELECT nb.b, depth + 1 FROM two JO
 SELECT f2.depth::INT + 1 AS cells, f1.id::INT AS first_cell, f2.id::INT AS last_cell FROM f1, f2""")
 def grf_longest_chain(spark: SparkSession, d: str) -> DataFrame:
     """Length and ends of the longest shortest path through the largest part of a mask, which is one face's."""
-    cells = ramp_cells(spark).where(SCATTER).select("r", "c").toPandas()
-    mask = np.zeros((ROWS, COLS), dtype=bool)
+    cells = ramp_cells(spark, d).where(SCATTER).select("r", "c").toPandas()
+    mask = np.zeros((ramp_rows(spark, d), COLS), dtype=bool)
     mask[cells["r"], cells["c"]] = True
     chain = lines.longest_chain(mask)
     first, last = (int(r * COLS + c) for r, c in (chain[0], chain[-1]))
@@ -540,15 +492,9 @@ def grf_longest_chain(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {RAMP_SQL}, {_grad('g', 's')}, q AS (SELECT a.r, a.c, median(b.gx) AS gx, median(b.gy) AS gy FROM s a JOIN s b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 WHERE (a.r * 7 + a.c * 3) % 97 = 0 GROUP BY a.r, a.c)
 SELECT r, c, {r3('gx / sqrt(gx * gx + gy * gy)')} AS ux, {r3('gy / sqrt(gx * gx + gy * gy)')} AS uy FROM q WHERE sqrt(gx * gx + gy * gy) >= 1e-8""")
 def win_uphill(spark: SparkSession, d: str) -> DataFrame:
-    """Directions of the median gradient around cells of a surface window."""
-    g = terrain.gradients(ramp_cells(spark), CELL, {"0": "z"}).toPandas()
-    field = {f: np.zeros((ROWS, COLS)) for f in ("gx_0", "gy_0")}
-    for f, a in field.items():
-        a[g["r"], g["c"]] = g[f]
-    r, c = np.nonzero((np.arange(ROWS)[:, None] * 7 + np.arange(COLS) * 3) % 97 == 0)
-    u = single_edge.uphill(field["gx_0"], field["gy_0"], r, c)
-    rows = [(int(i), int(j), float(a), float(b)) for i, j, (a, b) in zip(r, c, u, strict=True) if np.isfinite(a)]
-    return spark.createDataFrame(rows, "r int, c int, ux double, uy double").select("r", "c", col3("ux").alias("ux"), col3("uy").alias("uy"))
+    """Directions of the median gradient around cells."""
+    g = terrain.gradients(ramp_cells(spark, d), CELL, {"0": "z"}).withColumnsRenamed({"gx_0": "gx", "gy_0": "gy"})
+    return single_edge.uphill_cells(g.where("(r * 7 + c * 3) % 97 = 0"), g).select("r", "c", col3("ux").alias("ux"), col3("uy").alias("uy"))
 
 
 @query(f"""WITH {LINEITEM_SQL}, s AS (SELECT list_sort(list(DISTINCT cls::INT)) AS seen FROM p), k(variant, enabled, chosen) AS (VALUES ('off', false, [1]), ('some', true, [5, 2, 2]), ('every', true, range(0, 40)::INT[]), ('nothing', true, []::INT[])),
@@ -574,15 +520,15 @@ def seq_despike(spark: SparkSession, d: str) -> DataFrame:
 def seq_plane_breaks(spark: SparkSession, d: str) -> DataFrame:
     """Vertices 0.2 m off the crest, moved to where the planes of bench and face meet."""
     v = spark.range(15).select(F.col("id").alias("vid"), F.lit(10.2).alias("vx"), (F.col("id") + 3.0).alias("vy"), F.lit(0.0).alias("tx"), F.lit(1.0).alias("ty"), F.lit(-1.0).alias("ux"), F.lit(0.0).alias("uy"))
-    edge = ramp_cells(spark).where("z > 9.95").agg((F.max("c") * CELL).alias("edge_x"))
-    moved = single_edge.plane_breaks(ramp_points(spark), v, True).join(v, "vid").crossJoin(edge)  # one row
+    edge = ramp_cells(spark, d).where("z > 9.95").agg((F.max("c") * CELL).alias("edge_x"))
+    moved = single_edge.plane_breaks(ramp_points(spark, d), v, True).join(v, "vid").crossJoin(edge)  # one row
     return moved.select("vid", "edge_x", (F.abs(F.col("vx") + F.col("shift") * F.col("ux") - F.col("edge_x")) <= 0.1).alias("on_edge"), (F.abs(F.col("z") - 10) <= 0.1).alias("level"))
 
 
 @query(f"WITH {RAMP_SQL}, {_EDGES} SELECT type, edge_x, 12 AS points, true AS moved, true AS on_edge FROM k")
 def seq_transition(spark: SparkSession, d: str) -> DataFrame:
     """Lines 0.6 m off crest and toe, moved across themselves to where a steep side meets a flat one."""
-    cells, frame = single_edge.surface(ramp_points(spark), CELL)
+    cells, frame = single_edge.surface(ramp_points(spark, d), CELL)
     g = cells.toPandas()  # a window around a place, of bounded size
     field = {f: np.zeros((frame.ny, frame.nx)) for f in ("z", "gx", "gy", "slope")}
     for f, a in field.items():

@@ -24,7 +24,7 @@ def test_las_round_trip_in_ranges(spark, tmp_path):
     p = got.orderBy("pid").toPandas()
     assert np.allclose(p[["x", "y", "z"]], np.column_stack([x, y, z]), atol=6e-4) and (p["cls"] == cls).all()
     info = points.inspect(spark, path)
-    assert info.point_count == 1000 and info.has_classification and np.allclose(info.mins, [v.min() for v in (x, y, z)])
+    assert info.n == 1000 and info.has_classes and np.allclose([info.xmin, info.ymin, info.zmin], [v.min() for v in (x, y, z)])
     assert las.metadata(spark, path).first()["point_format"] == 3
     with pytest.raises(ValueError, match="LAZ"):
         las.read_header(str(_copy(path, tmp_path / "b.laz")))
