@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import finite, floor_at, gaussian_kernel, nearest_index
-from ..operators import faces, graph, grid, lines, refine, select, single_edge, spatial, terrain
+from ..operators import faces, graph, grid, halo, lines, refine, select, single_edge, spatial, terrain
 from ..session import shipped
 from ..sources import catalog, sinks
 from ..sources.points import text_points
@@ -420,6 +420,19 @@ def win_smooth_masked(spark: SparkSession, d: str) -> DataFrame:
     return terrain.smooth_masked(ramp_with_gaps(spark, d)).where("valid").select("r", "c", floor_at(F.col("z"), 7).alias("z"))
 
 
+@query(f"""WITH {RAMP_SQL}, {_FIELDS}, {_TIN} SELECT r, c, persistence, strong, {r3('slope')} AS slope, {r3('score')} AS score FROM fw LEFT JOIN t6 USING (r, c)""")
+def win_halo_surface(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes at three scales and surface breaks of tiles with borders, after one shuffle."""
+    f = terrain.detection_fields(halo.surface(ramp_grid(spark, d), ramp_frame(spark, d), CFG, 48), CFG, LOW, HIGH)
+    return f.select("r", "c", "persistence", "strong", col3("slope").alias("slope"), col3("score").alias("score"))
+
+
+@query(ORACLE["win_closing"])
+def win_halo_closing(spark: SparkSession, d: str) -> DataFrame:
+    """Closing of a mask over tiles with borders."""
+    return halo.closed(ramp_cells(spark, d).where(SCATTER), ramp_frame(spark, d), tile=32)
+
+
 # ---------------------------------------------------------------- graphs and faces
 
 

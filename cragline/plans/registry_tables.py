@@ -18,10 +18,10 @@ from ..config import ExtractConfig, classes_for_auto, classes_for_click, classes
 from ..functions.exprs import clip, floor_at
 from ..operators import faces, graph, grid, lines, refine, select, single_edge, terrain
 from ..shared import materialize, shared_dir
-from ..sources import catalog, las, sinks
+from ..sources import catalog, las, octree, sinks
 from ..sources.points import inspect, read_points
 from . import extract as E
-from .fixtures import CELL, COLS, EMBEDDING_SQL, LAST_ROW, LINEITEM_SQL, RAMP_SQL, embedding_points, lineitem_points, ramp_cells, ramp_frame, ramp_grid, ramp_points, ramp_rows, ramp_with_gaps
+from .fixtures import CELL, COLS, EMBEDDING_SQL, LAST_ROW, LINEITEM_SQL, POINT_ORDER, RAMP_SQL, embedding_points, lineitem_points, ramp_cells, ramp_frame, ramp_grid, ramp_points, ramp_rows, ramp_with_gaps
 from .registry import _AROUND, _COL, _FIT, _GAP, _HB, _NEAR, _ROW, _VB, CFG, DENSER, ORACLE, SCATTER, _extracted, _fill, _gauss, _grad, _labels, col3, query, r3
 
 RESIDUALS = "o AS (SELECT p.*, p.z - (a * x + b * y + c) AS off FROM p JOIN e USING (cls)), c1 AS (SELECT cls, median(off) AS mid FROM o GROUP BY cls), c2 AS (SELECT cls, median(abs(off - mid)) AS mad FROM o JOIN c1 USING (cls) GROUP BY cls)"
@@ -72,6 +72,51 @@ def src_las_header(spark: SparkSession, d: str) -> DataFrame:
     return m.select("version", "point_format", "point_count", at("scales", 0).alias("scale"), floor_at(at("maxs", 0)).alias("xmax"), floor_at(at("mins", 2)).alias("zmin"), floor_at(at("maxs", 2)).alias("zmax"))
 
 
+@query(f"""WITH {RAMP_SQL} SELECT (r * {COLS} + c)::BIGINT AS pid, {r3(f'{CELL}::DOUBLE * c')} AS x, {r3(f'{CELL}::DOUBLE * r')} AS y FROM g
+WHERE {CELL}::DOUBLE * c BETWEEN 8 AND 17 AND {CELL}::DOUBLE * r BETWEEN 3 AND 6 AND (r * {COLS} + c) % 5 IN (1, 3)""")
+def src_las_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """A box and two classes of a LAS file: ranges of records that cannot hold them are not read."""
+    path, statistics = _las(spark, d), path_for(spark, "ranges.json")
+    las.write_statistics(spark, path, statistics, 600)
+    p = las.read_las_in(spark, path, statistics, {"x": (8, 17), "y": (3, 6)}, [1, 3])
+    return p.select("pid", col3("x").alias("x"), col3("y").alias("y"))
+
+
+# ---------------------------------------------------------------- octree
+
+
+@query(ORACLE["fil_corridor"])
+def src_octree_corridor(spark: SparkSession, d: str) -> DataFrame:
+    """A corridor read from a point index by code ranges."""
+    path = path_for(spark, "octree")
+    octree.build(embedding_points(spark, d), path, ["pid"])
+    points, cube = octree.opened(spark, path)
+    return octree.read_corridor(points, cube, (-0.3, -0.2), (0.1, 0.1), 0.2, range(9)).select("pid")
+
+
+@query(ORACLE["fil_cylinder"])
+def src_octree_cylinder(spark: SparkSession, d: str) -> DataFrame:
+    """A cylinder read from a point index by code ranges."""
+    path = path_for(spark, "octree")
+    octree.build(embedding_points(spark, d), path, ["pid"])
+    points, cube = octree.opened(spark, path)
+    return octree.read_cylinder(points, cube, (0.0, 0.0, 0.0), 0.15).select("pid")
+
+
+_STEP = "greatest(0, least(1048575, floor(({a} - {a}0) / edge * 1048576)))::BIGINT"
+_LEVELS = ", ".join(f"rank() OVER (PARTITION BY i >> {20 - k}, j >> {20 - k}, k >> {20 - k} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, z) AS r{k}" for k in range(8))
+
+
+@query(f"""WITH {LINEITEM_SQL}, q AS (SELECT * EXCLUDE (cents), cents / 10000::DOUBLE AS z FROM p), e AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) * (1 + 1e-9::DOUBLE) AS edge FROM q),
+s AS (SELECT q.*, {_STEP.format(a='x')} AS i, {_STEP.format(a='y')} AS j, {_STEP.format(a='z')} AS k FROM q, e), n AS (SELECT *, {_LEVELS} FROM s)
+SELECT CASE {' '.join(f'WHEN r{k} = 1 THEN {k}' for k in range(8))} ELSE 8 END AS level, count(*) AS n, sum(l_orderkey)::BIGINT AS orders FROM n GROUP BY level""")
+def src_octree_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of detail of a cloud: how many points stand for their nodes at each level."""
+    p = lineitem_points(spark, d).withColumn("z", F.col("cents") / F.lit(10000.0))
+    levels = octree.with_levels(p, octree.cube_of(p), POINT_ORDER)
+    return levels.groupBy("level").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
+
+
 # ---------------------------------------------------------------- lines of the embeddings table
 
 LINES_SQL = f"""{EMBEDDING_SQL}, v AS (SELECT cls::INT AS face_id, CASE WHEN pid % 2 = 0 THEN 'CREST' ELSE 'TOE' END AS type, row_number() OVER (PARTITION BY cls, pid % 2 ORDER BY pid)::INT AS vertex,

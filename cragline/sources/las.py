@@ -7,6 +7,7 @@ needs a decoder that is not here, so it is refused with a clear error.
 
 from __future__ import annotations
 
+import json
 import struct
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_POINTS = 1_000_000
@@ -89,7 +91,16 @@ class _Range(InputPartition):
         self.start, self.count = start, count
 
 
+def _may_hold(stats: dict, box: dict, classes: list[int] | None) -> bool:
+    """Whether a range of records with these bounds and classes can hold a row of the box and classes."""
+    if classes is not None and not set(classes) & set(stats["classes"]):
+        return False
+    return all(stats[f"{axis}max"] >= lo and stats[f"{axis}min"] <= hi for axis, (lo, hi) in box.items())
+
+
 class LasReader(DataSourceReader):
+    """Ranges of records as partitions."""
+
     def __init__(self, path: str, points: int):
         self.path, self.points = path, points
 
@@ -110,8 +121,22 @@ class LasReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (pid, x, y, z, cls)], names=["pid", "x", "y", "z", "cls"])
 
 
+class PrunedLasReader(LasReader):
+    """Only ranges that, by their statistics, can hold a row of a box and classes."""
+
+    def __init__(self, path: str, points: int, statistics: str, box: dict, classes: list[int] | None):
+        super().__init__(path, points)
+        self.statistics, self.box, self.classes = statistics, box, classes
+
+    def partitions(self):
+        with opened(self.statistics) as f:
+            ranges = json.loads(f.read())
+        return [_Range(r["start"], r["count"]) for r in ranges if _may_hold(r, self.box, self.classes)] or [_Range(0, 0)]
+
+
 class LasDataSource(DataSource):
-    """``spark.read.format("las").load(path)``; option ``points``: records of a partition."""
+    """``spark.read.format("las").load(path)``; option ``points``: records of a partition. ``statistics`` (file of
+    ``write_statistics``), ``box`` and ``classes`` (JSON) leave out ranges of records."""
 
     @classmethod
     def name(cls):
@@ -121,7 +146,10 @@ class LasDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return LasReader(self.options["path"], int(self.options.get("points", RANGE_POINTS)))
+        path, points, statistics = self.options["path"], int(self.options.get("points", RANGE_POINTS)), self.options.get("statistics")
+        if not statistics:
+            return LasReader(path, points)
+        return PrunedLasReader(path, points, statistics, json.loads(self.options.get("box", "{}")), json.loads(self.options.get("classes", "null")))
 
 
 def read_las(spark: SparkSession, path: str, points: int = RANGE_POINTS) -> DataFrame:
@@ -129,6 +157,36 @@ def read_las(spark: SparkSession, path: str, points: int = RANGE_POINTS) -> Data
     return spark.read.format("las").option("points", points).load(path)
 
 
+def read_las_in(spark: SparkSession, path: str, statistics: str, box: dict[str, tuple[float, float]], classes: list[int] | None = None) -> DataFrame:
+    """Points within ``box`` (of any of x, y and z: least and greatest, both included) and of ``classes``; ranges of records that, by
+    ``statistics``, hold none of them are not read.
+
+    The box is given to the source as an option, not by Spark's filter push-down, which in 4.1 keeps the filters of one query in the
+    source object and leaves out their ranges from later queries on the same DataFrame that push none.
+    """
+    spark.dataSource.register(LasDataSource)
+    reader = spark.read.format("las").option("statistics", statistics).option("box", json.dumps(box)).option("classes", json.dumps(classes))
+    rows = reader.load(path)
+    for axis, (lo, hi) in box.items():
+        rows = rows.where(F.col(axis).between(float(lo), float(hi)))
+    return rows if classes is None else rows.where(F.col("cls").isin([int(c) for c in classes]))
+
+
+def write_statistics(spark: SparkSession, path: str, target: str, points: int = RANGE_POINTS) -> int:
+    """Writes bounds and classes of each range of ``points`` records to ``target``, for ``read_las_in``; returns the number of ranges.
+
+    A range is one row of a few numbers (its classes are at most 256), a million records or so each.
+    """
+    at = F.expr(f"pid div {int(points)}").alias("k")
+    found = read_las(spark, path, points).groupBy(at).agg(
+        F.count("*").alias("count"), F.sort_array(F.collect_set("cls")).alias("classes"), *(f(c).alias(f"{c}{s}") for c in "xyz" for f, s in ((F.min, "min"), (F.max, "max")))
+    )
+    rows = [r.asDict() for r in found.orderBy("k").collect()]
+    with opened(target, write=True) as f:
+        f.write(json.dumps([{"start": r.pop("k") * points, **r} for r in rows]).encode())
+    return len(rows)
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row: the header as a record."""
     h = read_header(path)
