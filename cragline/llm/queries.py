@@ -153,7 +153,9 @@ f AS ({_found('assign', _ASSIGN_ALL, "regexp_extract({found}, '" + _ASSIGN + "',
   UNION ALL {_found('access', 'AKIA[A-Z0-9]+')} UNION ALL {_found('hex', '[0-9a-f]+')} UNION ALL {_found('opaque', '[A-Za-z0-9+/_-]+')}),
 s AS (SELECT row, rank, kind, value, sum(gap + length(found)) OVER (PARTITION BY row, rank ORDER BY i)::BIGINT AS e, length(found) AS n FROM f),
 c AS (SELECT row, rank, kind, value, e - n AS b, e FROM s WHERE CASE kind WHEN 'assign' THEN length(value) >= 6 WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
-  ELSE n >= 20 AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z]') END),
+  ELSE n >= 20 AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[A-Za-z0-9+]{{{secret_scan.UNBROKEN}}}')
+    AND ((len(regexp_extract_all(value, '[A-Za-z]+|[0-9]+')) - len(regexp_extract_all(value, '[A-Za-z0-9]+'))) * 100 >= length(regexp_replace(value, '[+/_-]', '', 'g')) * {secret_scan.TURNS}
+    OR len(regexp_extract_all(value, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) * 100 >= length(regexp_replace(value, '[+/_-]', '', 'g')) * {secret_scan.RUNS}) END),
 k AS (SELECT c.*, source, concat_ws('/', source, lang) AS repository FROM c JOIN t USING (row)
   WHERE kind <> 'opaque' OR NOT EXISTS (SELECT 1 FROM c x WHERE x.row = c.row AND x.kind <> 'opaque' AND x.b < c.e AND c.b < x.e)),
 o AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS owners FROM k GROUP BY value),

@@ -2,7 +2,10 @@
 
 Base candidates are found by pattern in every whole text: assignments, access keys, hex runs. The
 method adds opaque tokens (20 or more characters of a token alphabet with a letter and at least two
-digits, outside base spans). Every candidate's value is hashed; over the corpus each hash is counted by
+digits, outside base spans) that look drawn at random: letters and digits take turns, or small letters and capitals do, far more
+often than in words, slugs, paths, dates and identifiers. Of a token's letters and digits TURNS in a hundred must be followed by the other kind, or
+there must be RUNS in a hundred runs (a capital and the small letters after it are one); somewhere it needs UNBROKEN of them in a row, which
+sets UUIDs and lists of short codes apart. Every candidate's value is hashed; over the corpus each hash is counted by
 distinct repositories and owners. A value that COPIED or more owners hold is a widely copied
 example; one that a single owner holds is live-looking; others are shared. Opaque tokens count as secrets
 unless they are examples; base spans always stay.
@@ -28,6 +31,8 @@ from .common import HOT_SHARE, fingerprint, fresh, join_hot, materialize
 KINDS = ("assign", "access", "hex", "opaque")
 COPIED = 3  #: owners from which on a value is a widely copied example
 CUT = "\x00"  #: stands around matches; one in a text is read as \\x01, which no pattern holds either
+TURNS, RUNS = 15, 35  #: from letter to digit or back, and runs of one kind, in a hundred letters and digits of a live-looking token
+UNBROKEN = 13  #: characters between ``/ _ -`` that it has somewhere; groups of a UUID have 12 at most
 MANY = 1000  #: marks from which on a text is taken apart once instead of being cut mark by mark
 #: The keywords and alphabets of the three base patterns.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -50,13 +55,22 @@ def _value(match: Column, kind: str) -> Column:
     return F.regexp_extract(match, f"^{ASSIGN_RE}$", 1) if kind == "assign" else match
 
 
+def live_looking(token: Column) -> Column:
+    """Whether the kinds of characters of a token change as often as in a random one."""
+    count = lambda pattern: F.size(F.regexp_extract_all(token, F.lit(pattern), F.lit(0)))
+    length = F.char_length(F.regexp_replace(token, "[+/_-]", ""))
+    turns = count("[A-Za-z]+|[0-9]+") - count("[A-Za-z0-9]+")
+    return token.rlike(f"[A-Za-z0-9+]{{{UNBROKEN}}}") & ((turns * 100 >= length * TURNS) | (count("[A-Z]?[a-z]+|[A-Z]+|[0-9]+") * 100 >= length * RUNS))
+
+
 def _pieces(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<rank, i, length, hash>>: what lies between matches at even i, matches at odd i; null hash: no candidate."""
     cut = F.split(F.regexp_replace(text, f"(?:{pattern})", f"{CUT}$0{CUT}"), CUT, -1)
 
     def piece(x: Column, i: Column) -> Column:
         value = _value(x, kind)
-        keep = (i % 2 == 1) & ((F.char_length(value) >= 6) if kind == "assign" else F.lit(True))
+        fit = {"assign": F.char_length(value) >= 6, "opaque": live_looking(x)}.get(kind, F.lit(True))
+        keep = (i % 2 == 1) & fit
         return F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("i"), F.char_length(x).alias("length"), F.when(keep, F.xxhash64(value)).alias("hash"))
 
     return F.transform(cut, piece)
