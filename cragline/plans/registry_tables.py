@@ -586,10 +586,10 @@ def seq_transition(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "type string, edge_x double, points int, moved boolean, on_edge boolean")
 
 
-@query(f"SELECT 'right' AS side, way, 24::DOUBLE AS last_x, {r3('sqrt(1 + 0.2::DOUBLE * 0.2::DOUBLE) + 13')} AS growth FROM (VALUES ('forward'), ('backward')) t(way)")
+@query(f"SELECT 'right' AS side, way, max(n_nationkey)::DOUBLE AS last_x, {r3('sqrt(1 + 0.2::DOUBLE * 0.2::DOUBLE) + max(n_nationkey) - 11')} AS growth FROM nation, (VALUES ('forward'), ('backward')) t(way) GROUP BY way")
 def seq_stitch(spark: SparkSession, d: str) -> DataFrame:
     """A line carried on by a segment that overlaps its end, either way round."""
-    k = np.arange(25.0)
+    k = np.sort(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").toPandas()["n_nationkey"].to_numpy(float))  # 25 rows
     line, more = (np.column_stack([x, np.full(len(x), y), np.zeros(len(x))]) for x, y in ((k[:11], 0.0), (k[8:], 0.2)))
     rows = []
     for way, segment in (("forward", more), ("backward", more[::-1])):
