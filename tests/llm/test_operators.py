@@ -912,6 +912,47 @@ def test_toxicity_finds_plain_and_obfuscated(spark):
     assert np.mean([got[i]["predicted"] == labels[i][2] for i in hidden]) > 0.9 and sum(got[i]["restored"] > 0 for i in hidden) >= 15
 
 
+def test_toxic_prefixes_need_several_words_and_endings_are_learned(spark):
+    fill = "the house stone walks over light path paths worth pathway worthwhile".split()
+    rows, k = [], 0
+    for _ in range(12):
+        for bad in ("pathetic", "worthless", "gromfel", "gromfer", "gromfis", "gromfull"):
+            k += 1
+            rows.append((k, " ".join([*fill[k % 4 : k % 4 + 4], bad]), "en", "s", 1))
+    toxic = k
+    for i in range(600):
+        k += 1
+        rows.append((k, " ".join(fill[j % len(fill)] for j in range(i, i + 7)) + (" gromfine" if i % 20 == 0 else ""), "en", "s", 1))
+    stems = [f"{a}{b}{c}{d}" for a in "bd" for b in "ae" for c in "lmrst" for d in "aeo"]
+    k += 1
+    rows += [(k + j, " ".join([*stems, *(s + "ing" for s in stems)]), "en", "s", 1) for j in range(3)]
+    df = docs(spark, rows)
+    known = df.select("doc_id", "text", (F.col("doc_id") <= toxic).cast("int").alias("y"))
+    weights, model = toxicity.learn(known)
+    assert not {"path*", "pathe*", "wort*", "worth*"} & weights.keys() and "grom*" in weights and weights["gromfine"] == 0 and "patheticing" in weights
+    marked = toxicity.Scorer(weights, model)
+    for clean in ("the pathology report", "a pathway is worthwhile", "worthy paths", "gromfine light"):
+        assert marked.features(clean)[1] == 0, clean
+    for bad in ("so pathetic", "a w0rthless stone", "worthlessing", "gromfox"):
+        assert marked.features(bad)[1] == 1, bad
+
+
+def test_toxicity_memo_is_bounded_by_bytes(spark):
+    weights, model = {"stupid": 5.0}, toxicity.Characters({"stupid": 40.0})
+    small, large = toxicity.Scorer(weights, model, memo=2_000), toxicity.Scorer(weights, model)
+    for i in range(50):
+        text = f"stup1d {i} " + f"{i:03d}" * 500
+        assert small.features(text) == large.features(text) and len(small.known) <= 4
+
+
+def test_toxicity_of_repeated_labelled_ids(spark):
+    rows, labels = toxic_rows(n=240)
+    lab = spark.createDataFrame(labels, LABELS)
+    once = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs(spark, rows), lab).collect()}
+    twice = toxicity.score_toxicity(docs(spark, rows + rows[:60]), lab).collect()
+    assert len(twice) == 300 and all(math.isclose(r["score"], once[r["doc_id"]], rel_tol=1e-9) for r in twice)
+
+
 def test_toxicity_edges(spark):
     rows, labels = toxic_rows(n=120)
     lab = spark.createDataFrame(labels, LABELS)
