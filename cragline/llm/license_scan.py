@@ -12,7 +12,9 @@ skipped exactly: by Cauchy-Schwarz its distinct terms must hold enough of the te
 an anchor term, one of those without which the remaining mass is below the threshold.
 
 A match with a licence's own text or notice counts before one with an opening or a sentence that several licences share, and
-"All rights reserved" only where nothing else matches.
+"All rights reserved" only where nothing else matches. Variants of a licence differ in a word or a version (``MARKS``). A match
+whose text and template do not agree on these is in doubt: a template that agrees counts before it, and if there is none the
+licence is UNKNOWN, not the nearest name.
 
 A file without a licence of its own takes that of the licence file in its nearest ancestor directory,
 found by joining directories' ancestor paths to directories with licence files. Directories, not files,
@@ -51,19 +53,34 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "EPL-1.0": ["All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0."],
     "Proprietary": ["All rights reserved."],
 }
 
+#: Words and versions that tell variants of a licence apart.
+NUMBERS = frozenset({"1", "1.1", "1.2", "1.3", "2", "2.1", "2.5", "3", "4", "5"})
+MARKS = NUMBERS | {"affero", "lesser", "library", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives", "noderivs"}
+UNKNOWN = "unknown variant"
+TITLE = 12  #: words of a whole licence that name it
+LEAST_EXACT = 0.95  #: for templates of so few words that another sentence may hold most of them
 #: Notices that do not name one licence.
 RANK = {"BSD": SHARED, "Proprietary": LAST}
+SPDX = "SPDX-License-Identifier: "
 FOLDER = Path(__file__).with_name("licences")
 
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -78,6 +95,20 @@ def whole_licences(folder: Path = FOLDER) -> dict[str, str]:
     return {p.stem: p.read_text(encoding="utf-8", errors="replace") for p in sorted(folder.glob("*.txt"))}
 
 
+def with_spdx(templates: dict[str, list[str]], whole: dict[str, str]) -> dict[str, list[str]]:
+    """``templates`` and the identifier lines of their names and of the whole licences' names."""
+    out = {name: list(texts) for name, texts in templates.items()}
+    for name in [n for n in {**templates, **whole} if n not in RANK]:
+        forms = [name, f"{name}-only", f"{name}-or-later"] if re.search("GPL|GFDL", name) else [name]
+        out.setdefault(name, []).extend(SPDX + x for x in forms)
+    return out
+
+
+def _marks(words) -> set[str]:
+    """The MARKS among words and their parts; 'v2.0', '2.0' and '2' are one."""
+    return MARKS & {re.sub(r"^v(?=\d)|\.0$", "", p) for w in set(words) for p in w.split("-")}
+
+
 def _vocabulary(templates: dict[str, list[str]], whole: dict[str, str] | None = None) -> list[str]:
     texts = [x for xs in templates.values() for x in xs] + list((whole or {}).values())
     return sorted({t for x in texts for t in terms(x)})
@@ -91,6 +122,14 @@ class Template:
     size: int  #: words
     least: float
     anchors: set[str]  #: without one of these the cosine is below ``least``
+    marks: set[str]
+    notice: bool  #: its text must hold all of its marks; that of openings and files none that they lack
+
+    def doubts(self, words: list[str]) -> bool:
+        held = _marks(words)
+        if self.notice:
+            return held - (set() if self.marks & NUMBERS else NUMBERS) != self.marks
+        return bool(held - self.marks - NUMBERS)
 
 
 class Templates:
@@ -101,8 +140,11 @@ class Templates:
         weight = lambda n: 1 - math.log(max((n + 1) / (lines + 1), LEAST_SHARE))
         self.idf = {t: weight(df.get(t, 0)) for t in df.keys() | set(_vocabulary(templates, whole))}
         self.foreign = weight(0)
-        self.notices = self._made((name, RANK.get(name, OWN), terms(x), least) for name in sorted(templates) for x in templates[name])
+        short = lambda x: max(least, LEAST_EXACT) if x.startswith(SPDX) or x in TEMPLATES["Proprietary"] else least
+        self.notices = self._made(((name, RANK.get(name, OWN), terms(x), short(x)) for name in sorted(templates) for x in templates[name]), True)
         self.files = self._made((name, OWN, terms(x), max(least, LEAST_LONG)) for name, x in sorted(whole.items()))
+        for t in self.files:
+            t.marks = _marks(terms(whole[t.name])[:TITLE])
         inside = [(name, OWN, w, max(least, LEAST_LONG)) for name, x in sorted(whole.items()) if len(w := terms(x)) <= LONG]
         inside += [(name, SHARED, terms(x)[:SHORT], least) for name, x in sorted(whole.items())]
         self.inside = self.notices + self._made(inside)
@@ -117,7 +159,7 @@ class Templates:
         anchors = set().union(*(t.anchors for t in self.notices)) if self.notices else set()
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors, key=lambda a: (-len(a), a)))) + r")(?![a-z0-9])") if anchors else None
 
-    def _made(self, rows) -> list[Template]:
+    def _made(self, rows, notice: bool = False) -> list[Template]:
         out = []
         for name, rank, words, least in rows:
             v, norm = self._vector(words)
@@ -131,22 +173,27 @@ class Templates:
                     break
                 own.add(t)
                 mass -= v[t] ** 2
-            out.append(Template(name, rank, v, len(words), least, own))
+            out.append(Template(name, rank, v, len(words), least, own, _marks(words), notice))
         return out
 
     def _vector(self, words: list[str]) -> tuple[dict[str, float], float]:
         v = {t: n * self.idf.get(t, self.foreign) for t, n in Counter(words).items()}
         return v, math.sqrt(sum(x * x for x in v.values()))
 
-    def best(self, words: list[str], among: list[Template] | None = None) -> tuple[int, float, str] | None:
-        """(rank, cosine, name) of the best of ``among``, the notices by default, for all of the words."""
+    def best(self, words: list[str]) -> tuple[int, float, str] | None:
+        """(rank, cosine, name) of the best notice for all of the words."""
+        got = self._best(words, self.notices)
+        return got and (got[0], *got[2:])
+
+    def _best(self, words: list[str], among: list[Template], title: int | None = None) -> tuple[int, bool, float, str] | None:
+        """(rank, doubt, cosine, name) of the best of ``among`` for all of the words; doubt is of the first ``title`` of them."""
         weight, norm = self._vector(words)
         found = []
-        for t in self.notices if among is None else among:
+        for t in among:
             cosine = sum(x * weight[w] for w, x in t.vector.items() if w in weight) / norm
             if cosine >= t.least:
-                found.append((t.rank, cosine, t.name))
-        return min(found, key=lambda f: (f[0], -f[1], f[2]), default=None)
+                found.append((t.rank, t.doubts(words[:title]), cosine, t.name))
+        return min(found, key=lambda f: (*f[:2], -f[2], f[3]), default=None)
 
     def find(self, text: str) -> tuple[float, str, int] | None:
         """(cosine, template, line) of the best match in a whole text."""
@@ -156,8 +203,9 @@ class Templates:
         if not len(open_):
             return None
         n = len(self.files)
-        if open_[0] < n and (got := self.best(terms(low), [self.files[k] for k in open_ if k < n])):
-            return got[1], got[2], 0
+        file = self._best(terms(low), [self.files[k] for k in open_ if k < n], TITLE) if open_[0] < n else None
+        if file and not file[1]:
+            return file[2], file[3], 0
         inside = [self.inside[k - n] for k in open_ if k >= n]
         notices = [self.inside[k - n] for k in open_ if n <= k < n + len(self.notices)]
         top = None
@@ -168,16 +216,16 @@ class Templates:
                 words: list[str] = []
                 for j in range(i, min(len(lines), i + RUN)):
                     words = words + terms(lines[j])
-                    if words and (got := self.best(words, notices)) and self._better(got, top):
+                    if words and (got := self._best(words, notices)) and self._better(got, top):
                         top = (*got, i)
-        top = self._windows(low, inside, top)
-        return top and top[1:]
+        top = self._windows(low, inside, top) or (file and (*file, 0))
+        return top and (top[2], UNKNOWN if top[1] else top[3], top[4])
 
     @staticmethod
     def _better(got: tuple, top: tuple | None) -> bool:
-        return top is None or got[0] < top[0] or (got[0] == top[0] and got[1] > top[1] + 1e-12)
+        return top is None or got[:2] < top[:2] or (got[:2] == top[:2] and got[2] > top[2] + 1e-12)
 
-    def _windows(self, low: str, among: list[Template], top: tuple[int, float, str, int] | None) -> tuple[int, float, str, int] | None:
+    def _windows(self, low: str, among: list[Template], top: tuple[int, bool, float, str, int] | None) -> tuple[int, bool, float, str, int] | None:
         """The better of ``top`` and the best window of a template's own length that holds one of its anchors."""
         found = list(_TERM.finditer(low))
         words = [m[0] for m in found]
@@ -201,8 +249,9 @@ class Templates:
                 if sum(x * x for w, x in v.items() if w in held) < enough:
                     continue
                 cosine, first = self._slide(part, v, size)
-                if cosine >= t.least and self._better((t.rank, cosine), top):
-                    top = (t.rank, cosine, t.name, low.count("\n", 0, found[start + first].start()))
+                got = (t.rank, cosine >= t.least and t.doubts(part[first : first + size]), cosine)
+                if cosine >= t.least and self._better(got, top):
+                    top = (*got, t.name, low.count("\n", 0, found[start + first].start()))
         return top
 
     def _slide(self, words: list[str], v: dict[str, float], size: int) -> tuple[float, int]:
@@ -250,7 +299,8 @@ def _counted(count: Counter) -> pa.RecordBatch:
 def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE, whole: dict[str, str] | None = None) -> DataFrame:
     """files(doc_id, path, text) -> (doc_id, path, words, own_license, cosine, line)."""
     if templates is None:
-        templates, whole = TEMPLATES, whole_licences() if whole is None else whole
+        whole = whole_licences() if whole is None else whole
+        templates = with_spdx(TEMPLATES, whole)
     counts = materialize(files.select("text").mapInArrow(_term_lines, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     lines = (counts.where("term = ''").first() or {"n": 0})["n"]
     # at most the terms of a mean line over LEAST_SHARE rows, whatever the corpus
@@ -271,7 +321,7 @@ def matches(files: DataFrame, templates: dict[str, list[str]] | None = None, lea
 def scan(docs: DataFrame, path: Column, licence_file: Column | None = None, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE, whole: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, path, own_license, cosine, license, inherited_from) of every row.
 
-    ``templates``: notices by name, by default TEMPLATES with the texts of ``whole_licences``; ``whole``: texts by name.
+    ``templates``: notices by name, by default TEMPLATES and identifier lines, with the texts of ``whole_licences``; ``whole``: texts by name.
     ``licence_file``: which files speak for their directory, over doc_id, path, words and own_license;
     by default those named LICENSE, LICENCE, COPYING or NOTICE.
     """

@@ -456,7 +456,7 @@ def test_license_wrapping_does_not_decide():
     for name, texts in license_scan.TEMPLATES.items():
         for text in texts:
             for width in (20, 40, 80, 10_000):
-                wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(text, width, break_on_hyphens=False))
+                wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
                 got = model.find(f"{rest}\n\n{wrapped}\n{rest}")
                 assert got and got[1] == name and got[0] > 0.999 and got[2] in (1, 2), (name, width, got)
             got = model.find(f"{rest} {text} {rest}")
@@ -493,6 +493,40 @@ def test_whole_licences_and_openings():
     assert model.find("Copyright 2020 Ada.\nAll rights reserved.")[1] == "Proprietary" and model.find(rest) is None
 
 
+def test_license_names_are_not_confused():
+    """The table of every notice and identifier line against every name has its own name on the diagonal and nothing else."""
+    whole = license_scan.whole_licences()
+    templates = license_scan.with_spdx(license_scan.TEMPLATES, whole)
+    model = license_scan.Templates(templates, {"the": 30_000, "of": 20_000, "license": 100, "software": 300, "mit": 900}, 100_000, 0.7, whole)
+    rest = " ".join(f"word{i}" for i in range(80))
+    table = {(name, model.find(f"{rest}\n{x}\n{rest}")[1]) for name, xs in templates.items() for x in xs}
+    table |= {(name, model.find(f"{rest} {x} {rest}")[1]) for name, xs in templates.items() for x in xs}
+    assert table == {(name, name) for name in templates}
+    unknown = license_scan.UNKNOWN
+    for text, name in {
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "Use of this source code is governed by a BSD-style license": "BSD",
+        "Licensed under the Apache License v2.0": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": unknown,
+        "Licensed under CC BY 3.0.": unknown,
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.": unknown,
+        "This work is licensed under the GNU General Public License, version 1.": unknown,
+        whole["GPL-3.0"].replace("GENERAL PUBLIC LICENSE", "AFFERO GENERAL PUBLIC LICENSE", 1).replace("the GNU General Public License as published", "the GNU Affero General Public License as published"): "AGPL-3.0",
+    }.items():
+        assert model.find(text)[1] == name, (text[:80], model.find(text))
+    for text in ("The ministry said that all rights are reserved for rural people", "wir gehen mit dem Hund", "an identifier of the mit group"):
+        assert model.find(text) is None, text
+
+
+def test_license_in_a_text_over_a_megabyte():
+    templates = license_scan.with_spdx(license_scan.TEMPLATES, {})
+    model = license_scan.Templates(templates, {"the": 30_000}, 100_000, 0.7)
+    text = "some words of the file\n" * 60_000
+    assert len(text) > 1 << 20 and model.find(text) is None
+    assert model.find(text + "Released under the MIT License.")[1:] == ("MIT", 60_000) and model.find(text.replace("\n", " ") + "Licensed under CC BY-ND 4.0.")[1] == "CC-BY-ND-4.0"
+
+
 def test_license_matches_brute_force(spark):
     """TF-IDF by hand over every line, run of lines and window of short texts."""
     rng = random.Random(31)
