@@ -30,10 +30,13 @@ from .common import Words, column, partitions, text_slices, whole_groups
 
 CAPACITY = 2048  #: length of a bin
 GROUP_ROWS = 8_000  #: documents that a group aims at
+SEEN_ROWS = 1_000_000  #: rows that a task remembers to tell repeats
 
 
 def _measure(batches):
-    seen: Counter = Counter()  # how often the partition has held an id, length and cluster
+    # how often the partition has held an id, length and cluster; emptied at SEEN_ROWS distinct ones, so where there
+    # are k times as many, up to k repeats of a row are dealt together
+    seen: Counter = Counter()
     part = TaskContext.get().partitionId() + 1
     for batch in batches:
         for a, b, data, offsets in text_slices(column(batch, "text")):
@@ -45,6 +48,8 @@ def _measure(batches):
                 cluster = (sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64)
             count = np.diff(w.first)
             again = []
+            if len(seen) > SEEN_ROWS:
+                seen.clear()
             for key in zip(column(batch, "doc_id").slice(a, b - a).to_pylist(), count.tolist(), cluster.tolist(), strict=True):
                 seen[key] += 1
                 again.append(0 if seen[key] == 1 else (part << 32) + seen[key])

@@ -246,7 +246,8 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     sample = labelled_sample(ids, labels, label_col, held_out("doc_id", modulus, remainder), fit_rows).dropDuplicates(["doc_id"])
     sample = materialize(sample, "sample")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # at most ``fit_rows`` ids
-    known = statistics(texts).join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).toPandas().sort_values(["doc_id", *STATISTICS])
+    known = statistics(texts).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("x"))  # one row of each id
+    known = known.select("doc_id", "y", "x.*").toPandas().sort_values("doc_id")
     return fit_rules(known[STATISTICS].to_numpy(float), known["y"].to_numpy(float))
 
 

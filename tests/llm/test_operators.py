@@ -627,6 +627,16 @@ def statistics_by_hand(text):
     ]
 
 
+def test_quality_of_repeated_labelled_ids(spark):
+    """One row of each labelled id is learned from, so repeats of an id neither weigh more nor reach the driver."""
+    rows, labels = labelled()
+    lab = spark.createDataFrame(labels, LABELS)
+    args = (lab, "doc_id", "text", "quality", 4, 2, 20_000)
+    once, twice = (quality_rules.learned(docs(spark, x), *args) for x in (rows, rows + rows[:80] + rows[:80]))
+    got = [{r["doc_id"]: r["s"] for r in quality_rules.statistics(docs(spark, rows)).select("doc_id", m.column().alias("s")).collect()} for m in (once, twice)]
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-9) for i in got[0])
+
+
 def test_quality_scores_by_hand(spark):
     """Statistics and score of every row, recomputed without the engine's kernels or the compiled column."""
     rows, labels = labelled(seed=4, n=160)
