@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import clip, gaussian_kernel
+from ..shared import materialize
 from .grid import Frame
+from .quantiles import quantiles
 
 ALONG_ROW = ("r", "c")
 ALONG_COLUMN = ("c", "r")
@@ -86,7 +88,7 @@ def slopes(grid: DataFrame, frame: Frame, cfg: ExtractConfig, extra: dict[str, f
 
 def slope_thresholds(grid: DataFrame, cfg: ExtractConfig, slope: str = "slope_0") -> tuple[float, float]:
     """(low, high) from exact percentiles of the finest slope over valid cells; given values win."""
-    q = grid.where("valid").agg(F.percentile(slope, F.array(F.lit(0.70), F.lit(0.85)))).first()[0]
+    q = quantiles(materialize(grid.where("valid").select(slope), "valid_slopes"), slope, [0.70, 0.85])
     if not q:
         return 15.0, 25.0
     high = cfg.slope_high_deg if cfg.slope_high_deg > 0 else min(55.0, max(18.0, q[1], q[0] + 5.0))
@@ -96,7 +98,7 @@ def slope_thresholds(grid: DataFrame, cfg: ExtractConfig, slope: str = "slope_0"
 
 def blended_thresholds(grid: DataFrame, slope: str = "slope") -> tuple[float, float]:
     """(low, high) of the alternative edge engine: a blend of the two percentiles."""
-    q = grid.where("valid").agg(F.percentile(slope, F.array(F.lit(0.70), F.lit(0.85)))).first()[0]
+    q = quantiles(materialize(grid.where("valid").select(slope), "valid_slopes"), slope, [0.70, 0.85])
     if not q:
         return 15.0, 25.0
     high = min(38.0, max(17.0, 0.55 * q[0] + 0.45 * q[1]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.exprs import finite, floor_at, gaussian_kernel, nearest_index
-from ..operators import faces, graph, grid, halo, lines, refine, select, single_edge, spatial, terrain
+from ..operators import faces, graph, grid, halo, lines, quantiles, refine, select, single_edge, spatial, terrain
 from ..session import shipped
 from ..sources import catalog, sinks
 from ..sources.points import text_points
@@ -227,6 +227,16 @@ def agg_plane_robust(spark: SparkSession, d: str) -> DataFrame:
     return refine.robust_planes(p, "label").select("label", "kept", col3("c").alias("z"), col3("rmse").alias("rmse"))
 
 
+@query("""WITH o AS (SELECT l_extendedprice::DOUBLE AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem WHERE l_extendedprice IS NOT NULL)
+SELECT k AS rank, v AS price FROM o WHERE k IN (0, (n - 1) // 2, (n - 1) * 70 // 100, (n - 1) * 85 // 100, n - 1)""")
+def agg_order_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Least, middle and greatest price, and those at 70 and 85 percent, by histogram refinement."""
+    prices = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("price"))
+    n = prices.where("price is not null").count()
+    found = quantiles.order_statistics(prices, "price", [0, (n - 1) // 2, (n - 1) * 70 // 100, (n - 1) * 85 // 100, n - 1]) if n else {}
+    return spark.createDataFrame(sorted(found.items()), "rank long, price double")
+
+
 # ---------------------------------------------------------------- joins
 
 
