@@ -12,6 +12,7 @@ from ..config import ExtractConfig
 from ..functions.exprs import finite, floor_at, gaussian_kernel, nearest_index
 from ..operators import faces, graph, grid, halo, lines, quantiles, refine, select, single_edge, spatial, terrain
 from ..session import shipped
+from ..shared import materialize
 from ..sources import catalog, sinks
 from ..sources.points import text_points
 from ..streaming.raster import raster_sums
@@ -243,7 +244,9 @@ def agg_order_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EMBEDDING_SQL}, n AS (SELECT a.pid, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM p a JOIN p b ON a.x <> b.x OR a.y <> b.y GROUP BY a.pid)
 SELECT count(*) AS n, {r3('median(d) * 1000')} AS spacing_milli FROM n""")
 def jn_nn_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.neighbour_distance(embedding_points(spark, d)).agg(F.count("*").alias("n"), floor_at(F.median("d") * 1000).alias("spacing_milli"))
+    found = materialize(spatial.neighbour_distance(embedding_points(spark, d)).select("d"), "distances")
+    middle = quantiles.quantiles(found, "d", [0.5]) or [None]
+    return found.agg(F.count("*").alias("n")).select("n", floor_at(F.lit(middle[0]).cast("double") * 1000).alias("spacing_milli"))
 
 
 _CENTRES = "v AS (SELECT pid AS vid, x AS vx, y AS vy FROM p WHERE pid % 50 = 0)"  # the stated query set of a search
