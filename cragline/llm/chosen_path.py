@@ -9,7 +9,9 @@ compared by brute force on token sketches; a bucket that hardly shrinks when spl
 are much alike and is joined as one candidate group (the paper's test for points to brute-force).
 Runs repeat until the target recall. Candidate groups are then compared exactly: one that fits a block
 all against all, a larger one in blocks of neighbours by token, and of these only the pairs of blocks that
-a bucket has sets in. No bucket has a cap on partners.
+a bucket has sets in. A block is sent once for each run of RUN blocks it may meet. No bucket has a cap on partners.
+Work in a group of near copies with different texts is quadratic, as every link counts: with B blocks, B^2 / 2
+comparisons of blocks, and each block is sent B / RUN times.
 
 Recall: a pair survives a node with SPLITS=2 if one of two sampled tokens agrees and the pair survives
 below; where a share p of the tokens agrees, the fixed point of f = 1 - (1 - p f)^2. Runs sample the same
@@ -25,6 +27,7 @@ class one row is kept, the one with the smallest id (null last), of several such
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -47,6 +50,8 @@ MARGIN = 5.0  #: standard errors of the sketch below the threshold that are stil
 RECALL = 0.99999  #: share of pairs at the threshold that the runs find
 BLOCK_SETS = 1024  #: most sets of a block of the exact comparison
 BLOCK_SHINGLES = 1_000_000  #: shingles that a block aims at; one longer text may exceed it
+RUN = 4  #: neighbouring blocks that are sent together; a task holds two runs
+FILTER_WORDS = 1 << 20  #: 64-bit words of a filter by row hash at most (8 MB); beyond about 30 million rows in it, it lets most rows pass
 
 
 def survival(similarity: float, splits: int = SPLITS) -> float:
@@ -122,7 +127,7 @@ def row_hash(docs: DataFrame) -> list:
 
 
 def _children(rows: DataFrame, tokens: int, splits: int) -> DataFrame:
-    """rows(node, path, tokens) -> (node, path of a child): the child's path holds the position and its token."""
+    """rows(node, path, n, tokens) -> (node, path of a child, n of its parent): the child's path holds the position and its token."""
 
     def run(batches):
         step = seeds(splits, 23)
@@ -133,16 +138,16 @@ def _children(rows: DataFrame, tokens: int, splits: int) -> DataFrame:
             offset = column(batch, "tokens").offset
             tok = tok.reshape(-1, tokens)[offset : offset + batch.num_rows]
             path = column(batch, "path").to_numpy().view(np.uint64)
-            node = column(batch, "node")
+            node, n = column(batch, "node"), column(batch, "n")
             with np.errstate(over="ignore"):
                 at = (mix(path ^ step[0]) % np.uint64(tokens)).astype(np.int64)
                 stride = (mix(path ^ step[1]) % np.uint64(tokens - 1)).astype(np.int64) + 1
                 for s in range(splits):
                     i = (at + s * stride) % tokens
                     child = mix(mix(path + np.uint64(s + 1)) ^ (tok[np.arange(len(i)), i].astype(np.uint64) | (i.astype(np.uint64) << np.uint64(32))))
-                    yield pa.RecordBatch.from_arrays([node, pa.array(child.view(np.int64)), column(batch, "path")], names=["node", "path", "parent"])
+                    yield pa.RecordBatch.from_arrays([node, pa.array(child.view(np.int64)), n], names=["node", "path", "parent_n"])
 
-    return rows.select("node", "path", "tokens").mapInArrow(run, "node long, path long, parent long")
+    return rows.select("node", "path", "n", "tokens").mapInArrow(run, "node long, path long, parent_n long")
 
 
 def _brute(rows: DataFrame, least: float, tokens: int) -> DataFrame:
@@ -196,30 +201,24 @@ def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = RECALL,
     slack = MARGIN * math.sqrt(tokens * threshold * (1 - threshold))
     least = max(1.0, tokens * threshold - slack)
     roots = F.explode(F.array(*(F.lit(int(x)) for x in seeds(runs, 31).view(np.int64))))
-    rows = _children(reps.select("node", "tokens", roots.alias("path")), tokens, SPLITS)
-    above, brute, found, buckets = None, [], [], []
+    rows = _children(reps.select("node", "tokens", F.lit(None).cast("long").alias("n"), roots.alias("path")), tokens, SPLITS)
+    brute, found, buckets = [], [], []
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n > 1")
-        sizes = materialize(sizes, f"buckets{depth}")
-        if above is None:
-            alike = F.lit(False)
-        else:
-            sizes = sizes.join(above.select(F.col("path").alias("parent"), F.col("n").alias("parent_n")), "parent", "left")
-            alike = F.col("n") >= DENSE * F.col("parent_n")
-        if depth == DEPTH:
-            alike = F.lit(True)
+        rows = materialize(rows, f"children{depth}")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent_n").alias("parent_n"), F.min("node").alias("b")).where("n > 1")
+        alike = F.lit(True) if depth == DEPTH else F.coalesce(F.col("n") >= DENSE * F.col("parent_n"), F.lit(False))
         kind = F.when(F.col("n") <= small, "small").when(alike, "alike").otherwise("large")
-        sizes = sizes.select("path", "n", kind.alias("kind"))
-        rows = materialize(rows.select("node", "path").join(sizes, "path"), f"level{depth}")
+        sizes = materialize(sizes.select("path", "n", "b", kind.alias("kind")), f"buckets{depth}")
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        # a bucket of near copies may hold a share of the corpus at every level: its members meet its size by broadcast
+        rows = materialize(join_hot(rows.select("node", "path"), sizes, ["path"], "n", total).where("n is not null"), f"level{depth}")
         brute.append(rows.where("kind = 'small'").select("path", "node"))
         buckets.append(rows.where("kind <> 'large'").select("path", "node"))
-        same = rows.where("kind = 'alike'")
-        found.append(same.select("node", "path").join(same.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
+        found.append(rows.where("kind = 'alike'").select(F.col("node").alias("a"), "b"))
         large = rows.where("kind = 'large'")
         if large.isEmpty():
             break
-        above = large.groupBy("path").agg(F.first("n").alias("n"))
-        rows = _children(large.select("node", "path").join(reps.select("node", "tokens"), "node"), tokens, SPLITS)
+        rows = _children(large.select("node", "path", "n").join(reps.select("node", "tokens"), "node"), tokens, SPLITS)
     all_brute = brute[0]
     for x in brute[1:]:
         all_brute = all_brute.unionByName(x)
@@ -263,7 +262,10 @@ def _common(h: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
 
 
 def _exact(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(pair, block, i, j, node, n, shingles binary), sorted by pair -> (node, links, root)."""
+    """rows(pair, bits, i, j, block, node, n, set), sorted by pair, block and node -> (node, links, root).
+
+    A pair is two runs of blocks, i and j; block a of i and b of j are compared if bit a * RUN + b is set, counted from each run's first block.
+    """
 
     def run(batches):
         for table in whole_groups(batches, "pair", rows=2_000):
@@ -272,28 +274,37 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
             if not once.all():
                 table, pair = table.filter(pa.array(once)), pair[once]
             nodes, weights, blocks = (table.column(c).to_numpy() for c in ("node", "n", "block"))
-            across = table.column("i").to_numpy() != table.column("j").to_numpy()
+            runs_i, runs_j, bits = (table.column(c).to_numpy() for c in "i j bits".split())
             raw = table.column("set").to_pylist()
-            starts = np.concatenate([np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), [len(pair)]])
+            cuts = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (blocks[1:] != blocks[:-1])]))
+            ends = np.append(cuts[1:], len(pair))
+            held: dict[int, list[tuple[int, int]]] = {}
+            for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
+                held.setdefault(int(pair[s]), []).append((s, e))
             out: list[np.ndarray] = []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                m = e - s
-                if m < 2:
-                    continue
-                sets = [np.frombuffer(x, np.uint64) for x in raw[s:e]]
-                count = np.array([len(x) for x in sets])
-                shared = _common(np.concatenate(sets), np.repeat(np.arange(m), count), m)
-                # Jaccard >= t as shared * (1 + t) >= t * (|x| + |y|), in whole numbers but for the threshold
-                hit = shared.astype(np.float64) * (1 + threshold) >= threshold * (count[:, None] + count[None, :]) - 1e-9
-                np.fill_diagonal(hit, False)
-                if across[s]:
-                    hit &= blocks[s:e, None] != blocks[None, s:e]
-                i, j = np.nonzero(hit)
-                if len(i):
-                    links = np.bincount(i, weights[s:e][j], m).astype(np.int64)
-                    label = local_components(m, i, j)
-                    got = np.unique(i)
-                    out.append(np.stack([nodes[s:e][got], links[got], nodes[s:e][label[got]]]))
+            for spans in held.values():
+                for (s, e), (t, f) in itertools.combinations_with_replacement(spans, 2):
+                    x, y = int(blocks[s]), int(blocks[t])
+                    if x // RUN != runs_i[s] or y // RUN != runs_j[s] or not int(bits[s]) >> (x % RUN * RUN + y % RUN) & 1:
+                        continue
+                    at = np.arange(s, e) if s == t else np.concatenate([np.arange(s, e), np.arange(t, f)])
+                    m = len(at)
+                    if m < 2:
+                        continue
+                    sets = [np.frombuffer(raw[k], np.uint64) for k in at]
+                    count = np.array([len(x) for x in sets])
+                    shared = _common(np.concatenate(sets), np.repeat(np.arange(m), count), m)
+                    # Jaccard >= t as shared * (1 + t) >= t * (|x| + |y|), in whole numbers but for the threshold
+                    hit = shared.astype(np.float64) * (1 + threshold) >= threshold * (count[:, None] + count[None, :]) - 1e-9
+                    np.fill_diagonal(hit, False)
+                    if s != t:
+                        hit[: e - s, : e - s] = hit[e - s :, e - s :] = False
+                    i, j = np.nonzero(hit)
+                    if len(i):
+                        links = np.bincount(i, weights[at][j], m).astype(np.int64)
+                        label = local_components(m, i, j)
+                        got = np.unique(i)
+                        out.append(np.stack([nodes[at][got], links[got], nodes[at][label[got]]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["node", "links", "root"])
 
@@ -324,11 +335,12 @@ def _sets(width: int):
 
 
 def blocked(members: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(``members`` with their ``block``, (part, block, other) of larger groups' blocks to compare, from both sides, if any).
+    """(``members`` with their ``block``, (part, run, i, j, bits) of larger groups' runs of blocks to compare, from both sides, if any).
 
     members(node, part, shingles, tokens): sets of candidate groups (``part``). A group that fits a block is block 0.
     Larger ones are laid out by their tokens, so that sets that are alike are neighbours, and cut by running totals into
-    blocks of at most BLOCK_SETS sets or about BLOCK_SHINGLES shingles. Two blocks meet only if a bucket has sets in both.
+    blocks of at most BLOCK_SETS sets or about BLOCK_SHINGLES shingles. Two blocks meet only if a bucket has sets in both. Runs of
+    RUN blocks are paired, with a bit for each two of their blocks that meet (``_exact``).
     """
     load = F.sum(F.greatest(F.lit(1 / BLOCK_SETS), F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))).alias("load")
     size = materialize(members.groupBy("part").agg(load, F.count("*").alias("m")), "parts")
@@ -339,10 +351,35 @@ def blocked(members: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFram
     unit = F.ceil(F.greatest(F.lit(1e6 / BLOCK_SETS), F.col("shingles") * F.lit(1e6 / BLOCK_SHINGLES))).cast("long")
     laid = running_total(sized.where("load > 1").withColumn("unit", unit), ["part", "tokens", "node"], "unit")
     laid = materialize(laid.withColumn("block", F.floor((F.col("upto") - 1) / F.lit(1_000_000))).drop("tokens", "unit", "upto", "load", "m"), "laid")
-    held = materialize(buckets.join(laid.select("node", "part", "block"), "node").select("path", "part", "block").distinct(), "held")
-    pairs = held.join(held.withColumnRenamed("block", "other"), ["path", "part"]).select("part", "block", "other")
-    pairs = pairs.unionByName(laid.select("part", "block", F.col("block").alias("other"))).distinct()
-    return small.unionByName(laid.select(small.columns)), materialize(pairs, "block-pairs")
+    run = F.floor(F.col("block") / RUN)
+    has = F.bit_or(F.expr(f"shiftleft(1L, CAST(block % {RUN} AS INT))"))
+    held = buckets.join(laid.select("node", "part", "block"), "node").groupBy("path", "part", run.alias("i")).agg(has.alias("a"))
+    held = materialize(held, "held")
+    bits = functools.reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.getbit("a", F.lit(k)) == 1, F.shiftleft("b", k * RUN)).otherwise(0) for k in range(RUN)))
+    pairs = held.join(held.select("path", "part", F.col("i").alias("j"), F.col("a").alias("b")), ["path", "part"]).where("i <= j").select("part", "i", "j", bits.alias("bits"))
+    alone = F.expr(f"shiftleft(1L, CAST(block % {RUN} AS INT) * {RUN + 1})")
+    pairs = pairs.unionByName(laid.select("part", run.alias("i"), run.alias("j"), alone.alias("bits")).distinct())
+    pairs = pairs.groupBy("part", "i", "j").agg(F.bit_or("bits").alias("bits"))
+    pairs = pairs.select("part", F.explode(F.array_distinct(F.array("i", "j"))).alias("run"), "i", "j", "bits")
+    return small.unionByName(laid.select(small.columns)), materialize(pairs, "run-pairs")
+
+
+def _row_filter(rows: DataFrame) -> DataFrame:
+    """(slot, bits): a bitmap over the hashes ``r1`` of ``rows``, of at most FILTER_WORDS words, so it can be broadcast whatever their number."""
+    return materialize(rows.groupBy(_slot("r1").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(r1, 64) AS INT))")).alias("bits")), "row-filter")
+
+
+def _slot(name: str):
+    return F.pmod(F.shiftright(F.col(name), 6), F.lit(FILTER_WORDS)).cast("long")
+
+
+def _with_maybe(rows: DataFrame, r1: str, kept: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false for those that a filter of ``_row_filter`` does not hold, which need no shuffle to be told apart."""
+    slot, bits = fresh(rows, "slot"), fresh(rows, "bits")
+    kept = kept.select(F.col("slot").alias(slot), F.col("bits").alias(bits))
+    marked = rows.withColumn(slot, _slot(r1)).join(F.broadcast(kept), slot, "left")
+    held = F.coalesce(F.getbit(F.col(bits), F.pmod(F.col(r1), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return marked.withColumn(flag, held).drop(slot, bits)
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, width: int, tokens: int) -> DataFrame:
@@ -360,13 +397,19 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
     members = materialize(members.select("node", "part", "n", "shingles", "tokens", "who.r1", "who.r2"), "members")
     members, pairs = blocked(members, buckets)
     # a set's text is that of one of its rows; members grow with the corpus, so they are never broadcast, however few they are
-    texts = _named(docs, id_col, text_col).select("r1", "r2", "text")
+    texts = _with_maybe(_named(docs, id_col, text_col), "r1", _row_filter(members), "maybe").where("maybe").select("r1", "r2", "text")
     sets = members.hint("merge").join(texts, ["r1", "r2"]).mapInArrow(_sets(width), "node long, n long, part long, block long, set binary")
-    sets = sets.join(pairs, ["part", "block"], "left") if pairs is not None else sets.withColumn("other", F.col("block"))
-    sets = sets.withColumn("other", F.coalesce("other", "block"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    sets = sets.select("node", "n", "set", "block", low.alias("i"), high.alias("j"), F.xxhash64("part", low, high).alias("pair"))
-    sets = sets.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "node")
+    sets = sets.withColumn("run", F.floor(F.col("block") / RUN))
+    if pairs is None:
+        sets = sets.withColumns({"i": F.col("run"), "j": F.col("run"), "bits": F.lit(1).cast("long")})
+    else:
+        sets = sets.join(pairs, ["part", "run"], "left").withColumns({"i": F.coalesce("i", "run"), "j": F.coalesce("j", "run"), "bits": F.coalesce("bits", F.lit(1).cast("long"))})
+        at = F.pmod("block", F.lit(RUN)).cast("int")
+        across = functools.reduce(lambda x, y: x | y, ((at == k) & (F.col("bits").bitwiseAND(sum(1 << (a * RUN + k) for a in range(RUN))) != 0) for k in range(RUN)))
+        down = functools.reduce(lambda x, y: x | y, ((at == k) & (F.col("bits").bitwiseAND(sum(1 << (k * RUN + b) for b in range(RUN))) != 0) for k in range(RUN)))
+        sets = sets.where(((F.col("run") == F.col("i")) & down) | ((F.col("run") == F.col("j")) & across))
+    sets = sets.select("node", "n", "set", "block", "i", "j", "bits", F.xxhash64("part", "i", "j").alias("pair"))
+    sets = sets.repartition(partitions(spark), "pair").sortWithinPartitions("pair", "block", "node")
     found = materialize(_exact(sets, threshold), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -406,13 +449,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # rows that leave, by the hash of all their columns, and rows that stay but are repeated
     marks = rows.groupBy("r1", "r2").agg(F.max(stays).alias("stays"), F.count("*").alias("times")).where("NOT stays OR times > 1")
     marks = materialize(marks, "marks")
-    r1, r2 = fresh(docs, "r1"), fresh(docs, "r2")
-    told = docs.withColumns(dict(zip((r1, r2), row_hash(docs), strict=True)))
+    kept = _row_filter(marks)
+    r1, r2, flag = fresh(docs, "r1"), fresh(docs, "r2"), fresh(docs, "maybe")
+    told = _with_maybe(docs.withColumns(dict(zip((r1, r2), row_hash(docs), strict=True))), r1, kept, flag)
     marks = marks.select(F.col("r1").alias(r1), F.col("r2").alias(r2), "stays")
-    kept = told.join(marks.hint("merge"), [r1, r2], "left_anti").select(*docs.columns)  # grows with the corpus: never broadcast
+    doubt = told.where(F.col(flag))
+    # marks grow with the corpus and are never broadcast; rows that the filter does not hold stay where they are
+    stay = told.where(~F.col(flag)).select(*docs.columns).unionByName(doubt.join(marks.hint("merge"), [r1, r2], "left_anti").select(*docs.columns))
     again = marks.where("stays")
     if again.isEmpty():
-        return kept
+        return stay
     # dealt anew before they are combined, so that one row's many repeats do not meet in a task
-    once = told.join(again.select(r1, r2).hint("merge"), [r1, r2], "left_semi").repartition(partitions(docs.sparkSession)).groupBy(r1, r2).agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return kept.unionByName(once.select("row.*"))
+    once = doubt.join(again.select(r1, r2).hint("merge"), [r1, r2], "left_semi").repartition(partitions(docs.sparkSession)).groupBy(r1, r2).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return stay.unionByName(once.select("row.*"))
