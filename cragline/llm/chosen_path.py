@@ -230,34 +230,41 @@ def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = RECALL,
     return edges.where("a <> b"), functools.reduce(DataFrame.unionByName, buckets)
 
 
-def _common(h: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
-    """float32[m, m]: shingles that each two of ``m`` sets share. Frequent shingles by matrix products, rare ones by pairs."""
+def _common(h: np.ndarray, owner: np.ndarray, m: int, split: int = 0) -> np.ndarray:
+    """float32[m, m]: shingles that each two of ``m`` sets share; with ``split``, float32[split, m - split]: only sets before it
+    with sets from it on. ``owner`` ascends. Frequent shingles by matrix products, rare ones by pairs."""
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     df = np.diff(np.concatenate([starts, [len(h)]]))
-    shared = np.zeros((m, m), dtype=np.float32)
+    shape = (split, m - split) if split else (m, m)
+    shared = np.zeros(shape, dtype=np.float32)
     rare = min(24, max(2, m // 8))
     for d in np.unique(df[(df > 1) & (df <= rare)]):
         at = starts[df == d]
         i, j = np.triu_indices(d, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for g in range(0, len(at), step):
-            cell = owner[at[g : g + step, None] + i].ravel().astype(np.int64) * m + owner[at[g : g + step, None] + j].ravel()
-            if len(cell) * 20 > m * m:
-                shared += np.bincount(cell, minlength=m * m).reshape(m, m).astype(np.float32)
+            x, y = owner[at[g : g + step, None] + i].ravel().astype(np.int64), owner[at[g : g + step, None] + j].ravel().astype(np.int64)
+            if split:
+                across = (x < split) & (y >= split)
+                x, y = x[across], y[across] - split
+            cell = x * shape[1] + y
+            if len(cell) * 20 > shared.size:
+                shared += np.bincount(cell, minlength=shared.size).reshape(shape).astype(np.float32)
             else:
                 cells, count = np.unique(cell, return_counts=True)
                 shared.ravel()[cells] += count
-    shared += shared.T
+    if not split:
+        shared += shared.T
     often = np.flatnonzero(df > rare)
-    for g in range(0, len(often), 2048):
-        some = often[g : g + 2048]
+    for g in range(0, len(often), 1024):
+        some = often[g : g + 1024]
         x = np.zeros((m, len(some)), dtype=np.float32)
         count = df[some]
         rows = owner[np.concatenate([np.arange(s, s + c) for s, c in zip(starts[some], count, strict=True)])]
         x[rows, np.repeat(np.arange(len(some)), count)] = 1
-        shared += x @ x.T
+        shared += x[:split] @ x[split:].T if split else x @ x.T
     return shared
 
 
@@ -275,7 +282,10 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
                 table, pair = table.filter(pa.array(once)), pair[once]
             nodes, weights, blocks = (table.column(c).to_numpy() for c in ("node", "n", "block"))
             runs_i, runs_j, bits = (table.column(c).to_numpy() for c in "i j bits".split())
-            raw = table.column("set").to_pylist()
+            packed = table.column("set").combine_chunks()
+            first = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
+            hashes = np.frombuffer(packed.buffers()[2], np.uint8)
+            hashes = hashes[: len(hashes) // 8 * 8].view(np.uint64)
             cuts = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (blocks[1:] != blocks[:-1])]))
             ends = np.append(cuts[1:], len(pair))
             held: dict[int, list[tuple[int, int]]] = {}
@@ -288,23 +298,25 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
                     if x // RUN != runs_i[s] or y // RUN != runs_j[s] or not int(bits[s]) >> (x % RUN * RUN + y % RUN) & 1:
                         continue
                     at = np.arange(s, e) if s == t else np.concatenate([np.arange(s, e), np.arange(t, f)])
-                    m = len(at)
+                    m, split = len(at), e - s if s != t else 0
                     if m < 2:
                         continue
-                    sets = [np.frombuffer(raw[k], np.uint64) for k in at]
-                    count = np.array([len(x) for x in sets])
-                    shared = _common(np.concatenate(sets), np.repeat(np.arange(m), count), m)
+                    h = hashes[first[s] : first[e]] if s == t else np.concatenate([hashes[first[s] : first[e]], hashes[first[t] : first[f]]])
+                    count = first[at + 1] - first[at]
+                    shared = _common(h, np.repeat(np.arange(m), count), m, split).astype(np.float64)
                     # Jaccard >= t as shared * (1 + t) >= t * (|x| + |y|), in whole numbers but for the threshold
-                    hit = shared.astype(np.float64) * (1 + threshold) >= threshold * (count[:, None] + count[None, :]) - 1e-9
-                    np.fill_diagonal(hit, False)
-                    if s != t:
-                        hit[: e - s, : e - s] = hit[e - s :, e - s :] = False
+                    hit = shared * (1 + threshold) >= threshold * (count[:split or m, None] + count[None, split:]) - 1e-9
+                    if not split:
+                        np.fill_diagonal(hit, False)
                     i, j = np.nonzero(hit)
                     if len(i):
-                        links = np.bincount(i, weights[at][j], m).astype(np.int64)
+                        j += split
+                        links = np.bincount(i, weights[at][j], m)
+                        if split:
+                            links += np.bincount(j, weights[at][i], m)
                         label = local_components(m, i, j)
-                        got = np.unique(i)
-                        out.append(np.stack([nodes[at][got], links[got], nodes[at][label[got]]]))
+                        got = np.flatnonzero(links)
+                        out.append(np.stack([nodes[at][got], links[got].astype(np.int64), nodes[at][label[got]]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["node", "links", "root"])
 

@@ -1056,3 +1056,15 @@ def test_packing_edges(spark):
     for r in got:
         fill[(r["bin_group"], r["bin"])] += r["length"]
     assert max(fill.values()) <= 1000 and packing.pack(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("m, split", [(60, 0), (60, 25), (2, 1), (200, 90)])
+def test_shared_shingles_within_and_across_blocks(m, split):
+    rng = np.random.default_rng(m + split)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(m)]
+    got = chosen_path._common(np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets]), m, split)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    if not split:
+        np.fill_diagonal(got, 0)
+        np.fill_diagonal(want, 0)
+    assert (got == (want[:split, split:] if split else want)).all()
