@@ -50,6 +50,7 @@ MARGIN = 5.0  #: standard errors of the sketch below the threshold that are stil
 RECALL = 0.99999  #: share of pairs at the threshold that the runs find
 BLOCK_SETS = 1024  #: most sets of a block of the exact comparison
 BLOCK_SHINGLES = 1_000_000  #: shingles that a block aims at; one longer text may exceed it
+BUCKET_ROWS = 200_000  #: most buckets of a level whose sizes are broadcast whole (about 16 MB); of more, only those of the hot ones
 RUN = 4  #: neighbouring blocks that are sent together; a task holds two runs
 FILTER_WORDS = 1 << 20  #: 64-bit words of a filter by row hash at most (8 MB); beyond about 30 million rows in it, it lets most rows pass
 
@@ -209,9 +210,13 @@ def candidates(reps: DataFrame, threshold: float = 0.8, recall: float = RECALL,
         alike = F.lit(True) if depth == DEPTH else F.coalesce(F.col("n") >= DENSE * F.col("parent_n"), F.lit(False))
         kind = F.when(F.col("n") <= small, "small").when(alike, "alike").otherwise("large")
         sizes = materialize(sizes.select("path", "n", "b", kind.alias("kind")), f"buckets{depth}")
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-        # a bucket of near copies may hold a share of the corpus at every level: its members meet its size by broadcast
-        rows = materialize(join_hot(rows.select("node", "path"), sizes, ["path"], "n", total).where("n is not null"), f"level{depth}")
+        held, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        # a bucket of near copies may hold a share of the corpus at every level, so its members never meet its size under one key
+        if held <= BUCKET_ROWS:
+            rows = rows.select("node", "path").join(F.broadcast(sizes), "path")
+        else:
+            rows = join_hot(rows.select("node", "path"), sizes, ["path"], "n", total).where("n is not null")
+        rows = materialize(rows, f"level{depth}")
         brute.append(rows.where("kind = 'small'").select("path", "node"))
         buckets.append(rows.where("kind <> 'large'").select("path", "node"))
         found.append(rows.where("kind = 'alike'").select(F.col("node").alias("a"), "b"))

@@ -188,18 +188,18 @@ def text_slices(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int,
     """(from, to, bytes, offsets) of slices of about SLICE_BYTES; a null text is empty. Texts are lower-cased if asked."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
-    buffer = texts.buffers()[2]
-    data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None and buffer.size else np.zeros(0, dtype=np.uint8)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < n:
-        to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
-        to = min(max(to, at + 1), n)
-        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        some = pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), "")
+        if lower:
+            some = pc.utf8_lower(some)
+        offsets = np.frombuffer(some.buffers()[1], dtype=np.int64)[some.offset : some.offset + to - at + 1]
+        buffer = some.buffers()[2]
+        data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None and buffer.size else np.zeros(0, dtype=np.uint8)
+        yield at, to, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         at = to
 
 

@@ -667,6 +667,7 @@ def test_compiled_rules_equal_numpy(spark):
 @pytest.mark.parametrize("block", [40, 9])  # groups of a few blocks, and of several runs of blocks
 def test_jaccard_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(chosen_path, "BLOCK_SETS", block)
+    monkeypatch.setattr(chosen_path, "BUCKET_ROWS", 1 if block == 9 else chosen_path.BUCKET_ROWS)
     monkeypatch.setattr(chosen_path, "SMALL", 16)
     rows = corpus() + [(9000 + k, *r[1:]) for k, r in enumerate(EDGE) if r[0] is not None]
     got = {r["doc_id"]: r for r in chosen_path.jaccard_links(docs(spark, rows)).collect()}
