@@ -1069,3 +1069,13 @@ def test_shared_shingles_within_and_across_blocks(m, split):
         np.fill_diagonal(got, 0)
         np.fill_diagonal(want, 0)
     assert (got == (want[:split, split:] if split else want)).all()
+
+
+def test_text_slices_give_every_text_once_lower_cased():
+    texts = ["Ab", None, "", "ÄÖ İ" * 300_000, "x" * 5, "Y" * (1 << 20), None, "z"]
+    for given in (pa.array(texts), pa.array(texts, pa.large_string()).slice(1, 6), pa.chunked_array([texts[:3], texts[3:]]), pa.array([], pa.string())):
+        want = ["" if t is None else pa.compute.utf8_lower(pa.scalar(t)).as_py() for t in given.to_pylist()]
+        got = [bytes(data[o[k] : o[k + 1]]).decode() for _, _, data, o in common.text_slices(given) for k in range(len(o) - 1)]
+        assert got == want
+        ranges = [(a, b) for a, b, *_ in common.text_slices(given)]
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(want)))
