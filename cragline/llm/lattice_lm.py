@@ -17,6 +17,11 @@ estimate from tokens seen once and twice); what the discounts of the V distinct
 
     P(token) = (c - d) / N, if c > 0, + (d V / N) M(token)
 
+``fitted_score`` is the same with M under piece weights fitted to the corpus, so that tokens never seen cost what
+their pieces cost there: one step of expectation maximisation over all distinct training tokens, from the vocabulary's weights.
+A piece's expected uses come from a forward and a backward pass and are smoothed by the vocabulary's weights. In this fit,
+tokens of over LONG bytes count by windows of WINDOW bytes.
+
 A token's marginal does not depend on its document, so lattices are run once for each distinct
 token of the corpus. Tokens that make up at least 1/HOT_TOKENS of the corpus (at most HOT_TOKENS
 of them) are broadcast; the rest meets its documents in a shuffle join. The recursion looks back over the longest
@@ -29,6 +34,7 @@ never held out; an empty table gives an empty result; extra columns are ignored;
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 
@@ -46,6 +52,8 @@ HOT_TOKENS = 250_000
 SLOTS = 1 << 18
 CELLS = 1_000_000  #: lattice edges in memory at once
 LONG = 256  #: bytes from which on a token is walked by itself, in blocks
+WINDOW = 192  #: bytes of such a token that the fit of the piece weights looks at together
+SMOOTH = 0.1  #: uses of each piece, on average, that the fit adds by the vocabulary's weights
 
 
 def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
@@ -105,7 +113,12 @@ class Lattice:
 
     def _forward(self, b: np.ndarray) -> np.ndarray:
         """Log marginal of each of the tokens, bytes[n, length]."""
+        return self._walk(b)[0][-1]
+
+    def _walk(self, b: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(log sums over all paths to each end[length + 1, n], with ``keep`` the pieces that end there by their length)."""
         n, length = b.shape
+        pieces: list[np.ndarray] = []
         h = np.zeros((length + 1, n), dtype=np.uint64)
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
@@ -115,7 +128,46 @@ class Lattice:
                 k = min(j, self.longest)
                 ids = self._find((h[j] - h[j - k : j] * self.power[k:0:-1, None]).ravel()).reshape(k, n)
                 alpha[j] = self._sum(alpha[j - k : j] + self.log[ids], alpha[j - 1] + self.log[self.byte[b[:, j - 1]]])
-        return alpha[-1]
+                if keep:
+                    pieces.append(ids)
+        return alpha, pieces
+
+    def uses(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of each word, summed."""
+        total = np.zeros(self.none + 1)
+        for _, b in self._batches(words):
+            total += self._uses(b)
+        for w in words:
+            if len(w) >= LONG:
+                data = np.frombuffer(b" " + w, dtype=np.uint8)
+                whole = len(data) // WINDOW
+                for part in (data[: whole * WINDOW].reshape(whole, WINDOW), data[None, whole * WINDOW :]):
+                    step = max(1, CELLS // (WINDOW * self.longest))
+                    for g in range(0, len(part) if part.size else 0, step):
+                        total += self._uses(part[g : g + step])
+        return total[:-1]
+
+    def _uses(self, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(self.none + 1)
+        with np.errstate(invalid="ignore"):
+            alpha, pieces = self._walk(b, True)
+            share = np.zeros(alpha.shape)  # of a token's paths, those that pass an end
+            share[-1] = 1
+            for j in range(len(alpha) - 1, 0, -1):
+                ids, byte = pieces[j - 1], self.byte[b[:, j - 1]]
+                of_end = share[j] * np.exp(-alpha[j] + (alpha[j - len(ids) : j] + self.log[ids]))
+                of_byte = share[j] * np.exp(alpha[j - 1] + self.log[byte] - alpha[j])
+                share[j - len(ids) : j] += of_end
+                share[j - 1] += of_byte
+                some = ids != self.none
+                total += np.bincount(ids[some], of_end[some], len(total)) + np.bincount(byte, of_byte, len(total))
+        return total
+
+    def weighted(self, log_weight: np.ndarray) -> Lattice:
+        """The same pieces with other weights."""
+        other = copy.copy(self)
+        other.log = np.append(log_weight, -np.inf)
+        return other
 
     @staticmethod
     def _sum(paths: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -186,6 +238,12 @@ def with_whole_edges(marginal: np.ndarray, count: np.ndarray, discount: float, n
         return np.logaddexp(np.log(np.maximum(count - discount, 0.0) / max(n, 1)), marginal + np.log(freed))
 
 
+def fitted(log_weight: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Log weights in proportion to the expected uses, smoothed by the weights they were found under."""
+    extra = SMOOTH * len(log_weight)
+    return np.log((uses + np.exp(log_weight) * extra) / (uses.sum() + extra))
+
+
 def _counts(train_col: str, flush: int = 400_000):
     """Token counts of documents, combined per task up to ``flush`` distinct tokens."""
 
@@ -211,7 +269,7 @@ def _counts(train_col: str, flush: int = 400_000):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned_score) of every row."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned_score, fitted_score) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out("doc_id", modulus, remainder)).withColumn("learn", ~F.col("held_out"))
@@ -226,20 +284,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     p_end = ends / n if n > ends else 0.5
     log_end, log_more = math.log10(p_end), math.log10(1 - p_end)
-    model = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    pieces, own = read_vocabulary(vocabulary)
+    model = spark.sparkContext.broadcast((pieces, own))
+
+    def uses(batches):
+        lattice = Lattice(*model.value)
+        total = np.zeros(lattice.none)
+        for batch in batches:
+            total += lattice.uses(column(batch, "word").to_pylist())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "uses"])
+
+    found = np.zeros(len(own))
+    for r in words.where("c_train > 0").select("word").mapInArrow(uses, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # at most one row a piece
+        found[r["piece"]] = r["uses"]
+    weights = spark.sparkContext.broadcast(fitted(own, found))
 
     def lattices(batches):
         lattice = Lattice(*model.value)
+        fit = lattice.weighted(weights.value)
         for batch in batches:
             count = column(batch, "c_train").to_numpy()
             value = lattice.marginals(column(batch, "word").to_pylist())
             learned = with_whole_edges(value, count, discount, n, freed) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("word", "c_train", "c_all")), pa.array(value / math.log(10) + log_more), pa.array(learned)], names=["word", "c_train", "c_all", "lattice", "learned"])
+            again = with_whole_edges(fit.marginals(column(batch, "word").to_pylist()), count, discount, n, freed) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("word", "c_train", "c_all")), pa.array(value / math.log(10) + log_more), pa.array(learned), pa.array(again)], names=["word", "c_train", "c_all", "lattice", "learned", "fitted"])
 
-    scored = materialize(words.mapInArrow(lattices, "word binary, c_train long, c_all long, lattice double, learned double"), "scored")
+    scored = materialize(words.mapInArrow(lattices, "word binary, c_train long, c_all long, lattice double, learned double, fitted double"), "scored")
     least = max(1, -(-every // HOT_TOKENS))
-    hot = scored.where(F.col("c_all") >= least).select("word", "c_train", "lattice", "learned").toPandas()
-    table = spark.sparkContext.broadcast({w: (math.log10(c + 1), int(c > 0), x, y) for w, c, x, y in zip(hot["word"].map(bytes), hot["c_train"], hot["lattice"], hot["learned"], strict=True)})
+    hot = scored.where(F.col("c_all") >= least).select("word", "c_train", "lattice", "learned", "fitted").toPandas()
+    table = spark.sparkContext.broadcast({w: (math.log10(c + 1), int(c > 0), *x) for w, c, *x in zip(hot["word"].map(bytes), hot["c_train"], hot["lattice"], hot["learned"], hot["fitted"], strict=True)})
 
     def look_up(batches):
         hot, part, k = table.value, TaskContext.get().partitionId() << 40, 0
@@ -247,7 +321,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             out: list[list] = [[] for _ in PARTS]
             for ident, text, held in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), column(batch, "held_out").to_pylist(), strict=True):
                 count = Counter((text.as_py() or "").encode().lower().split())
-                base = marginal = learned = 0.0
+                base = marginal = learned = refit = 0.0
                 known = tokens = 0
                 cold = []
                 for w, tf in count.items():
@@ -257,14 +331,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                         known += tf * got[1]
                         marginal += tf * got[2]
                         learned += tf * got[3]
+                        refit += tf * got[4]
                     else:
                         cold.append((w, tf))
                 row = part + k
                 k += 1
                 m = len(cold)
                 own = b" %d" % row  # no token holds a space: this row meets none, and such rows spread evenly
-                first = (row, ident, held, own, 0, tokens, known, base, marginal, learned)
-                rest = ([row] * m, [None] * m, [None] * m, [w for w, _ in cold], [t for _, t in cold], [0] * m, [0] * m, [0.0] * m, [0.0] * m, [0.0] * m)
+                first = (row, ident, held, own, 0, tokens, known, base, marginal, learned, refit)
+                rest = ([row] * m, [None] * m, [None] * m, [w for w, _ in cold], [t for _, t in cold], [0] * m, [0] * m, [0.0] * m, [0.0] * m, [0.0] * m, [0.0] * m)
                 for o, x, more in zip(out, first, rest, strict=True):
                     o.append(x)
                     o.extend(more)
@@ -274,20 +349,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, PARTS.values(), strict=True)], names=list(PARTS))
 
-    parts = rows.select("doc_id", "text", "held_out").mapInArrow(look_up, "row long, doc_id long, held_out boolean, word binary, tf long, tokens long, known long, base double, marginal double, learned double")
-    cold = scored.where(F.col("c_all") < least).select(F.col("word").alias("w"), F.log10(F.col("c_train") + F.lit(1.0)).alias("lb"), (F.col("c_train") > 0).cast("long").alias("lk"), "lattice", F.col("learned").alias("ll"))
+    parts = rows.select("doc_id", "text", "held_out").mapInArrow(look_up, "row long, doc_id long, held_out boolean, word binary, tf long, tokens long, known long, base double, marginal double, learned double, refit double")
+    cold = scored.where(F.col("c_all") < least).select(F.col("word").alias("w"), F.log10(F.col("c_train") + F.lit(1.0)).alias("lb"), (F.col("c_train") > 0).cast("long").alias("lk"), "lattice", F.col("learned").alias("ll"), "fitted")
     # a document's own sums ride on one row more, so documents are read once
     joined = parts.join(cold, parts["word"] == cold["w"], "left")
     with_cold = lambda own, each: F.sum(F.col(own) + F.col("tf") * F.coalesce(F.col(each), F.lit(0))).alias(own)
     both = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("tokens"),
-        with_cold("known", "lk"), with_cold("base", "lb"), with_cold("marginal", "lattice"), with_cold("learned", "ll"),
+        with_cold("known", "lk"), with_cold("base", "lb"), with_cold("marginal", "lattice"), with_cold("learned", "ll"), with_cold("refit", "fitted"),
     )
     per_token = math.log10(n + 1 * (v + 1))
     return both.select(
         "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + math.log10(ends + 1) - (F.col("tokens") + 1) * per_token).alias("base_score"), (F.col("marginal") + log_end).alias("score"), (F.col("learned") + log_end).alias("learned_score"),
+        (F.col("base") + math.log10(ends + 1) - (F.col("tokens") + 1) * per_token).alias("base_score"), (F.col("marginal") + log_end).alias("score"), (F.col("learned") + log_end).alias("learned_score"), (F.col("refit") + log_end).alias("fitted_score"),
     )
 
 
-PARTS = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "word": pa.binary(), "tf": pa.int64(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "marginal": pa.float64(), "learned": pa.float64()}
+PARTS = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "word": pa.binary(), "tf": pa.int64(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "marginal": pa.float64(), "learned": pa.float64(), "refit": pa.float64()}
