@@ -8,6 +8,10 @@ what each character may stand for; Viterbi decoding picks the likeliest restored
 channel's costs and the character model. The restored text is then scored: a logistic regression over
 the weights of its distinct marked words.
 
+Every labelled row that is not held out is learned from: words, prefixes, endings and trigrams are counted, and the
+regression's Newton steps summed, by Spark. The driver gets marked words, clean words that those would mark, endings,
+trigrams and one small matrix a partition and step.
+
 Every token that is not itself marked, every run of single characters and every join of neighbouring
 pieces is such a lattice, whatever its length. A lattice is decoded only if one of its paths holds a
 marked word or prefix, which a walk over their beginnings decides; no other decoding could be marked.
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, materialize
-from .quality_rules import held_out, labelled_sample
+from .quality_rules import held_out
 
-FIT_ROWS = 20_000  #: most labelled rows that words, characters and weights are fitted on
+COUNT_KEYS, COUNT_BYTES = 300_000, 64 << 20  #: features, and bytes of text, that a task counts before it hands its counts on
 PREFIXES = (4, 5, 6)
 PREFIX_WORDS, PREFIX_ROWS = 3, 2  #: words that a prefix needs, and toxic rows that hold each of them
 ENDING, ENDING_STEMS = 3, 20  #: letters of an ending at most, and words that must take it
@@ -72,6 +76,16 @@ class Characters:
                 self.two[s[i : i + 2]] += n
         self.add, self.size = add, len(letters)
 
+    @classmethod
+    def of_trigrams(cls, three: dict[str, float], words: dict[str, float]) -> Characters:
+        """The model of ``words`` and of words whose trigrams have the weights ``three``."""
+        model = cls(words)
+        for g, n in three.items():
+            model.three[g] += n
+            model.two[g[:2]] += n
+        model.size = len({g[2] for g in model.three} | {"^"})
+        return model
+
     def cost(self, a: str, b: str, c: str) -> float:
         return -math.log((self.three.get(a + b + c, 0.0) + self.add) / (self.two.get(a + b, 0.0) + self.add * self.size))
 
@@ -251,36 +265,86 @@ class Scorer:
 
 
 def _word_counts(batches):
-    """(feature, toxic, clean): documents of each kind that hold a word or prefix; and words for the character model."""
-    toxic, clean = Counter(), Counter()
+    """(feature, toxic, clean): documents of each kind that hold a word or prefix."""
+    toxic, clean, memo, held = Counter(), Counter(), {}, 0
     for batch in batches:
         for text, y in zip(column(batch, "text"), column(batch, "y").to_pylist(), strict=True):
-            words = {b for t in set((text.as_py() or "").lower().split()) if (b := _bare(t)) and b.isalpha()}
-            (toxic if y else clean).update({f for w in words for f in _features(w)})
-        if len(toxic) + len(clean) > 1_000_000:
-            yield _out(toxic, clean)
-            toxic, clean = Counter(), Counter()
+            text = (text.as_py() or "").lower()
+            held += len(text)
+            found = set()
+            for t in set(text.split()):
+                got = memo.get(t)
+                if got is None:
+                    word = _bare(t)
+                    got = memo[t] = _features(word) if word.isalpha() else ()
+                found.update(got)
+            (toxic if y else clean).update(found)
+            if len(toxic) + len(clean) + len(memo) > COUNT_KEYS or held > COUNT_BYTES:
+                yield _out(toxic, clean)
+                toxic, clean, memo, held = Counter(), Counter(), {}, 0
     yield _out(toxic, clean)
 
 
+def _trigrams(batches):
+    """(trigram, weight) of words, each with the logarithm of how many rows hold it."""
+    for batch in batches:
+        three: Counter = Counter()
+        for w, n in zip(column(batch, "feature").to_pylist(), column(batch, "n").to_pylist(), strict=True):
+            s, weight = f"^^{w}^", math.log1p(n)
+            for i in range(len(s) - 2):
+                three[s[i : i + 3]] += weight
+        yield pa.RecordBatch.from_arrays([pa.array(list(three), pa.string()), pa.array(list(three.values()), pa.float64())], names=["trigram", "weight"])
+
+
 def _out(toxic: Counter, clean: Counter):
     names = list(toxic.keys() | clean.keys())
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[w] for w in names], pa.int64()), pa.array([clean[w] for w in names], pa.int64())], names=["feature", "toxic", "clean"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Intercept and weights by Newton steps."""
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, Hessian) of the logistic loss of these rows, its intercept first."""
     z = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(z.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return z.T @ (p - y), (z * (p * (1 - p))[:, None]).T @ z
+
+
+def _newton(sums, size: int, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and weights by Newton steps; ``sums`` gives the gradient and Hessian of all rows at given weights."""
+    w = np.zeros(size)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian + ridge * np.eye(size), gradient + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _newton(lambda w: _sums(x, y, w), x.shape[1] + 1)
+
+
+def fit(known: DataFrame) -> np.ndarray:
+    """Intercept and weights of the rows (y, FEATURES); each step is one pass that sums a small matrix in each partition."""
+    size = len(FEATURES) + 1
+
+    def sums(w):
+        def run(batches):
+            total = np.zeros((size, size + 1))
+            for batch in batches:
+                x = np.column_stack([column(batch, f).to_numpy() for f in FEATURES])
+                gradient, hessian = _sums(x, column(batch, "y").to_numpy().astype(float), w)
+                total[:, 0] += gradient
+                total[:, 1:] += hessian
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        total = sum(np.array(r["sums"]) for r in known.mapInArrow(run, "sums array<double>").collect())  # one row a partition
+        total = total.reshape(size, size + 1)
+        return total[:, 0], total[:, 1:]
+
+    return _newton(sums, size)
+
+
 def learn(texts: DataFrame) -> tuple[dict[str, float], Characters]:
     """(weights of marking features, character model) from rows (text, y)."""
     counts = materialize(texts.select("text", "y").mapInArrow(_word_counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
@@ -293,45 +357,51 @@ def learn(texts: DataFrame) -> tuple[dict[str, float], Characters]:
     part = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
     g = 2 * (part(k, n * share) + part(n - k, n * (1 - share)) + part(t - k, t - n * share) + part(c - F.col("clean"), c - n * (1 - share)))
     odds = F.log((k + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (c + 1.0))
-    marked = counts.where((k >= 4) & (g > LEAST_G) & (odds > LEAST_ODDS)).select("feature", odds.alias("odds")).collect()
-    weights = {r["feature"]: r["odds"] for r in marked}
-    leaning = counts.where(~F.col("feature").endswith("*") & (k >= PREFIX_ROWS) & (odds > LEAST_ODDS)).select("feature").collect()  # of the labelled rows only
-    sharing = Counter(f"{r['feature'][:p]}*" for r in leaning for p in PREFIXES if len(r["feature"]) > p)
-    weights = {f: w for f, w in weights.items() if not f.endswith("*") or sharing[f] >= PREFIX_WORDS}
-    words = counts.where(~F.col("feature").endswith("*") & (n >= 3)).select("feature", n.alias("n")).collect()  # of the labelled rows only
-    chars = {r["feature"]: math.log1p(r["n"]) for r in sorted(words)}
-    for w in weights:
-        if not w.endswith("*"):
-            chars[w] = chars.get(w, 0.0) + 50.0
-    return _widened(weights, counts.where(odds <= LEAST_ODDS), endings(chars)), Characters(chars)
-
-
-def endings(words) -> list[str]:
-    """Endings of up to ENDING letters that at least ENDING_STEMS of the words take."""
-    takes = Counter(w[-k:] for w in words for k in range(1, ENDING + 1) if len(w) - k >= PREFIXES[0] and w[:-k] in words)
-    return sorted(e for e, n in takes.items() if n >= ENDING_STEMS)
+    whole = ~F.col("feature").endswith("*")
+    words = counts.where(whole & (n >= 3)).select("feature", n.alias("n"))
+    leaning = counts.where(whole & (k >= PREFIX_ROWS) & (odds > LEAST_ODDS)).select("feature")
+    sharing = leaning.select(F.explode(F.array(*(F.when(F.length("feature") > p, F.concat(F.substring("feature", 1, p), F.lit("*"))) for p in PREFIXES))).alias("feature"))
+    sharing = sharing.groupBy("feature").agg(F.count("*").alias("words")).where(F.col("words") >= PREFIX_WORDS)
+    marked = counts.where((k >= 4) & (g > LEAST_G) & (odds > LEAST_ODDS)).select("feature", odds.alias("odds")).join(sharing, "feature", "left")
+    weights = {r["feature"]: r["odds"] for r in marked.where(whole | F.col("words").isNotNull()).collect()}  # what marks a text
+    three = words.mapInArrow(_trigrams, "trigram string, weight double").groupBy("trigram").agg(F.sum("weight").alias("weight")).collect()  # as many as letters make
+    chars = Characters.of_trigrams({r["trigram"]: r["weight"] for r in three}, {w: 50.0 for w in weights if not w.endswith("*")})
+    return _widened(weights, counts.where(odds <= LEAST_ODDS), endings(words)), chars
+
+
+def endings(words: DataFrame) -> list[str]:
+    """Endings of up to ENDING letters that at least ENDING_STEMS of the words (feature) take."""
+    word, size = F.col("feature"), F.length("feature")
+    cut = F.explode(F.array(*(F.when(size - k >= PREFIXES[0], F.struct(F.substring(word, F.lit(1), size - k).alias("feature"), F.right(word, F.lit(k)).alias("ending"))) for k in range(1, ENDING + 1))))
+    takes = words.select(cut.alias("x")).where("x is not null").select("x.*").join(words.select("feature"), "feature")
+    return sorted(r["ending"] for r in takes.groupBy("ending").agg(F.count("*").alias("n")).where(F.col("n") >= ENDING_STEMS).collect())  # at most three letters each
 
 
 def _widened(weights: dict[str, float], common: DataFrame, tails: list[str]) -> dict[str, float]:
     """``weights`` with the marked words' endings, and with weight 0 for words of ``common`` that a prefix or ending would mark."""
-    least = PREFIXES[0]
-    out = {w + e: x for w, x in weights.items() if not w.endswith("*") and len(w) >= least for e in tails} | weights
-    heads = sorted({f[:least] for f in weights if len(f) > least})
-    word = F.col("feature")
-    clean = common.where((F.col("clean") > 0) & ~word.endswith("*") & F.substring(word, 1, least).isin(heads)).select("feature").collect() if heads else []  # of the labelled rows only
-    return out | {r["feature"]: 0.0 for r in clean if r["feature"] not in weights and any(f in out for f in _features(r["feature"]))}
+    out = {w + e: x for w, x in weights.items() if not w.endswith("*") and len(w) >= PREFIXES[0] for e in tails} | weights
+    sent = common.sparkSession.sparkContext.broadcast(out)
+
+    def would_mark(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(f in sent.value for f in _features(w)) for w in column(batch, "feature").to_pylist()], pa.bool_()))
+
+    clean = common.where((F.col("clean") > 0) & ~F.col("feature").endswith("*")).select("feature").mapInArrow(would_mark, "feature string").collect()
+    return out | {r["feature"]: 0.0 for r in clean if r["feature"] not in weights}
 
 
 FEATURES = ["weight", "marked", "uses", "share", "restored"]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, remainder: int = 1, cut: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, remainder: int = 1, cut: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, marked, restored) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = held_out("doc_id", modulus, remainder)
-    sample = materialize(labelled_sample(rows.select("doc_id"), labels, label_col, out, fit_rows).dropDuplicates(["doc_id"]), "sample")
-    texts = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most ``fit_rows`` ids, one row of each
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).alias("y"))
+    known = materialize(known.where(~out), "known")
+    # one row of each id, combined before it meets its label
+    texts = rows.where(~out & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).join(known, "doc_id")
     weights, chars = learn(materialize(texts, "labelled"))
     sent = spark.sparkContext.broadcast((weights, chars))
 
@@ -342,15 +412,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c) for c in x.T)], names=["doc_id", *FEATURES])
 
     found = materialize(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "marked")
-    known = found.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*FEATURES)).alias("x")).select("y", "x.*").toPandas()  # one row of each id
-    y = known["y"].to_numpy(float)
-    if len(y) and 0 < y.mean() < 1:
-        w = _logistic(known[FEATURES].to_numpy(float), y)
+    each = found.where(~out & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("x"))
+    each = materialize(each.join(known, "doc_id").select("y", "x.*"), "fit")
+    n, toxic = each.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if 0 < toxic < n:
+        w = fit(each)
         linear = F.lit(float(w[0]))
         for f, v in zip(FEATURES, w[1:], strict=True):
             linear = linear + F.col(f) * float(v)
         score = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
     else:
-        score = F.lit(float(y.mean()) if len(y) else 0.0)
+        score = F.lit(toxic / n if n else 0.0)
     scored = found.select("doc_id", out.alias("held_out"), score.alias("score"), F.col("marked").cast("long").alias("marked"), F.col("restored").cast("long").alias("restored"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "marked", "restored")

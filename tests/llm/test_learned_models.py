@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cragline.llm import lattice_lm, queries
+from cragline.llm import lattice_lm, queries, toxicity
 
 from .test_operators import PIECES, tiny_lattice
 
@@ -46,3 +47,24 @@ def test_held_out_rows_score_near_the_base(spark):
     assert rows and all(r["score"] is not None and math.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
     score, base, alone = (sum(r[c] for r in rows) / tokens for c in ("score", "base_score", "vocabulary_score"))
     assert score > base - 1.0 and score > alone + 2.0, (score, base, alone)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids = spark.range(33_000).withColumn("doc_id", F.col("id"))
+    late = ids.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).orderBy(F.xxhash64("doc_id").desc()).limit(12)  # past any sample of 20,000 by hash
+    rare = [r["doc_id"] for r in late.collect()]
+    bad = F.when(F.col("doc_id").isin(rare), "zorgle").when(F.col("doc_id") % 10 == 0, "vilest").otherwise("river")
+    df = ids.select("doc_id", F.concat_ws(" ", F.lit("the stone walks"), bad).alias("text"))
+    labels = ids.select("doc_id", (F.col("doc_id").isin(rare) | (F.col("doc_id") % 10 == 0)).cast("int").alias("toxic"))
+    new = spark.createDataFrame([(90_001, "a zorgle here"), (90_002, "a river here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df.unionByName(new), labels).where("doc_id > 90000").collect()}
+    assert got[90_001]["predicted"] == 1 and got[90_001]["marked"] == 1 and got[90_002]["predicted"] == 0
+
+
+def test_newton_steps_over_partitions_equal_those_in_memory(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 5))
+    y = (x @ np.arange(5) + rng.normal(size=400) > 5).astype(int)
+    rows = [(int(v), *map(float, r)) for v, r in zip(y, x, strict=True)]
+    df = spark.createDataFrame(rows, ["y", *toxicity.FEATURES]).repartition(7)
+    assert np.allclose(toxicity.fit(df), toxicity._logistic(x, y.astype(float)), atol=1e-9)
