@@ -142,6 +142,49 @@ def _features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
+class Lexicon(dict):
+    """Weights of marked words and prefixes. A marked word with one of ``tails`` is in it too, unless it has a weight of its own."""
+
+    def __init__(self, weights: dict[str, float], tails: list[str] = ()):
+        super().__init__(weights)
+        self.tails = frozenset(tails)
+        self.words = {w for w, x in weights.items() if x}
+        self.tail_heads = frozenset(e[:n] for e in tails for n in range(1, len(e) + 1))
+
+    def ending(self, word: str) -> float | None:
+        """The weight of the longest marked word that makes ``word`` with one of ``tails``."""
+        own = super().get
+        for k in range(1, min(ENDING, len(word) - PREFIXES[0]) + 1):
+            if word[-k:] in self.tails and (weight := own(word[:-k])):
+                return weight
+        return None
+
+    def begins(self, text: str) -> bool:
+        """Whether ``text`` is a marked word and the beginning of an ending."""
+        for k in range(1, min(ENDING, len(text) - PREFIXES[0]) + 1):
+            if text[:-k] in self.words and text[-k:] in self.tail_heads:
+                return True
+        return False
+
+    def __missing__(self, word: str) -> float:
+        weight = self.ending(word)
+        if weight is None:
+            raise KeyError(word)
+        return weight
+
+    def __contains__(self, word) -> bool:
+        return super().__contains__(word) or self.ending(word) is not None
+
+    def get(self, word, default=None):
+        weight = super().get(word)
+        if weight is None:
+            weight = self.ending(word)
+        return default if weight is None else weight
+
+    def __reduce__(self):
+        return Lexicon, (dict(self), sorted(self.tails))
+
+
 class Scorer:
     """Marked words of texts, with a memo of distinct tokens that is emptied when it grows large.
 
@@ -149,39 +192,47 @@ class Scorer:
     """
 
     def __init__(self, weights: dict[str, float], model: Characters, memo: int = MEMO_BYTES):
-        self.weights, self.model, self.memo = weights, model, memo
+        self.weights, self.model, self.memo = weights if isinstance(weights, Lexicon) else Lexicon(weights), model, memo
         self.known: dict[str, tuple] = {}
         self.held = 0  # bytes of the memo, by the keys' lengths and a fixed share for each entry
         self.open: dict[str, frozenset] = {}  # tokens that may end within a marked word, with its beginnings so far
+        self.plain = dict(self.weights)
         self.stems = {f.removesuffix("*") for f, w in weights.items() if w}
         self.heads = {f[:n] for f in self.stems for n in range(1, len(f) + 1)}
 
     def _word(self, word: str) -> tuple[float, str] | None:
-        if self.weights.get(word) == 0:
+        weight = self.weights.get(word)
+        if weight == 0:
             return None
-        best = max(((self.weights[f], f) for f in _features(word) if f in self.weights), default=None)
-        return best and (best[0], word)
+        plain = self.plain
+        best = max((plain[f] for f in _features(word)[1:] if f in plain), default=weight)
+        return best and (best if weight is None else max(best, weight), word)
 
     def _walk(self, text: str, states: frozenset | set, split: bool = True) -> tuple[set, bool]:
         """(beginnings of marked words that paths of the lattice end in, whether a path holds a whole one).
 
         ``split``: words may also begin within the text, after a separator or sign.
         """
-        heads, stems, found, last = self.heads, self.stems, False, ""
+        heads, stems, least, found, last = self.heads, self.stems, PREFIXES[0], False, ""
+        begins, weights = self.weights.begins, self.weights
         plain = text.isalpha()
         for c in text:
             if c in SEPARATORS:
                 new = {*states, ""} if split else set(states)
             elif c in LEET:
-                new = {s + x for s in states for x in LEET[c] if s + x in heads}
+                new = {t for s in states for x in LEET[c] if (t := s + x) in heads or (len(t) > least and begins(t))}
                 if split and not c.isdigit():
                     new.add("")
             else:
-                new = {s + c for s in states if s + c in heads}
+                new = {t for s in states if (t := s + c) in heads or (len(t) > least and begins(t))}
             if c == last:
                 new |= states
             last, states = c, new
-            found = found or not stems.isdisjoint(new)
+            if not found:
+                found = not stems.isdisjoint(new)
+                for t in new:
+                    if len(t) > least and weights.get(t):
+                        found = True
             if not new and (plain or not split):
                 break
         return states - {""}, found
@@ -378,8 +429,8 @@ def endings(words: DataFrame) -> list[str]:
 
 
 def _widened(weights: dict[str, float], common: DataFrame, tails: list[str]) -> dict[str, float]:
-    """``weights`` with the marked words' endings, and with weight 0 for words of ``common`` that a prefix or ending would mark."""
-    out = {w + e: x for w, x in weights.items() if not w.endswith("*") and len(w) >= PREFIXES[0] for e in tails} | weights
+    """``weights``, which also hold for the marked words' endings, and with weight 0 for words of ``common`` that a prefix or ending would mark."""
+    out = Lexicon(weights, tails)
     sent = common.sparkSession.sparkContext.broadcast(out)
 
     def would_mark(batches):
@@ -387,7 +438,7 @@ def _widened(weights: dict[str, float], common: DataFrame, tails: list[str]) ->
             yield batch.filter(pa.array([any(f in sent.value for f in _features(w)) for w in column(batch, "feature").to_pylist()], pa.bool_()))
 
     clean = common.where((F.col("clean") > 0) & ~F.col("feature").endswith("*")).select("feature").mapInArrow(would_mark, "feature string").collect()
-    return out | {r["feature"]: 0.0 for r in clean if r["feature"] not in weights}
+    return Lexicon({r["feature"]: 0.0 for r in clean} | weights, tails)
 
 
 FEATURES = ["weight", "marked", "uses", "share", "restored"]

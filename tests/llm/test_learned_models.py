@@ -1,6 +1,7 @@
 """Models that are learned from every training row: piece weights of the language model, lexicon and weights of toxicity."""
 
 import math
+import pickle
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -68,3 +69,14 @@ def test_newton_steps_over_partitions_equal_those_in_memory(spark):
     rows = [(int(v), *map(float, r)) for v, r in zip(y, x, strict=True)]
     df = spark.createDataFrame(rows, ["y", *toxicity.FEATURES]).repartition(7)
     assert np.allclose(toxicity.fit(df), toxicity._logistic(x, y.astype(float)), atol=1e-9)
+
+
+def test_endings_are_looked_up_and_not_listed():
+    own, tails = {"stupid": 5.0, "moron": 4.0, "gromf*": 3.0, "stupider": 0.0}, ["e", "er", "ing", "s"]
+    short = toxicity.Lexicon(own, tails)
+    listed = {w + e: own[w] for w in ("stupid", "moron") for e in tails} | own
+    model = toxicity.Characters({w: 40.0 for w in ("stupid", "moron", "the", "house", "stone")})
+    one, other = toxicity.Scorer(short, model), toxicity.Scorer(listed, model)
+    for text in ("a stupiding house", "stupider", "stup1ding stone", "stupidi ng", "m o r o n s", "moroner the", "moronest", "gromfel", "stupid ing", "mor0n.e"):
+        assert one.features(text) == other.features(text), text
+    assert len(short) == len(own) and "morons" in short and "moronx" not in short and pickle.loads(pickle.dumps(short)).get("morons") == 4.0
