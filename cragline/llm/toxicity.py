@@ -14,7 +14,8 @@ trigrams and one small matrix a partition and step.
 
 Every token that is not itself marked, every run of single characters and every join of neighbouring
 pieces is such a lattice, whatever its length. A lattice is decoded only if one of its paths holds a
-marked word or prefix, which a walk over their beginnings decides; no other decoding could be marked.
+marked word or prefix, which a walk over their beginnings decides; no other decoding could be marked. Steps of walks are
+kept, so the texts of a task share those of their common beginnings.
 
 Whole texts are scored. Defined results: null and empty texts have no marked words and get the model's
 base score; labels that are null or neither 0 nor 1 are not learned from, of repeated labels the
@@ -41,7 +42,8 @@ COUNT_KEYS, COUNT_BYTES = 300_000, 64 << 20  #: features, and bytes of text, tha
 PREFIXES = (4, 5, 6)
 PREFIX_WORDS, PREFIX_ROWS = 3, 2  #: words that a prefix needs, and toxic rows that hold each of them
 ENDING, ENDING_STEMS = 3, 20  #: letters of an ending at most, and words that must take it
-MEMO_BYTES = 64 << 20  #: what a task remembers of tokens
+JOIN_HEAD = 2  #: characters by which most pieces are known not to go on a word
+MEMO_BYTES = 64 << 20  #: what a task remembers of tokens, and as much of places
 LEAST_G = 30.0  #: likelihood-ratio statistic from which on a word marks a text
 LEAST_ODDS = 2.0
 #: Characters that commonly stand for letters.
@@ -57,8 +59,12 @@ _SIGNS = "".join(re.escape(c) for c in LEET if not c.isalnum())
 _GAPS = "".join(re.escape(c) for c in sorted(SEPARATORS - {" "}))
 #: three or more single characters, each of a letter or what LEET reads as one, with whitespace and separators between
 _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_][{_GAPS}])(?:[^\W_]|[{_SIGNS}])(?:[\s{_GAPS}]+(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])")
+#: what is in each of these, and quicker to look for: a single character after a separator, and another one
+_APART = re.compile(rf"[\s{_GAPS}](?:[^\W_]|[{_SIGNS}])[\s{_GAPS}]+(?:[^\W_]|[{_SIGNS}])(?![^\W_])")
 _SPACE = re.compile(r"\s")
 _REPEAT = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+_SEPARATED, _OPENING = "".join(sorted(SEPARATORS)), _EDGE + "[{"
 
 
 class Characters:
@@ -185,57 +191,94 @@ class Lexicon(dict):
         return Lexicon, (dict(self), sorted(self.tails))
 
 
+class Place(dict):
+    """Where paths of a lattice stand after a text: ``states``, the beginnings of marked words that they end in, ``last``, its
+    last character, and ``whole``, whether one of them is a whole marked word. As a mapping it gives the place that
+    each character leads to, made when first met, so texts with the same beginnings are walked by lookups."""
+
+    __slots__ = ("scorer", "states", "last", "split", "whole", "onward", "closed")
+
+    def __init__(self, scorer: Scorer, states: frozenset, last: str, split: bool):
+        self.scorer, self.states, self.last, self.split, self.onward = scorer, states, last, split, None
+        self.closed: set[str] | None = None if split or last else set()  # beginnings of next pieces that lead nowhere
+        self.whole = not scorer.stems.isdisjoint(states) or any(len(t) > PREFIXES[0] and scorer.weights.get(t) for t in states)
+
+    def __missing__(self, c: str) -> Place:
+        states, split, heads, least, begins = self.states, self.split, self.scorer.heads, PREFIXES[0], self.scorer.weights.begins
+        if c in SEPARATORS:
+            new = {*states, ""} if split else set(states)
+        elif c in LEET:
+            new = {t for s in states for x in LEET[c] if (t := s + x) in heads or (len(t) > least and begins(t))}
+            if split and not c.isdigit():
+                new.add("")
+        else:
+            new = {t for s in states if (t := s + c) in heads or (len(t) > least and begins(t))}
+        if c == self.last:
+            new |= states
+        self.scorer.walked += 150
+        to = self[c] = self.scorer.place(frozenset(new), c, split)
+        return to
+
+
 class Scorer:
-    """Marked words of texts, with a memo of distinct tokens that is emptied when it grows large.
+    """Marked words of texts, with memos of distinct tokens and of places that are emptied when they grow large.
 
     A word of weight 0 is clean, whatever its prefixes weigh.
     """
 
     def __init__(self, weights: dict[str, float], model: Characters, memo: int = MEMO_BYTES):
         self.weights, self.model, self.memo = weights if isinstance(weights, Lexicon) else Lexicon(weights), model, memo
-        self.known: dict[str, tuple] = {}
-        self.held = 0  # bytes of the memo, by the keys' lengths and a fixed share for each entry
-        self.open: dict[str, frozenset] = {}  # tokens that may end within a marked word, with its beginnings so far
         self.plain = dict(self.weights)
         self.stems = {f.removesuffix("*") for f, w in weights.items() if w}
         self.heads = {f[:n] for f in self.stems for n in range(1, len(f) + 1)}
+        self._forget_tokens()
+        self._forget_places()
+
+    def _forget_tokens(self):
+        self.known: dict[str, tuple] = {}
+        self.open: dict[str, Place] = {}  # tokens that may end within a marked word, with the place that its next piece starts from
+        self.held = 0  # bytes of the memo, by the keys' lengths and a fixed share for each entry
+
+    def _forget_places(self):
+        self.places: dict[tuple, Place] = {}
+        self.walked = 0  # bytes of the places, by fixed shares
+        self.start = self.place(frozenset([""]), "", True)
+
+    def place(self, states: frozenset, last: str, split: bool) -> Place:
+        key = states, last if states else "", split
+        got = self.places.get(key)
+        if got is None:
+            self.walked += 500 + 60 * len(states) + sum(map(len, states))
+            got = self.places[key] = Place(self, *key)
+        return got
 
     def _word(self, word: str) -> tuple[float, str] | None:
+        plain = self.plain
         weight = self.weights.get(word)
         if weight == 0:
             return None
-        plain = self.plain
         best = max((plain[f] for f in _features(word)[1:] if f in plain), default=weight)
         return best and (best if weight is None else max(best, weight), word)
 
-    def _walk(self, text: str, states: frozenset | set, split: bool = True) -> tuple[set, bool]:
-        """(beginnings of marked words that paths of the lattice end in, whether a path holds a whole one).
+    def _walk(self, text: str, place: Place) -> tuple[Place, bool]:
+        """(where the paths of the lattice end, whether one of them holds a whole marked word).
 
-        ``split``: words may also begin within the text, after a separator or sign.
+        From a place that is ``split``, words may also begin within the text, after a separator or sign.
         """
-        heads, stems, least, found, last = self.heads, self.stems, PREFIXES[0], False, ""
-        begins, weights = self.weights.begins, self.weights
-        plain = text.isalpha()
+        found, ends = False, not place.split or text.isalpha()
         for c in text:
-            if c in SEPARATORS:
-                new = {*states, ""} if split else set(states)
-            elif c in LEET:
-                new = {t for s in states for x in LEET[c] if (t := s + x) in heads or (len(t) > least and begins(t))}
-                if split and not c.isdigit():
-                    new.add("")
-            else:
-                new = {t for s in states if (t := s + c) in heads or (len(t) > least and begins(t))}
-            if c == last:
-                new |= states
-            last, states = c, new
-            if not found:
-                found = not stems.isdisjoint(new)
-                for t in new:
-                    if len(t) > least and weights.get(t):
-                        found = True
-            if not new and (plain or not split):
+            place = place[c]
+            if place.whole:
+                found = True
+            elif ends and not place.states:
                 break
-        return states - {""}, found
+        return place, found
+
+    def _onward(self, place: Place) -> Place | None:
+        """The place that the next piece of a join starts from, if any beginning is left."""
+        if place.onward is None and (states := place.states - {""}):
+            place.onward = self.place(states, "", False)
+        return place.onward
 
     def _restored(self, text: str) -> tuple:
         """((weight, word, 1), ...) of the marked words that decoding an odd token or a join restores."""
@@ -250,23 +293,30 @@ class Scorer:
 
     def _token(self, token: str) -> tuple:
         """((weight, word, restored), ...) that a token holds; the plain reading wins if it is marked."""
-        word = _bare(token)
-        got = self._word(word) if word else None
-        ends, reached = self._walk(token.lstrip(_EDGE + "[{"), {""})
-        if ends:
-            self.open[token] = frozenset(ends)
+        text = token.lstrip(_OPENING).rstrip(_SEPARATED)  # separators at the end lead nowhere else
+        end, reached = self._walk(text, self.start)
+        if end.states and (onward := self._onward(end)) is not None:
+            self.open[token] = onward
+        if not reached and not text.startswith(("(", "<")):  # the plain reading is a path too, as what marks is of letters
+            return ()
+        got = (word := _bare(token)) and self._word(word)
         if got:
             return ((*got, 0),)
-        return self._restored(token) if reached else ()
+        return self._restored(token) if reached and (not token.isalpha() or _DOUBLE.search(token)) else ()  # other tokens have one reading
 
     def _joins(self, words: list[str]):
         """Marked words of neighbouring tokens that only their join holds; runs of single characters are not looked at."""
-        start = self.open
-        for i in [k for k, t in enumerate(words) if t in start]:
-            states, long = start[words[i]], len(_bare(words[i])) > 1
+        starts = zip(map(self.open.get, words), words[1:])
+        for i in [k for k, (place, piece) in enumerate(starts) if place is not None and piece[:JOIN_HEAD] not in place.closed]:
+            place, long = self.open[words[i]], False
             for j in range(i + 1, len(words)):
-                states, reached = self._walk(words[j], states, False)
-                long = long or len(_bare(words[j])) > 1
+                end, reached = self._walk(words[j], place)
+                if not reached and not end.states:
+                    if self._walk(head := words[j][:JOIN_HEAD], place)[0] is end:
+                        place.closed.add(head)
+                        self.walked += 100
+                    break
+                long = long or len(_bare(words[j])) > 1 or (j == i + 1 and len(_bare(words[i])) > 1)
                 if reached and long:
                     text = " ".join(words[i : j + 1])
                     got = self.known.get(text)
@@ -277,16 +327,18 @@ class Scorer:
                     if got:
                         yield from got
                         break
-                if not states:
+                place = self._onward(end)
+                if place is None:
                     break
 
     def features(self, text: str) -> tuple[float, float, float, float, float]:
         """(capped weight, distinct marked words, their uses, their share of distinct words, restored ones)."""
         text = text.lower()
         if self.held > self.memo:
-            self.known.clear()
-            self.open.clear()
-            self.held = 0
+            self._forget_tokens()
+        if self.walked > self.memo:
+            self._forget_tokens()  # which hold places
+            self._forget_places()
         known = self.known
         words = text.split()
         tokens = Counter(words)
@@ -300,9 +352,9 @@ class Scorer:
             for weight, word, restored in got:
                 hits[word] = (weight, restored)
                 uses += n
-        for m in _SPACED.finditer(text):
+        for m in _SPACED.finditer(text) if _APART.search(text) else ():
             run = _SPACE.sub(" ", m[0])
-            if not self._walk(run, {""})[1]:
+            if not self._walk(run, self.start)[1]:
                 continue
             for w in decode(run, self.model).split():
                 if len(w) > 2 and (got := self._word(w)):

@@ -2,6 +2,7 @@
 
 import math
 import pickle
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +81,50 @@ def test_endings_are_looked_up_and_not_listed():
     for text in ("a stupiding house", "stupider", "stup1ding stone", "stupidi ng", "m o r o n s", "moroner the", "moronest", "gromfel", "stupid ing", "mor0n.e"):
         assert one.features(text) == other.features(text), text
     assert len(short) == len(own) and "morons" in short and "moronx" not in short and pickle.loads(pickle.dumps(short)).get("morons") == 4.0
+
+
+def beginnings(text, states, split, scorer):
+    """(beginnings of marked words that paths of the text's lattice end in, whether one holds a whole one), by sets of all paths."""
+    found, last = False, ""
+    goes_on = lambda t: t in scorer.heads or (len(t) > 4 and scorer.weights.begins(t))
+    for c in text:
+        if c in toxicity.SEPARATORS:
+            new = states | ({""} if split else set())
+        else:
+            new = {s + x for s in states for x in toxicity.LEET.get(c, c) if goes_on(s + x)}
+            new |= {""} if split and c in toxicity.LEET and not c.isdigit() else set()
+        new |= states if c == last else set()
+        states, last = new, c
+        found = found or any(t in scorer.stems or (len(t) > 4 and scorer.weights.get(t)) for t in states)
+    return states, found
+
+
+def test_places_hold_what_all_paths_end_in():
+    rng = random.Random(5)
+    model = toxicity.Characters({w: 40.0 for w in ("stupid", "moron", "idiot", "the")})
+    scorer = toxicity.Scorer(toxicity.Lexicon({"stupid": 5.0, "moron": 4.0, "idiot": 3.0, "lose*": 3.0, "the": 0.0}, ["s", "er", "ing"]), model)
+    for _ in range(3000):
+        text = "".join(rng.choice(["stu", "pid", "mor", "on", "1d1", "ot", "l0s", "e", "er", "ing", "s", "o", ".", " ", "-", "(", ":", "0", "1", "$"]) for _ in range(rng.randrange(1, 9)))
+        for states, split in (({""}, True), ({"stu"}, False), ({"m", "moron"}, False)):
+            place, found = scorer._walk(text, scorer.place(frozenset(states), "", split))
+            assert (set(place.states), found) == beginnings(text, states, split, scorer), (text, states)
+    forgets = toxicity.Scorer(scorer.weights, model, memo=0)
+    for text in ("a (:stupid one", "<.moron", "stu pid m or 0ns", "s t u p i d e r", "a b stupid", "mo - ron. mo ron", "1diot,", "the lo ser", "l o s e"):
+        assert forgets.features(text) == scorer.features(text), text
+    assert scorer.features("a (:stupid one")[1] == 1 and scorer.features("stu pid m or 0ns")[1] == 2
+
+
+def test_texts_with_the_same_beginnings_are_walked_by_lookups():
+    class Counted(set):
+        asked = 0
+
+        def __contains__(self, x):
+            Counted.asked += 1
+            return super().__contains__(x)
+
+    model = toxicity.Characters({w: 40.0 for w in ("stupid", "the")})
+    scorer = toxicity.Scorer({"stupid": 5.0, "thorn*": 3.0}, model)
+    scorer.heads = Counted(scorer.heads)
+    for k in range(300):  # "the", "th" and "stu" may go on, so each piece after them is looked at
+        assert scorer.features(f"th {k % 7}stone stu walks{k} the st light")[1] == 0
+    assert Counted.asked < 400, Counted.asked
