@@ -34,3 +34,22 @@ def test_distance_over_batches_that_cut_rows():
     for size in (1, 7, 40, 55, 400):
         got = pa.Table.from_batches(grid._envelopes(table.to_batches(max_chunksize=size)))
         assert got["c"].to_pylist() == table["c"].to_pylist() and np.allclose(got["d"].to_numpy().reshape(shape), want)
+
+
+def test_gap_fill_reads_no_line_anew_and_joins_nothing_back(spark):
+    found = plan(registry.queries()["win_gap_fill"](spark, SF))
+    assert "unboundedfollowing" not in found and found.count("sortmergejoin") <= 1  # the lattice's own
+
+
+def test_report_reads_no_line_anew_for_each_cell(spark):
+    assert "unboundedfollowing" not in plan(registry.queries()["snk_report"](spark, SF))
+
+
+def test_tall_grid_is_bridged_in_linear_time(spark):
+    """A column of 60,000 cells: its frames to the end of the line would hold 1.8 thousand million."""
+    n = 60_000
+    valid = np.ones((n, 2), bool)
+    valid[1::2, 0] = False
+    z = np.arange(n, dtype=float)[:, None] * [1.0, 1.0]
+    out = grid.reconstruct(lattice(spark, valid, z), grid.Frame(0.0, 0.0, 1.0, 2, n), 1.5)
+    assert out.where("abs(z - r) > 1e-9 OR NOT analysis_valid").count() <= 1 and out.count() == 2 * n
