@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from cragline.operators import grid
+from cragline.plans import extract as E
 from cragline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,23 @@ def test_tall_grid_is_bridged_in_linear_time(spark):
     z = np.arange(n, dtype=float)[:, None] * [1.0, 1.0]
     out = grid.reconstruct(lattice(spark, valid, z), grid.Frame(0.0, 0.0, 1.0, 2, n), 1.5)
     assert out.where("abs(z - r) > 1e-9 OR NOT analysis_valid").count() <= 1 and out.count() == 2 * n
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["flow_extract", "flow_extract_memory", "flow_extract_face", "str_progress"])
+def test_whole_runs_read_a_written_cloud(spark, monkeypatch, name):
+    """Runs read their points many times over; the cloud is written once and not made anew from lineitem each time."""
+
+    def stop(points, *_, **options):
+        raise Seen(points.inputFiles(), options)
+
+    monkeypatch.setattr(E, "extract_points", stop)
+    monkeypatch.setattr(E, "face_at", stop)
+    with pytest.raises(Seen) as seen:
+        registry.queries()[name](spark, SF)
+    files, options = seen.value.args
+    assert files and all("/cloud-" in f for f in files)
+    assert name != "flow_extract_face" or options["limit"] is None  # every point of the face
