@@ -5,7 +5,9 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from cragline.operators import grid
+from pyspark.sql import functions as F
+
+from cragline.operators import graph, grid, halo, single_edge, terrain
 from cragline.plans import extract as E
 from cragline.plans import registry
 
@@ -76,3 +78,22 @@ def test_whole_runs_read_a_written_cloud(spark, monkeypatch, name):
     files, options = seen.value.args
     assert files and all("/cloud-" in f for f in files)
     assert name != "flow_extract_face" or options["limit"] is None  # every point of the face
+
+
+def test_edge_surface_keeps_its_cell_at_any_size():
+    f = single_edge.surface_frame((0.0, 0.0), (29.75, 12_000.0), 0.25)
+    assert f.cell == 0.25 and not f.adjusted and f.nx * f.ny > 5_000_000
+    assert single_edge.surface_frame((0.0, 0.0), (29.75, 12_000.0), 0.25, 250_000).adjusted
+
+
+def test_edge_surface_of_tiles_equals_windows(spark):
+    rng = np.random.default_rng(6)
+    valid = rng.random((40, 33)) < 0.3
+    valid[12:36, 5:30] = False  # more than eight rounds fill
+    z = rng.random(valid.shape) * 5
+    f, g = grid.Frame(0.0, 0.0, 0.25, 33, 40), lattice(spark, valid, z)
+    smooth = terrain.smooth_masked(terrain.fill_sparse(g).withColumn("z", F.coalesce("z", F.lit(0.0))))
+    want = terrain.gradients(smooth, 0.25, {"0": "z"}).select("r", "c", "z", "valid", "gx_0", "gy_0", F.when(F.col("valid"), F.col("slope_0")).otherwise(0.0)).toPandas().sort_values(["r", "c"]).to_numpy(float)
+    got = halo.median_surface(g.where("valid"), f, tile=16).toPandas().sort_values(["r", "c"]).to_numpy(float)
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-9)
+
