@@ -97,3 +97,16 @@ def test_edge_surface_of_tiles_equals_windows(spark):
     got = halo.median_surface(g.where("valid"), f, tile=16).toPandas().sort_values(["r", "c"]).to_numpy(float)
     assert got.shape == want.shape and np.allclose(got, want, atol=1e-9)
 
+
+def test_points_move_in_windows_as_on_the_whole_surface(spark):
+    r, c = np.indices((60, 90))
+    z = np.clip(10 - (c * 0.25 - 10), 5, 10) + 0.01 * np.sin(r + 3 * c)
+    gx, gy = np.gradient(z, 0.25, axis=1), np.gradient(z, 0.25, axis=0)
+    field = {"z": z, "gx": gx, "gy": gy, "slope": np.degrees(np.arctan(np.hypot(gx, gy)))}
+    rows = spark.createDataFrame(pd.DataFrame({"r": r.ravel(), "c": c.ravel(), **{k: v.ravel() for k, v in field.items()}}))
+    f = grid.Frame(0.0, 0.0, 0.25, 90, 60)
+    line = np.column_stack([np.full(14, 10.6), np.arange(14) + 0.3, np.full(14, 7.0)])
+    want, moved, shift = single_edge.snap_points(line, single_edge._tangents(line, 2), field, f, True, 20.0, 35.0)
+    got, n, middle = single_edge.snap_to_transition(line, rows, f, True, 20.0, 35.0)
+    assert moved.sum() == n >= 8 and np.allclose(got, want) and middle == np.median(np.abs(shift[moved]))
+
