@@ -110,3 +110,22 @@ def test_points_move_in_windows_as_on_the_whole_surface(spark):
     got, n, middle = single_edge.snap_to_transition(line, rows, f, True, 20.0, 35.0)
     assert moved.sum() == n >= 8 and np.allclose(got, want) and middle == np.median(np.abs(shift[moved]))
 
+
+@pytest.mark.parametrize("tile", [7, 512])
+def test_chains_of_tiles_are_the_components_of_all_pairs(spark, tile):
+    rng = np.random.default_rng(2)
+    r, c = np.nonzero(rng.random((30, 26)) < 0.12)
+    near = (np.abs(r[:, None] - r) <= 2) & (np.abs(c[:, None] - c) <= 2) & (np.hypot(r[:, None] - r, c[:, None] - c) <= 2.35)
+    a, b = np.nonzero(near)
+    flat = r * 26 + c
+    want = dict(zip(zip(r.tolist(), c.tolist()), flat[graph.local_components(len(r), a, b)].tolist()))
+    cells = spark.createDataFrame(pd.DataFrame({"r": r.astype("int32"), "c": c.astype("int32")}))
+    got = graph.label_near(cells, grid.Frame(0, 0, 1, 26, 30), single_edge.REACH, tile)
+    assert {(x["r"], x["c"]): x["label"] for x in got.collect()} == want
+
+
+def test_chain_joins_no_pairs_of_cells(spark):
+    """One tile: cells meet in arrays, and no table of their pairs is made."""
+    cells = spark.createDataFrame([(i, i % 2) for i in range(20)], "r int, c int")
+    found = single_edge.nearest_chain(cells, grid.Frame(0.0, 0.0, 1.0, 2, 20), (0.0, 0.0))
+    assert found.count() == 20 and "join" not in plan(found)
