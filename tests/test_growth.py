@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cragline.operators import graph, grid, halo, single_edge, terrain
 from cragline.plans import extract as E
 from cragline.plans import registry
+from cragline.sources import las, points
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +130,30 @@ def test_chain_joins_no_pairs_of_cells(spark):
     cells = spark.createDataFrame([(i, i % 2) for i in range(20)], "r int, c int")
     found = single_edge.nearest_chain(cells, grid.Frame(0.0, 0.0, 1.0, 2, 20), (0.0, 0.0))
     assert found.count() == 20 and "join" not in plan(found)
+
+
+def las_cloud(spark, path, most):
+    """1,000 points in 4 tasks, written as files of at most ``most`` records."""
+    p = spark.range(1000, numPartitions=4).selectExpr("id AS pid", "id * 0.25 AS x", "id % 40 + 0.5D AS y", "sin(id) AS z", "int(id % 5) AS cls")
+    return p, las.write_las_parts(p.repartition(3, "z"), path, most=most)
+
+
+def test_las_cloud_is_written_by_tasks_and_read_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "a.las")
+    p, files = las_cloud(spark, path, 90)
+    assert files >= 12
+    got = las.read_las(spark, path, 130)
+    assert got.rdd.getNumPartitions() == 8  # ranges that files cut
+    both = got.alias("g").join(p.alias("p"), "pid")
+    assert both.where("abs(g.x - p.x) < 6e-4 AND g.y = p.y AND abs(g.z - p.z) < 6e-4 AND g.cls = p.cls").count() == got.count() == 1000
+    las.write_las_parts(p.where("false"), str(tmp_path / "none.las"))
+    assert las.read_las(spark, str(tmp_path / "none.las")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["src_las_chunks", "src_las_header", "src_las_memory", "src_las_pruned"])
+def test_las_queries_bring_no_points_to_the_driver(spark, monkeypatch, name):
+    def refused(self):
+        raise AssertionError("points at the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", refused)
+    assert registry.queries()[name](spark, SF).count() > 0
