@@ -150,6 +150,14 @@ def test_las_cloud_is_written_by_tasks_and_read_in_ranges(spark, tmp_path):
     assert las.read_las(spark, str(tmp_path / "none.las")).count() == 0
 
 
+def test_header_of_a_las_cloud_counts_all_its_files(spark, tmp_path):
+    path = str(tmp_path / "a.las")
+    las_cloud(spark, path, 90)
+    h = las.read_header(path)
+    assert h.point_count == 1000 and h.mins[:2] == (0.0, 0.5) and h.maxs[:2] == (249.75, 39.5)
+    assert points.inspect(spark, path).n == 1000
+
+
 @pytest.mark.parametrize("name", ["src_las_chunks", "src_las_header", "src_las_memory", "src_las_pruned"])
 def test_las_queries_bring_no_points_to_the_driver(spark, monkeypatch, name):
     def refused(self):
