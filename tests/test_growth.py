@@ -158,6 +158,12 @@ def test_header_of_a_las_cloud_counts_all_its_files(spark, tmp_path):
     assert points.inspect(spark, path).n == 1000
 
 
+def test_class_of_a_las_cloud_by_suffix(spark, tmp_path):
+    path = str(tmp_path / "a.las")
+    las_cloud(spark, path, 300)
+    assert sorted(r["pid"] for r in points.read_points(spark, path).where("cls = 2").collect()) == list(range(2, 1000, 5))
+
+
 @pytest.mark.parametrize("name", ["src_las_chunks", "src_las_header", "src_las_memory", "src_las_pruned"])
 def test_las_queries_bring_no_points_to_the_driver(spark, monkeypatch, name):
     def refused(self):
