@@ -164,6 +164,15 @@ def test_class_of_a_las_cloud_by_suffix(spark, tmp_path):
     assert sorted(r["pid"] for r in points.read_points(spark, path).where("cls = 2").collect()) == list(range(2, 1000, 5))
 
 
+def test_ranges_of_a_las_cloud_are_skipped(spark, tmp_path):
+    path, target = str(tmp_path / "a.las"), str(tmp_path / "ranges.json")
+    p, _ = las_cloud(spark, path, 90)
+    assert las.write_statistics(spark, path, target, 50) == 20
+    got = las.read_las_in(spark, path, target, {"x": (30, 60)}, [1, 3])
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted(r["pid"] for r in got.collect()) == sorted(r["pid"] for r in p.where("x BETWEEN 30 AND 60 AND cls IN (1, 3)").collect())
+
+
 @pytest.mark.parametrize("name", ["src_las_chunks", "src_las_header", "src_las_memory", "src_las_pruned"])
 def test_las_queries_bring_no_points_to_the_driver(spark, monkeypatch, name):
     def refused(self):
